@@ -20,11 +20,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.operators.running import CHUNK, ROWS_PER_CHUNK, running_totals
-from tokenloom.session import materialize
+from tokenloom.session import materialize, ship_package
 
 FAN_OUT = 64
 SHARD_TOKENS = 64_000_000
@@ -130,6 +130,7 @@ def roll_shards(
     ``lengths`` holds the kept rows, with ``n_tokens`` >= 1. Rows stay whole, so a shard can pass
     the limit by part of one row, and a row longer than the limit is a shard of its own.
     """
+    ship_package(lengths.sparkSession)
     by = list(by)
     narrow = lengths.select(*by, ord_col, F.col("n_tokens").cast("bigint").alias("n_tokens"))
     totals = materialize(
@@ -216,6 +217,7 @@ def shard_table(placed: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
     )
 
 
-def shard_file(split, shard, prefix=F.lit("")):
+def shard_file(split: Column, shard: Column, prefix: str | Column = "") -> Column:
     """``<prefix><split>-<5 digits>.bin``"""
+    prefix = F.lit(prefix) if isinstance(prefix, str) else prefix
     return F.format_string("%s%s-%05d.bin", prefix, split, shard)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions import text
-from tokenloom.session import materialize
+from tokenloom.session import materialize, ship_package
 
 MAX_VOCAB = 65536  # ids are 16 bits wide in shards
 MIN_COUNT = 2
@@ -252,6 +252,7 @@ def encoder(spark: SparkSession, vocabulary: Vocabulary):
     """
     if not vocabulary.merges:
         return text.byte_ids
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))

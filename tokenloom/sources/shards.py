@@ -12,6 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.session import ship_package
 from tokenloom.sources.documents import list_files
 
 ENTRY_SCHEMA = (
@@ -44,6 +45,7 @@ def shard_entries(
     ``placed`` has ``split``, ``shard``, ``offset``, ``tokens`` (and ``mask``). A task holds one
     shard, which the shard limit bounds. ``out`` is a URI that every executor can reach.
     """
+    ship_package(placed.sparkSession)
     if out is not None and "://" not in out:
         out = "file://" + out
 
@@ -112,6 +114,7 @@ def read_blocks(root: str, entries: DataFrame, seq_len: int, kind: str = "pretra
     Only the entries travel: tasks share them out and open the files they name, so no shard content
     is shuffled, and blocks leave a task in small batches.
     """
+    ship_package(entries.sparkSession)
     root = root if "://" in root else "file://" + root
     width = seq_len + 1
     stride = width if kind == "sft" else seq_len
