@@ -4,7 +4,13 @@ from __future__ import annotations
 
 
 def _load():
-    from tokenloom.catalog import chats, documents, packing, vocabularies  # noqa: F401
+    from tokenloom.catalog import (  # noqa: F401
+        chats,
+        corpora,
+        documents,
+        packing,
+        vocabularies,
+    )
     from tokenloom.catalog.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

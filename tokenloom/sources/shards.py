@@ -38,25 +38,31 @@ def _put(root: str, name: str, content: bytes) -> None:
 
 
 def shard_entries(
-    placed: DataFrame, prefix: str = "", out: str | None = None, with_mask: bool = False
+    placed: DataFrame,
+    prefix: str = "",
+    out: str | None = None,
+    with_mask: bool = False,
+    by_part: bool = False,
 ) -> DataFrame:
     """One manifest entry per shard; with ``out``, also writes the shard files there.
 
     ``placed`` has ``split``, ``shard``, ``offset``, ``tokens`` (and ``mask``). A task holds one
-    shard, which the shard limit bounds. ``out`` is a URI that every executor can reach.
+    shard, which the shard limit bounds. ``out`` is a URI that every executor can reach. With
+    ``by_part`` a column ``part`` keeps parts apart and names their files.
     """
     ship_package(placed.sparkSession)
     if out is not None and "://" not in out:
         out = "file://" + out
+    keys = [*(["part"] if by_part else []), "split", "shard"]
 
-    def entry(key, table: pa.Table) -> pa.Table:
-        split, shard = key[0].as_py(), key[1].as_py()
+    def entry(key, table):
+        named = dict(zip(keys, (k.as_py() for k in key)))
         order = pc.sort_indices(table["offset"])
         content = _flat(table["tokens"], order, "<u2")
-        stem = f"{prefix}{split}-{shard:05d}"
+        part = f"{named['part']}-" if by_part else ""
+        stem = f"{prefix}{part}{named['split']}-{named['shard']:05d}"
         row = {
-            "split": split,
-            "shard": shard,
+            **named,
             "file": f"{stem}.bin",
             "tokens": len(content) // 2,
             "sha256": hashlib.sha256(content).hexdigest(),
@@ -71,22 +77,22 @@ def shard_entries(
             row["mask_sha256"] = hashlib.sha256(mask).hexdigest()
             if out is not None:
                 _put(out, row["mask"], mask)
-        return pa.Table.from_pylist([row], schema=_ARROW_ENTRY)
+        return pa.Table.from_pylist([row], schema=pa.schema([*named_fields, *_ARROW_ENTRY]))
 
-    columns = ["split", "shard", "offset", "tokens", *(["mask"] if with_mask else [])]
-    return placed.select(*columns).groupBy("split", "shard").applyInArrow(entry, ENTRY_SCHEMA)
+    named_fields = [(k, pa.int64() if k == "shard" else pa.string()) for k in keys]
+    schema = ("part string, " if by_part else "") + ENTRY_SCHEMA
+    columns = [*keys, "offset", "tokens", *(["mask"] if with_mask else [])]
+    return placed.select(*columns).groupBy(*keys).applyInArrow(entry, schema)
 
 
-_ARROW_ENTRY = pa.schema(
-    [
-        ("split", pa.string()),
-        ("shard", pa.int64()),
+_ARROW_ENTRY = list(
+    pa.schema([
         ("file", pa.string()),
         ("tokens", pa.int64()),
         ("sha256", pa.string()),
         ("mask", pa.string()),
         ("mask_sha256", pa.string()),
-    ]
+    ])
 )
 
 
