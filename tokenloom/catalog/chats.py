@@ -25,7 +25,7 @@ def judged(spark, sf_dir):
 
 def examples(spark, sf_dir):
     accepted = judged(spark, sf_dir).where("reason is null")
-    return convs.examples(turns(spark, sf_dir), accepted, q.CHAT_SEQ_LEN, text.byte_ids)
+    return convs.examples(turns(spark, sf_dir), accepted, q.CHAT_SEQ_LEN, convs.byte_bodies())
 
 
 def joined(ids):

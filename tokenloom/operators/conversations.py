@@ -94,16 +94,19 @@ def judged(
     )
 
 
+def byte_bodies() -> Column:
+    """Byte-tokenizer ids of a message body."""
+    return text.byte_ids(text.neutralize(F.col("text")))
+
+
 def examples(
-    turns: DataFrame,
-    accepted: DataFrame,
-    seq_len: int,
-    encode: Callable[[Column], Column],
-    by: Sequence[str] = (),
+    turns: DataFrame, accepted: DataFrame, seq_len: int, ids: Column, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Padded ``tokens`` and ``mask`` of accepted conversations, ``seq_len + 1`` long each."""
+    """Padded ``tokens`` and ``mask`` of accepted conversations, ``seq_len + 1`` long each.
+
+    ``ids`` gives the ids of a message body. The checks repeat what :func:`judged` settled.
+    """
     by = list(by)
-    ids = encode(text.neutralize(F.col("text")))
     built = assemble(turns, accepted, ids, by).select(
         *by,
         CONV,
