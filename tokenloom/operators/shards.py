@@ -56,7 +56,7 @@ def _resolve(first_total, chain_total, closed, limit):
 def _candidates(limit: int, by: Sequence[str]):
     """Grouped step: table of possible closing rows of one chunk, or of one group of chunks."""
 
-    def table(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def table(key, pdf):
         pdf = pdf.sort_values("first_total", kind="stable")
         end, closed = _resolve(
             pdf["first_total"].to_numpy(),
@@ -77,7 +77,7 @@ def _candidates(limit: int, by: Sequence[str]):
 def _descend(limit: int, by: Sequence[str]):
     """Grouped step: from the true state at the start of a group, the state at each child."""
 
-    def walk(key, tables: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    def walk(key, tables, state):
         start, shard = int(state["start"].iloc[0]), int(state["shard"].iloc[0])
         rows = []
         tables = tables.sort_values(["node", "first_total"], kind="stable")
@@ -96,7 +96,7 @@ def _descend(limit: int, by: Sequence[str]):
 def _number(limit: int, columns: Sequence[str]):
     """Grouped step: shard number and offset of every row of one chunk."""
 
-    def number(key, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    def number(key, rows, state):
         rows = rows.sort_values("total", kind="stable")
         total = rows["total"].to_numpy()
         start, shard = int(state["start"].iloc[0]), int(state["shard"].iloc[0])
