@@ -12,7 +12,6 @@ from tokenloom.operators import budget
 from tokenloom.operators.running import running_totals
 from tokenloom.session import materialize
 from tokenloom.sources.documents import (
-    checked_texts,
     file_slices,
     read_documents,
     seeded_order,
@@ -188,7 +187,7 @@ def token_budget_pack(spark, sf_dir):
 )
 def tokenizer_sample(spark, sf_dir):
     t = F.col("text")
-    sampled = checked_texts(documents(spark, sf_dir)).where(text.split_of(t) == "train")
+    sampled = documents(spark, sf_dir).where(text.is_long_enough(t)).where(text.split_of(t) == "train")
     rows = materialize(
         sampled.select("doc_id", F.length(t).cast("bigint").alias("n_chars")), "sample-lengths"
     )

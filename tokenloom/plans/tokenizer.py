@@ -10,16 +10,19 @@ from tokenloom.operators import budget, vocab
 from tokenloom.plans.documents import ORD, first_docs
 from tokenloom.session import materialize
 from tokenloom.sources import tokenizer_file
-from tokenloom.sources.documents import checked_texts
+from tokenloom.sources.documents import require_no_null_text
 
 
 def sample(docs: DataFrame, max_chars: int = 100_000_000, max_docs: int = 5_000_000) -> DataFrame:
     """Raw texts to learn from: long enough, not held out, up to ``max_chars`` characters."""
     t = F.col("text")
-    rows = checked_texts(docs.where(first_docs(docs, max_docs))).where(text.split_of(t) == "train")
+    docs = docs.where(first_docs(docs, max_docs))
+    rows = docs.where(text.is_long_enough(t)).where(text.split_of(t) == "train")
     sizes = materialize(rows.select(ORD, F.length(t).cast("bigint").alias("n_chars")), "sample-lengths")
     last = budget.chars_cut(sizes, ORD, max_chars)
-    return rows if last is None else rows.where(F.col(ORD) <= last)
+    read = F.lit(True) if last is None else F.col(ORD) <= last
+    require_no_null_text(docs.where(read))
+    return rows.where(read)
 
 
 def learn_tokenizer(
