@@ -103,7 +103,22 @@ def test_tables(spark, learned):
     )
 
 
-def test_independent_prefix():
-    ranked = [("ab", 9), ("cd", 8), ("bc", 7), ("ef", 6)]
-    assert vocab._independent(ranked, 10) == ["ab", "cd"]
-    assert vocab._independent(ranked, 1) == ["ab"]
+def test_small_rankings_give_the_same_merges(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts[:40]], "text string")
+    counts = vocab.word_counts(df)
+    whole = vocab.learn(counts, 300)
+    assert vocab.learn(counts, 300, ranking=5, rewrite_every=4) == whole
+
+
+def test_independent_prefix(spark):
+    rows = spark.createDataFrame([("ab", 9), ("cd", 8), ("bc", 7), ("ef", 6)], "pair string, n long")
+    ranked = vocab._Ranking(rows.orderBy(F.desc("n")), 100, 2)
+    assert ranked.independent(10) == ["ab", "cd"]
+    assert ranked.independent(1) == ["ab"]
+    assert ranked.independent(10, known={b"ab"}) == ["ab"]
+    assert ranked.independent(10, lambda pair: b"same") == ["ab", "cd"]
+    fans = spark.createDataFrame([("ab", 9), ("ac", 8), ("db", 7), ("xa", 6)], "pair string, n long")
+    assert vocab._Ranking(fans.orderBy(F.desc("n")), 100, 2).independent(10) == ["ab", "ac", "db"]
+    hiding = vocab._Ranking(rows.orderBy(F.desc("n")).limit(1), 1, 2)
+    hiding.counts["cd"] = 8
+    assert hiding.independent(10) == ["ab"]

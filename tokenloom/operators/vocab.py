@@ -9,7 +9,7 @@ pair is its (left id, right id) order, which breaks ties.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Callable, Container, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -101,13 +101,16 @@ def byte_token_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def _pairs_in(syms: str) -> str:
+    """SQL text: all adjacent symbol pairs of a word."""
+    starts = f"if(char_length({syms}) > 1, sequence(1, char_length({syms}) - 1), array())"
+    return f"transform({starts}, i -> substring({syms}, i, 2))"
+
+
 def pair_counts(spelled: DataFrame) -> DataFrame:
     """``pair``, ``n`` from ``syms``, ``n``: adjacent symbols, each weighted by its word's count."""
-    starts = F.sequence(F.lit(1), F.char_length("syms") - 1)
-    pairs = F.transform(starts, lambda i: F.substring("syms", i, F.lit(2)))
     return (
-        spelled.where(F.char_length("syms") > 1)
-        .select(F.explode(pairs).alias("pair"), "n")
+        spelled.select(F.explode(F.expr(_pairs_in("syms"))).alias("pair"), "n")
         .groupBy("pair")
         .agg(F.sum("n").alias("n"))
     )
@@ -118,67 +121,168 @@ def best_pairs(pairs: DataFrame, k: int, min_count: int = MIN_COUNT) -> DataFram
     return pairs.where(F.col("n") >= min_count).orderBy(F.desc("n"), F.asc("pair")).limit(k)
 
 
-def _independent(ranked: Sequence[tuple[str, int]], room: int) -> list[str]:
-    """Longest prefix of the ranking in which no pair shares a symbol with an earlier one.
-
-    Merging a pair leaves the counts of disjoint pairs alone, and a pair it creates counts at most
-    as much as one that would have ended the prefix, so these are exactly the next merges.
-    """
-    used: set[str] = set()
-    taken: list[str] = []
-    for pair, _ in ranked:
-        if len(taken) == room or not used.isdisjoint(pair):
-            break
-        taken.append(pair)
-        used.update(pair)
-    return taken
-
-
 def learn(
-    counts: DataFrame, vocab_size: int, min_count: int = MIN_COUNT, rewrite_every: int = 48
+    counts: DataFrame,
+    vocab_size: int,
+    min_count: int = MIN_COUNT,
+    rewrite_every: int = 48,
+    ranking: int = 20_000,
 ) -> Vocabulary:
     """Learn merges from ``word``, ``n`` until the vocabulary has ``vocab_size`` entries.
 
-    Each round is one job over the distinct words: apply the merges since the last rewrite, count
-    pairs, bring back a short ranking. Every ``rewrite_every`` merges the merged words are written
-    out, which keeps expressions short and ends the lineage.
+    One full pair count gives a ranking of bounded length. From then on each round sends back only
+    what its merges changed, counted over the words that contain them; a new full count is due when
+    the ranking is used up. Every ``rewrite_every`` merges the merged words are written out, which
+    keeps the work per round flat and ends the lineage, and words that became equal are joined.
     """
     if not FIRST_MERGE <= vocab_size <= MAX_VOCAB:
         raise ValueError(f"vocab_size must lie between {FIRST_MERGE} and {MAX_VOCAB}")
     symbols = list(text.byte_symbols())
     known = {s: i for i, s in enumerate(symbols) if s}
     merges: list[tuple[int, int, int]] = []
-    base = materialize(counts.select(as_symbols(F.col("word")).alias("syms"), "n"), "words").persist()
+    words = _word_table(counts.select(as_symbols(F.col("word")).alias("syms"), "n"))
     pending: list[tuple[str, str]] = []
+    ranked: _Ranking | None = None
+
+    def joined(pair: str) -> bytes:
+        return b"".join(symbols[ord(c) - SYMBOL_BASE] for c in pair)
+
     try:
         while len(symbols) < vocab_size:
-            spelled = base.select(_merged(F.col("syms"), pending).alias("syms"), "n")
-            ranked = [(r["pair"], r["n"]) for r in best_pairs(pair_counts(spelled), 64, min_count).collect()]
-            taken = _independent(ranked, vocab_size - len(symbols))
+            room = vocab_size - len(symbols)
+            taken = ranked.independent(room, joined, known) if ranked else []
+            if not taken:
+                now = words.select(F.expr(_merged("syms", pending)).alias("syms"), "n")
+                ranked = _Ranking(best_pairs(pair_counts(now), ranking, min_count), ranking, min_count)
+                taken = ranked.independent(room, joined, known)
             if not taken:
                 raise ValueError("Not enough varied text for the requested vocabulary size")
+            step, remade = [], False
             for pair in taken:
                 left, right = (ord(c) - SYMBOL_BASE for c in pair)
-                made = symbols[left] + symbols[right]
+                made = joined(pair)
                 new = known.setdefault(made, len(symbols))
                 if new == len(symbols):
                     symbols.append(made)
+                else:
+                    remade = True
                 merges.append((left, right, new))
-                pending.append((pair, chr(SYMBOL_BASE + new)))
-            if len(pending) >= rewrite_every and len(symbols) < vocab_size:
-                spelled = base.select(_merged(F.col("syms"), pending).alias("syms"), "n")
-                rewritten = spelled.where(F.char_length("syms") > 1).groupBy("syms").agg(F.sum("n").alias("n"))
-                fresh = materialize(rewritten, "words").persist()
-                base.unpersist()
-                base, pending = fresh, []
+                step.append((pair, chr(SYMBOL_BASE + new)))
+            if len(symbols) == vocab_size:
+                break
+            # A symbol made again may raise counts the ranking does not hold: count anew.
+            if remade:
+                ranked = None
+            else:
+                changes = _changes(words, pending, step).collect()
+                ranked.update(changes, {new for _, new in step})
+            pending += step
+            if len(pending) >= rewrite_every:
+                now = words.select(F.expr(_merged("syms", pending)).alias("syms"), "n")
+                same = now.where(F.char_length("syms") > 1).groupBy("syms")
+                fresh = _word_table(same.agg(F.sum("n").alias("n")))
+                words.unpersist()
+                words, pending = fresh, []
     finally:
-        base.unpersist()
+        words.unpersist()
     return Vocabulary(tuple(symbols), tuple(merges))
 
 
-def _merged(syms: Column, pending: Sequence[tuple[str, str]]) -> Column:
-    for pair, new in pending:
-        syms = F.replace(syms, F.lit(pair), F.lit(new))
+class _Ranking:
+    """Most frequent pairs with exact counts, and the rank below which other pairs may hide.
+
+    Pairs left out only ever lose occurrences, unless a new symbol takes part; those pairs are
+    complete in the changes of the round that makes the symbol.
+    """
+
+    def __init__(self, best: DataFrame, size: int, min_count: int):
+        rows = [(r["pair"], r["n"]) for r in best.collect()]
+        self.min_count = min_count
+        self.counts = dict(rows)
+        self.last = (-rows[-1][1], rows[-1][0]) if len(rows) == size else None
+
+    def independent(
+        self, room: int, made: Callable[[str], bytes] = str.encode, known: Container[bytes] = ()
+    ) -> list[str]:
+        """The next merges that are certain: the longest such prefix of the ranking.
+
+        Merging ``(a, b)`` takes occurrences only from pairs that end in ``a`` or start with ``b``,
+        so the prefix ends before the first pair that an earlier one touches. A pair that a merge
+        creates counts at most as much as such a touched pair and loses every tie, as its new
+        symbol has the highest id; so it cannot belong before the end of the prefix either. That
+        does not hold for a symbol made again (``made`` gives its bytes), which ends the prefix too.
+        """
+        best = heapq.nsmallest(
+            256, ((-n, p) for p, n in self.counts.items() if n >= self.min_count)
+        )
+        lefts: set[str] = set()
+        rights: set[str] = set()
+        fresh: set[bytes] = set()
+        taken: list[str] = []
+        for key in best:
+            left, right = key[1]
+            hidden = self.last is not None and key > self.last
+            if hidden or len(taken) == room or right in lefts or left in rights:
+                break
+            taken.append(key[1])
+            symbol = made(key[1])
+            if symbol in known or symbol in fresh:
+                break
+            fresh.add(symbol)
+            lefts.add(left)
+            rights.add(right)
+        return taken
+
+    def update(self, changes, new_symbols: set[str]) -> None:
+        for row in changes:
+            pair, change = row["pair"], row["n"]
+            if pair in self.counts:
+                self.counts[pair] += change
+            elif not new_symbols.isdisjoint(pair):
+                self.counts[pair] = change
+
+
+WORDS_PER_TASK = 25_000
+
+
+def _word_table(words: DataFrame) -> DataFrame:
+    """Distinct words, durable and cached, in as many partitions as their number needs."""
+    table = materialize(words, "words")
+    most = 4 * table.sparkSession.sparkContext.defaultParallelism
+    tasks = min(most, table.count() // WORDS_PER_TASK + 1)
+    return table.repartition(tasks, "syms").persist()
+
+
+def _changes(
+    words: DataFrame, pending: Sequence[tuple[str, str]], step: Sequence[tuple[str, str]]
+) -> DataFrame:
+    """Count changes of all pairs in the words that a step of merges touches.
+
+    At most a few rows per merge and vocabulary entry come back: changed pairs hold a merged
+    symbol. One-element transforms bind a value that is used more than once.
+    """
+    signed = "transform({pairs}, p -> struct(p as pair, {sign} as by))"
+    touched = " or ".join(f"contains(w, '{pair}')" for pair, _ in step)
+    changed = (
+        f"concat({signed.format(pairs=_pairs_in('w'), sign=-1)}, "
+        f"flatten(transform(array({_merged('w', step)}), "
+        f"m -> {signed.format(pairs=_pairs_in('m'), sign=1)})))"
+    )
+    rows = (
+        f"inline(flatten(transform(array({_merged('syms', pending)}), "
+        f"w -> if({touched}, {changed}, array()))))"
+    )
+    return (
+        words.select(F.expr(rows), "n")
+        .groupBy("pair")
+        .agg(F.sum(F.col("by") * F.col("n")).alias("n"))
+    )
+
+
+def _merged(syms: str, merges: Sequence[tuple[str, str]]) -> str:
+    """SQL text that applies merges in order. Symbols hold no quote, and text builds fast."""
+    for pair, new in merges:
+        syms = f"replace({syms}, '{pair}', '{new}')"
     return syms
 
 

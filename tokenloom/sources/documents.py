@@ -16,7 +16,19 @@ def read_documents(
     paths = [path] if isinstance(path, str) else list(path)
     table = spark.read.parquet(*paths)
     require_text(table, field)
-    return table.select(ord_col, F.col(field).alias("text"), *also)
+    return spread(table.select(ord_col, F.col(field).alias("text"), *also), ord_col)
+
+
+def spread(table: DataFrame, ord_col: str) -> DataFrame:
+    """Use all cores for an input that comes in fewer splits than there are cores.
+
+    Text work is bound by CPU, so a few large row groups would leave most cores idle. An input
+    with enough splits, as any large one, is left alone and not shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, ord_col)
 
 
 def read_jsonl(
