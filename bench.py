@@ -18,6 +18,7 @@ from tokenloom.catalog import all_queries
 from tokenloom.operators import vocab
 from tokenloom.plans.documents import encoded_documents
 from tokenloom.plans.tokenizer import sample
+from tokenloom.sources.documents import read_documents
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -65,7 +66,7 @@ def main() -> None:
         print(f"{name:22s} {seconds[name]:8.2f}s", file=sys.stderr, flush=True)
         return out
 
-    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    docs = read_documents(spark, f"{SF_DIR}/documents.parquet")
     timed("warm_up", lambda: run(docs.select(F.octet_length("text"))))
     del seconds["warm_up"]
     for name in HEADLINES:

@@ -42,8 +42,8 @@ def joined(ids):
 def assemble_conversations(spark, sf_dir):
     rows = turns(spark, sf_dir)
     fitting = convs.heads(rows).where(F.col("n_tokens") <= q.CHAT_SEQ_LEN + 1)
-    line = lambda m: F.concat(m["role"], F.lit(":"), F.coalesce(m["content"], F.lit("")))
-    return convs.assemble(rows, fitting).select(
+    line = lambda m: F.concat(m["role"], F.lit(":"), F.coalesce(m["text"], F.lit("")))
+    return convs.assemble(rows, fitting, [F.col("role"), F.col("text")]).select(
         "conv_id",
         F.size("messages").alias("messages"),
         F.array_join(F.transform("messages", line), "\n").alias("body"),
@@ -75,7 +75,8 @@ def valid_conversations(spark, sf_dir):
     rows = turns(spark, sf_dir)
     fitting = convs.heads(rows).where(F.col("n_tokens") <= q.CHAT_SEQ_LEN + 1)
     m = F.col("messages")
-    return convs.assemble(rows, fitting).select(
+    shape = [F.col("role"), text.is_blank(F.col("text")).alias("blank")]
+    return convs.assemble(rows, fitting, shape).select(
         "conv_id", (chat.grammar_holds(m) & chat.no_blank(m)).alias("valid")
     )
 

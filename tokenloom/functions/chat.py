@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tokenloom.functions.text import ASSISTANT, END, PAD, SYSTEM, USER, is_blank
+from tokenloom.functions.text import ASSISTANT, END, PAD, SYSTEM, USER
 
 ROLE_IDS = {"system": SYSTEM, "user": USER, "assistant": ASSISTANT}
 
@@ -30,7 +30,8 @@ def grammar_holds(messages: Column) -> Column:
 
 
 def no_blank(messages: Column) -> Column:
-    return F.coalesce(F.forall(messages, lambda m: ~is_blank(m["content"])), F.lit(False))
+    """No message without text. Messages carry ``blank``."""
+    return F.coalesce(F.forall(messages, lambda m: ~m["blank"]), F.lit(False))
 
 
 def template_ids(messages: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import chat, text
 from tokenloom.operators.dedup import mark_first
+from tokenloom.session import materialize
 
 CONV, TURN = "conv_id", "turn"
 
@@ -51,15 +52,15 @@ def heads(
 
 
 def assemble(
-    turns: DataFrame, fitting: DataFrame, ids: Column | None = None, by: Sequence[str] = ()
+    turns: DataFrame, fitting: DataFrame, fields: Sequence[Column], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Ordered ``messages`` arrays of the conversations listed in ``fitting`` (bounded ones only)."""
-    fields = [F.col(TURN), F.col("role"), F.col("text").alias("content")]
-    if ids is not None:
-        fields.append(ids.alias("ids"))
+    """Ordered ``messages`` arrays of the conversations listed in ``fitting`` (bounded ones only).
+
+    Each message holds its turn and ``fields``; ask for no more than the caller reads.
+    """
     rows = turns.join(fitting.select(*by, CONV), [*by, CONV], "left_semi")
     return rows.groupBy(*by, CONV).agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("messages")
+        F.array_sort(F.collect_list(F.struct(TURN, *fields))).alias("messages")
     )
 
 
@@ -75,9 +76,14 @@ def judged(
     the prompt counts as seen before the conversation is checked.
     """
     by = list(by)
-    marked = mark_first(heads(turns, count, by), ["key"], CONV, by)
+    # Three uses follow; written once, the message texts are read and hashed only here.
+    summary = materialize(
+        heads(turns, count, by).select(*by, CONV, "n_tokens", "split", "key"), "heads"
+    )
+    marked = mark_first(summary, ["key"], CONV, by)
     fits = F.col("n_tokens") <= seq_len + 1
-    shaped = assemble(turns, marked.where(F.col("is_first") & fits), by=by).select(
+    shape = [F.col("role"), text.is_blank(F.col("text")).alias("blank")]
+    shaped = assemble(turns, marked.where(F.col("is_first") & fits), shape, by).select(
         *by,
         CONV,
         chat.grammar_holds(F.col("messages")).alias("grammar"),
@@ -107,7 +113,7 @@ def examples(
     ``ids`` gives the ids of a message body. The checks repeat what :func:`judged` settled.
     """
     by = list(by)
-    built = assemble(turns, accepted, ids, by).select(
+    built = assemble(turns, accepted, [F.col("role"), ids.alias("ids")], by).select(
         *by,
         CONV,
         chat.template_ids(F.col("messages")).alias("tokens"),

@@ -77,8 +77,18 @@ def running_totals(
 
     The chunk number stays in column ``_chunk``. Order values must be unique within a group.
     """
+    return totals_in_chunks(df, ord_col, values, chunk_bounds(df, ord_col, rows_per_chunk), by)
+
+
+def totals_in_chunks(
+    df: DataFrame,
+    ord_col: str,
+    values: Mapping[str, Column | str],
+    bounds: Sequence[int],
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """:func:`running_totals` over chunks that are already known."""
     names = list(values)
-    bounds = chunk_bounds(df, ord_col, rows_per_chunk)
     tagged = df.withColumns({n: F.expr(v) if isinstance(v, str) else v for n, v in values.items()})
     tagged = tagged.withColumn(CHUNK, chunk_of(F.col(ord_col), bounds))
     offsets = _chunk_totals(tagged, names, by).select(*by, CHUNK, *_before(names, by))

@@ -23,7 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.operators.running import CHUNK, ROWS_PER_CHUNK, running_totals
+from tokenloom.operators.running import (
+    CHUNK,
+    ROWS_PER_CHUNK,
+    chunk_bounds,
+    totals_in_chunks,
+)
 from tokenloom.session import materialize, ship_package
 
 FAN_OUT = 64
@@ -133,8 +138,9 @@ def roll_shards(
     ship_package(lengths.sparkSession)
     by = list(by)
     narrow = lengths.select(*by, ord_col, F.col("n_tokens").cast("bigint").alias("n_tokens"))
+    bounds = chunk_bounds(narrow, ord_col, rows_per_chunk)
     totals = materialize(
-        running_totals(narrow, ord_col, {"total": "n_tokens"}, by, rows_per_chunk), "shard-totals"
+        totals_in_chunks(narrow, ord_col, {"total": "n_tokens"}, bounds, by), "shard-totals"
     )
     types = dict(totals.dtypes)
     keys = ", ".join(f"{c} {types[c]}" for c in by)
@@ -155,30 +161,21 @@ def roll_shards(
         .groupBy(*by, "node")
         .applyInPandas(_candidates(limit, by), table_schema)
     ]
-    levels[0] = materialize(levels[0], "shard-tables")
-    nodes = levels[0].agg(F.max("node")).first()[0]
-    if nodes is None:
-        nodes = 0
+    nodes = len(bounds)
     while nodes >= fan_out:
+        levels[-1] = materialize(levels[-1], "shard-tables")  # read going up and coming down
         above = (
             levels[-1]
             .withColumn("node", (F.col("node") / F.lit(fan_out)).cast("int"))
             .groupBy(*by, "node")
             .applyInPandas(_candidates(limit, by), table_schema)
         )
-        levels.append(materialize(above, "shard-tables"))
+        levels.append(above)
         nodes //= fan_out
 
-    states = (
-        levels[-1]
-        .groupBy(*by)
-        .agg(F.lit(0).alias("node"))
-        .select(
-            *by,
-            F.col("node").cast("int"),
-            F.lit(0).cast("bigint").alias("start"),
-            F.lit(0).cast("bigint").alias("shard"),
-        )
+    zero = F.lit(0).cast("bigint")
+    states = totals.select(*by).distinct().select(
+        *by, F.lit(0).alias("node"), zero.alias("start"), zero.alias("shard")
     )
     for level in reversed(levels):
         parents = level.withColumn("_parent", (F.col("node") / F.lit(fan_out)).cast("int"))
