@@ -41,6 +41,16 @@ def test_chunks_stay_even_when_ids_cluster(spark):
     assert len(sizes) >= 15 and max(r["count"] for r in sizes) <= 250
 
 
+def test_sampled_bounds_change_nothing_but_balance(spark, monkeypatch):
+    monkeypatch.setattr(running, "BOUND_ROWS", 60)
+    rows = corpus(600, 21)
+    df = lengths(spark, rows)
+    assert 2 <= len(running.chunk_bounds(df, "doc_id", 100)) <= 6
+    got = running.running_totals(df, "doc_id", {"run": "n_tokens"}, rows_per_chunk=100)
+    have = {r["doc_id"]: r["run"] for r in got.collect()}
+    assert [have[r[0]] for r in rows] == list(accumulate(r[2] for r in rows))
+
+
 def test_chunk_of_counts_bounds_at_or_below(spark):
     for bounds in ([], [5], [3, 9], [1, 2, 4, 8, 16], list(range(0, 70, 7))):
         got = spark.range(80).select("id", running.chunk_of(F.col("id"), bounds).alias("c")).collect()

@@ -39,7 +39,7 @@ def cut_blocks(
             F.slice(ids, (lo - start + 1).cast("int"), (hi - lo).cast("int")).alias("ids"),
         )
 
-    pieces = placed.where(F.size(ids) > 0).select(
+    pieces = placed.select(
         *by, "shard", F.inline(F.transform(F.sequence(first, last), piece))
     )
     ordered = F.array_sort(F.collect_list(F.struct("at", "ids")))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 MAX_CHUNKS = 4096
 ROWS_PER_CHUNK = 1_000_000
 SMALLEST_CHUNK = 256
+BOUND_ROWS = 20_000_000
 CHUNK = "_chunk"
 
 
@@ -30,18 +31,22 @@ def _literal(values: Sequence[float], kind: str) -> Column:
 def chunk_bounds(df: DataFrame, ord_col: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> list[int]:
     """Order values at which a new chunk starts: at most ``MAX_CHUNKS`` of them.
 
-    One aggregate over the order column alone, so a Parquet scan reads nothing else.
+    Reads the order column alone. Bounds decide how even the chunks are, never what they add up
+    to, so a very long column is represented by a repeatable share of its values, like the sample
+    behind a range partitioning; sketches of all values would pile up in the one final merge.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    grid = _literal([i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)], "double")
-    rows, cuts = df.agg(
-        F.count(F.lit(1)), F.percentile_approx(ord_col, grid, 10 * MAX_CHUNKS)
-    ).first()
+    rows = df.count()
     if not rows:
         return []
+    seen = df.select(ord_col)
+    if rows > BOUND_ROWS:
+        seen = seen.where(F.pmod(F.xxhash64(ord_col), F.lit(-(-rows // BOUND_ROWS))) == 0)
+    grid = _literal([i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)], "double")
+    cuts = seen.agg(F.percentile_approx(ord_col, grid, 10 * MAX_CHUNKS)).first()[0]
+    cores = df.sparkSession.sparkContext.defaultParallelism
     spread = min(cores, -(-rows // SMALLEST_CHUNK))
     chunks = min(MAX_CHUNKS, max(1, spread, -(-rows // rows_per_chunk)))
-    picked = [cuts[i * MAX_CHUNKS // chunks - 1] for i in range(1, chunks)]
+    picked = [cuts[i * MAX_CHUNKS // chunks - 1] for i in range(1, chunks)] if cuts else []
     return sorted(set(picked))
 
 

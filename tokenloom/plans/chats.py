@@ -13,7 +13,7 @@ from tokenloom.operators import conversations as convs
 from tokenloom.operators.running import running_totals
 from tokenloom.operators.shards import CHAT_SHARD_TOKENS, roll_equal_rows
 from tokenloom.operators.vocab import Vocabulary, encoder
-from tokenloom.session import materialize
+from tokenloom.session import materialize, scratch
 from tokenloom.sources.manifests import write_manifest
 from tokenloom.sources.shards import shard_entries
 
@@ -87,14 +87,15 @@ def pack_conversations(
     source: dict | None = None,
 ) -> dict:
     """Write chat shards with masks and their manifest below ``out``; gives the manifest."""
-    placed, read = chat_rows(turns, vocabulary, options)
-    prefix = f"{options.tag}-" if options.tag else ""
-    entries = materialize(shard_entries(placed, prefix, out, with_mask=True), "entries")
-    name = f"manifest.{options.tag}.json" if options.tag else "manifest.json"
-    counts = _counts(read).get((), {})
-    return write_manifest(
-        f"{out}/{name}", _header(options, vocabulary, tokenizer_sha256, counts, source), entries
-    )
+    with scratch(turns.sparkSession):
+        placed, read = chat_rows(turns, vocabulary, options)
+        prefix = f"{options.tag}-" if options.tag else ""
+        entries = materialize(shard_entries(placed, prefix, out, with_mask=True), "entries")
+        name = f"manifest.{options.tag}.json" if options.tag else "manifest.json"
+        counts = _counts(read).get((), {})
+        return write_manifest(
+            f"{out}/{name}", _header(options, vocabulary, tokenizer_sha256, counts, source), entries
+        )
 
 
 def pack_sources(
@@ -105,16 +106,17 @@ def pack_sources(
     options: ChatPack = ChatPack(),
 ) -> list[dict]:
     """Pack several sources (column ``part``) in one pass, one manifest part each, for a merge."""
-    placed, read = chat_rows(turns, vocabulary, options, by=("part",))
-    entries = materialize(
-        shard_entries(placed, "", out, with_mask=True, by_part=True), "entries"
-    )
-    written = []
-    for (part,), counts in sorted(_counts(read, ["part"]).items()):
-        header = _header(options, vocabulary, tokenizer_sha256, counts, {"part": part})
-        mine = entries.where(F.col("part") == part)
-        written.append(write_manifest(f"{out}/manifest.{part}.json", header, mine))
-    return written
+    with scratch(turns.sparkSession):
+        placed, read = chat_rows(turns, vocabulary, options, by=("part",))
+        entries = materialize(
+            shard_entries(placed, "", out, with_mask=True, by_part=True), "entries"
+        )
+        written = []
+        for (part,), counts in sorted(_counts(read, ["part"]).items()):
+            header = _header(options, vocabulary, tokenizer_sha256, counts, {"part": part})
+            mine = entries.where(F.col("part") == part)
+            written.append(write_manifest(f"{out}/manifest.{part}.json", header, mine))
+        return written
 
 
 def _counts(read: DataFrame, by=()) -> dict[tuple, dict]:

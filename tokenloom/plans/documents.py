@@ -11,7 +11,7 @@ from tokenloom.functions import text
 from tokenloom.operators import budget
 from tokenloom.operators.shards import SHARD_TOKENS, roll_shards
 from tokenloom.operators.vocab import Vocabulary, encoder
-from tokenloom.session import materialize
+from tokenloom.session import materialize, scratch
 from tokenloom.sources.manifests import write_manifest
 from tokenloom.sources.shards import shard_entries
 
@@ -101,23 +101,24 @@ def pack_documents(
     source: dict | None = None,
 ) -> dict:
     """Write shards and their manifest below ``out``; gives the manifest."""
-    kept, skipped, _ = kept_documents(docs, vocabulary, options)
-    prefix = f"{options.tag}-" if options.tag else ""
-    entries = materialize(
-        shard_entries(placed_documents(kept, options), prefix, out), "entries"
-    )
-    totals = {
-        r["split"]: r["n"]
-        for r in entries.groupBy("split").agg(F.sum("tokens").alias("n")).collect()
-    }
-    name = f"manifest.{options.tag}.json" if options.tag else "manifest.json"
-    header = {
-        "version": 1,
-        "kind": "pretrain",
-        "seq_len": options.seq_len,
-        "vocab_size": len(vocabulary),
-        "tokenizer_sha256": tokenizer_sha256,
-        "counts": {"train": totals.get("train", 0), "val": totals.get("val", 0), "skipped": skipped},
-        "source": {**asdict(options), **(source or {})},
-    }
-    return write_manifest(f"{out}/{name}", header, entries)
+    with scratch(docs.sparkSession):
+        kept, skipped, _ = kept_documents(docs, vocabulary, options)
+        prefix = f"{options.tag}-" if options.tag else ""
+        entries = materialize(
+            shard_entries(placed_documents(kept, options), prefix, out), "entries"
+        )
+        totals = {
+            r["split"]: r["n"]
+            for r in entries.groupBy("split").agg(F.sum("tokens").alias("n")).collect()
+        }
+        name = f"manifest.{options.tag}.json" if options.tag else "manifest.json"
+        header = {
+            "version": 1,
+            "kind": "pretrain",
+            "seq_len": options.seq_len,
+            "vocab_size": len(vocabulary),
+            "tokenizer_sha256": tokenizer_sha256,
+            "counts": {"train": totals.get("train", 0), "val": totals.get("val", 0), "skipped": skipped},
+            "source": {**asdict(options), **(source or {})},
+        }
+        return write_manifest(f"{out}/{name}", header, entries)

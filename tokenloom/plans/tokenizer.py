@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions import text
 from tokenloom.operators import budget, vocab
 from tokenloom.plans.documents import ORD, first_docs
-from tokenloom.session import materialize
+from tokenloom.session import materialize, scratch
 from tokenloom.sources import tokenizer_file
 from tokenloom.sources.documents import require_no_null_text
 
@@ -33,8 +33,9 @@ def learn_tokenizer(
     max_docs: int = 5_000_000,
 ) -> tuple[vocab.Vocabulary, str]:
     """Learn from a sample, write ``tokenizer.json`` to a new folder, give vocabulary and hash."""
-    counts = vocab.word_counts(sample(docs, max_chars, max_docs))
-    learned = vocab.learn(counts, vocab_size)
+    with scratch(docs.sparkSession):
+        counts = vocab.word_counts(sample(docs, max_chars, max_docs))
+        learned = vocab.learn(counts, vocab_size)
     digest = tokenizer_file.save(
         learned,
         out,
