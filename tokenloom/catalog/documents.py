@@ -103,12 +103,12 @@ def split_leakage(spark, sf_dir):
         F.sha2(text.split_key(t), 256).alias("key"), text.split_of(t).alias("split")
     )
     per_key = keyed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("docs"), F.min("split").alias("lo"), F.max("split").alias("hi")
+        F.count(F.lit(1)).alias("docs"), F.count_if(F.col("split") == "val").alias("held_out")
     )
     return per_key.agg(
         F.count(F.lit(1)).alias("keys"),
         F.sum("docs").alias("docs"),
-        F.count_if(F.col("lo") != F.col("hi")).alias("leaking"),
+        F.count_if((F.col("held_out") > 0) & (F.col("held_out") < F.col("docs"))).alias("leaking"),
     )
 
 

@@ -248,4 +248,4 @@ def training_mix(spark, sf_dir):
         s: [EpochOrder(n, _FACTOR % n or 1, (_SHIFT + e) % n) for e in range(epochs[s])]
         for s, n in sizes.items()
     }
-    return mix.slot_blocks(slots, _MICRO, orders)
+    return mix.slot_blocks(slots, _MICRO, orders).drop("row")

@@ -65,14 +65,15 @@ def epochs_read(slots: DataFrame, micro_batch: int, sizes: dict[str, int]) -> di
 def slot_blocks(
     slots: DataFrame, micro_batch: int, orders: dict[str, Sequence[EpochOrder]]
 ) -> DataFrame:
-    """Explode microbatches to blocks: ``slot``, ``source``, ``epoch``, ``position``, ``block_index``.
+    """Explode microbatches to blocks: ``slot``, ``row``, ``source``, ``epoch``, ``position``,
+    ``block_index``.
 
     ``orders`` holds one order per epoch and source; their two integers travel as literal arrays.
     """
     cursor = F.col("nth") * micro_batch + F.col("j")
     rows = slots.select(
         "slot", "source", F.explode(F.sequence(F.lit(0), F.lit(micro_batch - 1))).alias("j"), "nth"
-    ).select("slot", "source", cursor.alias("cursor"))
+    ).select("slot", F.col("j").alias("row"), "source", cursor.alias("cursor"))
 
     def per_source(make):
         chosen = F.lit(None).cast("bigint")
@@ -95,4 +96,4 @@ def slot_blocks(
             F.get(F.lit([o.b for o in e]), F.col("epoch").cast("int")),
         )
     )
-    return placed.select("slot", "source", "epoch", "position", index.alias("block_index"))
+    return placed.select("slot", "row", "source", "epoch", "position", index.alias("block_index"))

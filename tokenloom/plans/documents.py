@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text
 from tokenloom.operators import budget
+from tokenloom.operators.running import first_crossings
 from tokenloom.operators.shards import SHARD_TOKENS, roll_shards
 from tokenloom.operators.vocab import Vocabulary, encoder
 from tokenloom.session import materialize, scratch
+from tokenloom.sources.documents import file_slices
 from tokenloom.sources.manifests import write_manifest
 from tokenloom.sources.shards import shard_entries
 
@@ -59,11 +61,12 @@ def safe_stop(docs: DataFrame, vocabulary: Vocabulary, o: DocumentPack) -> int |
     ).stop
 
 
-def encoded_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``doc_id``, ``split``, ``n_tokens``, ``tokens`` (end mark included) of kept documents."""
+def encoded_documents(docs: DataFrame, vocabulary: Vocabulary, by=()) -> DataFrame:
+    """``by``, ``doc_id``, ``split``, ``n_tokens``, ``tokens`` (end mark included) of kept documents."""
     t = F.col("text")
     encode = encoder(docs.sparkSession, vocabulary)
     rows = docs.where(text.is_long_enough(t)).select(
+        *by,
         ORD,
         text.split_of(t).alias("split"),
         text.with_eos(encode(text.neutralize(t))).alias("tokens"),
@@ -112,13 +115,87 @@ def pack_documents(
             for r in entries.groupBy("split").agg(F.sum("tokens").alias("n")).collect()
         }
         name = f"manifest.{options.tag}.json" if options.tag else "manifest.json"
-        header = {
-            "version": 1,
-            "kind": "pretrain",
-            "seq_len": options.seq_len,
-            "vocab_size": len(vocabulary),
-            "tokenizer_sha256": tokenizer_sha256,
-            "counts": {"train": totals.get("train", 0), "val": totals.get("val", 0), "skipped": skipped},
-            "source": {**asdict(options), **(source or {})},
-        }
+        counts = {"train": totals.get("train", 0), "val": totals.get("val", 0), "skipped": skipped}
+        header = _header(options, vocabulary, tokenizer_sha256, counts, source)
         return write_manifest(f"{out}/{name}", header, entries)
+
+
+def sliced_documents(
+    spark: SparkSession, files: DataFrame, slices: int, field: str = "text", ord_col: str = ORD
+) -> DataFrame:
+    """Documents with ``part`` = ``s00``, ``s01``, ...: the run of sorted files they come from."""
+    tagged = file_slices(files, slices).select(
+        F.col("path").alias("_path"), F.format_string("s%02d", "slice").alias("part")
+    )
+    paths = [r["path"] for r in files.select("path").orderBy("path").collect()]
+    rows = spark.read.parquet(*paths).select(
+        F.col(ord_col).alias(ORD), F.col(field).alias("text"), F.col("_metadata.file_path").alias("_path")
+    )
+    return rows.join(tagged, "_path").drop("_path")
+
+
+def pack_parts(
+    docs: DataFrame,
+    vocabulary: Vocabulary,
+    tokenizer_sha256: str,
+    out: str,
+    options: DocumentPack = DocumentPack(),
+) -> list[dict]:
+    """Pack parts (column ``part``) side by side in the same jobs, one manifest each, for a merge.
+
+    Every part has the whole of ``val_tokens`` and its share of ``max_tokens``. A part that holds
+    most of the rows spreads over chunks like any other rows.
+    """
+    by = ["part"]
+    with scratch(docs.sparkSession):
+        ids = materialize(docs.select(*by, ORD), "document-ids")
+        last = first_crossings(ids, ORD, {"rows": (F.lit(1), options.max_docs)}, by)
+        read = ids.join(last.select(*by, "rows_at"), by, "left")
+        read = read.where(f"rows_at is null or {ORD} <= rows_at").select(*by, ORD)
+        encoded = materialize(encoded_documents(docs, vocabulary, by), "encoded")
+        encoded = encoded.join(read, [*by, ORD], "left_semi")
+        narrow = materialize(encoded.select(*by, ORD, "split", "n_tokens"), "lengths")
+        n_parts = narrow.select(*by).distinct().count()
+        cuts = materialize(
+            budget.token_cuts(
+                narrow,
+                ORD,
+                max_tokens=max(1, options.max_tokens // max(1, n_parts)),
+                val_tokens=options.val_tokens,
+                seq_len=options.seq_len,
+                by=by,
+            ),
+            "cuts",
+        )
+        seen = budget.apply_cuts(read, cuts, ORD, by, keep_capped=True).groupBy(*by).count()
+        passed = budget.apply_cuts(narrow, cuts, ORD, by, keep_capped=True).groupBy(*by).count()
+        kept = budget.apply_cuts(narrow, cuts, ORD, by)
+        where = roll_shards(kept, ORD, options.shard_tokens, (*by, "split"))
+        placed = encoded.select(*by, ORD, "tokens").join(
+            where.select(*by, ORD, "split", "shard", "offset"), [*by, ORD]
+        )
+        entries = materialize(shard_entries(placed, "", out, by_part=True), "entries")
+        rows = {r["part"]: r["count"] for r in seen.collect()}
+        good = {r["part"]: r["count"] for r in passed.collect()}
+        totals: dict[str, dict] = {}
+        for r in entries.groupBy(*by, "split").agg(F.sum("tokens").alias("n")).collect():
+            totals.setdefault(r["part"], {"train": 0, "val": 0})[r["split"]] = r["n"]
+        written = []
+        for part in sorted(rows):
+            counts = {**totals.get(part, {"train": 0, "val": 0}), "skipped": rows[part] - good.get(part, 0)}
+            header = _header(options, vocabulary, tokenizer_sha256, counts, {"part": part})
+            mine = entries.where(F.col("part") == part)
+            written.append(write_manifest(f"{out}/manifest.{part}.json", header, mine))
+        return written
+
+
+def _header(options, vocabulary, tokenizer_sha256, counts, source) -> dict:
+    return {
+        "version": 1,
+        "kind": "pretrain",
+        "seq_len": options.seq_len,
+        "vocab_size": len(vocabulary),
+        "tokenizer_sha256": tokenizer_sha256,
+        "counts": counts,
+        "source": {**asdict(options), **(source or {})},
+    }

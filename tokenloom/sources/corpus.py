@@ -42,11 +42,19 @@ def verify_shards(spark: SparkSession, folder: str, entries: DataFrame) -> None:
 
 
 def open_corpus(
-    spark: SparkSession, folder: str, split: str, seq_len: int, verify: bool = True
+    spark: SparkSession,
+    folder: str,
+    split: str,
+    seq_len: int,
+    verify: bool = True,
+    tokenizer: str | None = None,
 ) -> Corpus:
     """``split``, ``shard``, ``block``, ``block_index``, ``tokens``, ``mask`` of all usable blocks."""
     entries = manifest_entries(spark, folder).where(F.col("split") == split)
-    head = read_manifests(spark, f"{folder}/manifest.json").select("kind", "seq_len").first()
+    manifests = read_manifests(spark, f"{folder}/manifest.json")
+    head = manifests.select("kind", "seq_len", "tokenizer_sha256").first()
+    if tokenizer is not None:
+        tokenizer_file.check(tokenizer, head["tokenizer_sha256"])
     if head["kind"] == "sft" and head["seq_len"] != seq_len:
         raise ValueError("Chat rows were packed for another sequence length")
     if verify:
