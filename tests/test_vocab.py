@@ -103,6 +103,16 @@ def test_tables(spark, learned):
     )
 
 
+def test_symbol_characters_keep_id_order(spark):
+    ids = list(range(0, vocab.MAX_VOCAB, 97)) + [0xD6FF, 0xD700, vocab.MAX_VOCAB - 1]
+    chars = [vocab.symbol_char(i) for i in ids]
+    assert [vocab.char_id(c) for c in chars] == ids
+    assert not any(0xD800 <= ord(c) < 0xE000 or c in "'," for c in chars)
+    df = spark.createDataFrame(list(zip(ids, chars)), "i int, c string")
+    assert df.where(vocab.symbol_id(F.col("c")) != F.col("i")).count() == 0
+    assert [r["i"] for r in df.orderBy("c").collect()] == sorted(ids)
+
+
 def test_small_rankings_give_the_same_merges(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts[:40]], "text string")
     counts = vocab.word_counts(df)

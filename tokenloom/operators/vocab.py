@@ -1,9 +1,8 @@
 """Byte-pair vocabulary: counting, learning, encoding.
 
-Learning works on the table of distinct words, with each symbol as one character: token id ``i``
-is the code point ``0x10000 + i``. All symbols are then four bytes wide, a merge is the built-in
-``replace`` (left to right, non-overlapping: exactly the merge rule), and the string order of a
-pair is its (left id, right id) order, which breaks ties.
+Learning works on the table of distinct words, with each symbol as one character, in id order. A
+merge is then the built-in ``replace`` (left to right, non-overlapping: exactly the merge rule), and
+the string order of a pair is its (left id, right id) order, which breaks ties.
 """
 
 from __future__ import annotations
@@ -23,7 +22,9 @@ from tokenloom.session import materialize, ship_package
 
 MAX_VOCAB = 65536  # ids are 16 bits wide in shards
 MIN_COUNT = 2
-SYMBOL_BASE = 0x10000
+# Symbol characters start past quotes, commas and control characters, and skip the surrogates.
+SYMBOL_BASE = 0x100
+SURROGATES, SURROGATE_COUNT = 0xD800, 0x800
 FIRST_BYTE = len(text.SPECIALS)
 FIRST_MERGE = FIRST_BYTE + 256
 
@@ -82,12 +83,25 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
 def as_symbols(word: Column) -> Column:
     """A word as one symbol character per byte."""
     source = "".join(map(chr, range(256)))
-    target = "".join(chr(SYMBOL_BASE + i) for i in text.byte_symbol_ids())
+    target = "".join(map(symbol_char, text.byte_symbol_ids()))
     return F.translate(text.latin1(word), source, target)
 
 
+def symbol_char(token: int) -> str:
+    point = SYMBOL_BASE + token
+    return chr(point if point < SURROGATES else point + SURROGATE_COUNT)
+
+
+def char_id(symbol: str) -> int:
+    point = ord(symbol)
+    return point - SYMBOL_BASE - (SURROGATE_COUNT if point > SURROGATES else 0)
+
+
 def symbol_id(symbol: Column) -> Column:
-    return (F.ascii(symbol) - SYMBOL_BASE).cast("int")
+    """:func:`char_id` as a column function."""
+    point = F.ascii(symbol)
+    skipped = F.when(point > SURROGATES, F.lit(SURROGATE_COUNT)).otherwise(F.lit(0))
+    return (point - SYMBOL_BASE - skipped).cast("int")
 
 
 def byte_token_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -145,7 +159,7 @@ def learn(
     ranked: _Ranking | None = None
 
     def joined(pair: str) -> bytes:
-        return b"".join(symbols[ord(c) - SYMBOL_BASE] for c in pair)
+        return b"".join(symbols[char_id(c)] for c in pair)
 
     try:
         while len(symbols) < vocab_size:
@@ -159,7 +173,7 @@ def learn(
                 raise ValueError("Not enough varied text for the requested vocabulary size")
             step, remade = [], False
             for pair in taken:
-                left, right = (ord(c) - SYMBOL_BASE for c in pair)
+                left, right = map(char_id, pair)
                 made = joined(pair)
                 new = known.setdefault(made, len(symbols))
                 if new == len(symbols):
@@ -167,7 +181,7 @@ def learn(
                 else:
                     remade = True
                 merges.append((left, right, new))
-                step.append((pair, chr(SYMBOL_BASE + new)))
+                step.append((pair, symbol_char(new)))
             if len(symbols) == vocab_size:
                 break
             # A symbol made again may raise counts the ranking does not hold: count anew.
