@@ -20,7 +20,7 @@ from tokenloom.sources.shards import shard_entries
 
 @dataclass(frozen=True)
 class ChatPack:
-    """The defaults of the reference."""
+    """Default sizes and budgets."""
 
     seq_len: int = 1024
     max_examples: int = 20_000

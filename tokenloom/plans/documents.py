@@ -22,7 +22,7 @@ ORD = "doc_id"
 
 @dataclass(frozen=True)
 class DocumentPack:
-    """The defaults of the reference."""
+    """Default sizes and budgets."""
 
     seq_len: int = 1024
     max_tokens: int = 100_000_000
