@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from contextlib import contextmanager
@@ -22,32 +24,47 @@ def durable_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("Set spark.checkpoint.dir to a folder every executor can reach")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tokenloom-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
-_scratch: list[list[str]] = []
+_open = threading.local()  # the scratch() blocks of each thread
+_left: list[tuple[SparkSession, str]] = []  # tables of lazy results, removed when the application ends
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+@atexit.register
+def _remove_left() -> None:
+    """A lazy result may read its tables until the end, so they go when the driver exits."""
+    for spark, path in _left:
+        if spark.sparkContext._jsc is not None:
+            try:
+                _remove(spark, [path])
+            except Exception:  # the JVM is gone already; the folder is the cluster's to clean
+                return
 
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Remove the intermediate tables written inside, once the job's own output is in place.
+    """Remove the intermediate tables this thread writes inside, once the job's output is in place.
 
     Only for jobs that end in files: a DataFrame that outlives the block may still read its tables.
     """
-    written: list[str] = []
-    _scratch.append(written)
+    blocks = _open.__dict__.setdefault("blocks", [])
+    blocks.append([])
     try:
         yield
     finally:
-        _scratch.remove(written)
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in written:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+        _remove(spark, blocks.pop())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -59,15 +76,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{durable_dir(spark)}/tokenloom/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    if _scratch:
-        _scratch[-1].append(path)
+    blocks = _open.__dict__.get("blocks")
+    if blocks:
+        blocks[-1].append(path)
+    else:
+        _left.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python tasks of a cluster. Once per application."""
+    """Make this package importable in Python tasks, wherever they run. Once per application."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_tokenloom_shipped", False):
+    if getattr(sc, "_tokenloom_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
     archive = os.path.join(tempfile.mkdtemp(prefix="tokenloom-"), "tokenloom.zip")
