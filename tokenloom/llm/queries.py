@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, token_counts, word_bpe
+from tokenloom.llm import bpe, mixing, token_counts, word_bpe
 from tokenloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,10 @@ def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     return token_counts.count_tokens(docs, word_bpe.default_path()).drop("text")
+
+
+@query
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "source")
+    return mixing.mix(docs, weights=(5, 2, 1), cap=3.0)
+
