@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, mixing, token_counts, word_bpe
+from tokenloom.llm import bpe, language, mixing, simhash, token_counts, word_bpe
 from tokenloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,23 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "source")
     return mixing.mix(docs, weights=(5, 2, 1), cap=3.0)
 
+
+
+def held_out():
+    """Rows kept out of learning: crc32 of the id, as text, leaves 2 when divided by 4."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    filters = language.fit(docs, ~held_out())
+    return language.identify(docs.withColumn("held_out", held_out()).drop("lang"), filters).drop("text")
+
+
+@query
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    found = simhash.groups(docs, words=3, max_bits=2)
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return found.select("doc_id", digits, "component_id")
