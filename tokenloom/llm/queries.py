@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, language, mixing, simhash, token_counts, word_bpe
-from tokenloom.llm.common import documents
+from tokenloom.llm import bpe, language, mixing, neighbours, simhash, token_counts, word_bpe
+from tokenloom.llm.common import documents, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,9 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(docs, words=3, max_bits=2)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return found.select("doc_id", digits, "component_id")
+
+
+@query
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = ready(spark).read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return neighbours.search(table, F.col("vec_id") % 20 == 0, k=20)
