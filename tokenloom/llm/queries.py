@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, language, mixing, neighbours, simhash, token_counts, word_bpe
+from tokenloom.llm import bpe, language, mixing, neighbours, pii, simhash, token_counts, word_bpe
 from tokenloom.llm.common import documents, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,16 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = ready(spark).read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return neighbours.search(table, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    found = pii.report(docs, disclosure=1.0, support=3)
+    base = pii.joined(F.filter("spans", lambda s: s["kind"] < pii.TERM))
+    return found.select(
+        "doc_id",
+        *[f"n_{k}" for k in pii.KINDS],
+        F.sha2(base, 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+    )
