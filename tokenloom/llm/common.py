@@ -95,6 +95,26 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def join_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, per_row: np.ndarray) -> pa.Array:
+    """Strings of the words at these places, ``per_row`` of them each, joined by one space."""
+    size = ends - starts + 1
+    upto = np.cumsum(size)
+    total = int(upto[-1]) if len(upto) else 0
+    take = np.arange(total) + np.repeat(starts - (upto - size), size)
+    last = upto - 1
+    take[last] = 0
+    out = data[take] if total else np.zeros(0, np.uint8)
+    out[last] = 0x20
+    bounds = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(per_row)])]
+    keep = np.ones(total, bool)
+    keep[bounds[1:][per_row > 0] - 1] = False
+    bounds = bounds - np.concatenate([[0], np.cumsum(per_row > 0)])
+    made = pa.LargeStringArray.from_buffers(
+        len(per_row), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(out[keep]))
+    )
+    return made.cast(pa.string())
+
+
 # --- hashes -------------------------------------------------------------------------------------
 
 U = np.uint64

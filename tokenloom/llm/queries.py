@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, language, mixing, neighbours, pii, simhash, token_counts, word_bpe
+from tokenloom.llm import bpe, language, mixing, neighbours, pii, simhash, substrings, token_counts, word_bpe
 from tokenloom.llm.common import documents, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,10 @@ def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(base, 256).alias("base_sha256"),
         pii.joined(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    kept = substrings.dedup(docs, window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
