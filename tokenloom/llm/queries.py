@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, language, mixing, neighbours, pii, simhash, substrings, token_counts, word_bpe
+from tokenloom.llm import bpe, language, lines, mixing, neighbours, pii, simhash, substrings, token_counts, word_bpe
 from tokenloom.llm.common import documents, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     kept = substrings.dedup(docs, window=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    kept = lines.drop_lines(docs, edits=2, min_chars=20)
+    return kept.select(
+        "doc_id",
+        F.col("_n_lines").alias("n_lines"),
+        F.col("_n_removed").alias("n_removed"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
