@@ -16,7 +16,7 @@ turns it into the smallest distance (the public reduction), on the curves only.
 Defined results: vectors that are null, zero, or hold null or non-finite components, or have another
 length than most, take no part, as queries or candidates, and neither do rows without an id. Equal
 vectors are searched once; of a vector's copies only the ``k + 1`` smallest ids can appear in a
-result, and only they are kept. Rows that repeat an id count once. Ties go to the smaller id. With
+result, and only they are kept. Rows that repeat an id are one vector, the least. Ties go to the smaller id. With
 fewer candidates than ``k`` all are returned; an empty table gives an empty result.
 """
 
@@ -111,11 +111,15 @@ def _top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: in
     scores = q @ v.T
     take = best(scores, k)
     n = take.shape[1]
+    row, column = np.repeat(np.arange(len(q)), n), take.ravel()
+    exact = np.zeros(len(row))
+    for i in range(q.shape[1]):  # in order, so the sum does not depend on the block
+        exact += q[row, i] * v[column, i]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.repeat(q_ids, n)),
             pa.array(ids[take].ravel()),
-            pa.array(np.take_along_axis(scores, take, 1).ravel()),
+            pa.array(exact),
         ],
         ["qid", "rid", "score"],
     )
@@ -228,7 +232,7 @@ def search(
     rows = table.where(usable(vector) & F.col(row_id).isNotNull()).select(
         F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("query")
     )
-    rows = same_length(rows, "v").dropDuplicates(["id"])
+    rows = same_length(rows, "v").groupBy("id").agg(F.min("v").alias("v"), F.max("query").alias("query"))
     rows = materialize(rows, "vectors")
     vectors = materialize(distinct_vectors(rows.select("id", "v"), k + 1), "distinct-vectors")
     asked = rows.where("query").select(F.col("id").alias("query_id"), "v")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, language, lines, mixing, neighbours, pii, simhash, substrings, token_counts, word_bpe
+from tokenloom.llm import bpe, descent, language, lines, mixing, neighbours, pii, simhash, substrings, token_counts, word_bpe
 from tokenloom.llm.common import documents, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_n_removed").alias("n_removed"),
         F.sha2("text", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = ready(spark).read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return descent.near_duplicates(table, threshold=0.9)
