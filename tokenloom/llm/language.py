@@ -96,7 +96,7 @@ class Filters:
     def probes(found: np.ndarray) -> list[np.ndarray]:
         mask = U((1 << FILTER_BITS) - 1)
         return [
-            (mix(found + U(0x9E3779B97F4A7C15) * U(i + 1)) & mask).astype(np.int64)
+            (mix(found + U(0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF)) & mask).astype(np.int64)
             for i in range(PROBES)
         ]
 

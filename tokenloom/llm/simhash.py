@@ -21,7 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import join_checked, materialize
+from tokenloom.llm.common import (
+    BYTE_VALUE,
+    U,
+    chunks,
+    flat,
+    join_checked,
+    materialize,
+    mix,
+    signed,
+    span_hashes,
+    words,
+)
 from tokenloom.llm.components import components
 
 BITS = 64
@@ -100,17 +111,125 @@ def groups(docs: DataFrame, words: int = 3, max_bits: int = 2, text: str = "text
     )
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 2, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """Of each group the rows with the smallest id; of rows that repeat that id, all stay."""
-    found = groups(docs, words, max_bits, text, row_id)
-    gone = found.where(~F.col(row_id).eqNullSafe(F.col("component_id")) & F.col(row_id).isNotNull())
-    gone = materialize(gone.select(F.col(row_id).alias("_gone")).distinct(), "near-duplicates")
-    return docs.join(
-        F.broadcast(gone) if _small(gone) else gone, docs[row_id] == gone["_gone"], "left_anti"
+# --- near duplicates by a similarity of shingle sets -------------------------------------------
+#
+# Texts that share four fifths of their five-word shingles differ in 5 to 14 bits of a fingerprint of
+# those shingles, too many to enumerate, but in about 3 of a fingerprint of their words, each weighted
+# by the root of its count. So words find the candidates, in two fingerprints of independent hashes,
+# and the shingles decide.
+
+VIEWS = 2
+WORD_BITS = 5
+CHUNK = 1 << 20
+
+
+def _lower(data: np.ndarray) -> np.ndarray:
+    return np.where((data >= 0x41) & (data <= 0x5A), data + 0x20, data).astype(np.uint8)
+
+
+def word_fingerprints(docs: DataFrame, text: str, row_id: str) -> DataFrame:
+    """``id, h, g, fp0, fp1``: two hashes of the word sequence, and the word fingerprints."""
+
+    def of(batches):
+        for batch in batches:
+            for part in chunks(batch, "text", CHUNK):
+                data, offsets = flat(part.column("text"))
+                starts, ends, first = words(data, offsets)
+                word = span_hashes(BYTE_VALUE[_lower(data)], starts, ends)
+                h = span_hashes(word, first[:-1], first[1:])
+                g = span_hashes(mix(word + U(1)), first[:-1], first[1:])
+                row = np.repeat(np.arange(len(part)), np.diff(first))
+                order = np.lexsort((word, row))
+                row, word = row[order], word[order]
+                new = np.flatnonzero(
+                    np.concatenate([[True], (word[1:] != word[:-1]) | (row[1:] != row[:-1])])[: len(word)]
+                )
+                weight = np.sqrt(np.diff(np.append(new, len(word)))).astype(np.float32)
+                row, word = row[new], word[new]
+                filled, at = np.unique(row, return_index=True)
+                out = [part.column("id"), pa.array(signed(h)), pa.array(signed(g))]
+                for view in range(VIEWS):
+                    fp = np.zeros(len(part), U)
+                    if len(word):
+                        bits = np.unpackbits(
+                            mix(word + U(view + 7)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"
+                        )
+                        total = np.add.reduceat((bits.astype(np.float32) * 2 - 1) * weight[:, None], at, axis=0)
+                        packed = np.packbits(total > 0, axis=1, bitorder="little")
+                        fp[filled] = np.ascontiguousarray(packed).view(U)[:, 0]
+                    out.append(pa.array(signed(fp)))
+                yield pa.RecordBatch.from_arrays(out, ["id", "h", "g", "fp0", "fp1"])
+
+    named = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
+    return named.mapInArrow(of, "id long, h long, g long, fp0 long, fp1 long")
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, text: str, row_id: str) -> DataFrame:
+    """``id, shingles``: distinct shingle hashes of the ``wanted`` ids."""
+
+    def of(batches):
+        for batch in batches:
+            for part in chunks(batch, "text", CHUNK):
+                data, offsets = flat(part.column("text"))
+                starts, ends, first = words(data, offsets)
+                word = span_hashes(BYTE_VALUE[_lower(data)], starts, ends)
+                sets = []
+                for lo, hi in zip(first[:-1], first[1:]):
+                    at = np.arange(lo, max(lo + 1, hi - size + 1)) if hi > lo else first[:0]
+                    sets.append(signed(np.unique(span_hashes(word, at, np.minimum(at + size, hi)))))
+                ends = np.cumsum([len(x) for x in sets])
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(sets))
+                )
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "shingles"])
+
+    named = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
+    return join_checked(named, wanted, "id").mapInArrow(of, "id long, shingles array<long>")
+
+
+def similar_groups(
+    docs: DataFrame, similarity: float = 0.8, size: int = 5, text: str = "text", row_id: str = "doc_id"
+) -> DataFrame:
+    """``id, component_id``: written, for every id that is not the smallest of its group.
+
+    Texts with the same words are one, by the smallest id. Texts with one fingerprint are compared
+    with the first of them, and the first ones of near fingerprints with each other.
+    """
+    marked = materialize(word_fingerprints(docs, text, row_id).where("id is not null"), "word-fingerprints")
+    texts = marked.groupBy("h", "g", "fp0", "fp1").agg(F.min("id").alias("id"))
+    texts = materialize(texts, "distinct-texts")
+    pairs = None
+    for view in range(VIEWS):
+        first = texts.groupBy(f"fp{view}").agg(F.min("id").alias("first")).withColumnRenamed(f"fp{view}", "fp")
+        first = materialize(first, "distinct-fingerprints")
+        star = texts.select(F.col(f"fp{view}").alias("fp"), "id").join(first, "fp")
+        star = star.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+        near = links(first, WORD_BITS)
+        near = near.join(first.toDF("a", "ia"), "a").join(first.toDF("b", "ib"), "b")
+        near = near.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+        both = star.union(near)
+        pairs = both if pairs is None else pairs.union(both)
+    pairs = materialize(pairs.distinct(), "text-candidates")
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked-texts")
+    sets = materialize(
+        _shingle_sets(docs, asked, size, text, row_id).dropDuplicates(["id"]), "shingle-sets"
     )
-
-
-def _small(table: DataFrame) -> bool:
-    from tokenloom.llm.common import BROADCAST_BYTES, table_bytes
-
-    return table_bytes(table) <= BROADCAST_BYTES
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    union = F.size("sa") + F.size("sb") - common
+    linked = both.where((union == 0) | (common >= similarity * union)).select("a", "b")
+    reach = components(linked).toDF("first", "component")
+    names = texts.join(reach, texts["id"] == reach["first"], "left")
+    names = names.select("h", "g", F.coalesce("component", "id").alias("component_id"))
+    found = join_checked(marked.select("id", "h", "g"), materialize(names, "text-groups"), ["h", "g"])
+    return materialize(found.where("id != component_id").select("id", "component_id"), "near-duplicates")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, similarity: float = 0.8, size: int = 5, text: str = "text", row_id: str = "doc_id"
+) -> DataFrame:
+    """Of each group of similar texts the rows with the smallest id. Rows without an id stay."""
+    gone = similar_groups(docs, similarity, size, text, row_id).select(F.col("id").alias("_gone")).distinct()
+    gone = materialize(gone, "texts-to-drop")
+    marked = docs.withColumn("_gone", F.col(row_id).cast("long"))
+    return join_checked(marked, gone, "_gone", "left_anti").drop("_gone")
