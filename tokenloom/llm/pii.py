@@ -141,11 +141,10 @@ def disclosing(docs: DataFrame, rows: DataFrame, spans: DataFrame, text: str, di
     pairs = materialize(pairs.where(F.col("n_both") >= support), "word-entity-counts")
     judged = materialize(pairs.select("term").distinct(), "judged-words")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)))
-    n_term = (
-        join_checked(docs.select(F.explode(words).alias("term")), judged, "term")
-        .groupBy("term")
-        .agg(F.count("*").alias("n_term"))
-    )
+    # All words are counted before the join: a judged word may be a common one, and its places would
+    # be most of the corpus, while its count is one row.
+    n_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    n_term = n_term.join(judged, "term")
     n_entity = _entities(spans).select("row", "entity").distinct()
     n_entity = n_entity.groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = F.lit(float(rows.count()))
