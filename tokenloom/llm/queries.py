@@ -107,3 +107,84 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = ready(spark).read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return descent.near_duplicates(table, threshold=0.9)
+
+
+# --- the queries as SQL, where SQL can express them ----------------------------------------------
+
+ORACLES["op1_mix_sources"] = r"""
+WITH sized AS (
+  SELECT doc_id, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         list_extract([5.0::DOUBLE, 2.0, 1.0],
+                      1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) AS weight
+  FROM sized GROUP BY source),
+caps AS (SELECT *, 3.0::DOUBLE * source_size AS most, 3.0::DOUBLE * source_size / weight AS full_at FROM sources),
+levels AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(most) OVER (
+           ORDER BY full_at, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY full_at, source NULLS FIRST
+                             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM caps),
+target AS (
+  SELECT source, source_size, least(most, coalesce((
+           SELECT arg_min(level, full_at) FROM levels WHERE level <= full_at) * weight, most)) AS target
+  FROM levels),
+budget AS (
+  SELECT *, round(target)::BIGINT // nullif(source_size, 0) AS epochs,
+         round(target)::BIGINT % nullif(source_size, 0) AS rest FROM target),
+run AS (
+  SELECT s.doc_id, s.size, b.source_size, b.target, coalesce(b.epochs, 0) AS epochs, coalesce(b.rest, 0) AS rest,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key) - s.size AS before
+  FROM sized s JOIN budget b ON s.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target,
+       (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken
+FROM run"""
+
+_VECTORS = """v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
+
+ORACLES["op4_nearest_neighbours"] = f"""
+WITH {_VECTORS}, scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+ORACLES["op6_embedding_near_dedup"] = f"""
+WITH RECURSIVE {_VECTORS}, links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (
+  SELECT a AS id, a AS c FROM links UNION SELECT l.a, r.c FROM reach r JOIN links l ON l.b = r.id),
+named AS (SELECT id, min(c) AS c FROM reach GROUP BY id)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links,
+       coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN named ON id = vec_id"""
+
+ORACLES["op7_substring_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split),
+windows AS (
+  SELECT doc_id, i, w, count(*) OVER f AS n, string_agg(w, ' ') OVER f AS s FROM words
+  WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+judged AS (
+  SELECT doc_id, i, w,
+         n = 20 AND row_number() OVER (PARTITION BY n = 20, s ORDER BY doc_id, i) > 1 AS again FROM windows),
+marked AS (
+  SELECT doc_id, i, w, bool_or(again) OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM judged),
+kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS text
+  FROM marked GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)"""
