@@ -21,9 +21,9 @@ def odd_vectors(llm):
     rows += [
         (300, None),
         (301, [0.0] * 6),
-        (302, [1.0, None, 0, 0, 0, 0]),
-        (303, [math.nan, 1.0, 0, 0, 0, 0]),
-        (304, [math.inf, 1.0, 0, 0, 0, 0]),
+        (302, [1.0, None, 0.0, 0.0, 0.0, 0.0]),
+        (303, [math.nan, 1.0, 0.0, 0.0, 0.0, 0.0]),
+        (304, [math.inf, 1.0, 0.0, 0.0, 0.0, 0.0]),
         (305, [1.0, 2.0]),
         (306, []),
         (5, rows[5][1]),

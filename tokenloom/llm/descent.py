@@ -235,6 +235,8 @@ def _enlarged(members: DataFrame, threshold: float) -> DataFrame:
 def _true_links(vectors: DataFrame, threshold: float) -> DataFrame:
     """``rid, truth``: links of a bounded sample, by comparing it with every row in blocks."""
     sample = vectors.orderBy(F.xxhash64(F.lit("audit"), "rid"), "rid").limit(AUDIT_ROWS).collect()
+    if not sample:
+        return vectors.sparkSession.createDataFrame([], "rid long, truth long")
     ids = np.array([r["rid"] for r in sample], np.int64)
     mine = unit(np.array([r["v"] for r in sample], np.float64))
 
