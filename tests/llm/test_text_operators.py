@@ -444,3 +444,19 @@ def test_words_that_disclose(llm, odd_docs):
     odd = pii.report(odd_docs).collect()
     assert len(odd) == 12 and not any(r["spans"] for r in odd)
     assert pii.report(odd_docs.limit(0)).count() == 0 and pii.sanitise(odd_docs.limit(0)).count() == 0
+
+
+def test_bags_of_near_lines_are_near(llm):
+    random.seed(11)
+    rows = []
+    for n in (0, 1, 2, 2, 2, 30):
+        for size in (20, 90, 4000):
+            a = "".join(random.choice("abcdefghijklmnopqrstuvwxyzé ") for _ in range(size))
+            rows.append((n, a, edited(a, n)))
+
+    def bag(text):
+        return int(np.sum(lines.CLASS_ONE[np.frombuffer(text.encode(), np.uint8)], dtype=np.uint64).view(np.int64))
+
+    table = llm.createDataFrame([(n, bag(a), bag(b)) for n, a, b in rows], "n int, a long, b long")
+    got = table.select("n", lines._bags_near("a", "b", 2).alias("near")).collect()
+    assert all(r["near"] for r in got if r["n"] <= 2) and not all(r["near"] for r in got)

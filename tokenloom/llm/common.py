@@ -143,14 +143,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return table(_BASE), table(pow(_BASE, -1, 1 << 64))
 
 
+class SpanHash:
+    """Hashes of spans of one array, from prefix sums of a polynomial modulo 2**64."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = _powers(1 << max(16, int(len(values)).bit_length()))
+        self.total = np.zeros(len(values) + 1, U)
+        np.cumsum(values * up[: len(values)], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        length = (ends - starts).astype(U) * U(0x9E3779B97F4A7C15)
+        return mix((self.total[ends] - self.total[starts]) * self.down[starts] + length)
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of ``values[start:end]`` for every span, from prefix sums of a polynomial modulo 2**64."""
-    size = 1 << max(16, int(len(values)).bit_length())
-    up, down = _powers(size)
-    total = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    length = (ends - starts).astype(U)
-    return mix((total[ends] - total[starts]) * down[starts] + length * U(0x9E3779B97F4A7C15))
+    """Hash of ``values[start:end]`` for every span."""
+    return SpanHash(values)(starts, ends)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,9 @@ band and in a neighbouring one that its length may reach. What shares a key is v
 bit-parallel edit distance (Hyyrö's form of Myers's bit-vectors), many pairs at a time.
 
 Equal lines are one line: its first place stands for it, and copies are neither entered again by a
-task nor paired. Pairs are of distinct lines only.
+task nor paired. Pairs are of distinct lines only, and of those whose characters can be ``edits``
+apart: every row carries a line's character counts by class, and two counts that differ by more
+than two for each edit part a pair in the join itself.
 
 Defined results: lines end at a line feed and are compared without white space at either end; lines
 of fewer than ``min_chars`` characters always stay, so blank ones do; null text has no lines and
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import (
     BYTE_VALUE,
     SPACE,
+    SpanHash,
     U,
     chunks,
     flat,
@@ -39,6 +42,9 @@ from tokenloom.llm.common import (
 )
 
 BAND = 16  # lengths with the same segments
+OTHER_VALUE = mix(BYTE_VALUE)
+# One in the digit of a character's class, at its first byte; bytes that follow it count for nothing.
+CLASS_ONE = np.array([0 if b & 0xC0 == 0x80 else 1 << 4 * (b & 15) for b in range(256)], U)
 SEEN_LINES = 200_000  # lines a task remembers, so as not to enter copies again
 
 
@@ -65,14 +71,15 @@ def line_spans(data: np.ndarray, offsets: np.ndarray):
 
 
 def _lines(data, offsets, min_chars):
-    """Lines that take part, with two hashes each and their length in characters."""
+    """Lines that take part: row, place, start, end, characters, hash; what hashes their parts; and
+    for each byte the number of characters before it."""
     row, place, start, end = line_spans(data, offsets)
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     chars = lead[end] - lead[start]
     use = chars >= min_chars
     row, place, start, end, chars = row[use], place[use], start[use], end[use], chars[use]
-    value = BYTE_VALUE[data]
-    return row, place, start, end, chars, span_hashes(value, start, end), value, lead
+    hashes = SpanHash(BYTE_VALUE[data])
+    return row, place, start, end, chars, hashes(start, end), hashes, lead
 
 
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -81,8 +88,9 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                row, place, start, end, _, h, value, _ = _lines(*flat(part.column("text")), min_chars)
-                g = span_hashes(mix(value), start, end)
+                data, offsets = flat(part.column("text"))
+                row, place, start, end, _, h, _, _ = _lines(data, offsets, min_chars)
+                g = span_hashes(OTHER_VALUE[data], start, end)
                 ids = part.column("doc").take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(h)), pa.array(signed(g)), ids, pa.array(place.astype(np.int32))],
@@ -93,24 +101,26 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """``key, h``: distinct lines under their segments and under what segments can have become."""
+    """``key, h, bag``: distinct lines under their segments and under what segments can have become."""
 
     def enter(batches):
         seen: set[int] = set()
         for batch in batches:
             for part in chunks(batch, "text"):
                 data, offsets = flat(part.column("text"))
-                _, _, start, end, chars, h, value, lead = _lines(data, offsets, min_chars)
+                _, _, start, end, chars, h, hashes, lead = _lines(data, offsets, min_chars)
+                bag = np.concatenate([np.zeros(1, U), np.cumsum(CLASS_ONE[data])])
+                bag = bag[end] - bag[start]
                 if len(seen) > SEEN_LINES:
                     seen.clear()
                 _, once = np.unique(h, return_index=True)
                 once = once[[x not in seen for x in h[once].tolist()]]
                 seen.update(h[once].tolist())
-                start, end, chars, h = start[once], end[once], chars[once], h[once]
+                start, end, chars, h, bag = start[once], end[once], chars[once], h[once], bag[once]
                 at = np.flatnonzero((data & 0xC0) != 0x80)  # byte of each character
                 at = np.append(at, len(data))
                 char0 = lead[start]
-                made_keys, made_h = [], []
+                made_keys, made_from = [], []
                 own = chars // BAND
                 for step in (-1, 0, 1):  # the bands that a line within the limit may lie in
                     band = own + step
@@ -121,15 +131,36 @@ def _keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                         ok = near & (begin >= 0) & (begin + length <= chars)
                         s = at[char0[ok] + begin[ok]]
                         e = at[char0[ok] + begin[ok] + length[ok]]
-                        key = span_hashes(value, s, e) + band[ok].astype(U) * U(64) + U(segment)
+                        key = hashes(s, e) + band[ok].astype(U) * U(64) + U(segment)
                         made_keys.append(mix(key))
-                        made_h.append(h[ok])
+                        made_from.append(np.flatnonzero(ok))
+                line = np.concatenate(made_from)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(made_keys))), pa.array(signed(np.concatenate(made_h)))],
-                    ["key", "h"],
+                    [pa.array(signed(x)) for x in (np.concatenate(made_keys), h[line], bag[line])],
+                    ["key", "h", "bag"],
                 )
 
-    return docs.mapInArrow(enter, "key long, h long")
+    return docs.mapInArrow(enter, "key long, h long, bag long")
+
+
+def _bags_near(a: str, b: str, edits: int):
+    """Whether two lines' character counts can be ``edits`` apart.
+
+    Bags are numbers with a digit to base 16 for each class, so their difference has the differences
+    of the counts as digits, between -8 and 7 for lines that are near.
+    """
+    low, bias = F.lit((1 << 32) - 1), F.lit(0x88888888)  # by halves, for sums must not overflow
+
+    def half(name, top):
+        return F.shiftrightunsigned(name, 32) if top else F.col(name).bitwiseAND(low)
+
+    first = half(a, False) - half(b, False) + bias
+    second = half(a, True) - half(b, True) + bias + F.shiftright(first, 32)
+    total = F.lit(0)
+    for part in (first, second):
+        for c in range(8):
+            total = total + F.abs(F.shiftright(part, 4 * c).bitwiseAND(F.lit(15)) - 8)
+    return total <= 2 * edits
 
 
 def _segments(size: np.ndarray, chars: np.ndarray, edits: int):
@@ -254,8 +285,9 @@ def near_pairs(docs: DataFrame, distinct: DataFrame, edits: int, min_chars: int)
     ``distinct`` is a written table of ``h, doc, line`` with each line's first place."""
     # Both sides of the join are this one exchange, and rows that tasks entered twice go behind it.
     keyed = _keys(docs, edits, min_chars).repartition("key").distinct()
-    left, right = keyed.toDF("key", "a"), keyed.toDF("key", "b")
-    pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()
+    left, right = keyed.toDF("key", "a", "bag_a"), keyed.toDF("key", "b", "bag_b")
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & _bags_near("bag_a", "bag_b", edits))
+    pairs = pairs.select("a", "b").distinct()
     pairs = materialize(pairs, "line-candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     asked = distinct.join(asked, "h").groupBy("doc").agg(F.collect_set("line").alias("places"))
