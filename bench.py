@@ -77,7 +77,7 @@ def main() -> None:
 
     rates["bpe_tokens_per_second"] = round(tokens / seconds["bpe_encode"])
     n_docs = docs.count()
-    rates["pack_documents_per_second"] = round(n_docs / seconds["token_budget_pack"])
+    rates["budget_documents_per_second"] = round(n_docs / seconds["token_budget_pack"])
     chats = spark.read.parquet(f"{SF_DIR}/conversations.parquet").select("conv_id").distinct().count()
     rates["conversations_per_second"] = round(chats / seconds["sft_examples"])
     print(

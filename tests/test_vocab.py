@@ -51,7 +51,7 @@ def test_ties_repeats_and_short_words(spark):
     df = spark.createDataFrame([(t,) for t in samples], "text string")
     mine = vocab.learn(vocab.word_counts(df), 272, rewrite_every=3)
     assert {mine.spelled(i): i for i in range(len(mine))} == reference_trainer(samples, 272).get_vocab()
-    with pytest.raises(ValueError, match="Not enough"):
+    with pytest.raises(ValueError, match="too few pairs"):
         vocab.learn(vocab.word_counts(df), 2000)
     with pytest.raises(ValueError, match="must lie"):
         vocab.learn(vocab.word_counts(df), 100_000)
@@ -61,7 +61,7 @@ def test_encodes_like_the_public_tokenizer(spark, learned, texts, tmp_path):
     digest = tokenizer_file.save(learned, str(tmp_path / "tok"), {"note": "test"})
     theirs = tokenizers.Tokenizer.from_file(str(tmp_path / "tok" / "tokenizer.json"))
     rng = random.Random(4)
-    odd = ["", "Hello café اردو 🐈", " \n\n  a", "a" * 5000, "don't we'll  x", "　  b", "\x00\x1c "]
+    odd = ["", "Größe 東京 ñandú 🧵✂", " \n\n  a", "a" * 5000, "don't we'll  x", "　  b", "\x00\x1c "]
     odd += ["".join(rng.choice("ab \n’é中1.!") for _ in range(60)) for _ in range(200)]
     cases = texts[:60] + odd
     df = spark.createDataFrame(list(enumerate(cases)), "i long, t string")
@@ -74,7 +74,7 @@ def test_encodes_like_the_public_tokenizer(spark, learned, texts, tmp_path):
         assert r["back"] == cases[r["i"]]
     assert tokenizer_file.load(str(tmp_path / "tok")) == learned
     tokenizer_file.check(str(tmp_path / "tok"), digest)
-    with pytest.raises(ValueError, match="do not match"):
+    with pytest.raises(ValueError, match="another tokenizer"):
         tokenizer_file.check(str(tmp_path / "tok"), "other")
     with pytest.raises(ValueError, match="already exists"):
         tokenizer_file.save(learned, str(tmp_path / "tok"))

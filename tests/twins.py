@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 RESERVED = ["pad", "eos", "system", "user", "assistant", "end"]
 
 
@@ -22,28 +24,34 @@ def split(value):
 
 
 def budget(rows, max_tokens, val_tokens, seq_len):
-    """rows: (ord, split, n). Kept orders, in reading order."""
-    have = {"train": 0, "val": 0}
-    kept = []
-    for ord_, side, n in rows:
-        if side == "val" and have["val"] >= val_tokens:
-            continue
-        kept.append(ord_)
-        have[side] += n
-        if have["train"] >= max_tokens and have["val"] > seq_len:
-            break
-    return kept
+    """rows: (ord, split, n). Kept orders, and the order at which reading ends (None: at no row).
+
+    Stated with running totals: a val row stays if those before it hold less than the cap; reading
+    ends at the first row where train is full and the val rows that stay hold a block.
+    """
+    no_end = float("inf")
+    max_tokens = no_end if max_tokens is None else max(1, max_tokens)
+    val_tokens = no_end if val_tokens is None else val_tokens
+    train = np.cumsum([n if s == "train" else 0 for _, s, n in rows])
+    val = np.cumsum([n if s == "val" else 0 for _, s, n in rows])
+    sizes = np.array([n for _, _, n in rows])
+    stays = [s == "train" or v - n < val_tokens for (_, s, n), v in zip(rows, val)]
+    val_kept = np.cumsum(np.where([k and s == "val" for k, (_, s, _) in zip(stays, rows)], sizes, 0))
+    full = np.flatnonzero((train >= max_tokens) & (val_kept >= seq_len + 1))
+    end = int(full[0]) if len(full) else None
+    kept = [r[0] for r, k in zip(rows[: None if end is None else end + 1], stays) if k]
+    return kept, None if end is None else rows[end][0]
 
 
 def roll(sizes, limit):
-    """(shard, offset) of every row."""
-    out, shard, filled = [], 0, 0
-    for n in sizes:
-        out.append((shard, filled))
-        filled += n
-        if filled >= limit:
-            shard, filled = shard + 1, 0
-    return out
+    """(shard, offset) of every row: a shard ends where the running total has grown by the limit
+    since it began, found by search."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    begins = [0]
+    while begins[-1] < len(sizes):
+        begins.append(int(np.searchsorted(total, total[begins[-1]] + limit, "left")))
+    shard = np.searchsorted(begins, np.arange(len(sizes)), "right") - 1
+    return [(int(s), int(total[i] - total[begins[s]])) for i, s in enumerate(shard)]
 
 
 def accepts(messages, seq_len, length):
@@ -57,19 +65,19 @@ def accepts(messages, seq_len, length):
 
 
 def chat_pack(conversations, seq_len, max_examples, length):
-    """conversations: (id, messages). Per read conversation: (id, split or 'skipped')."""
-    seen, out, have = set(), [], {"train": 0, "val": 0}
-    for id_, messages in conversations:
-        prompt = next((c for r, c in messages if r == "user"), "") or ""
-        key = " ".join(prompt.split())
-        if key in seen or not accepts(messages, seq_len, length):
-            seen.add(key)
-            out.append((id_, "skipped"))
-            continue
-        seen.add(key)
-        side = split(prompt)
-        have[side] += 1
-        out.append((id_, side))
-        if have["train"] >= max_examples and have["val"]:
-            break
-    return out
+    """conversations: (id, messages). Per read conversation: (id, split or 'skipped').
+
+    A conversation counts if it is the first with its prompt and is accepted; reading ends at the
+    first place that has enough train conversations and a val one up to it.
+    """
+    prompts = [next((c for r, c in m if r == "user"), "") or "" for _, m in conversations]
+    keys = [" ".join(p.split()) for p in prompts]
+    first = {k: i for i, k in reversed(list(enumerate(keys)))}
+    label = [
+        split(p) if first[k] == i and accepts(m, seq_len, length) else "skipped"
+        for i, (p, k, (_, m)) in enumerate(zip(prompts, keys, conversations))
+    ]
+    train, val = (np.cumsum([x == side for x in label]) for side in ("train", "val"))
+    full = np.flatnonzero((train >= max_examples) & (val >= 1))
+    end = int(full[0]) + 1 if len(full) else len(label)
+    return [(id_, x) for (id_, _), x in zip(conversations[:end], label)]

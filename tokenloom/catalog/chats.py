@@ -33,17 +33,14 @@ def joined(ids):
 
 
 @query(
-    f"""WITH {q.HEADS}
-    SELECT conv_id, count(*)::INT AS messages,
+    """SELECT conv_id, count(*)::INT AS messages,
            string_agg(role || ':' || coalesce(text, ''), chr(10) ORDER BY turn) AS body
-    FROM conversations JOIN heads USING (conv_id)
-    WHERE n_tokens <= {q.CHAT_SEQ_LEN + 1} GROUP BY conv_id"""
+    FROM conversations GROUP BY conv_id"""
 )
 def assemble_conversations(spark, sf_dir):
     rows = turns(spark, sf_dir)
-    fitting = convs.heads(rows).where(F.col("n_tokens") <= q.CHAT_SEQ_LEN + 1)
     line = lambda m: F.concat(m["role"], F.lit(":"), F.coalesce(m["text"], F.lit("")))
-    return convs.assemble(rows, fitting, [F.col("role"), F.col("text")]).select(
+    return convs.assemble(rows, None, [F.col("role"), F.col("text")]).select(
         "conv_id",
         F.size("messages").alias("messages"),
         F.array_join(F.transform("messages", line), "\n").alias("body"),
@@ -59,6 +56,20 @@ def first_prompt(spark, sf_dir):
     )
 
 
+@query(
+    f"""SELECT doc_id, {q.bucket('text')} AS bucket FROM documents
+    QUALIFY row_number() OVER (PARTITION BY {q.bucket('text')}, source ORDER BY doc_id) = 1"""
+)
+def first_per_bucket(spark, sf_dir):
+    """First document of each hold-out bucket and source: keys that repeat many times."""
+    t = F.col("text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    keyed = docs.select("doc_id", "source", text.holdout_bucket(t).alias("bucket"))
+    return keyed.join(
+        first_per_key(keyed, ["bucket", "source"], "doc_id"), "doc_id", "left_semi"
+    ).select("doc_id", "bucket")
+
+
 @query(f"WITH {q.HEADS} SELECT conv_id, split FROM heads WHERE is_first")
 def dedup_first_prompt(spark, sf_dir):
     heads = convs.heads(turns(spark, sf_dir)).select("conv_id", "key", "split")
@@ -68,16 +79,11 @@ def dedup_first_prompt(spark, sf_dir):
 
 
 @query(
-    f"""WITH {q.HEADS} SELECT conv_id, regexp_full_match(shape, 's?(ua)+') AND filled AS valid
-    FROM heads WHERE n_tokens <= {q.CHAT_SEQ_LEN + 1}"""
+    f"""WITH {q.HEADS} SELECT conv_id, regexp_full_match(shape, 's?(ua)+') AND filled AS valid FROM heads"""
 )
 def valid_conversations(spark, sf_dir):
-    rows = turns(spark, sf_dir)
-    fitting = convs.heads(rows).where(F.col("n_tokens") <= q.CHAT_SEQ_LEN + 1)
-    m = F.col("messages")
-    shape = [F.col("role"), text.is_blank(F.col("text")).alias("blank")]
-    return convs.assemble(rows, fitting, shape).select(
-        "conv_id", (chat.grammar_holds(m) & chat.no_blank(m)).alias("valid")
+    return convs.shapes(turns(spark, sf_dir)).select(
+        "conv_id", (F.col("grammar") & F.col("filled")).alias("valid")
     )
 
 

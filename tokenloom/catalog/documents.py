@@ -9,12 +9,13 @@ from tokenloom.catalog import sqltext as q
 from tokenloom.catalog.registry import query
 from tokenloom.functions import text
 from tokenloom.operators import budget
-from tokenloom.operators.running import running_totals
+from tokenloom.operators.running import first_crossings, running_totals
 from tokenloom.session import materialize
 from tokenloom.sources.documents import (
     file_slices,
     read_documents,
     seeded_order,
+    shuffled,
 )
 
 
@@ -73,9 +74,27 @@ def seeded_shuffle(spark, sf_dir):
     return ids.withColumn("sort_key", seeded_order("doc_id", q.SEED)).orderBy("sort_key")
 
 
-@query(f"SELECT doc_id, {q.neutral('text')} AS text FROM documents")
+# The given texts hold no reserved token, so two are written over frequent letters first.
+_MARKED = "replace(replace(text, 'an', '<|eos|>'), 'er', '<|user|><|pad|>')"
+
+
+@query(f"SELECT doc_id, {q.neutral(_MARKED)} AS text FROM documents")
 def neutralize_specials(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.neutralize(F.col("text")).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", text.neutralize(F.expr(_MARKED)).alias("text"))
+
+
+@query(
+    f"""WITH {q.DOCS}, run AS (
+      SELECT doc_id, n_tokens, ('0x' || substr(sha256('{q.SEED}:' || doc_id), 1, 15))::BIGINT AS place FROM doc),
+    total AS (SELECT *, sum(n_tokens) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM run)
+    SELECT doc_id, place FROM total WHERE upto - n_tokens < {q.MAX_TOKENS}"""
+)
+def seeded_budget(spark, sf_dir):
+    """The documents a token budget takes when they are read in seeded order."""
+    rows = materialize(shuffled(lengths(spark, sf_dir).withColumn("id", F.col("doc_id")), "doc_id", q.SEED), "seeded")
+    last = first_crossings(rows, "doc_id", {"tokens": ("n_tokens", q.MAX_TOKENS)}).first()["tokens_at"]
+    kept = rows if last is None else rows.where(F.col("doc_id") <= last)
+    return kept.select(F.col("id").alias("doc_id"), F.col("doc_id").alias("place"))
 
 
 @query(f"SELECT doc_id, {q.bucket('text')} AS bucket FROM documents")

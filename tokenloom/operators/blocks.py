@@ -65,7 +65,7 @@ def require_blocks(shards: DataFrame, seq_len: int, split: str) -> int:
         .first()[0]
     )
     if not n:
-        raise ValueError(f"No usable {split} blocks: prepare more data")
+        raise ValueError(f"The {split} split is too short for one block")
     return n
 
 

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from tokenloom.operators.running import ROWS_PER_CHUNK, first_crossings
 
 
+NO_LIMIT = 1 << 62  # more than any total, so a budget of None never ends a scan
+
+
 @dataclass(frozen=True)
 class Cut:
     """``stop``: last order value read. ``val_stop``: last one at which a val row is kept."""
@@ -43,8 +46,8 @@ def _of(split: str, amount: str) -> Column:
 def token_cuts(
     lengths: DataFrame,
     ord_col: str,
-    max_tokens: int,
-    val_tokens: int,
+    max_tokens: int | None,
+    val_tokens: int | None,
     seq_len: int,
     by: Sequence[str] = (),
     rows_per_chunk: int = ROWS_PER_CHUNK,
@@ -53,8 +56,11 @@ def token_cuts(
 
     Val rows are kept while the total before them is below ``val_tokens``, so the row that crosses
     is the last. The scan stops at the first row with enough train tokens and at least one val
-    block. Past the cap the val total is frozen, so a cap that froze it too low never stops.
+    block. Past the cap the val total is frozen, so a cap that froze it too low never stops. A
+    budget of None has no end: all rows are read, or all val rows are kept.
     """
+    max_tokens = NO_LIMIT if max_tokens is None else max_tokens
+    val_tokens = NO_LIMIT if val_tokens is None else val_tokens
     if val_tokens < 1:
         raise ValueError("val_tokens must be positive")
     crossed = first_crossings(
@@ -100,11 +106,13 @@ def apply_cuts(
 def example_cuts(
     accepted: DataFrame,
     ord_col: str,
-    max_examples: int,
+    max_examples: int | None,
     by: Sequence[str] = (),
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """Stop of a chat pack: enough accepted train conversations and at least one val conversation."""
+    """Stop of a chat pack: enough accepted train conversations and at least one val conversation.
+    None takes all conversations."""
+    max_examples = NO_LIMIT if max_examples is None else max_examples
     one = accepted.withColumn("_one", F.lit(1))
     crossed = first_crossings(
         one,
@@ -120,7 +128,7 @@ def example_cuts(
     return crossed.select(*by, stop.alias("stop"), F.lit(None).cast("bigint").alias("val_stop"))
 
 
-def example_cut(accepted: DataFrame, ord_col: str, max_examples: int, **kw) -> Cut:
+def example_cut(accepted: DataFrame, ord_col: str, max_examples: int | None, **kw) -> Cut:
     row = example_cuts(accepted, ord_col, max_examples, **kw).first()
     return Cut(row["stop"], None) if row else Cut(None, None)
 

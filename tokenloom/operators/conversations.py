@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import chat, text
 from tokenloom.operators.dedup import mark_first
+from tokenloom.operators.running import running_totals
 from tokenloom.session import materialize
 
 CONV, TURN = "conv_id", "turn"
@@ -51,14 +52,49 @@ def heads(
     )
 
 
+def shapes(turns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``grammar`` and ``filled`` of every conversation, of any length, without assembling it.
+
+    A message's place is a running count, so a conversation may spread over many tasks. Each message
+    is held against the role due at its place, with a system message first and without one; what
+    remains per conversation are counts, which combine before the shuffle.
+    """
+    by = list(by)
+    narrow = materialize(
+        turns.where(F.col("role").isNotNull() | F.col("text").isNotNull()).select(
+            *by, CONV, TURN, F.coalesce("role", F.lit("")).alias("role"), text.is_blank(F.col("text")).alias("blank")
+        ),
+        "shapes",
+    )
+    placed = running_totals(narrow, TURN, {"nth": F.lit(1)}, [*by, CONV])
+    odd = F.col("nth") % 2 == 1
+    due = lambda user: F.when(user, F.lit("user")).otherwise(F.lit("assistant"))
+    wrong = lambda bad: F.sum(F.when(bad, 1).otherwise(0))
+    counted = placed.groupBy(*by, CONV).agg(
+        F.max("nth").alias("n"),
+        wrong(F.col("role") != due(odd)).alias("plain"),
+        wrong((F.col("nth") > 1) & (F.col("role") != due(~odd))).alias("led"),
+        F.max(F.when(F.col("nth") == 1, F.col("role"))).alias("first"),
+        wrong(F.col("blank")).alias("blanks"),
+    )
+    has_system = F.col("first") == "system"
+    whole = F.when(has_system, (F.col("led") == 0) & (F.col("n") % 2 == 1) & (F.col("n") > 1)).otherwise(
+        (F.col("plain") == 0) & (F.col("n") % 2 == 0)
+    )
+    return counted.select(*by, CONV, whole.alias("grammar"), (F.col("blanks") == 0).alias("filled"))
+
+
 def assemble(
-    turns: DataFrame, fitting: DataFrame, fields: Sequence[Column], by: Sequence[str] = ()
+    turns: DataFrame, fitting: DataFrame | None, fields: Sequence[Column], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Ordered ``messages`` arrays of the conversations listed in ``fitting`` (bounded ones only).
+    """Ordered ``messages`` arrays of the conversations listed in ``fitting``, or of all.
 
-    Each message holds its turn and ``fields``; ask for no more than the caller reads.
+    Each message holds its turn and ``fields``; ask for no more than the caller reads. A row is as
+    long as its conversation.
     """
-    rows = turns.join(fitting.select(*by, CONV), [*by, CONV], "left_semi")
+    rows = turns
+    if fitting is not None:
+        rows = turns.join(fitting.select(*by, CONV), [*by, CONV], "left_semi")
     return rows.groupBy(*by, CONV).agg(
         F.array_sort(F.collect_list(F.struct(TURN, *fields))).alias("messages")
     )

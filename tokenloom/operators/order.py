@@ -27,7 +27,7 @@ class EpochOrder:
         """A new order for each epoch, drawn from the seed: two integers, made on the driver."""
         if n < 1:
             raise ValueError("No blocks to order")
-        rng = np.random.default_rng(seed + epoch)
+        rng = np.random.default_rng(seed + epoch)  # fixed values: the draws that give the order
         a = int(rng.integers(1, max(2, n)))
         while math.gcd(a, n) != 1:
             a = (a + 1) % n or 1
@@ -66,7 +66,7 @@ class ReaderState:
 
     def check(self, seed: int, fingerprint: str) -> None:
         if (self.seed, self.fingerprint) != (seed, fingerprint):
-            raise ValueError("Data manifest or shuffle seed changed: cannot safely resume")
+            raise ValueError("This position belongs to other data or another seed")
 
 
 def next_batch(

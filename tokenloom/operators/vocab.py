@@ -170,7 +170,7 @@ def learn(
                 ranked = _Ranking(best_pairs(pair_counts(now), ranking, min_count), ranking, min_count)
                 taken = ranked.independent(room, joined, known)
             if not taken:
-                raise ValueError("Not enough varied text for the requested vocabulary size")
+                raise ValueError("The text repeats too few pairs for so large a vocabulary")
             step, remade = [], False
             for pair in taken:
                 left, right = map(char_id, pair)

@@ -20,11 +20,11 @@ from tokenloom.sources.shards import shard_entries
 
 @dataclass(frozen=True)
 class ChatPack:
-    """Default sizes and budgets."""
+    """Default sizes. A budget is taken only if it is named: None packs everything."""
 
     seq_len: int = 1024
-    max_examples: int = 20_000
-    max_docs: int = 5_000_000
+    max_examples: int | None = None
+    max_docs: int | None = None
     shard_tokens: int = CHAT_SHARD_TOKENS
     tag: str | None = None
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,18 +22,23 @@ ORD = "doc_id"
 
 @dataclass(frozen=True)
 class DocumentPack:
-    """Default sizes and budgets."""
+    """Default sizes. A budget is taken only if it is named: None packs everything.
+
+    ``max_docs`` bounds raw rows read, kept or not, where a caller wants that.
+    """
 
     seq_len: int = 1024
-    max_tokens: int = 100_000_000
-    val_tokens: int = 2_000_000
-    max_docs: int = 5_000_000
+    max_tokens: int | None = None
+    val_tokens: int | None = None
+    max_docs: int | None = None
     shard_tokens: int = SHARD_TOKENS
     tag: str | None = None
 
 
-def first_docs(docs: DataFrame, max_docs: int) -> Column:
-    """The first ``max_docs`` raw rows, as a filter on the order column."""
+def first_docs(docs: DataFrame, max_docs: int | None) -> Column:
+    """The first ``max_docs`` raw rows, or all, as a filter on the order column."""
+    if max_docs is None:
+        return F.lit(True)
     last = budget.first_rows_cut(docs, ORD, max_docs)
     return F.lit(True) if last is None else F.col(ORD) <= last
 
@@ -45,20 +50,22 @@ def safe_stop(docs: DataFrame, vocabulary: Vocabulary, o: DocumentPack) -> int |
     below. A small budget over a huge corpus then encodes a small part of it. When the val cap
     could freeze the val total below one block, no row is safe.
     """
-    if o.val_tokens < o.seq_len + 1:
+    if o.max_tokens is None or (o.val_tokens is not None and o.val_tokens < o.seq_len + 1):
         return None
+    floor = materialize(least_tokens(docs, vocabulary), "least-tokens")
+    return budget.token_cut(
+        floor, ORD, max_tokens=o.max_tokens, val_tokens=o.val_tokens, seq_len=o.seq_len
+    ).stop
+
+
+def least_tokens(docs: DataFrame, vocabulary: Vocabulary, by=()) -> DataFrame:
+    """Kept documents with the fewest tokens their bytes can have, end mark included."""
     t = F.col("text")
     size = text.byte_count(text.neutralize(t))
     least = F.ceil(size / F.lit(vocabulary.longest)).cast("bigint") + 1
-    floor = materialize(
-        docs.where(text.is_long_enough(t)).select(
-            ORD, text.split_of(t).alias("split"), least.alias("n_tokens")
-        ),
-        "least-tokens",
+    return docs.where(text.is_long_enough(t)).select(
+        *by, ORD, text.split_of(t).alias("split"), least.alias("n_tokens")
     )
-    return budget.token_cut(
-        floor, ORD, max_tokens=o.max_tokens, val_tokens=o.val_tokens, seq_len=o.seq_len
-    ).stop
 
 
 def encoded_documents(docs: DataFrame, vocabulary: Vocabulary, by=()) -> DataFrame:
@@ -134,6 +141,26 @@ def sliced_documents(
     return rows.join(tagged, "_path").drop("_path")
 
 
+def part_stops(
+    docs: DataFrame, ids: DataFrame, vocabulary: Vocabulary, o: DocumentPack, by: list[str]
+) -> DataFrame:
+    """``by`` and ``_upto``: the last row a part can need, from row counts and byte lengths alone."""
+    upto = ids.select(*by).distinct().withColumn("_upto", F.lit(None).cast("bigint"))
+    if o.max_docs is not None:
+        last = first_crossings(ids, ORD, {"rows": (F.lit(1), o.max_docs)}, by)
+        upto = upto.drop("_upto").join(last.select(*by, F.col("rows_at").alias("_upto")), by, "left")
+    if o.max_tokens is not None and (o.val_tokens is None or o.val_tokens > o.seq_len):
+        floor = materialize(least_tokens(docs, vocabulary, by), "least-tokens")
+        cuts = budget.token_cuts(
+            floor, ORD, max_tokens=o.max_tokens, val_tokens=o.val_tokens, seq_len=o.seq_len, by=by
+        )
+        # The stop must lie in the rows that are read at all; a later one changes nothing.
+        upto = upto.join(cuts.select(*by, "stop"), by, "left").select(
+            *by, F.least("_upto", "stop").alias("_upto")
+        )
+    return materialize(upto, "part-stops")
+
+
 def pack_parts(
     docs: DataFrame,
     vocabulary: Vocabulary,
@@ -149,18 +176,23 @@ def pack_parts(
     by = ["part"]
     with scratch(docs.sparkSession):
         ids = materialize(docs.select(*by, ORD), "document-ids")
-        last = first_crossings(ids, ORD, {"rows": (F.lit(1), options.max_docs)}, by)
-        read = ids.join(last.select(*by, "rows_at"), by, "left")
-        read = read.where(f"rows_at is null or {ORD} <= rows_at").select(*by, ORD)
+        n_parts = ids.select(*by).distinct().count()
+        share = options.max_tokens
+        share = None if share is None else max(1, share // max(1, n_parts))
+        stops = part_stops(docs, ids, vocabulary, replace(options, max_tokens=share), by)
+        docs, read = (
+            rows.join(F.broadcast(stops), by, "left")
+            .where(F.col("_upto").isNull() | (F.col(ORD) <= F.col("_upto")))
+            .drop("_upto")
+            for rows in (docs, ids)
+        )  # a row for each part, as there are manifests
         encoded = materialize(encoded_documents(docs, vocabulary, by), "encoded")
-        encoded = encoded.join(read, [*by, ORD], "left_semi")
-        narrow = materialize(encoded.select(*by, ORD, "split", "n_tokens"), "lengths")
-        n_parts = narrow.select(*by).distinct().count()
+        narrow = encoded.select(*by, ORD, "split", "n_tokens")
         cuts = materialize(
             budget.token_cuts(
                 narrow,
                 ORD,
-                max_tokens=max(1, options.max_tokens // max(1, n_parts)),
+                max_tokens=share,
                 val_tokens=options.val_tokens,
                 seq_len=options.seq_len,
                 by=by,

@@ -13,13 +13,15 @@ from tokenloom.sources import tokenizer_file
 from tokenloom.sources.documents import require_no_null_text
 
 
-def sample(docs: DataFrame, max_chars: int = 100_000_000, max_docs: int = 5_000_000) -> DataFrame:
-    """Raw texts to learn from: long enough, not held out, up to ``max_chars`` characters."""
+def sample(docs: DataFrame, max_chars: int | None = None, max_docs: int | None = None) -> DataFrame:
+    """Raw texts to learn from: long enough, not held out, up to ``max_chars`` characters if named."""
     t = F.col("text")
     docs = docs.where(first_docs(docs, max_docs))
     rows = docs.where(text.is_long_enough(t)).where(text.split_of(t) == "train")
-    sizes = materialize(rows.select(ORD, F.length(t).cast("bigint").alias("n_chars")), "sample-lengths")
-    last = budget.chars_cut(sizes, ORD, max_chars)
+    last = None
+    if max_chars is not None:
+        sizes = rows.select(ORD, F.length(t).cast("bigint").alias("n_chars"))
+        last = budget.chars_cut(materialize(sizes, "sample-lengths"), ORD, max_chars)
     read = F.lit(True) if last is None else F.col(ORD) <= last
     require_no_null_text(docs.where(read))
     return rows.where(read)
@@ -29,8 +31,8 @@ def learn_tokenizer(
     docs: DataFrame,
     out: str,
     vocab_size: int = 32_768,
-    max_chars: int = 100_000_000,
-    max_docs: int = 5_000_000,
+    max_chars: int | None = None,
+    max_docs: int | None = None,
 ) -> tuple[vocab.Vocabulary, str]:
     """Learn from a sample, write ``tokenizer.json`` to a new folder, give vocabulary and hash."""
     with scratch(docs.sparkSession):

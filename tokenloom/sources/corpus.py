@@ -15,7 +15,7 @@ from tokenloom.operators.blocks import block_starts, require_blocks
 from tokenloom.session import ship_package
 from tokenloom.sources import files, tokenizer_file
 from tokenloom.sources.manifests import entries_of, read_manifests
-from tokenloom.sources.shards import read_blocks, shard_hashes
+from tokenloom.sources.shards import dealt, listed_files, read_blocks, shard_hashes
 
 
 @dataclass(frozen=True)
@@ -36,9 +36,9 @@ def verify_shards(spark: SparkSession, folder: str, entries: DataFrame) -> None:
     """Every listed shard and mask must have a plain name and the recorded content."""
     plain = ~(F.contains("file", F.lit("/")) | F.contains("file", F.lit("\\")) | F.col("file").isin(".", ".."))
     if entries.where(~plain).take(1):
-        raise ValueError("Shard name must be a plain filename")
-    for row in checks.checksum_faults(entries, shard_hashes(spark, folder)).take(1):
-        raise ValueError(f"Corrupt shard: {row['file']}")
+        raise ValueError("A listed shard name has a folder in it")
+    for row in checks.checksum_faults(entries, shard_hashes(spark, folder, entries)).take(1):
+        raise ValueError(f"Shard {row['file']} does not have the recorded content")
 
 
 def open_corpus(
@@ -56,7 +56,7 @@ def open_corpus(
     if tokenizer is not None:
         tokenizer_file.check(tokenizer, head["tokenizer_sha256"])
     if head["kind"] == "sft" and head["seq_len"] != seq_len:
-        raise ValueError("Chat rows were packed for another sequence length")
+        raise ValueError(f"These chat rows have seq_len {head['seq_len']}, not {seq_len}")
     if verify:
         verify_shards(spark, folder, entries)
     # A chat row has seq_len + 1 positions of its own; as stride-seq_len blocks that is one each.
@@ -66,8 +66,7 @@ def open_corpus(
         sizes = sizes.withColumn("tokens", (rows * seq_len + 1).cast("bigint"))
     n = require_blocks(sizes, seq_len, split)
     firsts = block_starts(sizes, seq_len).select("shard", "first_block")
-    blocks = read_blocks(folder, entries, seq_len, head["kind"]).join(firsts, "shard")
-    blocks = blocks.withColumn("block_index", F.col("first_block") + F.col("block")).drop("first_block")
+    blocks = read_blocks(folder, entries.join(firsts, "shard"), seq_len, head["kind"])
     return Corpus(blocks, n, files.sha256(f"{folder}/manifest.json"), head["kind"])
 
 
@@ -76,7 +75,7 @@ _NAME = re.compile(r"[A-Za-z0-9_-]+")
 
 def safe_name(name: str) -> str:
     if not _NAME.fullmatch(name or ""):
-        raise ValueError("Use a plain bundle name of letters, digits, dash and underscore")
+        raise ValueError("A bundle name has letters, digits, - and _ only")
     return name
 
 
@@ -97,18 +96,16 @@ def publish(spark: SparkSession, data: str, tokenizer: str, root: str, name: str
     target = f"{root}/{safe_name(name)}"
     ready = describe(spark, data, tokenizer)
     if files.exists(f"{target}/READY.json"):
-        raise ValueError("Bundle already complete. Use a new name for another corpus")
-    entries = manifest_entries(spark, data)
-    names = entries.select("file").unionByName(
-        entries.where("mask is not null").select(F.col("mask").alias("file"))
-    )
-    _copy(names, data, f"{target}/data")
+        raise ValueError(f"{target} is finished and stays as it is; publish under another name")
+    _copy(listed_files(manifest_entries(spark, data)), data, f"{target}/data")
+    # Without READY.json nothing there is final: what an interrupted run left is written over.
     for source, copy in (
         (f"{data}/manifest.json", f"{target}/data/manifest.json"),
         (f"{tokenizer}/tokenizer.json", f"{target}/tokenizer/tokenizer.json"),
     ):
-        if not files.exists(copy):
-            files.write_new(copy, files.read_bytes(source))
+        files.write_over(copy, files.read_bytes(source))
+    if describe(spark, f"{target}/data", f"{target}/tokenizer") != ready:
+        raise ValueError(f"The copy at {target} differs from its source")
     files.write_json(f"{target}/READY.json", ready)
     return target
 
@@ -132,7 +129,7 @@ def _copy(names: DataFrame, source: str, target: str) -> None:
                 )
             yield pdf
 
-    names.repartition("file").mapInPandas(copy, "file string").write.format("noop").mode(
+    dealt(names, "file").mapInPandas(copy, "file string").write.format("noop").mode(
         "overwrite"
     ).save()
 
@@ -140,9 +137,9 @@ def _copy(names: DataFrame, source: str, target: str) -> None:
 def verify_bundle(spark: SparkSession, bundle: str) -> str:
     """Refuse a bundle that is unfinished or whose content differs from READY.json."""
     if not files.exists(f"{bundle}/READY.json"):
-        raise ValueError("Bundle is absent or has not been completed")
+        raise ValueError(f"No finished bundle at {bundle}")
     if files.read_json(f"{bundle}/READY.json") != describe(spark, f"{bundle}/data", f"{bundle}/tokenizer"):
-        raise ValueError("Bundle hashes do not match READY.json")
+        raise ValueError("READY.json was written for other content")
     return bundle
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+SMALL_BYTES = 64 << 20
 MESSAGES = "array<struct<role:string,content:string>>"
 
 
@@ -20,13 +21,14 @@ def read_documents(
 
 
 def spread(table: DataFrame, ord_col: str) -> DataFrame:
-    """Use all cores for an input that comes in fewer splits than there are cores.
+    """Use all cores for a small file in fewer splits than there are cores.
 
-    Text work is bound by CPU, so a few large row groups would leave most cores idle. An input
-    with enough splits, as any large one, is left alone and not shuffled.
+    Row groups cannot be split, so a small file would leave most cores idle. Nothing above
+    ``SMALL_BYTES`` is ever moved for it, on however many cores.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= cores:
+    stored = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if stored > SMALL_BYTES or table.rdd.getNumPartitions() >= cores:
         return table
     return table.repartition(cores, ord_col)
 
@@ -45,7 +47,7 @@ def read_jsonl(
 def require_text(table: DataFrame, field: str) -> None:
     types = dict(table.dtypes)
     if types.get(field) != "string":
-        raise ValueError(f"Missing text field {field!r}; available: {sorted(types)}")
+        raise ValueError(f"{field!r} is no text column of {sorted(types)}")
 
 
 def require_no_null_text(docs: DataFrame, text_col: str = "text") -> None:
@@ -54,7 +56,7 @@ def require_no_null_text(docs: DataFrame, text_col: str = "text") -> None:
     The null test reaches the Parquet scan, where row groups without nulls are skipped unread.
     """
     if docs.where(F.col(text_col).isNull()).take(1):
-        raise ValueError(f"A sampled document has no {text_col!r}")
+        raise ValueError(f"{text_col!r} is null in a document to learn from")
 
 
 def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
@@ -88,7 +90,7 @@ def resolve_directory(
             fits = fits & F.contains("dir", F.lit(subset))
     found = [r["dir"] for r in dirs.where(fits).orderBy("dir").limit(20).collect()]
     if len(found) != 1:
-        raise ValueError(f"Cannot resolve split {split!r}; candidate directories: {found}")
+        raise ValueError(f"Not one directory for {split!r} but {len(found)}: {found}")
     return found[0]
 
 
@@ -120,10 +122,20 @@ def select_files(
             numbered = numbered.where(F.col("index") < end)
     names = [r["path"] for r in numbered.orderBy("path").select("path").collect()]
     if not names:
-        raise ValueError("No source files selected")
+        raise ValueError(f"No file in slice {index} of {slices}, or in [{start}, {end})")
     return names
 
 
 def seeded_order(ord_col: str, seed: int = 42) -> Column:
     """A full shuffle key: SHA-256 of seed and order value, stable over engines and retries."""
     return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(ord_col).cast("string")), 256)
+
+
+def shuffled(rows: DataFrame, ord_col: str, seed: int = 42) -> DataFrame:
+    """``rows`` with the order column replaced by their place in seeded order, as a long.
+
+    The place is the start of :func:`seeded_order`, so every rule that follows an order column, a
+    budget or a pack, then reads in seeded order.
+    """
+    digits = F.substring(seeded_order(ord_col, seed), 1, 15)
+    return rows.withColumn(ord_col, F.conv(digits, 16, 10).cast("long"))

@@ -6,6 +6,7 @@ JSON document is written from it at the very end and read back with an explicit
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,6 @@ SCHEMA = (
     "counts struct<train:bigint,val:bigint,skipped:bigint>, source string, "
     f"splits map<string,array<{ENTRY}>>"
 )
-MAX_ENTRIES = 1_000_000
 
 
 def read_manifests(spark: SparkSession, paths) -> DataFrame:
@@ -43,20 +43,35 @@ def entries_of(manifests: DataFrame) -> DataFrame:
 
 
 def write_manifest(
-    path: str, header: dict, entries: DataFrame, splits: Sequence[str] = ("train", "val")
+    path: str,
+    header: dict,
+    entries: DataFrame,
+    splits: Sequence[str] = ("train", "val"),
+    order: Sequence[str] = ("split", "shard"),
 ) -> dict:
-    """Write the JSON document to a new path. Every split needs at least one shard."""
-    rows = entries.orderBy("split", "shard").limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError("Too many shards for one JSON manifest: raise the shard size or add parts")
-    listed: dict[str, list] = {s: [] for s in splits}
-    for r in rows:
-        listed[r["split"]].append(_entry(r))
-    if not all(listed.values()):
-        raise ValueError("A split has no data: enlarge the source sample and pack to a new path")
-    document = {**header, "splits": listed}
-    files.write_json(path, document)
-    return document
+    """Write the JSON document to a new path, entries as a stream; gives the header. Every split
+    needs at least one shard."""
+    filled = {r["split"] for r in entries.select("split").distinct().collect()}
+    if not filled >= set(splits):
+        raise ValueError(f"No shard in {sorted(s for s in splits if s not in filled)}; every split needs one")
+    rows = entries.where(F.col("split").isin(list(splits))).orderBy(*order)
+    files.write_pieces(path, _document(header, rows))
+    return header
+
+
+def _document(header: dict, rows: DataFrame):
+    """The JSON document in pieces: a partition of the sorted entries is on the driver at a time."""
+    yield json.dumps(header, indent=2, sort_keys=True)[:-2] + ',\n  "splits": {'
+    open_split = None
+    for r in rows.toLocalIterator():
+        if r["split"] != open_split:
+            yield "" if open_split is None else "\n    ],"
+            open_split = r["split"]
+            yield f"\n    {json.dumps(open_split)}: [\n      "
+        else:
+            yield ",\n      "
+        yield json.dumps(_entry(r), sort_keys=True)
+    yield "\n    ]\n  }\n}"
 
 
 def _entry(row) -> dict:
@@ -73,7 +88,7 @@ def merge_parts(spark: SparkSession, folder: str) -> dict:
     """
     target = f"{folder}/manifest.json"
     if files.exists(target):
-        raise ValueError(f"{target} already exists. Merge into a new folder, never a live corpus")
+        raise ValueError(f"{target} already exists: this folder is merged")
     fs, base = files.open_fs(folder)
     import pyarrow.fs as pafs
 
@@ -84,7 +99,7 @@ def merge_parts(spark: SparkSession, folder: str) -> dict:
         if f.base_name.startswith("manifest.") and f.base_name.endswith(".json")
     )
     if not names:
-        raise ValueError(f"No manifest.<tag>.json parts found in {folder}")
+        raise ValueError(f"No manifest of a part in {folder}")
     manifests = read_manifests(spark, [f"{folder}/{n}" for n in names]).persist()
     try:
         _check_parts(spark, folder, manifests)
@@ -95,24 +110,16 @@ def merge_parts(spark: SparkSession, folder: str) -> dict:
         totals = checks.merged_counts(
             manifests.select("part", *[F.col(f"counts.{c}").alias(c) for c in checks.COUNT_FIELDS])
         ).first()
-        entries = entries_of(manifests).withColumn(
-            "shard", F.row_number().over(_in_part_order())
-        )
+        entries = entries_of(manifests)
         header = {f: first[f] for f in checks.AGREED_FIELDS}
         header["counts"] = totals.asDict()
         header["source"] = {"merged": names, "provenance": _provenance(folder, names)}
-        return write_manifest(target, header, entries, sorted(first["splits"]))
+        order = ("split", "part", "shard")  # parts by file name, shards in their own order
+        return write_manifest(target, header, entries, sorted(first["splits"]), order)
     finally:
         manifests.unpersist()
 
 
-def _in_part_order():
-    """Parts in file-name order, shards in their own; listing rows only."""
-    from pyspark.sql import Window
-
-    return Window.partitionBy("split").orderBy("part", "shard")
-
-
 def _provenance(folder: str, names: Sequence[str]) -> list[dict]:
     out = []
     for name in names:
@@ -131,13 +138,13 @@ def _check_parts(spark: SparkSession, folder: str, manifests: DataFrame) -> None
         raise ValueError(f"Parts disagree on {row['field']!r}")
     entries = entries_of(manifests)
     for row in checks.duplicate_files(entries).orderBy("file").take(1):
-        raise ValueError(f"Duplicate shard filename across parts: {row['file']}")
+        raise ValueError(f"Several parts list a shard named {row['file']}")
     faults = checks.layout_faults(entries, shard_files(spark, folder)).where("reason is not null")
     for row in faults.orderBy("file").take(1):
         said = {
             "absent": "is absent",
-            "odd_bytes": "is not a whole number of 16-bit tokens",
-            "ragged_rows": f"is not a whole number of {row['seq_len'] + 1}-token rows",
-            "bad_mask": "has a missing or short assistant mask",
+            "odd_bytes": "has an odd number of bytes",
+            "ragged_rows": f"ends within a row of {row['seq_len'] + 1} tokens",
+            "bad_mask": "and its mask differ in length",
         }[row["reason"]]
         raise ValueError(f"Shard {row['file']} {said}")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.session import ship_package
+from tokenloom.sources import files
 from tokenloom.sources.documents import list_files
 
 ENTRY_SCHEMA = (
@@ -51,8 +52,8 @@ def shard_entries(
     ``by_part`` a column ``part`` keeps parts apart and names their files.
     """
     ship_package(placed.sparkSession)
-    if out is not None and "://" not in out:
-        out = "file://" + out
+    if out is not None:
+        out = files.uri(out)
     keys = [*(["part"] if by_part else []), "split", "shard"]
 
     def entry(key, table):
@@ -101,27 +102,56 @@ def shard_files(spark: SparkSession, root: str) -> DataFrame:
     return list_files(spark, root, "*.{bin,mask}").select("file", "bytes")
 
 
-def shard_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """``file``, ``sha256`` of shards and masks, one file per row and task record."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.{bin,mask}")
-        .load(root)
-        .select(
-            F.regexp_extract("path", "([^/]*)$", 1).alias("file"),
-            F.sha2("content", 256).alias("sha256"),
-        )
-    )
+def listed_files(entries: DataFrame) -> DataFrame:
+    """``file``: every shard and mask the entries name."""
+    masks = entries.where("mask is not null").select(F.col("mask").alias("file"))
+    return entries.select("file").unionByName(masks)
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Listing rows over as many tasks as there are rows, four for each core at most.
+
+    The rows are small and what they name is large, so the count is stated: by bytes Spark would
+    put them all into one task.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(rows.count(), 4 * cores)), key)
+
+
+def shard_hashes(spark: SparkSession, root: str, entries: DataFrame) -> DataFrame:
+    """``file``, ``sha256`` of the shards and masks that ``entries`` lists; no other file is read.
+
+    A listed file that is absent has no row.
+    """
+    ship_package(spark)
+    root = files.uri(root)
+
+    def hashed(batches):
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            names, digests = [], []
+            for name in batch.column(0).to_pylist():
+                if fs.get_file_info(f"{base}/{name}").type == pafs.FileType.NotFound:
+                    continue
+                digest = hashlib.sha256()
+                with fs.open_input_stream(f"{base}/{name}") as source:
+                    while piece := source.read(1 << 22):
+                        digest.update(piece)
+                names.append(name)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(digests, pa.string())], ["file", "sha256"])
+
+    return dealt(listed_files(entries), "file").mapInArrow(hashed, "file string, sha256 string")
 
 
 def read_blocks(root: str, entries: DataFrame, seq_len: int, kind: str = "pretrain") -> DataFrame:
-    """``split``, ``shard``, ``block``, ``tokens``, ``mask`` from binary shards.
+    """``split``, ``shard``, ``block``, ``tokens``, ``mask``, ``block_index`` from binary shards.
 
-    Only the entries travel: tasks share them out and open the files they name, so no shard content
+    ``entries`` has ``first_block``, the index of a shard's first block in its split. Only the entries travel: tasks share them out and open the files they name, so no shard content
     is shuffled, and blocks leave a task in small batches.
     """
     ship_package(entries.sparkSession)
-    root = root if "://" in root else "file://" + root
+    root = files.uri(root)
     width = seq_len + 1
     stride = width if kind == "sft" else seq_len
 
@@ -149,13 +179,12 @@ def read_blocks(root: str, entries: DataFrame, seq_len: int, kind: str = "pretra
                             "block": list(index),
                             "tokens": [flat[c].astype("int32") for c in cut],
                             "mask": [None if marks is None else marks[c].astype("int32") for c in cut],
+                            "block_index": [row.first_block + i for i in index],
                         }
                     )
 
-    return (
-        entries.select("split", "shard", "file", "mask")
-        .repartition("file")
-        .mapInPandas(
-            blocks, "split string, shard bigint, block bigint, tokens array<int>, mask array<int>"
-        )
+    schema = (
+        "split string, shard bigint, block bigint, tokens array<int>, mask array<int>, block_index bigint"
     )
+    columns = ["split", "shard", "file", "mask", "first_block"]
+    return dealt(entries.select(*columns), "file").mapInPandas(blocks, schema)

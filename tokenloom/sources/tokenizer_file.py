@@ -70,4 +70,4 @@ def load(folder: str) -> Vocabulary:
 def check(folder: str, expected_sha256: str) -> None:
     """Data may only be read with the tokenizer it was packed with."""
     if files.sha256(f"{folder}/tokenizer.json") != expected_sha256:
-        raise ValueError("Data and tokenizer do not match")
+        raise ValueError(f"The data was packed with another tokenizer than {folder}")

@@ -40,7 +40,11 @@ def write_parts(
     """
 
     def write(rows: DataFrame, batch: int) -> None:
-        each(rows, batch).write.mode("overwrite").parquet(f"{out}/part={batch}")
+        rows = rows.persist()  # ``each`` may use them more than once; the source is read once
+        try:
+            each(rows, batch).write.mode("overwrite").parquet(f"{out}/part={batch}")
+        finally:
+            rows.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)
