@@ -9,6 +9,7 @@ def _load():
         corpora,
         documents,
         packing,
+        roundtrips,
         vocabularies,
     )
     from tokenloom.catalog.registry import ORACLES, QUERIES

@@ -229,10 +229,10 @@ _DECAY_LANG = "en"
     nth AS (
       SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS nth FROM chosen),
     read AS (
-      SELECT slot, source, nth * {_MICRO} + j AS cur,
+      SELECT slot, source, j::INT AS "row", nth * {_MICRO} + j AS cur,
              CASE source WHEN 'main' THEN n_main ELSE n_decay END AS n
       FROM nth, sizes, range({_MICRO}) r(j))
-    SELECT slot, source, (cur // n)::BIGINT AS epoch, (cur % n)::BIGINT AS position,
+    SELECT slot, source, "row", (cur // n)::BIGINT AS epoch, (cur % n)::BIGINT AS position,
            (({_FACTOR} * (cur % n) + {_SHIFT} + cur // n) % n)::BIGINT AS block_index FROM read"""
 )
 def training_mix(spark, sf_dir):
@@ -248,4 +248,4 @@ def training_mix(spark, sf_dir):
         s: [EpochOrder(n, _FACTOR % n or 1, (_SHIFT + e) % n) for e in range(epochs[s])]
         for s, n in sizes.items()
     }
-    return mix.slot_blocks(slots, _MICRO, orders).drop("row")
+    return mix.slot_blocks(slots, _MICRO, orders)

@@ -6,12 +6,16 @@ The column functions are those of the batch jobs; only what must remember earlie
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tokenloom.functions import text
+from tokenloom.operators.vocab import Vocabulary
+from tokenloom.plans.documents import DocumentPack, pack_documents
+from tokenloom.sources import files
 from tokenloom.sources.runlog import SCHEMA as LOG_SCHEMA
 
 
@@ -54,6 +58,39 @@ def write_parts(
     )
 
 
+def pack_stream(
+    stream: DataFrame,
+    vocabulary: Vocabulary,
+    tokenizer_sha256: str,
+    out: str,
+    checkpoint: str,
+    options: DocumentPack = DocumentPack(),
+) -> StreamingQuery:
+    """One packed part and its manifest per micro-batch of documents, for a merge.
+
+    The manifest is a batch's last file: a batch that is replayed after it was written does nothing,
+    and one that was interrupted before writes its shards again.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        tag = f"b{batch:06d}"
+        if files.exists(f"{out}/manifest.{tag}.json"):
+            return
+        rows = rows.persist()
+        try:
+            named = replace(options, tag=tag)
+            pack_documents(rows, vocabulary, tokenizer_sha256, out, named, {"batch": batch})
+        finally:
+            rows.unpersist()
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def first_prompts(
     stream: DataFrame,
     out: str,
