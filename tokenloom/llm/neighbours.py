@@ -10,6 +10,9 @@ neighbours are found by comparing with every row, in blocks, and the window is t
 holds ``TARGET`` of them on some curve. Every vector is indexed; only the directions' scales and the
 window come from bounded samples.
 
+A query's own block on each curve comes first. What it finds there bounds what the other blocks of
+its windows need to report, so windows of many blocks do not mean many candidates.
+
 Nearness is the largest inner product. For vectors of unequal length one coordinate is added that
 turns it into the smallest distance (the public reduction), on the curves only.
 
@@ -40,8 +43,8 @@ BITS = 7
 SCALE_SAMPLE = 4096  # vectors that set the directions' scales
 AUDIT_QUERIES = 200
 TARGET = 0.97
-BLOCK = 2048  # neighbouring keys searched together
-QUERIES_AT_ONCE = 4096  # queries of one block in one group
+BLOCK = 4096  # neighbouring keys searched together
+QUERIES_AT_ONCE = 2048  # queries of one block in one group
 SALTS = 16
 
 
@@ -105,7 +108,8 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
     return take
 
 
-def _top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pa.RecordBatch:
+def _top(q_ids, q, ids, v, k: int, bound=None) -> pa.RecordBatch:
+    """The ``k`` best of each query, those below its ``bound`` left out."""
     order = np.argsort(ids)
     ids, v = ids[order], v[order]
     scores = q @ v.T
@@ -115,10 +119,13 @@ def _top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: in
     exact = np.zeros(len(row))
     for i in range(q.shape[1]):  # in order, so the sum does not depend on the block
         exact += q[row, i] * v[column, i]
+    if bound is not None:  # a rounding error below it is kept
+        enough = exact >= bound[row] - 1e-9 * np.abs(bound[row])
+        row, column, exact = row[enough], column[enough], exact[enough]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.repeat(q_ids, n)),
-            pa.array(ids[take].ravel()),
+            pa.array(q_ids[row]),
+            pa.array(ids[column]),
             pa.array(exact),
         ],
         ["qid", "rid", "score"],
@@ -255,7 +262,7 @@ def search(
     reach = _window(places, truth, TARGET)
 
     total = count + n_queries
-    per_block = n_queries * min(1.0, (2 * reach + BLOCK) / total)
+    per_block = n_queries * min(1.0, (2 * reach + 2 * BLOCK) / total)
     parts = max(1, int(np.ceil(per_block / QUERIES_AT_ONCE)))
     block = lambda at: F.floor(at / BLOCK).cast("long")
     held = places.where("not query").select(
@@ -265,29 +272,39 @@ def search(
         "rid",
         "v",
     )
-    lo = F.greatest(F.col("at") - reach, F.lit(0))
-    hi = F.least(F.col("at") + reach, F.lit(total))
     marks = places.where("query").drop("query").toDF("on_curve", "at", "qid", "q")
-    sent = marks.select(
-        "on_curve",
-        F.explode(F.sequence(block(lo), block(hi))).alias("to_block"),
-        F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int").alias("to_part"),
-        "qid",
-        "q",
-    )
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"qid": pa.array([], pa.int64()), "rid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         column = lambda t, c: t.column(c).to_numpy()
-        found = _top(column(right, "qid"), matrix(right.column("q")), column(left, "rid"), matrix(left.column("v")), k + 1)
-        return pa.Table.from_batches([found])
-
-    found = (
-        held.groupBy("curve", "block", "part")
-        .cogroup(sent.groupBy("on_curve", "to_block", "to_part"))
-        .applyInArrow(meet, "qid long, rid long, score double")
+        if not left.num_rows or not right.num_rows:
+            left, right = left.slice(0, 0), right.slice(0, 0)
+            return pa.table({"qid": right["qid"], "rid": left["rid"], "score": right["bound"]})
+        queries = column(right, "qid"), matrix(right.column("q"))
+        rows = column(left, "rid"), matrix(left.column("v"))
+        return pa.Table.from_batches([_top(*queries, *rows, k + 1, column(right, "bound"))])
+
+    def visit(sent: DataFrame) -> DataFrame:
+        part = F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")
+        sent = sent.select("on_curve", "to_block", part.alias("to_part"), "qid", "q", "bound")
+        met = (
+            held.groupBy("curve", "block", "part")
+            .cogroup(sent.groupBy("on_curve", "to_block", "to_part"))
+            .applyInArrow(meet, "qid long, rid long, score double")
+        )
+        return met.groupBy("qid", "rid").agg(F.max("score").alias("score"))
+
+    least = F.lit(float("-inf"))
+    home = marks.withColumn("to_block", block(F.col("at"))).withColumn("bound", least)
+    near = materialize(_ranked(visit(home), "qid", k + 1).drop("place"), "nearest-at-home")
+    bound = near.groupBy("qid").agg(
+        F.when(F.count("*") > k, F.min("score")).otherwise(least).alias("bound")
     )
+    lo = F.greatest(F.col("at") - reach, F.lit(0))
+    hi = F.least(F.col("at") + reach, F.lit(total))
+    away = marks.withColumn("to_block", F.explode(F.sequence(block(lo), block(hi))))
+    away = away.where(F.col("to_block") != block(F.col("at")))
+    away = away.join(bound, "qid", "left").withColumn("bound", F.coalesce("bound", least))
+    found = near.union(visit(away))
     found = found.groupBy("qid", "rid").agg(F.max("score").alias("score"))
     nearest = materialize(_ranked(found, "qid", k + 1).drop("place"), "nearest")
     answers = asked.withColumnRenamed("rid", "qid").join(nearest, "qid")
