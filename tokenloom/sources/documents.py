@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenloom.session import materialize
+
 SMALL_BYTES = 64 << 20
+ROW_BITS = 40  # of a place: up to a trillion rows in each of eight million files
 MESSAGES = "array<struct<role:string,content:string>>"
 
 
@@ -20,6 +23,40 @@ def read_documents(
     return spread(table.select(ord_col, F.col(field).alias("text"), *also), ord_col)
 
 
+def read_ordered(
+    spark: SparkSession, path, field: str = "content", ord_col: str = "doc_id", fmt: str = "parquet", kind: str = "string"
+) -> DataFrame:
+    """Rows of files that have no order column, with their place as ``ord_col``: files by name, rows
+    as they stand. ``fmt`` is ``parquet`` or ``json`` (lines); ``kind`` is the type of ``field``.
+
+    A place is the file's number and, below it, a row's number in the file. Parquet knows a row's
+    number. Lines are numbered within each split, and splits by counts of the ones before; that
+    numbering is written once, because it must not change from one reading to the next.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    file = F.col("_metadata.file_path").alias("_file")
+    if fmt == "parquet":
+        table = spark.read.parquet(*paths)
+        if kind == "string":
+            require_text(table, field)
+        rows = table.select(field, file, F.col("_metadata.row_index").alias("_nth"))
+    else:
+        read = spark.read.schema(f"`{field}` {kind}").option("mode", "FAILFAST").json(paths)
+        block = F.col("_metadata.file_block_start").alias("_block")
+        rows = read.select(field, file, block, F.monotonically_increasing_id().alias("_id"))
+        rows = materialize(rows, "lines")
+        blocks = rows.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+        order = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.select(
+            "_file", "_block", (F.coalesce(F.sum("_n").over(order), F.lit(0)) - F.col("_first")).alias("_shift")
+        )
+        rows = rows.join(blocks, ["_file", "_block"]).withColumn("_nth", F.col("_id") + F.col("_shift"))
+    names = rows.select("_file").distinct()
+    numbered = names.withColumn("_number", F.row_number().over(Window.orderBy("_file")).cast("bigint") - 1)
+    place = F.shiftleft("_number", ROW_BITS).bitwiseOR(F.col("_nth"))
+    return rows.join(numbered, "_file").select(place.alias(ord_col), F.col(field).alias("text" if kind == "string" else field))
+
+
 def spread(table: DataFrame, ord_col: str) -> DataFrame:
     """Use all cores for a small file in fewer splits than there are cores.
 
@@ -101,8 +138,6 @@ def slice_of(index: Column, total: Column, slices: int) -> Column:
 
 def file_slices(files: DataFrame, slices: int, name: str = "path") -> DataFrame:
     """A file listing with ``index`` in sorted order and ``slice``. Listings are metadata-sized."""
-    from pyspark.sql import Window
-
     indexed = files.withColumn(
         "index", F.row_number().over(Window.partitionBy().orderBy(name)) - F.lit(1)
     ).withColumn("_total", F.count(F.lit(1)).over(Window.partitionBy()))
