@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import twins
-from tokenloom.operators import budget, running
+from tokenloom.operators import budget, running, shards
 from tokenloom.operators.dedup import mark_first
 from tokenloom.operators.shards import roll_equal_rows, roll_shards
 
@@ -138,3 +138,24 @@ def test_first_row_wins_per_source(spark):
             seen.add((s, k))
             expected.add((s, i))
     assert got == expected
+
+
+def test_assigned_shards_equal_placed_ones(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [(f"p{i % 2}", "train" if i % 7 else "val", i, 1 + i % 13) for i in range(900)],
+        "part string, split string, doc_id long, n_tokens long",
+    )
+    placed = shards.roll_shards(rows, "doc_id", 60, ("part", "split"), rows_per_chunk=100).cache()
+    want = {(r["doc_id"], r["shard"]) for r in placed.collect()}
+    for most in (4_000_000, 3):
+        monkeypatch.setattr(shards, "MAX_BOUNDS", most)
+        got = shards.assign_shards(rows, placed, "doc_id", ("part", "split"))
+        assert {(r["doc_id"], r["shard"]) for r in got.collect()} == want
+
+
+def test_groups_stay_small_whatever_a_shard_holds(spark, monkeypatch):
+    """Tiny rows and a limit that no chunk reaches: few tables meet, and the result is the same."""
+    monkeypatch.setattr(shards, "GROUP_ROWS", 300)
+    rows = spark.createDataFrame([("train", i, 1) for i in range(3000)], "split string, doc_id long, n_tokens long")
+    got = shards.roll_shards(rows, "doc_id", 700, rows_per_chunk=60).orderBy("doc_id").collect()
+    assert [(r["shard"], r["offset"]) for r in got] == twins.roll([1] * 3000, 700)

@@ -11,7 +11,13 @@ from tokenloom.catalog.registry import query
 from tokenloom.functions import text
 from tokenloom.operators import budget, parts, vocab
 from tokenloom.operators.running import running_totals
-from tokenloom.operators.shards import roll_equal_rows, roll_shards, shard_file, shard_table
+from tokenloom.operators.shards import (
+    assign_shards,
+    roll_equal_rows,
+    roll_shards,
+    shard_file,
+    shard_table,
+)
 from tokenloom.session import materialize
 from tokenloom.sources.shards import shard_entries
 
@@ -41,10 +47,12 @@ def part_shards(spark, sf_dir):
     FROM part_shards"""
 )
 def manifest_rows(spark, sf_dir):
-    docs = documents(spark, sf_dir).where(text.is_long_enough(F.col("text")))
     ids = text.with_eos(text.byte_ids(text.neutralize(F.col("text"))))
-    placed = part_placed(spark, sf_dir).drop("n_tokens")
-    rows = docs.select("doc_id", ids.alias("tokens")).join(placed, "doc_id")
+    docs = documents(spark, sf_dir, "lang").where(text.is_long_enough(F.col("text")))
+    rows = docs.select(
+        F.col("lang").alias("part"), text.split_of(F.col("text")).alias("split"), "doc_id", ids.alias("tokens")
+    )
+    rows = assign_shards(rows, part_placed(spark, sf_dir), "doc_id", ("part", "split"))
     return shard_entries(rows, by_part=True).drop("mask", "mask_sha256")
 
 

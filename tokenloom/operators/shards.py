@@ -20,6 +20,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from tokenloom.operators.running import (
 from tokenloom.session import materialize, ship_package
 
 FAN_OUT = 64
+GROUP_ROWS = 1_000_000  # rows of the small tables that meet in one group, in expectation
+MAX_BOUNDS = 4_000_000  # shards whose first rows are sent to every task, 64 MB
 SHARD_TOKENS = 64_000_000
 CHAT_SHARD_TOKENS = 8_000_000
 
@@ -142,6 +145,9 @@ def roll_shards(
     totals = materialize(
         totals_in_chunks(narrow, ord_col, {"total": "n_tokens"}, bounds, by), "shard-totals"
     )
+    # A table has the rows of one shard at most; fewer tables meet where shards hold many rows.
+    mean = totals.agg(F.avg("n_tokens")).first()[0] or limit
+    fan_out = max(2, min(fan_out, int(GROUP_ROWS * mean / limit)))
     types = dict(totals.dtypes)
     keys = ", ".join(f"{c} {types[c]}" for c in by)
     table_schema = (
@@ -194,6 +200,44 @@ def roll_shards(
     )
 
 
+def assign_shards(
+    rows: DataFrame, placed: DataFrame, ord_col: str, by: Sequence[str] = ("split",)
+) -> DataFrame:
+    """``rows`` with their ``shard``, and the order value as ``offset``, without moving them.
+
+    A shard is a run of the order, so its first row is enough to know it by: one small entry per
+    shard goes to every task, and a row finds its shard by binary search. Wide rows then move once,
+    to their shard. Beyond ``MAX_BOUNDS`` shards the rows are joined with ``placed`` instead.
+    """
+    by = list(by)
+    firsts = materialize(placed.groupBy(*by, "shard").agg(F.min(ord_col).alias("_first")), "shard-firsts")
+    if firsts.count() > MAX_BOUNDS:
+        where = placed.select(*by, ord_col, "shard", F.col(ord_col).alias("offset"))
+        return rows.join(where, [*by, ord_col])
+    key = F.concat_ws("\0", *by)
+    found: dict[str, list] = {}
+    for r in firsts.select(key.alias("key"), "_first", "shard").orderBy("key", "_first").toLocalIterator():
+        found.setdefault(r["key"], []).append((r["_first"], r["shard"]))
+    table = {k: tuple(np.array(x, "int64") for x in zip(*v)) for k, v in found.items()}
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("bigint")
+    def shard_of(keys: pa.Array, order: pa.Array) -> pa.Array:
+        names = keys.dictionary_encode()
+        code = names.indices.to_numpy(zero_copy_only=False)
+        values = order.to_numpy(zero_copy_only=False)
+        out = np.full(len(values), -1, "int64")
+        for i, name in enumerate(names.dictionary.to_pylist()):
+            if name in shared.value:
+                first, shard = shared.value[name]
+                mine = code == i
+                at = np.searchsorted(first, values[mine], "right") - 1
+                out[mine] = np.where(at >= 0, shard[at], -1)
+        return pa.array(out)
+
+    return rows.withColumn("shard", shard_of(key, F.col(ord_col))).withColumn("offset", F.col(ord_col))
+
+
 def roll_equal_rows(
     ranked: DataFrame, rank_col: str, row_tokens: int, limit: int = CHAT_SHARD_TOKENS
 ) -> DataFrame:

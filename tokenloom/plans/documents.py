@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions import text
 from tokenloom.operators import budget
 from tokenloom.operators.running import first_crossings
-from tokenloom.operators.shards import SHARD_TOKENS, roll_shards
+from tokenloom.operators.shards import SHARD_TOKENS, assign_shards, roll_shards
 from tokenloom.operators.vocab import Vocabulary, encoder
 from tokenloom.session import materialize, scratch
 from tokenloom.sources.documents import file_slices
@@ -97,9 +97,8 @@ def kept_documents(docs: DataFrame, vocabulary: Vocabulary, o: DocumentPack):
 
 
 def placed_documents(kept: DataFrame, o: DocumentPack) -> DataFrame:
-    """Documents with tokens, ``shard`` and ``offset``: tokens move once, joined on the unique id."""
-    where = roll_shards(kept, ORD, o.shard_tokens).select(ORD, "shard", "offset")
-    return kept.join(where, ORD)
+    """Documents with tokens, ``shard`` and their order in it. Tokens have not moved yet."""
+    return assign_shards(kept, roll_shards(kept, ORD, o.shard_tokens), ORD)
 
 
 def pack_documents(
@@ -202,10 +201,10 @@ def pack_parts(
         seen = budget.apply_cuts(read, cuts, ORD, by, keep_capped=True).groupBy(*by).count()
         passed = budget.apply_cuts(narrow, cuts, ORD, by, keep_capped=True).groupBy(*by).count()
         kept = budget.apply_cuts(narrow, cuts, ORD, by)
-        where = roll_shards(kept, ORD, options.shard_tokens, (*by, "split"))
-        placed = encoded.select(*by, ORD, "tokens").join(
-            where.select(*by, ORD, "split", "shard", "offset"), [*by, ORD]
-        )
+        keys = (*by, "split")
+        where = roll_shards(kept, ORD, options.shard_tokens, keys)
+        wide = budget.apply_cuts(encoded.select(*keys, ORD, "tokens"), cuts, ORD, by)
+        placed = assign_shards(wide, where, ORD, keys)
         entries = materialize(shard_entries(placed, "", out, by_part=True), "entries")
         rows = {r["part"]: r["count"] for r in seen.collect()}
         good = {r["part"]: r["count"] for r in passed.collect()}
