@@ -4,6 +4,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.compare import connect, differences
+from tokenloom.catalog import all_oracles, all_queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -13,9 +14,14 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_twin(spark, con, name):
-    assert not differences(queries()[name](spark, SF), con, oracle_sql()[name])
+    assert not differences(all_queries()[name](spark, SF), con, all_oracles()[name])
+
+
+def test_entry_points_hold_the_catalog():
+    assert set(all_queries()) <= set(queries()) and set(all_oracles()) <= set(oracle_sql())
+    assert set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
