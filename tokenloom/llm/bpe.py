@@ -3,8 +3,8 @@
 A task takes the distinct words it has not met yet, lays their symbols end to end and maps every
 mergeable pair to all its places there. Active ranks are applied in ascending order: all places of
 the lowest rank merge at once, and the lists of the pairs that vanish or appear are updated. New
-pairs of a lower rank are taken next. Words repeat, so each Python worker keeps the ids of the words
-it has met, up to ``CACHE_WORDS``; then it starts over.
+pairs of a lower rank are taken next. Words repeat, so a task keeps the ids of the words it has met,
+up to ``CACHE_WORDS``; then it starts over.
 
 Defined results: null or empty text has no ids and decodes to the empty text; repeated rows are
 encoded each for itself; texts are never cut; ids unknown to the vocabulary decode to nothing, as in
@@ -16,16 +16,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import word_bpe
+from tokenloom.llm.common import release
 
-CACHE_WORDS = 1_000_000
-AHEAD_BYTES = 6 << 20  # text whose new words are merged together
+CACHE_WORDS = 150_000
+DECODE_IDS = 1 << 15  # ids whose tokens are put together at once
+AHEAD_BYTES = 1 << 20  # text whose new words are merged together
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -38,16 +42,17 @@ class PairIndex:
 
     def __init__(self, rule: word_bpe.Rules, symbols: np.ndarray, starts: np.ndarray):
         n = len(symbols)
-        self.rule, self.symbol = rule, symbols.astype(np.int64)
-        self.after, self.before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        self.rule, self.symbol = rule, symbols.astype(np.int32)
+        self.after = np.arange(1, n + 1, dtype=np.int32)
+        self.before = np.arange(-1, n - 1, dtype=np.int32)
         first = starts[starts < n]
         self.before[first] = -1
         self.after[np.append(first[1:], n)[: len(first)] - 1] = -1
         self.alive = np.ones(n, bool)
-        self.rank = np.full(n, -1, np.int64)  # of the pair that begins at a place
+        self.rank = np.full(n, -1, np.int32)  # of the pair that begins at a place
         self.places: dict[int, list[np.ndarray]] = {}
         self.active: list[int] = []
-        self._note(np.flatnonzero(self.after >= 0))
+        self._note(np.flatnonzero(self.after >= 0).astype(np.int32))
 
     def _note(self, at: np.ndarray) -> None:
         """Work out the pairs that begin ``at`` these places and enter them in the index."""
@@ -76,7 +81,7 @@ class PairIndex:
             if i != taken:
                 keep.append(i)
                 taken = j
-        return np.array(keep, np.int64)
+        return np.array(keep, np.int32)
 
     def merge(self) -> None:
         while self.active:
@@ -124,7 +129,7 @@ def encode_words(words: list[str], rule: word_bpe.Rules) -> tuple[np.ndarray, np
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     starts = np.cumsum(sizes) - sizes
     raw = np.frombuffer(b"".join(data), np.uint8)
-    symbols = rule.inner[raw].astype(np.int64)
+    symbols = rule.inner[raw]
     ends = starts + sizes - 1
     symbols[ends] = rule.final[raw[ends]]
     index = PairIndex(rule, symbols, starts)
@@ -150,25 +155,27 @@ class Encoder:
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
 
-    def learn(self, texts: list[list[str]]) -> None:
-        new = list(dict.fromkeys(w for t in texts for w in t if w not in self.number))
+    def learn(self) -> None:
+        """Spell the words that have a number and no ids yet."""
+        new = list(islice(self.number, len(self.count), None))
         if not new:
             return
-        if len(self.number) + len(new) > CACHE_WORDS and self.number:
-            self.forget()
-            return self.learn(texts)
         ids, count = encode_words(new, self.rule)
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
         self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: list[str | None]) -> pa.Array:
-        split = [self.rule.words(t) if t else [] for t in texts]
-        self.learn(split)
-        n_words = np.fromiter(map(len, split), np.int64, len(split))
-        number = self.number
-        word = np.fromiter((number[w] for t in split for w in t), np.int64, int(n_words.sum()))
+        if len(self.number) > CACHE_WORDS:
+            self.forget()
+        number, numbered = self.number, []
+        for text in texts:  # numbers are kept, not words, of which a batch has very many
+            words = self.rule.words(text) if text else ()
+            numbered.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        self.learn()
+        n_words = np.fromiter(map(len, numbered), np.int64, len(numbered))
+        word = np.concatenate(numbered) if numbered else np.zeros(0, np.int32)
+        del numbered
         count = self.count[word]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
@@ -192,29 +199,67 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own, ahead, size = encoder(path), [], 0
-
-        def spell():
-            texts = [t for column in ahead for t in column.to_pylist()]
-            ids = own.encode(texts)
-            at = 0
-            for column in ahead:
-                yield ids.slice(at, len(column))
-                at += len(column)
-
-        for column in batches:
-            ahead.append(column)
-            size += column.nbytes
-            if size >= AHEAD_BYTES:
-                yield from spell()
-                ahead, size = [], 0
-        yield from spell()
+        return _spelled(batches, path)
 
     return docs.withColumn(ids, encoded(F.col(text)))
 
 
+def round_trip(
+    docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """``docs`` with the token ids of each text and what they decode to, by one Python worker a task."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in _spelled(batches, path):
+            yield pa.StructArray.from_arrays([column, decode_ids(column, path)], ["ids", "decoded"])
+
+    coded = docs.withColumn("_coded", both(F.col(text)))
+    return coded.withColumns({ids: F.col("_coded.ids"), decoded: F.col("_coded.decoded")}).drop("_coded")
+
+
+def _spelled(batches: Iterator[pa.Array], path: str) -> Iterator[pa.Array]:
+    """Ids of columns of texts; some columns are read ahead, so that their new words merge together."""
+    own, ahead, size = encoder(path), [], 0
+
+    def spell():
+        ids = own.encode([t for column in ahead for t in column.to_pylist()])
+        at = 0
+        for column in ahead:
+            yield ids.slice(at, len(column))
+            at += len(column)
+
+    for column in batches:
+        if column.nbytes > AHEAD_BYTES:  # a batch of long texts is spelled in slices
+            yield from spell()
+            ahead, size = [], 0
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            group = np.cumsum(sizes, dtype=np.int64) // AHEAD_BYTES
+            cuts = _runs(group).tolist()
+            parts = (column.slice(lo, hi - lo).to_pylist() for lo, hi in zip(cuts, cuts[1:]))
+            yield pa.concat_arrays([own.encode(part) for part in parts])
+            release()
+            continue
+        ahead.append(column)
+        size += column.nbytes
+        if size >= AHEAD_BYTES:
+            yield from spell()
+            ahead, size = [], 0
+            release()
+    yield from spell()
+    own.forget()
+    release()
+
+
 def decode_ids(column: pa.Array, path: str) -> pa.Array:
     """Tokens joined by one space, which is what the library gives for a file without a decoder."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    cuts = _runs(np.cumsum(sizes, dtype=np.int64) // DECODE_IDS).tolist() if len(column) else [0, 0]
+    parts = [_decoded(column.slice(lo, hi - lo), path) for lo, hi in zip(cuts, cuts[1:])]
+    return pa.concat_arrays(parts)
+
+
+def _decoded(column: pa.Array, path: str) -> pa.Array:
     if path not in _decoders:
         tokens = np.array([t.encode() for t in word_bpe.rules(path).tokens], object)
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
@@ -241,7 +286,7 @@ def decode_ids(column: pa.Array, path: str) -> pa.Array:
         len(rows), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out[keep])
     )
     made = made.cast(pa.string())
-    return pa.compute.if_else(column.is_valid(), made, None) if column.null_count else made
+    return pc.if_else(column.is_valid(), made, None) if column.null_count else made
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -249,8 +294,6 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
 
     @F.arrow_udf("string")
     def decoded(column: pa.Array) -> pa.Array:
-        import pyarrow.compute  # noqa: F401  (pa.compute)
-
         return decode_ids(column, path)
 
     return tokens.withColumn(text, decoded(F.col(ids)))

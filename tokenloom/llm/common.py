@@ -6,8 +6,8 @@ batch of very long texts never has to fit in memory at once; a single text is th
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from tokenloom.session import materialize, ship_package
 
 __all__ = ["materialize", "ready", "documents", "join_checked", "table_bytes"]
 
-CHUNK_BYTES = 2 << 20  # text worked on at once inside a task
+CHUNK_BYTES = 1 << 18  # text worked on at once inside a task
 BROADCAST_BYTES = 16 << 20  # largest table, in stored bytes, that is sent to every executor
 WORD = r"[^ \x09-\x0D]+"  # the words of the contracts
 
@@ -69,6 +69,16 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on, and others need it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, field: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with at most ``limit`` bytes of ``field``, or one row."""
     _, offsets = flat(batch.column(field))
@@ -78,6 +88,7 @@ def chunks(batch: pa.RecordBatch, field: str, limit: int = CHUNK_BYTES) -> Itera
         end = min(max(end, at + 1), batch.num_rows)
         yield batch.slice(at, end - at)
         at = end
+    release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,21 +144,26 @@ BYTE_VALUE = mix((np.arange(256, dtype=U) + U(1)) * U(0x9E3779B97F4A7C15))
 _BASE = 0x2545F4914F6CDD1D  # odd, so it has an inverse modulo 2**64
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def table(base):
-        out = np.ones(n, U)
-        out[1:] = U(base)
-        return np.multiply.accumulate(out)
+_powers: list[np.ndarray] = []  # of the base and of its inverse, as many as were needed so far
+
+
+def powers(n: int) -> list[np.ndarray]:
+    if not _powers or len(_powers[0]) < n:
+
+        def table(base):
+            out = np.ones(1 << max(16, n.bit_length()), U)
+            out[1:] = U(base)
+            return np.multiply.accumulate(out)
 
-    return table(_BASE), table(pow(_BASE, -1, 1 << 64))
+        _powers[:] = [table(_BASE), table(pow(_BASE, -1, 1 << 64))]
+    return _powers
 
 
 class SpanHash:
     """Hashes of spans of one array, from prefix sums of a polynomial modulo 2**64."""
 
     def __init__(self, values: np.ndarray):
-        up, self.down = _powers(1 << max(16, int(len(values)).bit_length()))
+        up, self.down = powers(len(values) + 1)
         self.total = np.zeros(len(values) + 1, U)
         np.cumsum(values * up[: len(values)], out=self.total[1:])
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import U, mix
+from tokenloom.llm.common import U, chunks, mix, release
 
 GRAM = 3
 SAMPLE_ROWS = 4000  # labelled rows per language, in expectation
@@ -39,7 +39,7 @@ MAX_GRAMS = 20_000  # n-grams per language, the most frequent first: the capacit
 FILTER_BITS = 19  # log2 of the filter's places; 4 MB
 PROBES = 3
 MAX_LANGUAGES = 64
-PIECE = 1 << 20  # letters worked on at once
+PIECE = 1 << 18  # letters worked on at once
 
 _letters: list[np.ndarray] = []
 
@@ -157,7 +157,7 @@ def fit(
     sample = rows.where(draw < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, "text", PIECE)):
             langs = np.array(batch.column(0).to_pylist(), object)
             for one in sorted(set(langs)):
                 texts = batch.column(1).filter(pa.array(langs == one)).to_pylist()
@@ -212,6 +212,7 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame
                     n[at] += some[0]
                     counts[at] += hits[0]
             at = end
+        release()
         best, score = own.decide(n, counts)
         names = pa.array([own.languages[b] if b >= 0 else "und" for b in best], pa.string())
         return pa.StructArray.from_arrays([names, pa.array(score, pa.float64())], ["lang_pred", "score"])

@@ -23,7 +23,7 @@ def query(fn):
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = word_bpe.default_path()
     docs = documents(spark, sf_dir, "doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    coded = bpe.round_trip(docs, path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -120,7 +120,7 @@ def groups(docs: DataFrame, words: int = 3, max_bits: int = 2, text: str = "text
 
 VIEWS = 2
 WORD_BITS = 5
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 
 
 def _lower(data: np.ndarray) -> np.ndarray:
