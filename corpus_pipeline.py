@@ -47,10 +47,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, their number, and whether they decode to what was encoded."""
+    """Token ids of every text, their number, and the digest of what they decode to."""
     ready(spark)
     path = word_bpe.default_path()
-    coded = bpe.decode(bpe.encode(docs.select(*COLUMNS), path), path)
+    coded = bpe.round_trip(docs.select(*COLUMNS), path)
     return coded.select(
         "doc_id",
         "lang",
