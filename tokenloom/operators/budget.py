@@ -1,6 +1,6 @@
 """Which rows a budget keeps.
 
-Every budget of the reference is a sequential rule ("stop after the row that reaches N"). A running
+Every budget is a sequential rule ("stop after the row that reaches N"). A running
 total only grows, so each rule comes down to one cut in the order column. The cuts are scalars: the
 kept rows are then a row-local predicate that reaches the scan as a literal filter, and the wide
 text rows are never joined, sorted or shuffled for it.
