@@ -276,6 +276,52 @@ def test_similar_texts_go_and_others_stay(llm, odd_docs):
 # --- substrings ---------------------------------------------------------------------------------
 
 
+def near_copies(per_kind=12):
+    """Texts and copies at a shingle similarity of 0.8 or more: a tail added or cut, words swapped."""
+    random.seed(41)
+    new = lambda n: [f"w{random.randrange(40_000)}" for _ in range(n)]
+    rows = []
+    for kind in ("added", "cut", "swapped"):
+        for size in (10, 30, 60, 110, 240):
+            for share in (0.08, 0.19):
+                for _ in range(per_kind):
+                    one = new(size)
+                    shingles = size - 4
+                    k = int(share * shingles)
+                    if kind == "added":
+                        two = one + new(max(1, k))
+                    elif kind == "cut":
+                        two = one[: size - max(1, k)]
+                    else:
+                        two = list(one)
+                        for at in random.sample(range(size), max(1, k // 10)):
+                            two[at] = "other"
+                    rows += [" ".join(one), " ".join(two)]
+    return list(enumerate(rows))
+
+
+def similar_pairs(rows, similarity=0.8):
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    by = {}
+    for i, x in sets.items():
+        for y in x:
+            by.setdefault(y, set()).add(i)
+    tried = {(a, b) for x in by.values() for a in x for b in x if a < b}
+    return [(a, b) for a, b in tried if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+
+
+def test_added_cut_and_short_copies_equal_all_pairs(llm):
+    rows = near_copies()
+    pairs = similar_pairs(rows)
+    want = reach([i for i, _ in rows], pairs)
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert len(pairs) > 200 and got == {i: c for i, c in want.items() if i != c}
+
+
 def plain_dedup(rows, window):
     seen, out = set(), {}
     for i, text in sorted(rows):
