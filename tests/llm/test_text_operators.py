@@ -494,6 +494,21 @@ def test_words_that_disclose(llm, odd_docs):
     assert pii.report(odd_docs.limit(0)).count() == 0 and pii.sanitise(odd_docs.limit(0)).count() == 0
 
 
+def test_words_far_away_often_and_rarely_disclose(llm):
+    """A name by an address in 29 documents and far from it in one, and without it in another; a name
+    of three letters in the only two documents of an address; one met once."""
+    far = " plain" * 40
+    rows = [(i, "Grimaldine at jane@corp.example") for i in range(29)]
+    rows += [(29, f"Grimaldine{far} jane@corp.example"), (30, "Grimaldine without")]
+    rows += [(40 + i, "Kim or kim@two.example") for i in range(2)]
+    rows += [(50, "Zebulonia by bob@corp.example")]
+    rows += [(100 + i, "some plain words or others") for i in range(900)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [dict(rows)[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == pii.TERM] for r in pii.report(docs).collect()}
+    assert all(got[i] == ["Grimaldine"] for i in range(30)) and got[30] == []
+    assert got[40] == got[41] == ["Kim"] and got[50] == [] and got[100] == []
+
+
 def test_bags_of_near_lines_are_near(llm):
     random.seed(11)
     rows = []

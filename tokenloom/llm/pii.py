@@ -1,14 +1,15 @@
 """Operator 9: personal data by patterns and by what the corpus discloses, DataFrame functions only.
 
 Patterns find the base spans: email addresses, IP addresses, card numbers and phone numbers. Each
-distinct value is a protected entity. A word near one of its places discloses it by the pointwise
-mutual information of word and entity over the documents of the corpus, set against the entity's own
+distinct value is a protected entity. A word of its documents discloses it by the pointwise mutual
+information of word and entity over the documents of the corpus, set against the entity's own
 information (the public C-sanitisation rule): at a ratio of ``disclosure`` or more the word gives
-the entity away and is a span too. At the default of 1 these are the words that never occur without
-the entity; words met with it in fewer than ``support`` documents are not judged.
+the entity away, and its places outside base spans are spans too. At 1 these are the words that never
+occur without the entity. All counts are of whole documents.
 
-Places come from the lengths of what lies between matches, added up per text. Words are counted over
-all documents.
+Rare entities are a matter of statistics: a word counts only if its meeting the entity so often would
+be chance with a probability below ``chance`` over all pairs of word and entity together (Hoeffding's
+bound for draws without replacement). Words of fewer than three letters are not judged.
 
 Defined results: null text is like the empty text and has no span; a text is never cut; rows that
 repeat an id are judged each for itself, and count as documents of their own; an entity in every
@@ -18,6 +19,8 @@ and the text are read, so other columns do no harm, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +41,7 @@ PATTERNS = [
     r"\+[0-9][ ().0-9-]+[0-9]",
 ]
 NEEDED = ["@", ".", None, "+"]  # a text without this has no match
-WORD = r"\p{L}{4,}"
-NEAR = 80  # characters on either side of a value
+WORD = r"\p{L}{3,}"
 
 
 def _digits(value: Column) -> Column:
@@ -123,61 +125,107 @@ def _entities(spans: DataFrame) -> DataFrame:
     return spans.withColumn("entity", F.concat_ws(":", F.col("kind").cast("string"), plain))
 
 
-def disclosing(docs: DataFrame, rows: DataFrame, spans: DataFrame, text: str, disclosure: float, support: int) -> DataFrame:
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
+def _outside(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``row, outside, words``: distinct words that occur outside the spans, and all, of rows with one."""
+    lists = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
+    cut = F.aggregate(
+        "s",
+        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).cast("long").alias("at"),
+            F.concat(
+                acc["out"],
+                F.lit(" "),
+                F.substring("text", (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int")),
+            ).alias("out"),
+        ),
+    )
+    cut = rows.where("text is not null").join(lists, "row").select("row", "text", cut.alias("cut"))
+    rest = F.expr("concat(cut.out, ' ', substring(text, cast(cut.at as int) + 1))")
+    return cut.select("row", _words(rest).alias("outside"), _words(F.col("text")).alias("words"))
+
+
+def _unlikely(both: Column, one: Column, other: Column, total: Column) -> Column:
+    """Logarithm of a bound on the probability that ``other`` documents of ``total``, drawn by chance,
+    hit ``both`` or more of ``one``."""
+    share, usual = both / one, other / total
+    missed = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - usual))).otherwise(0.0)
+    return F.when(share > usual, -one * (share * F.log(share / usual) + missed)).otherwise(0.0)
+
+
+def disclosing(docs: DataFrame, rows: DataFrame, spans: DataFrame, text: str, disclosure: float, chance: float) -> DataFrame:
     """``row, term``: words that give away an entity of their row."""
-    named = _entities(spans).join(rows.where("text is not null").select("row", "text"), "row")
-    begin = F.greatest(F.col("start") - NEAR, F.lit(0))
-    left = F.expr(f"substring(text, cast(greatest(start - {NEAR}, 0) as int) + 1, cast(start - greatest(start - {NEAR}, 0) as int))")
-    right = F.expr(f"substring(text, cast(end as int) + 1, {NEAR})")
-    left = F.when(begin > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(F.length(right) == NEAR, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    terms = F.array_union(
-        F.regexp_extract_all(F.lower(left), F.lit(WORD), F.lit(0)),
-        F.regexp_extract_all(F.lower(right), F.lit(WORD), F.lit(0)),
+    held = materialize(_entities(spans).select("row", "entity").distinct(), "row-entities")
+    n_entity = held.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    words = materialize(_outside(rows, spans), "entity-row-words")
+    each = held.join(words.select("row", F.size("words").alias("size")), "row")
+    tests = each.agg(F.sum("size")).first()[0] or 0
+    total = float(rows.count())
+    level = math.log(chance / max(tests, 1))
+    # The bound is least if word and entity never occur apart; entities too rare for that are done.
+    least = _unlikely(F.col("n_entity"), F.col("n_entity"), F.col("n_entity"), F.lit(total))
+    n_entity = n_entity.where((F.col("n_entity") < total) & (least < level))
+    n_entity = materialize(n_entity, "entities")
+    mine = held.join(n_entity.select("entity"), "entity").join(words, "row")
+    mine = mine.select(
+        "entity",
+        F.explode(
+            F.concat(
+                F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("all"))),
+                F.transform("outside", lambda w: F.struct(w.alias("term"), F.lit(0).alias("all"))),
+            )
+        ).alias("w"),
+    )
+    pairs = mine.groupBy("entity", "w.term").agg(
+        F.sum("w.all").alias("n_both"), F.min("w.all").alias("inside")
     )
-    near = named.select("row", "entity", F.explode(terms).alias("term")).distinct()
-    near = materialize(near, "near-words")
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    pairs = materialize(pairs.where(F.col("n_both") >= support), "word-entity-counts")
+    pairs = materialize(pairs.where("inside = 0").drop("inside"), "word-entity-counts")
     judged = materialize(pairs.select("term").distinct(), "judged-words")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)))
     # All words are counted before the join: a judged word may be a common one, and its places would
     # be most of the corpus, while its count is one row.
-    n_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    n_term = docs.select(F.explode(_words(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     n_term = n_term.join(judged, "term")
-    n_entity = _entities(spans).select("row", "entity").distinct()
-    n_entity = n_entity.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = F.lit(float(rows.count()))
     told = pairs.join(n_term, "term").join(n_entity, "entity")
     information = F.log2(total / F.col("n_entity"))
     mutual = F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    told = told.where((information > 0) & (mutual >= disclosure * information - 1e-9))
+    both, one, other = F.col("n_both"), F.col("n_entity"), F.col("n_term")
+    rare = F.least(_unlikely(both, one, other, F.lit(total)), _unlikely(both, other, one, F.lit(total)))
+    told = told.where((mutual >= disclosure * information - 1e-9) & (rare < level))
     told = materialize(told.select("entity", "term"), "disclosing-words")
-    return join_checked(near, told, ["entity", "term"]).select("row", "term").distinct()
+    some = held.join(told.select("entity").distinct(), "entity").join(words.select("row", "outside"), "row")
+    some = some.select("row", "entity", F.explode("outside").alias("term"))
+    return join_checked(some, told, ["entity", "term"]).select("row", "term").distinct()
 
 
 def find(
     docs: DataFrame,
-    disclosure: float = 1.0,
-    support: int = 3,
+    disclosure: float = 0.8,
+    chance: float = 0.05,
     text: str = "text",
     row_id: str = "doc_id",
 ) -> tuple[DataFrame, DataFrame]:
     """All rows (``row, id``; ``text`` of those with a base match), and all spans as written tables:
     ``row, kind, start, end``, kinds as in ``LABELS``."""
     rows, base = base_spans(docs, text, row_id)
-    told = materialize(disclosing(docs, rows, base, text, disclosure, support), "told-words")
+    told = materialize(disclosing(docs, rows, base, text, disclosure, chance), "told-words")
     texts = rows.join(told.select("row").distinct(), "row").select("row", "text")
     words = texts.select("row", F.posexplode(_pieces(F.col("text"), WORD)).alias("nth", "piece"))
     words = _placed(words, "row").withColumn("term", F.lower("value"))
     terms = words.join(told, ["row", "term"]).select("row", F.lit(TERM).alias("kind"), "start", "end")
+    known = base.select("row", F.col("start").alias("from"), F.col("end").alias("to"))
+    over = (terms["row"] == known["row"]) & (F.col("start") < F.col("to")) & (F.col("end") > F.col("from"))
+    terms = terms.join(known, over, "left_anti")
     spans = base.select("row", "kind", "start", "end").union(terms)
     return rows, materialize(spans, "spans")
 
 
-def report(docs: DataFrame, disclosure: float = 1.0, support: int = 3, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def report(docs: DataFrame, disclosure: float = 0.8, chance: float = 0.05, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Per row: its id, ``n_`` of every base kind, and the sorted ``spans`` (kind, start, end)."""
-    rows, spans = find(docs, disclosure, support, text, row_id)
+    rows, spans = find(docs, disclosure, chance, text, row_id)
     lists = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("spans"))
     out = rows.select("row", F.col("id").alias(row_id)).join(lists, "row", "left").drop("row")
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")
@@ -205,12 +253,12 @@ def joined(spans: Column) -> Column:
     )
 
 
-def sanitise(docs: DataFrame, disclosure: float = 1.0, support: int = 3, remove: bool = False, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = 0.8, chance: float = 0.05, remove: bool = False, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """``row_id, text`` with every span generalised to its kind in brackets, or removed.
 
     Spans that overlap are one, of the first one's kind.
     """
-    rows, spans = find(docs, disclosure, support, text, row_id)
+    rows, spans = find(docs, disclosure, chance, text, row_id)
     order = Window.partitionBy("row").orderBy("start", "end", "kind")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = spans.withColumn("fresh", (F.coalesce(before, F.lit(-1)) <= F.col("start")).cast("int"))

@@ -74,7 +74,7 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
-    found = pii.report(docs, disclosure=1.0, support=3)
+    found = pii.report(docs, disclosure=0.8, chance=0.05)
     base = pii.joined(F.filter("spans", lambda s: s["kind"] < pii.TERM))
     return found.select(
         "doc_id",
