@@ -322,6 +322,20 @@ def test_added_cut_and_short_copies_equal_all_pairs(llm):
     assert len(pairs) > 200 and got == {i: c for i, c in want.items() if i != c}
 
 
+def test_texts_of_one_bag_are_compared_with_each_other(llm):
+    """Shuffled lists have one word fingerprint; some are near one another, but not near the first."""
+    random.seed(12)
+    items = [[f"i{i}w{j}" for j in range(6)] for i in range(40)]
+    rows = [(0, " ".join(w for x in items for w in x))]
+    for i in range(1, 9, 2):
+        random.shuffle(items)
+        moved = items[1:] + items[:1]
+        rows += [(i, " ".join(w for x in items for w in x)), (i + 1, " ".join(w for x in moved for w in x))]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert got == {i + 1: i for i in range(1, 9, 2)}
+
+
 def plain_dedup(rows, window):
     seen, out = set(), {}
     for i, text in sorted(rows):
