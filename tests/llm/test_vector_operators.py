@@ -132,3 +132,21 @@ def test_near_duplicates_with_saturated_lists(llm, monkeypatch):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in descent.near_duplicates(df).collect()}
     want = linked(vectors, 0.9)
     assert sum(got[i] != want[i] for i in want) == 0
+
+
+def test_pairs_lost_beside_a_hot_group_are_found_in_the_end(llm, monkeypatch):
+    """The descent is kept from finding a thing but the hot group."""
+    monkeypatch.setattr(descent, "EXTRA", 0)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(300, 32))
+    v[:100] = v[0] + 0.05 * rng.normal(size=(100, 32))
+    v[101:160:2] = v[100:160:2] + 0.1 * rng.normal(size=(30, 32))
+    for place, i in enumerate((200, 205, 206, 202)):  # a chain
+        v[i] = np.cos(0.35 * place) * np.eye(32)[0] + np.sin(0.35 * place) * np.eye(32)[1]
+    vectors = {i: x.astype(float) for i, x in enumerate(v.astype(np.float32))}
+    whole = descent.graph_of
+    monkeypatch.setattr(descent, "graph_of", lambda *a: whole(*a).where("a < 100 and b < 100"))
+    df = llm.createDataFrame([(i, [float(x) for x in r]) for i, r in vectors.items()], SCHEMA)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in descent.near_duplicates(df).collect()}
+    want = linked(vectors, 0.9)
+    assert all(got[i] == want[i] for i in want) and sum(n == 1 for n, _ in want.values()) >= 60

@@ -6,10 +6,11 @@ with one another, and a list takes over what is nearer than its last entry. Roun
 finds no more links, that is pairs at or above the threshold.
 
 A list that is full of links is saturated: it is enlarged to the vector's whole component, compared
-in blocks of bounded size, so no link is lost to the length of lists. Components that may be parts of
-one are found by a further descent over one representative each. An audit compares ``AUDIT_ROWS``
-vectors with every row, in blocks; as long as it finds fewer than ``TARGET`` of their links, more
-orders are added.
+in blocks of bounded size. Components that may be parts of one are found by a further descent over one
+representative each. An audit compares ``AUDIT_ROWS`` vectors with every row, in blocks; as long as fewer than
+``TARGET`` of those with one, with few or with many links have all of them, more orders are added, and
+after ``EXTRA`` more all vectors are compared with all, in blocks. Orders and windows grow with the
+logarithm of the number of vectors.
 
 Equal vectors are one, weighted by their number. Links are verified in double precision.
 
@@ -21,6 +22,8 @@ are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,9 +38,10 @@ REVERSE = 12  # vectors that have it as a neighbour, the nearest ones, in a roun
 ORDERS = 8
 SIGNS = 31
 REACH = 12  # places to either side in an order
+SCALE = 8192  # vectors from which orders and reach grow, by two for each doubling
 FIRST = 6  # neighbours taken from each order
 BLOCK = 512  # vectors of a component compared with as many others
-AUDIT_ROWS = 256
+AUDIT_ROWS = 2048
 TARGET = 0.99
 EXTRA = 4  # further sets of orders, at most
 
@@ -65,16 +69,18 @@ def _nearest(pairs: DataFrame, n: int) -> DataFrame:
 
 def _orders(vectors: DataFrame, seed: int) -> DataFrame:
     """Neighbours in random orders: ``a, b, sim``. ``vectors`` has ``rid`` and the unit vector ``u``."""
+    more = max(0, math.ceil(math.log2(max(vectors.count(), 1) / SCALE)))
+    orders, reach = ORDERS + 2 * more, REACH + 2 * more
 
     def code(batches):
         ways = None
         for batch in batches:
             u = matrix(batch.column(1))
             if ways is None:
-                ways = np.random.default_rng(seed).normal(size=(u.shape[1], ORDERS * SIGNS))
-            bits = ((u @ ways) > 0).reshape(len(u), ORDERS, SIGNS)
+                ways = np.random.default_rng(seed).normal(size=(u.shape[1], orders * SIGNS))
+            bits = ((u @ ways) > 0).reshape(len(u), orders, SIGNS)
             codes = bits @ (1 << np.arange(SIGNS)[::-1])
-            for t in range(ORDERS):
+            for t in range(orders):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(u), t, np.int32)),
@@ -95,7 +101,7 @@ def _orders(vectors: DataFrame, seed: int) -> DataFrame:
             rid = np.concatenate([held_id, batch.column(2).to_numpy()])
             u = u if held is None else np.concatenate([held, u])
             a, b, s = [], [], []
-            for step in range(1, min(REACH, len(rid) - 1) + 1):
+            for step in range(1, min(reach, len(rid) - 1) + 1):
                 ok = way[step:] == way[:-step]
                 sim = np.einsum("ij,ij->i", u[step:], u[:-step])
                 a += [rid[step:][ok], rid[:-step][ok]]
@@ -109,7 +115,7 @@ def _orders(vectors: DataFrame, seed: int) -> DataFrame:
                 nth = np.arange(len(a)) - np.flatnonzero(first)[np.cumsum(first) - 1]
                 few = nth < FIRST
                 yield _pairs(a[few], b[few], s[few])
-            held_way, held_id, held = way[-REACH:], rid[-REACH:], u[-REACH:]
+            held_way, held_id, held = way[-reach:], rid[-reach:], u[-reach:]
 
     keyed = vectors.select("rid", "u").mapInArrow(code, "way int, code long, rid long, u array<float>")
     order = ["way", "code", "rid"]
@@ -250,6 +256,68 @@ def _true_links(vectors: DataFrame, threshold: float) -> DataFrame:
     return materialize(found.groupBy("rid").agg(F.sum("truth").alias("truth")), "audit")
 
 
+def _blocks(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """``rid, links, to``: links of every vector across the given pairs of blocks, counted, and the least id they reach.
+
+    ``rows`` has ``block, rid, v, n`` and ``pairs`` has ``i, j``; with ``i = j`` a block meets itself.
+    """
+    here = rows.join(pairs.withColumn("block", F.col("i")), "block")
+    there = rows.join(pairs.where("i != j").withColumn("block", F.col("j")), "block")
+    sent = here.union(there).select("i", "j", "block", "rid", "v", "n")
+
+    def count(table: pa.Table) -> pa.Table:
+        block, rid, n = (table.column(c).to_numpy() for c in ("block", "rid", "n"))
+        u = unit(matrix(table.column("v")))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        near = (u[one] @ u[two].T) >= threshold
+        if i == j:
+            np.fill_diagonal(near, False)
+        last = np.iinfo(np.int64).max
+        label, before = rid.copy(), None
+        while before is None or (label != before).any():  # the least id that these links reach
+            before = label.copy()
+            low = np.where(near, label[two][None], last).min(1, initial=last)
+            label[one] = np.minimum(label[one], low)
+            low = np.where(near, label[one][:, None], last).min(0, initial=last)
+            label[two] = np.minimum(label[two], low)
+        found = []
+        for mine, others, hit in [(one, two, near), (two, one, near.T)][: 1 + (i != j)]:
+            some = hit.any(1)
+            found.append((rid[mine][some], (hit @ n[others])[some], label[mine][some]))
+        a, links, to = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"rid": pa.array(a), "links": pa.array(links.astype(np.int64)), "to": pa.array(to)})
+
+    return sent.groupBy("i", "j").applyInArrow(count, "rid long, links long, to long")
+
+
+def _meetings(blocks: DataFrame) -> DataFrame:
+    """``i, j``: every pair of ``blocks`` once, each with itself too."""
+    one, two = blocks.select(F.col("block").alias("i")), blocks.select(F.col("block").alias("j"))
+    return one.crossJoin(two).where(F.col("i") <= F.col("j"))
+
+
+def _exact(vectors: DataFrame, threshold: float) -> DataFrame:
+    """What ``_judge`` returns, by comparing all with all in blocks."""
+    parts = max(1, -(-vectors.count() // (4 * BLOCK)))
+    rows = vectors.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(parts)).cast("int"))
+    pairs = _meetings(rows.select("block").distinct())
+    found = materialize(_blocks(rows.select("block", "rid", "v", "n"), pairs, threshold), "counted")
+    reach = components(found.select(F.least("rid", "to").alias("a"), F.greatest("rid", "to").alias("b")))
+    links = found.groupBy("rid").agg(F.sum("links").alias("links"))
+    return materialize(
+        links.join(reach.withColumnRenamed("id", "rid"), "rid").select("rid", "component", "links"), "judged"
+    )
+
+
+def _met(truth: DataFrame, judged: DataFrame) -> bool:
+    """Whether ``TARGET`` of the sampled vectors have all their links, in each class of their number."""
+    whole = F.coalesce("links", F.lit(0)) >= F.col("truth")
+    kind = F.when(F.col("truth") < 2, 1).when(F.col("truth") < LIST, 2).otherwise(3)
+    shares = truth.where("truth > 0").join(judged, "rid", "left").groupBy(kind.alias("kind"))
+    return all(r["share"] >= TARGET for r in shares.agg(F.avg(whole.cast("int")).alias("share")).collect())
+
+
 def _judge(vectors: DataFrame, graph: DataFrame, threshold: float, seed: int) -> DataFrame:
     """``rid, component, links``: written, for the vectors with a link."""
     edges = materialize(_verified(vectors, graph, threshold), "links")
@@ -313,11 +381,10 @@ def near_duplicates(
     for extra in range(1 + EXTRA):
         graph = graph_of(vectors, threshold, seed + 100 * extra, graph)
         judged = _judge(vectors, graph, threshold, seed)
-        held = truth.join(judged, "rid", "left").agg(
-            F.sum("truth"), F.sum(F.least("truth", F.coalesce("links", F.lit(0))))
-        ).first()
-        if not held[0] or held[1] >= TARGET * held[0]:
+        if _met(truth, judged):
             break
+    else:
+        judged = _exact(vectors, threshold)
     member = rows.join(vectors.select("v", "rid", "n"), "v").select("id", "rid", "n")
     out = member.join(judged, "rid", "left").select(
         "id",
