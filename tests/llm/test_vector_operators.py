@@ -134,6 +134,27 @@ def test_near_duplicates_with_saturated_lists(llm, monkeypatch):
     assert sum(got[i] != want[i] for i in want) == 0
 
 
+def test_links_between_groups_of_saturated_lists(llm):
+    """Two dense groups whose nearest vectors are their own, with links between them."""
+    rng = np.random.default_rng(6)
+    mid = rng.normal(size=(2, 32))
+    mid[0] /= np.linalg.norm(mid[0])
+    mid[1] -= mid[0] * (mid[0] @ mid[1])
+    mid[1] = 0.915 * mid[0] + (1 - 0.915**2) ** 0.5 * mid[1] / np.linalg.norm(mid[1])
+    v = np.concatenate([m + 0.22 / 32**0.5 * rng.normal(size=(150, 32)) for m in mid]).astype(np.float32)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T
+    np.fill_diagonal(near, -1)
+    lists = np.argsort(-near, axis=1)[:, : descent.LIST]
+    assert ((lists < 150) == (np.arange(300) < 150)[:, None]).all() and (near[:150, 150:] >= 0.9).sum() > 100
+    assert near[0, 150] < 0.9
+    vectors = {i: x.astype(float) for i, x in enumerate(v)}
+    df = llm.createDataFrame([(i, [float(x) for x in r]) for i, r in vectors.items()], SCHEMA)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in descent.near_duplicates(df).collect()}
+    want = linked(vectors, 0.9)
+    assert all(got[i] == want[i] for i in want)
+
+
 def test_pairs_lost_beside_a_hot_group_are_found_in_the_end(llm, monkeypatch):
     """The descent is kept from finding a thing but the hot group."""
     monkeypatch.setattr(descent, "EXTRA", 0)

@@ -6,8 +6,9 @@ with one another, and a list takes over what is nearer than its last entry. Roun
 finds no more links, that is pairs at or above the threshold.
 
 A list that is full of links is saturated: it is enlarged to the vector's whole component, compared
-in blocks of bounded size. Components that may be parts of one are found by a further descent over one
-representative each. An audit compares ``AUDIT_ROWS`` vectors with every row, in blocks; as long as fewer than
+in blocks of bounded size. Two vectors whose link is in neither list both have saturated ones, so such
+vectors of different components are compared in blocks too, unless middles and radii of the blocks rule
+a link out. An audit compares ``AUDIT_ROWS`` vectors with every row, in blocks; as long as fewer than
 ``TARGET`` of those with one, with few or with many links have all of them, more orders are added, and
 after ``EXTRA`` more all vectors are compared with all, in blocks. Orders and windows grow with the
 logarithm of the number of vectors.
@@ -297,6 +298,59 @@ def _meetings(blocks: DataFrame) -> DataFrame:
     return one.crossJoin(two).where(F.col("i") <= F.col("j"))
 
 
+def _between(vectors: DataFrame, edges: DataFrame, reach: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: links that join components. A link that no list holds is one of two full lists, so the
+    vectors with full lists are compared across components, in blocks.
+
+    Blocks are parts of one component. Two are compared if their middles are no further apart than
+    their radii and the angle of a link, which leaves out none.
+    """
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    full = both.groupBy("a").agg(F.count("*").alias("entries")).where(F.col("entries") >= LIST)
+    full = full.select(F.col("a").alias("rid")).join(reach.withColumnRenamed("id", "rid"), "rid")
+    size = full.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    rows = full.join(size, "component").join(vectors.select("rid", "v", "n"), "rid")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rid"), "parts").cast("int"))
+    rows = rows.withColumn("block", F.concat_ws(":", "component", "part"))
+    rows = materialize(rows.select("block", "component", "rid", "v", "n"), "full-lists")
+
+    def middle(table: pa.Table) -> pa.Table:
+        u = unit(matrix(table.column("v")))
+        mid = u.sum(0)
+        mid = unit(mid[None])[0] if np.abs(mid).max() > 0 else u[0]
+        radius = float(np.arccos(np.clip(u @ mid, -1, 1)).max())
+        return table.slice(0, 1).select(["block", "component"]).append_column(
+            "mid", lists(mid[None])
+        ).append_column("radius", pa.array([radius]))
+
+    mids = rows.groupBy("block").applyInArrow(middle, "block string, component long, mid array<double>, radius double")
+    mids = materialize(mids, "middles")
+    cut = mids.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(max(1, -(-mids.count() // BLOCK)))).cast("int"))
+    cut = materialize(cut, "middles-in-parts")
+    parts = _meetings(cut.select(F.col("part").alias("block")).distinct())
+    here = cut.join(parts.withColumn("part", F.col("i")), "part")
+    there = cut.join(parts.where("i != j").withColumn("part", F.col("j")), "part")
+
+    def close(table: pa.Table) -> pa.Table:
+        part, component, radius = (table.column(c).to_numpy() for c in ("part", "component", "radius"))
+        name, u = np.array(table.column("block").to_pylist(), object), matrix(table.column("mid"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        one, two = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        angle = np.arccos(np.clip(u[one] @ u[two].T, -1, 1))
+        most = radius[one][:, None] + radius[two][None] + np.arccos(threshold) + 1e-6
+        ok = (angle <= most) & (component[one][:, None] != component[two][None])
+        x, y = np.nonzero(ok)
+        a, b = name[one[x]], name[two[y]]
+        once = a < b if i == j else np.ones(len(a), bool)
+        return pa.table({"i": pa.array(a[once], pa.string()), "j": pa.array(b[once], pa.string())})
+
+    near = here.unionByName(there).groupBy("i", "j").applyInArrow(close, "i string, j string")
+    near = materialize(near, "blocks-in-reach")
+    found = _blocks(rows, near, threshold)
+    found = found.select(F.least("rid", "to").alias("a"), F.greatest("rid", "to").alias("b")).where("a != b").distinct()
+    return found.join(edges, ["a", "b"], "left_anti")
+
+
 def _exact(vectors: DataFrame, threshold: float) -> DataFrame:
     """What ``_judge`` returns, by comparing all with all in blocks."""
     parts = max(1, -(-vectors.count() // (4 * BLOCK)))
@@ -322,16 +376,8 @@ def _judge(vectors: DataFrame, graph: DataFrame, threshold: float, seed: int) ->
     """``rid, component, links``: written, for the vectors with a link."""
     edges = materialize(_verified(vectors, graph, threshold), "links")
     reach = materialize(components(edges), "components")
-    while True:  # components that the lists hold apart
-        heads = reach.select(F.col("component").alias("rid")).distinct()
-        heads = materialize(vectors.join(heads, "rid"), "representatives")
-        if heads.count() < 2:
-            break
-        more = _verified(heads, graph_of(heads, threshold, seed + 1), threshold)
-        more = more.join(edges, ["a", "b"], "left_anti")
-        more = materialize(more, "more-links")
-        if not more.count():
-            break
+    more = materialize(_between(vectors, edges, reach, threshold), "more-links")
+    if more.count():
         edges = materialize(edges.union(more), "links")
         reach = materialize(components(edges), "components")
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
