@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, descent, language, lines, mixing, neighbours, pii, simhash, substrings, token_counts, word_bpe
+from tokenloom.llm import (
+    bitplanes,
+    bpe,
+    descent,
+    language,
+    lines,
+    merkle,
+    mixing,
+    neighbours,
+    pii,
+    simhash,
+    substrings,
+    token_counts,
+    word_bpe,
+)
 from tokenloom.llm.common import documents, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +123,18 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descent.near_duplicates(table, threshold=0.9)
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "source", "lang", "n_chars", "text")
+    return merkle.verified(docs)
+
+
+@query
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = ready(spark).read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return bitplanes.cluster(table, k=16, rounds=3, seed=1, scale=64)
+
+
 # --- the queries as SQL, where SQL can express them ----------------------------------------------
 
 ORACLES["op1_mix_sources"] = r"""
@@ -188,3 +214,90 @@ kept AS (
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
        sha256(coalesce(text, '')) AS kept_sha256
 FROM split LEFT JOIN kept USING (doc_id)"""
+
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_CRC = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                               lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+def _climb(name: str, leaves: str) -> str:
+    """Nodes of all levels over ``tree, pos, digest``, and the steps from each leaf to its top."""
+    return f"""{name}_nodes AS (
+  SELECT tree, 0 AS level, pos, digest, count(*) OVER (PARTITION BY tree) AS n FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3
+  FROM {name}_nodes WHERE n > 1 GROUP BY tree, level, pos // 3, n),
+{name}_steps AS (
+  SELECT l.tree, l.pos, x.level, string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos < l.pos // (3 ** x.level)::BIGINT) AS "left",
+         string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos > l.pos // (3 ** x.level)::BIGINT) AS "right"
+  FROM {leaves} l JOIN {name}_nodes x
+    ON l.tree = x.tree AND x.n > 1 AND x.pos // 3 = l.pos // (3 ** (x.level + 1))::BIGINT
+  GROUP BY l.tree, l.pos, x.level)"""
+
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, sha256({_LEAF} || {_FIELD.format("text")}) AS digest,
+         CASE WHEN {_CRC} % 2 = 0 THEN sha256({_LEAF} || {_FIELD.format("replace(text, chr(10), '')")})
+              ELSE sha256({_LEAF} || {_FIELD.format("text")}) END AS changed,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos
+  FROM documents),
+{_climb("doc", "leaves")},
+subroots AS (
+  SELECT '' AS tree, tree AS source, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos
+  FROM doc_nodes WHERE n = 1),
+{_climb("source", "subroots")},
+steps AS (
+  SELECT tree, pos, level, "left", "right" FROM doc_steps
+  UNION ALL
+  SELECT l.tree, l.pos, 1000 + u.level, u."left", u."right"
+  FROM leaves l JOIN subroots s ON s.source = l.tree JOIN source_steps u ON u.pos = s.pos),
+placed AS (
+  SELECT tree, pos, coalesce("left", '') AS "left", coalesce("right", '') AS "right",
+         row_number() OVER (PARTITION BY tree, pos ORDER BY level) AS i FROM steps),
+proofs AS (SELECT tree, pos, sha256(string_agg("left" || "right", '' ORDER BY i)) AS proof FROM placed GROUP BY tree, pos),
+folds AS (
+  SELECT tree, pos, 0::BIGINT AS i, changed AS digest FROM leaves
+  UNION ALL
+  SELECT f.tree, f.pos, p.i, sha256(p."left" || f.digest || p."right")
+  FROM folds f JOIN placed p ON p.tree = f.tree AND p.pos = f.pos AND p.i = f.i + 1),
+folded AS (SELECT tree, pos, arg_max(digest, i) AS digest FROM folds GROUP BY tree, pos)
+SELECT l.doc_id, l.digest AS leaf, s.digest AS subroot, r.digest AS root,
+       coalesce(p.proof, sha256('')) AS proof_sha256, f.digest AS folded_root, f.digest = r.digest AS verified
+FROM leaves l JOIN subroots s ON s.source = l.tree JOIN folded f ON f.tree = l.tree AND f.pos = l.pos
+LEFT JOIN proofs p ON p.tree = l.tree AND p.pos = l.pos,
+(SELECT digest FROM source_nodes WHERE n = 1) r"""
+
+
+def _assign(i: int) -> str:
+    """Nearest centroids, then the centroids that follow from them."""
+    return f"""a{i} AS (
+  SELECT vec_id, any_value(x) AS x, min(d) AS d, arg_min(c, d * 16 + c) AS c FROM (
+    SELECT x.vec_id, x.x, y.c,
+           list_sum(list_transform(list_zip(x.x, y.y), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+    FROM scaled x, c{i} y) GROUP BY vec_id)"""
+
+
+def _move(i: int) -> str:
+    return f"""c{i + 1} AS (
+  SELECT c, coalesce(m.y, o.y) AS y FROM c{i} o LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS y FROM (
+      SELECT c, i, sum(v)::BIGINT AS s, count(*) AS n
+      FROM (SELECT c, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{i}) GROUP BY c, i)
+    GROUP BY c) m USING (c))"""
+
+
+ORACLES["op12_centroid_clusters"] = f"""
+WITH scaled AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, x AS y
+  FROM (SELECT x, sha256('1:' || vec_id) AS h FROM scaled ORDER BY h LIMIT 16)),
+{", ".join(f"{_assign(i)}, {_move(i)}" for i in range(3))}, {_assign(3)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(y, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (c)"""
