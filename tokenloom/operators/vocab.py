@@ -12,12 +12,13 @@ from collections.abc import Callable, Container, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions import text
+from tokenloom.operators.wordcodes import WordCodes, encoded
 from tokenloom.session import materialize, ship_package
 
 MAX_VOCAB = 65536  # ids are 16 bits wide in shards
@@ -300,14 +301,6 @@ def _merged(syms: str, merges: Sequence[tuple[str, str]]) -> str:
     return syms
 
 
-# Fixed value: the word pattern in the syntax of the third-party ``regex`` module, whose \s and \p
-# classes are Unicode already.
-_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-CACHED_WORD_CHARS = 64
-
-
 def _merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Apply the lowest-ranked merge until none applies; a heap keeps very long words cheap."""
     size = len(ids)
@@ -337,45 +330,52 @@ def _merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -
     return [i for i in ids if i >= 0]
 
 
-@lru_cache(maxsize=4)
-def _word_encoder(vocabulary: Vocabulary):
-    """Per-process word encoder with a bounded cache: frequent words are merged once."""
-    import regex
+SHORT_WORD = 24  # symbols up to which looking through all pairs beats a heap
+
 
-    pattern = regex.compile(_WORDS)
+def _merge_short(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """:func:`_merge_word` for a word of few symbols."""
+    while len(ids) > 1:
+        found = [(ranks[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
+        if not found:
+            break
+        (_, new), at = min(found)
+        ids[at : at + 2] = [new]
+    return ids
+
+
+@lru_cache(maxsize=4)
+def _word_codes(vocabulary: Vocabulary) -> WordCodes:
+    """One dictionary of words per vocabulary and worker."""
     byte_ids = text.byte_symbol_ids()
     ranks: dict[tuple[int, int], tuple[int, int]] = {}
     for rank, (left, right, new) in enumerate(vocabulary.merges):
         ranks.setdefault((left, right), (rank, new))
 
-    def merge(word: str) -> list[int]:
-        return _merge_word([byte_ids[b] for b in word.encode("utf-8")], ranks)
-
-    cached = lru_cache(maxsize=1 << 18)(merge)
-
-    def encode(value: str) -> list[int]:
-        out: list[int] = []
-        for word in pattern.findall(value):
-            out += cached(word) if len(word) <= CACHED_WORD_CHARS else merge(word)
+    def spell(words: list[str]) -> list[list[int]]:
+        out = []
+        for word in words:
+            ids = [byte_ids[b] for b in word.encode("utf-8")]
+            out.append(_merge_short(ids, ranks) if len(ids) <= SHORT_WORD else _merge_word(ids, ranks))
         return out
 
-    return encode
+    return WordCodes(spell)
 
 
 def encoder(spark: SparkSession, vocabulary: Vocabulary):
     """Column function text -> ``array<int>``.
 
-    Without merges the byte tokenizer stays in the JVM. Otherwise an Arrow UDF encodes batches with
-    the vocabulary from a broadcast, which the 16-bit id range bounds at 65,536 entries.
+    Without merges the byte tokenizer stays in the JVM. Otherwise the JVM splits words and an Arrow
+    UDF gathers their ids, with the vocabulary from a broadcast, which the 16-bit id range bounds at
+    65,536 entries.
     """
     if not vocabulary.merges:
         return text.byte_ids
     ship_package(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(values: pd.Series) -> pd.Series:
-        word_ids = _word_encoder(shared.value)
-        return values.map(lambda v: None if v is None else word_ids(v))
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(words: pa.Array) -> pa.Array:
+        return encoded(_word_codes(shared.value), words)
 
-    return encode
+    return lambda value: encode(text.words(value))
