@@ -67,6 +67,17 @@ def scratch(spark: SparkSession):
         _remove(spark, blocks.pop())
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, removed like the tables of :func:`materialize`."""
+    path = f"{durable_dir(spark)}/tokenloom/{name}-{uuid.uuid4().hex}"
+    blocks = _open.__dict__.get("blocks")
+    if blocks:
+        blocks[-1].append(path)
+    else:
+        _left.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
@@ -74,13 +85,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     ends at committed files, and columns a later pass does not ask for are never read again.
     """
     spark = df.sparkSession
-    path = f"{durable_dir(spark)}/tokenloom/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(spark, name)
     df.write.mode("errorifexists").parquet(path)
-    blocks = _open.__dict__.get("blocks")
-    if blocks:
-        blocks[-1].append(path)
-    else:
-        _left.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
