@@ -20,9 +20,11 @@ from tokenloom.llm import (
     simhash,
     substrings,
     token_counts,
+    token_files,
     word_bpe,
 )
 from tokenloom.llm.common import documents, ready
+from tokenloom.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,6 +137,17 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.cluster(table, k=16, rounds=3, seed=1, scale=64)
 
 
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = shared_folder(spark, "token-files")
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    token_files.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    found = token_files.read(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 # --- the queries as SQL, where SQL can express them ----------------------------------------------
 
 ORACLES["op1_mix_sources"] = r"""
