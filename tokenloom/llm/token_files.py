@@ -42,7 +42,6 @@ from tokenloom.llm.common import release
 from tokenloom.operators.running import running_totals
 from tokenloom.operators.wordcodes import WordCodes, some_rows
 from tokenloom.sources import files
-from tokenloom.sources.shards import dealt
 
 MAGIC, VERSION = b"TLID", 1
 HEADER = struct.Struct("<4sHxxIIIIQI")
@@ -239,7 +238,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield from _documents(named, sizes, ids, start)
                 release()
 
-    return dealt(tasks, "begin").mapInArrow(load, "doc_id long, start long, n_tokens long, ids binary")
+    cores = spark.sparkContext.defaultParallelism
+    dealt = tasks.repartition(max(1, min(tasks.count(), 4 * cores)))  # rows are small, what they name is large
+    return dealt.mapInArrow(load, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _documents(named: list[int | None], sizes: np.ndarray, ids: np.ndarray, start: int) -> Iterator[pa.RecordBatch]:
