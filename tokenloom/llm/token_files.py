@@ -40,7 +40,7 @@ from tokenloom.functions import text as words_of
 from tokenloom.llm import rangecoder
 from tokenloom.llm.common import release
 from tokenloom.operators.running import running_totals
-from tokenloom.operators.wordcodes import WordCodes, some_rows
+from tokenloom.operators.wordcodes import WordCodes, flattened, some_rows
 from tokenloom.sources import files
 
 MAGIC, VERSION = b"TLID", 1
@@ -146,8 +146,8 @@ def word_codes(path: str) -> WordCodes:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def spell(new: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+    def spell(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flattened([e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
 
     return WordCodes(spell)
 
