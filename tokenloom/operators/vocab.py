@@ -12,6 +12,7 @@ from collections.abc import Callable, Container, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,9 +125,11 @@ def _pairs_in(syms: str) -> str:
 
 def pair_counts(spelled: DataFrame) -> DataFrame:
     """``pair``, ``n`` from ``syms``, ``n``: adjacent symbols, each weighted by its word's count."""
+    cut = spelled.where("char_length(syms) > 1").select(
+        "syms", "n", F.expr("explode(sequence(1, char_length(syms) - 1)) as i")
+    )
     return (
-        spelled.select(F.explode(F.expr(_pairs_in("syms"))).alias("pair"), "n")
-        .groupBy("pair")
+        cut.groupBy(F.expr("substring(syms, i, 2) as pair"))
         .agg(F.sum("n").alias("n"))
     )
 
@@ -140,23 +143,23 @@ def learn(
     counts: DataFrame,
     vocab_size: int,
     min_count: int = MIN_COUNT,
-    rewrite_every: int = 48,
+    rewrite_every: int = 512,
     ranking: int = 20_000,
 ) -> Vocabulary:
     """Learn merges from ``word``, ``n`` until the vocabulary has ``vocab_size`` entries.
 
     One full pair count gives a ranking of bounded length. From then on each round sends back only
-    what its merges changed, counted over the words that contain them; a new full count is due when
-    the ranking is used up. Every ``rewrite_every`` merges the merged words are written out, which
-    keeps the work per round flat and ends the lineage, and words that became equal are joined.
+    what its merges changed, counted over the words that hold a merged pair, which the occurrence
+    index (:class:`_Index`) names; a new full count is due when the ranking is used up. Every
+    ``rewrite_every`` merges the merged words are written out and indexed anew, which bounds the
+    work per word and ends the lineage, and words that became equal are joined.
     """
     if not FIRST_MERGE <= vocab_size <= MAX_VOCAB:
         raise ValueError(f"vocab_size must lie between {FIRST_MERGE} and {MAX_VOCAB}")
     symbols = list(text.byte_symbols())
     known = {s: i for i, s in enumerate(symbols) if s}
     merges: list[tuple[int, int, int]] = []
-    words = _word_table(counts.select(as_symbols(F.col("word")).alias("syms"), "n"))
-    pending: list[tuple[str, str]] = []
+    index = _Index(counts.select(as_symbols(F.col("word")).alias("syms"), "n"), len(symbols))
     ranked: _Ranking | None = None
 
     def joined(pair: str) -> bytes:
@@ -167,8 +170,8 @@ def learn(
             room = vocab_size - len(symbols)
             taken = ranked.independent(room, joined, known) if ranked else []
             if not taken:
-                now = words.select(F.expr(_merged("syms", pending)).alias("syms"), "n")
-                ranked = _Ranking(best_pairs(pair_counts(now), ranking, min_count), ranking, min_count)
+                best = best_pairs(pair_counts(index.current()), ranking, min_count)
+                ranked = _Ranking(best, ranking, min_count)
                 taken = ranked.independent(room, joined, known)
             if not taken:
                 raise ValueError("The text repeats too few pairs for so large a vocabulary")
@@ -189,20 +192,92 @@ def learn(
             if remade:
                 ranked = None
             else:
-                changes = _changes(words, pending, step).collect()
-                ranked.update(changes, {new for _, new in step})
-            pending += step
-            if len(pending) >= rewrite_every:
-                now = words.select(F.expr(_merged("syms", pending)).alias("syms"), "n")
-                same = now.where(F.char_length("syms") > 1).groupBy("syms")
-                fresh = _word_table(same.agg(F.sum("n").alias("n")))
-                words.unpersist()
-                words, pending = fresh, []
+                ranked.update(index.changes(step).collect(), {new for _, new in step})
+            index.apply(step)
+            if len(index.pending) >= rewrite_every:
+                index.rewrite(len(symbols))
     finally:
-        words.unpersist()
+        index.close()
     return Vocabulary(tuple(symbols), tuple(merges))
 
 
+class _Index:
+    """Distinct words, and for every pair of symbols the words that hold it.
+
+    Both are written when words are spelled anew. Merges made since (``pending``) are not written
+    back: a word's present spelling is its written one with those merges applied, and only words
+    that a round looks up are spelled out. A pair with a symbol made since then occurs only in words
+    that held a pair the symbol was made of, so written pairs (its cover) name the words of every
+    pair. Index rows carry the word, sorted by pair: a round reads the
+    batches that hold its cover alone.
+    """
+
+    def __init__(self, words: DataFrame, base: int):
+        self._write(words, base)
+
+    def _write(self, words: DataFrame, base: int) -> None:
+        self.words = materialize(words, "words")
+        rows = self.words.select(F.explode(F.array_distinct(F.expr(_pairs_in("syms")))).alias("pair"), "syms", "n")
+        tasks = min(4 * rows.sparkSession.sparkContext.defaultParallelism, self.words.count() // WORDS_PER_TASK + 1)
+        # Dealt by word, so that the words of one pair spread over all tasks.
+        laid = rows.repartition(tasks, "syms").sortWithinPartitions("pair")
+        self.rows = materialize(laid, "pair-index").persist()
+        self.base = base  # symbols that the written words know
+        self.made: dict[int, set[str]] = {}  # symbol made since: the written pairs it came from
+        self.pending: list[tuple[str, str]] = []
+
+    def cover(self, pair: str) -> set[str]:
+        """Written pairs of which every word that now holds ``pair`` held one."""
+        left, right = map(char_id, pair)
+        if left >= self.base:
+            return self.made[left]
+        if right >= self.base:
+            return self.made[right]
+        return {pair} | self.made.get(left, set()) | self.made.get(right, set())
+
+    def current(self) -> DataFrame:
+        """``syms``, ``n``: every word as it is spelled now."""
+        return self.words.select(F.expr(_merged("syms", self.pending)).alias("syms"), "n")
+
+    def changes(self, step: Sequence[tuple[str, str]]) -> DataFrame:
+        """Count changes of all pairs in the words that a step of merges touches.
+
+        At most a few rows per merge and vocabulary entry come back: changed pairs hold a merged
+        symbol. A word found by several pairs counts at the first one. Generators keep spellings
+        from being worked out twice, and pairs are cut by compiled code.
+        """
+        cover = sorted(set().union(*(self.cover(pair) for pair, _ in step)))
+        found = self.rows.where(F.col("pair").isin(cover))
+        if len(cover) > 1:
+            names = ", ".join(f"'{pair}'" for pair in cover)
+            found = found.where(F.expr(f"element_at(filter(array({names}), p -> contains(syms, p)), 1) = pair"))
+        spelled = found.select("n", F.explode(F.array(F.expr(_merged("syms", self.pending)))).alias("w"))
+        touched = spelled.where(" or ".join(f"contains(w, '{pair}')" for pair, _ in step))
+        sides = touched.select(
+            F.expr(f"inline(array(struct(w as s, -n as by), struct({_merged('w', step)} as s, n as by)))")
+        ).where("char_length(s) > 1")
+        pairs = sides.select("s", "by", F.expr("explode(sequence(1, char_length(s) - 1)) as i"))
+        return (
+            pairs.groupBy(F.expr("substring(s, i, 2) as pair"))
+            .agg(F.sum("by").alias("n"))
+            .where("n != 0")
+        )
+
+    def apply(self, step: Sequence[tuple[str, str]]) -> None:
+        for pair, new in step:
+            self.made.setdefault(char_id(new), set()).update(self.cover(pair))
+        self.pending += step
+
+    def rewrite(self, base: int) -> None:
+        same = self.current().where(F.char_length("syms") > 1).groupBy("syms")
+        before = self.rows
+        self._write(same.agg(F.sum("n").alias("n")), base)
+        before.unpersist()
+
+    def close(self) -> None:
+        self.rows.unpersist()
+
+
 class _Ranking:
     """Most frequent pairs with exact counts, and the rank below which other pairs may hide.
 
@@ -249,56 +324,31 @@ class _Ranking:
         return taken
 
     def update(self, changes, new_symbols: set[str]) -> None:
+        """Take in the changes of a round. Counts only fall from here on, so a pair that ranks
+        below the least one known, or occurs too rarely, is dropped for good."""
         for row in changes:
-            pair, change = row["pair"], row["n"]
+            pair, n = row["pair"], row["n"]
             if pair in self.counts:
-                self.counts[pair] += change
-            elif not new_symbols.isdisjoint(pair):
-                self.counts[pair] = change
+                n += self.counts[pair]
+            elif new_symbols.isdisjoint(pair):
+                continue
+            if n < self.min_count or (self.last is not None and (-n, pair) > self.last):
+                self.counts.pop(pair, None)
+            else:
+                self.counts[pair] = n
 
 
 WORDS_PER_TASK = 25_000
 
 
-def _word_table(words: DataFrame) -> DataFrame:
-    """Distinct words, durable and cached, in as many partitions as their number needs."""
-    table = materialize(words, "words")
-    most = 4 * table.sparkSession.sparkContext.defaultParallelism
-    tasks = min(most, table.count() // WORDS_PER_TASK + 1)
-    return table.repartition(tasks, "syms").persist()
-
-
-def _changes(
-    words: DataFrame, pending: Sequence[tuple[str, str]], step: Sequence[tuple[str, str]]
-) -> DataFrame:
-    """Count changes of all pairs in the words that a step of merges touches.
-
-    At most a few rows per merge and vocabulary entry come back: changed pairs hold a merged
-    symbol. One-element transforms bind a value that is used more than once.
-    """
-    signed = "transform({pairs}, p -> struct(p as pair, {sign} as by))"
-    touched = " or ".join(f"contains(w, '{pair}')" for pair, _ in step)
-    changed = (
-        f"concat({signed.format(pairs=_pairs_in('w'), sign=-1)}, "
-        f"flatten(transform(array({_merged('w', step)}), "
-        f"m -> {signed.format(pairs=_pairs_in('m'), sign=1)})))"
-    )
-    rows = (
-        f"inline(flatten(transform(array({_merged('syms', pending)}), "
-        f"w -> if({touched}, {changed}, array()))))"
-    )
-    return (
-        words.select(F.expr(rows), "n")
-        .groupBy("pair")
-        .agg(F.sum(F.col("by") * F.col("n")).alias("n"))
-    )
-
-
 def _merged(syms: str, merges: Sequence[tuple[str, str]]) -> str:
-    """SQL text that applies merges in order. Symbols hold no quote, and text builds fast."""
-    for pair, new in merges:
-        syms = f"replace({syms}, '{pair}', '{new}')"
-    return syms
+    """SQL text that applies merges in order. Symbols hold no quote; the merges are two literals, so
+    the compiled code is the same in every round."""
+    if not merges:
+        return syms
+    pairs, news = (", ".join(f"'{x}'" for x in side) for side in zip(*merges))
+    step = f"replace(s, element_at(array({pairs}), i), element_at(array({news}), i))"
+    return f"aggregate(sequence(1, {len(merges)}), {syms}, (s, i) -> {step})"
 
 
 def _merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -330,36 +380,65 @@ def _merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -
     return [i for i in ids if i >= 0]
 
 
-SHORT_WORD = 24  # symbols up to which looking through all pairs beats a heap
-
-
-def _merge_short(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """:func:`_merge_word` for a word of few symbols."""
-    while len(ids) > 1:
-        found = [(ranks[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
-        if not found:
-            break
-        (_, new), at = min(found)
-        ids[at : at + 2] = [new]
-    return ids
+SHORT_WORD = 64  # symbols up to which words are merged side by side
+NEVER = np.iinfo(np.int64).max
+
+
+class _Merger:
+    """Applies a vocabulary's merges to many words at once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        for rank, (left, right, new) in enumerate(vocabulary.merges):
+            ranks.setdefault((left, right), (rank, new))
+        self.ranks = ranks
+        keys = np.array([left << 32 | right for left, right in ranks], np.int64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.rank, self.new = np.array(list(ranks.values()), np.int64)[order].T
+        self.byte_ids = np.array(text.byte_symbol_ids(), np.int64)
+
+    def spell(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, end to end, and how many each has."""
+        raw = [w.encode("utf-8") for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ids = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        word = np.repeat(np.arange(len(raw)), sizes)
+        long = sizes[word] > SHORT_WORD
+        ended = [self._side_by_side(ids[~long], word[~long])]
+        for w in np.flatnonzero(sizes > SHORT_WORD):
+            whole = _merge_word(self.byte_ids[list(raw[w])].tolist(), self.ranks)
+            ended.append((np.array(whole, np.int64), np.full(len(whole), w)))
+        ids, word = (np.concatenate(x) for x in zip(*ended))
+        return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(raw))
+
+    def _side_by_side(self, ids: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One merge per word and pass, the first place of its lowest rank; ``word`` ascends."""
+        done = [(ids[:0], word[:0])]
+        while len(ids):
+            key = np.append(ids[:-1] << 32 | ids[1:], 0)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ends = np.append(word[1:] != word[:-1], True)
+            rank = np.where((self.keys[at] == key) & ~ends, self.rank[at], NEVER)
+            start = np.flatnonzero(np.append(True, ends[:-1]))
+            best = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, len(ids))))
+            open_ = best < NEVER
+            done.append((ids[~open_], word[~open_]))
+            found = np.flatnonzero(open_ & (rank == best))
+            first = np.append(True, word[found[1:]] != word[found[:-1]])[: len(found)]
+            found = found[first]
+            ids[found] = self.new[at[found]]
+            open_[found + 1] = False
+            ids, word = ids[open_], word[open_]
+        ids, word = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(word, kind="stable")
+        return ids[order], word[order]
 
 
 @lru_cache(maxsize=4)
 def _word_codes(vocabulary: Vocabulary) -> WordCodes:
     """One dictionary of words per vocabulary and worker."""
-    byte_ids = text.byte_symbol_ids()
-    ranks: dict[tuple[int, int], tuple[int, int]] = {}
-    for rank, (left, right, new) in enumerate(vocabulary.merges):
-        ranks.setdefault((left, right), (rank, new))
-
-    def spell(words: list[str]) -> list[list[int]]:
-        out = []
-        for word in words:
-            ids = [byte_ids[b] for b in word.encode("utf-8")]
-            out.append(_merge_short(ids, ranks) if len(ids) <= SHORT_WORD else _merge_word(ids, ranks))
-        return out
-
-    return WordCodes(spell)
+    return WordCodes(_Merger(vocabulary).spell)
 
 
 def encoder(spark: SparkSession, vocabulary: Vocabulary):

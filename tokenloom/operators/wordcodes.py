@@ -19,9 +19,10 @@ WORDS_AT_ONCE = 1 << 18  # of a batch; a single longer text is taken whole
 
 
 class WordCodes:
-    """Ids of the words met so far. ``spell`` gives the ids of a list of words, one sequence each."""
+    """Ids of the words met so far. ``spell`` gives the ids of a list of words, end to end, and how
+    many each word has."""
 
-    def __init__(self, spell: Callable[[list[str]], Sequence[Sequence[int]]]):
+    def __init__(self, spell: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.spell = spell
         self._clear()
 
@@ -36,13 +37,11 @@ class WordCodes:
             self._clear()
         new = [w for w in words if w not in self.row]
         if new:
-            spelled = self.spell(new)
-            sizes = np.fromiter(map(len, spelled), np.int64, len(new))
-            fresh = np.fromiter((i for ids in spelled for i in ids), np.int32, int(sizes.sum()))
+            fresh, sizes = self.spell(new)
             first = len(self.start) - 1
             self.row.update(zip(new, range(first, first + len(new))))
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, fresh])
+            self.ids = np.concatenate([self.ids, fresh.astype(np.int32, copy=False)])
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
     def gather(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +69,12 @@ class WordCodes:
         return np.concatenate(parts), upto[counts.astype(np.int64)]
 
 
+def flattened(spelled: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences of ids, end to end, and their lengths."""
+    sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+    return np.fromiter((i for ids in spelled for i in ids), np.int32, int(sizes.sum())), sizes
+
+
 def some_rows(lists: pa.Array, most: int = 4 * WORDS_AT_ONCE) -> Iterator[pa.Array]:
     """Slices of a column of lists with about ``most`` elements, or one row."""
     sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
