@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions import text
-from tokenloom.operators.wordcodes import WordCodes, encoded
+from tokenloom.operators.wordcodes import TokenBytes, WordCodes, decoded, encoded
 from tokenloom.session import materialize, ship_package
 
 MAX_VOCAB = 65536  # ids are 16 bits wide in shards
@@ -458,3 +458,24 @@ def encoder(spark: SparkSession, vocabulary: Vocabulary):
         return encoded(_word_codes(shared.value), words)
 
     return lambda value: encode(text.words(value))
+
+
+@lru_cache(maxsize=4)
+def _token_bytes(vocabulary: Vocabulary) -> TokenBytes:
+    return TokenBytes(vocabulary.symbols)
+
+
+def decoder(spark: SparkSession, vocabulary: Vocabulary):
+    """Column function ``array<int>`` -> text, for ids of any vocabulary.
+
+    Bytes are gathered per text, so a character that several ids share comes out whole; what a cut
+    leaves of one becomes the replacement character. Reserved ids have no text.
+    """
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    @F.arrow_udf(T.BinaryType())
+    def decode(ids: pa.Array) -> pa.Array:
+        return decoded(_token_bytes(shared.value), ids)
+
+    return lambda ids: F.make_valid_utf8(decode(ids).cast("string"))

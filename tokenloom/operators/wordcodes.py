@@ -98,3 +98,36 @@ def encoded(codes: WordCodes, lists: pa.Array) -> pa.Array:
     if not parts:
         return pa.array([], pa.list_(pa.int32()))
     return pa.concat_arrays(parts)
+
+
+class TokenBytes:
+    """Bytes of every id, end to end: decoding is a gather of byte ranges."""
+
+    def __init__(self, symbols: Sequence[bytes]):
+        self.start = np.concatenate([[0], np.cumsum([len(s) for s in symbols])]).astype(np.int64)
+        self.data = np.frombuffer(b"".join(symbols), np.uint8)
+
+    def texts(self, lists: pa.Array) -> pa.Array:
+        """A column of id lists as a column of bytes; ids without bytes, or unknown ones, add none."""
+        ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        known = (ids >= 0) & (ids < len(self.start) - 1)
+        ids = np.where(known, ids, 0)
+        begin = self.start[ids]
+        size = np.where(known, self.start[ids + 1] - begin, 0)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        data = self.data[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)]
+        counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        bounds = upto[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        valid = None
+        if lists.null_count:
+            bits = np.packbits(lists.is_valid().to_numpy(zero_copy_only=False), bitorder="little")
+            valid = pa.py_buffer(bits)
+        made = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(lists), [valid, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]
+        )
+        return made.cast(pa.binary())
+
+
+def decoded(table: TokenBytes, lists: pa.Array) -> pa.Array:
+    parts = [table.texts(piece) for piece in some_rows(lists)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
