@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -84,6 +85,21 @@ def stream_split(spark, sf_dir):
     return spark.read.parquet(out).select("doc_id", "split")
 
 
+ARRIVALS = 6  # files come in so many turns, each a micro-batch
+_ARRIVAL = f"(doc_id * {ARRIVALS}) // (SELECT max(doc_id) + 1 FROM documents)"
+
+
+def _arriving(spark, sf_dir, start) -> None:
+    """Documents come in by order, a share at a time; ``start(folder)`` runs the stream on what is new."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    most = docs.agg(F.max("doc_id")).first()[0]
+    folder = new_folder(spark, "arrivals")
+    for i in range(ARRIVALS):
+        turn = F.expr(f"(doc_id * {ARRIVALS}) div {most + 1}")
+        docs.where(turn == i).write.mode("append").parquet(folder)
+        start(spark.readStream.schema(docs.schema).parquet(folder)).awaitTermination()
+
+
 @query(
     """SELECT doc_id FROM documents
     QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) = 1"""
@@ -91,11 +107,45 @@ def stream_split(spark, sf_dir):
 def stream_first_wins(spark, sf_dir):
     """First document of each source and language over all micro-batches."""
     out = new_folder(spark, "stream")
-    keyed = _source(spark, sf_dir, "doc_id", F.concat_ws(" ", "source", "lang").alias("prompt"))
-    intake.first_prompts(keyed, out, f"{out}-log", "doc_id").awaitTermination()
+
+    def start(rows):
+        keyed = rows.select("doc_id", F.concat_ws(" ", "source", "lang").alias("prompt"))
+        return intake.first_prompts(keyed, out, f"{out}-log", "doc_id")
+
+    _arriving(spark, sf_dir, start)
     return spark.read.parquet(out).select("doc_id")
 
 
+_STREAM_TOKENS, _STREAM_VAL = 1_200_000, 14_000
+_STREAM_BUDGET = q.BUDGET.replace(f">= {q.MAX_TOKENS}", f">= {_STREAM_TOKENS}").replace(
+    f"< {q.VAL_TOKENS}", f"< {_STREAM_VAL}"
+)
+
+
+@query(
+    f"""WITH RECURSIVE {_STREAM_BUDGET}, parts AS (
+      SELECT *, printf('b%06d-', {_ARRIVAL}) || split AS place FROM budget),
+    {q.rolled('parts', 'place', q.SHARD_LIMIT)}, flat AS (
+      SELECT place, shard, flatten(list(list_concat({q.byte_ids(q.neutral('text'))}, [1]) ORDER BY doc_id)) AS ids
+      FROM placed GROUP BY place, shard)
+    SELECT place || '-' || lpad(shard::VARCHAR, 5, '0') || '.bin' AS file, len(ids)::BIGINT AS tokens,
+      sha256(unhex(array_to_string(list_transform(ids, lambda i: printf('%02X%02X', i % 256, i // 256)), ''))) AS sha256
+    FROM flat"""
+)
+def stream_budget_parts(spark, sf_dir):
+    """One token budget over all micro-batches: its parts, merged, hold what one cut would keep."""
+    out = new_folder(spark, "parts")
+    options = replace(_OPTIONS, max_tokens=_STREAM_TOKENS, val_tokens=_STREAM_VAL)
+
+    def start(rows):
+        rows = rows.select("doc_id", "text")
+        return intake.pack_stream(rows, Vocabulary.of_bytes(), "bytes", out, f"{out}-log", options)
+
+    _arriving(spark, sf_dir, start)
+    manifests.merge_parts(spark, out)
+    return corpus.manifest_entries(spark, out).select("file", "tokens", "sha256")
+
+
 @query(_FILES.replace("PREFIX", "'b000000-' || "))
 def stream_parts(spark, sf_dir):
     """Streamed documents packed to one part per micro-batch, and the parts merged."""

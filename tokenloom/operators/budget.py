@@ -88,6 +88,59 @@ def token_cut(lengths: DataFrame, ord_col: str, **kw) -> Cut:
     return Cut(row["stop"], row["val_stop"]) if row else Cut(None, None)
 
 
+@dataclass(frozen=True)
+class Totals:
+    """What earlier batches of a stream have kept: all a budget needs to go on."""
+
+    train: int = 0
+    val: int = 0
+    stopped: bool = False
+
+
+BEFORE_ALL = -NO_LIMIT - 1
+
+
+def carried_cut(
+    lengths: DataFrame,
+    ord_col: str,
+    before: Totals,
+    max_tokens: int | None,
+    val_tokens: int | None,
+    seq_len: int,
+) -> tuple[Cut, Totals]:
+    """The cut of one batch of a budget that began in earlier batches, and the totals after it.
+
+    The rule is that of :func:`token_cuts` over all batches in turn: what earlier ones reached is
+    reached, and only what is still open is looked for.
+    """
+    if before.stopped:
+        return Cut(BEFORE_ALL, BEFORE_ALL), before
+    goals = {
+        "train": ("train", (NO_LIMIT if max_tokens is None else max_tokens) - before.train),
+        "cap": ("val", (NO_LIMIT if val_tokens is None else val_tokens) - before.val),
+        "block": ("val", seq_len + 1 - before.val),
+    }
+    open_ = {n: (_of(split, "n_tokens"), left) for n, (split, left) in goals.items() if left > 0}
+    found = first_crossings(lengths, ord_col, open_).first() if open_ else None
+    found = found.asDict() if found else {}
+    at = {n: found.get(f"{n}_at") if n in open_ else BEFORE_ALL for n in goals}
+    # A val total that its cap froze below one block never stops the scan.
+    if "cap" not in open_:
+        frozen = "block" in open_
+    else:
+        frozen = at["cap"] is not None and before.val + found["cap_total"] < seq_len + 1
+    stop = None
+    if at["train"] is not None and at["block"] is not None and not frozen:
+        stop = max(at["train"], at["block"])
+    cut = Cut(stop, at["cap"])
+    kept = {
+        r["split"]: r["n"]
+        for r in lengths.where(cut.keep(ord_col)).groupBy("split").agg(F.sum("n_tokens").alias("n")).collect()
+    }
+    after = Totals(before.train + kept.get("train", 0), before.val + kept.get("val", 0), stop is not None)
+    return cut, after
+
+
 def apply_cuts(
     rows: DataFrame, cuts: DataFrame, ord_col: str, by: Sequence[str], keep_capped: bool = False
 ) -> DataFrame:

@@ -43,7 +43,9 @@ def first_docs(docs: DataFrame, max_docs: int | None) -> Column:
     return F.lit(True) if last is None else F.col(ORD) <= last
 
 
-def safe_stop(docs: DataFrame, vocabulary: Vocabulary, o: DocumentPack) -> int | None:
+def safe_stop(
+    docs: DataFrame, vocabulary: Vocabulary, o: DocumentPack, before: budget.Totals = budget.Totals()
+) -> int | None:
     """A row at which the budget is surely met, known before anything is encoded.
 
     An id stands for ``vocabulary.longest`` bytes at most, so bytes bound the token count from
@@ -53,9 +55,7 @@ def safe_stop(docs: DataFrame, vocabulary: Vocabulary, o: DocumentPack) -> int |
     if o.max_tokens is None or (o.val_tokens is not None and o.val_tokens < o.seq_len + 1):
         return None
     floor = materialize(least_tokens(docs, vocabulary), "least-tokens")
-    return budget.token_cut(
-        floor, ORD, max_tokens=o.max_tokens, val_tokens=o.val_tokens, seq_len=o.seq_len
-    ).stop
+    return budget.carried_cut(floor, ORD, before, o.max_tokens, o.val_tokens, o.seq_len)[0].stop
 
 
 def least_tokens(docs: DataFrame, vocabulary: Vocabulary, by=()) -> DataFrame:
@@ -83,17 +83,20 @@ def encoded_documents(docs: DataFrame, vocabulary: Vocabulary, by=()) -> DataFra
 
 def kept_documents(docs: DataFrame, vocabulary: Vocabulary, o: DocumentPack):
     """Encoded documents the budget keeps, the number skipped before the stop, and the cut."""
+    return carried_documents(docs, vocabulary, o, budget.Totals())[:3]
+
+
+def carried_documents(docs: DataFrame, vocabulary: Vocabulary, o: DocumentPack, before: budget.Totals):
+    """:func:`kept_documents` that go on from the totals of earlier batches, and the totals after."""
     docs = docs.where(first_docs(docs, o.max_docs))
-    stop = safe_stop(docs, vocabulary, o)
+    stop = safe_stop(docs, vocabulary, o, before)
     if stop is not None:
         docs = docs.where(F.col(ORD) <= stop)
     encoded = materialize(encoded_documents(docs, vocabulary), "encoded")
-    cut = budget.token_cut(
-        encoded, ORD, max_tokens=o.max_tokens, val_tokens=o.val_tokens, seq_len=o.seq_len
-    )
+    cut, after = budget.carried_cut(encoded, ORD, before, o.max_tokens, o.val_tokens, o.seq_len)
     # Rows read less rows that passed the filter: counts of ids, so no text is scanned again.
     skipped = docs.where(cut.read(ORD)).select(ORD).count() - encoded.where(cut.read(ORD)).count()
-    return encoded.where(cut.keep(ORD)), skipped, cut
+    return encoded.where(cut.keep(ORD)), skipped, cut, after
 
 
 def placed_documents(kept: DataFrame, o: DocumentPack) -> DataFrame:
@@ -108,10 +111,17 @@ def pack_documents(
     out: str,
     options: DocumentPack = DocumentPack(),
     source: dict | None = None,
+    before: budget.Totals | None = None,
 ) -> dict:
-    """Write shards and their manifest below ``out``; gives the manifest."""
+    """Write shards and their manifest below ``out``; gives the manifest.
+
+    A batch of a stream goes on from the totals ``before`` it and may leave a split empty; its
+    manifest records the totals after it.
+    """
     with scratch(docs.sparkSession):
-        kept, skipped, _ = kept_documents(docs, vocabulary, options)
+        kept, skipped, _, after = carried_documents(docs, vocabulary, options, before or budget.Totals())
+        if before is not None:
+            source = {**(source or {}), "totals": asdict(after)}
         prefix = f"{options.tag}-" if options.tag else ""
         entries = materialize(
             shard_entries(placed_documents(kept, options), prefix, out), "entries"
@@ -123,7 +133,7 @@ def pack_documents(
         name = f"manifest.{options.tag}.json" if options.tag else "manifest.json"
         counts = {"train": totals.get("train", 0), "val": totals.get("val", 0), "skipped": skipped}
         header = _header(options, vocabulary, tokenizer_sha256, counts, source)
-        return write_manifest(f"{out}/{name}", header, entries)
+        return write_manifest(f"{out}/{name}", header, entries, may_be_empty=before is not None)
 
 
 def sliced_documents(

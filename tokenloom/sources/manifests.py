@@ -48,30 +48,35 @@ def write_manifest(
     entries: DataFrame,
     splits: Sequence[str] = ("train", "val"),
     order: Sequence[str] = ("split", "shard"),
+    may_be_empty: bool = False,
 ) -> dict:
     """Write the JSON document to a new path, entries as a stream; gives the header. Every split
-    needs at least one shard."""
+    needs at least one shard, but for parts that ``may_be_empty``: those list it without shards."""
     filled = {r["split"] for r in entries.select("split").distinct().collect()}
-    if not filled >= set(splits):
-        raise ValueError(f"No shard in {sorted(s for s in splits if s not in filled)}; every split needs one")
+    absent = sorted(s for s in splits if s not in filled)
+    if absent and not may_be_empty:
+        raise ValueError(f"No shard in {absent}; every split needs one")
     rows = entries.where(F.col("split").isin(list(splits))).orderBy(*order)
-    files.write_pieces(path, _document(header, rows))
+    files.write_pieces(path, _document(header, rows, absent))
     return header
 
 
-def _document(header: dict, rows: DataFrame):
+def _document(header: dict, rows: DataFrame, absent: Sequence[str] = ()):
     """The JSON document in pieces: a partition of the sorted entries is on the driver at a time."""
     yield json.dumps(header, indent=2, sort_keys=True)[:-2] + ',\n  "splits": {'
-    open_split = None
+    yield ",".join(f"\n    {json.dumps(split)}: []" for split in absent)
+    open_split, first = None, not absent
     for r in rows.toLocalIterator():
         if r["split"] != open_split:
-            yield "" if open_split is None else "\n    ],"
-            open_split = r["split"]
+            if open_split is not None:
+                yield "\n    ]"
+            yield "" if first else ","
+            open_split, first = r["split"], False
             yield f"\n    {json.dumps(open_split)}: [\n      "
         else:
             yield ",\n      "
         yield json.dumps(_entry(r), sort_keys=True)
-    yield "\n    ]\n  }\n}"
+    yield ("" if open_split is None else "\n    ]") + "\n  }\n}"
 
 
 def _entry(row) -> dict:

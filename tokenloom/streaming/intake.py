@@ -6,6 +6,7 @@ The column functions are those of the batch jobs; only what must remember earlie
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tokenloom.functions import text
+from tokenloom.operators.budget import Totals
 from tokenloom.operators.vocab import Vocabulary
 from tokenloom.plans.documents import DocumentPack, pack_documents
 from tokenloom.sources import files
@@ -35,7 +37,8 @@ def write_parts(
     stream: DataFrame,
     out: str,
     checkpoint: str,
-    each: Callable[[DataFrame, int], DataFrame] = lambda rows, batch: rows,
+    each: Callable[[DataFrame, int], DataFrame] | None = None,
+    mode: str = "append",
 ) -> StreamingQuery:
     """One part per micro-batch, in a folder named after its batch id.
 
@@ -44,6 +47,9 @@ def write_parts(
     """
 
     def write(rows: DataFrame, batch: int) -> None:
+        if each is None:
+            rows.write.mode("overwrite").parquet(f"{out}/part={batch}")
+            return
         rows = rows.persist()  # ``each`` may use them more than once; the source is read once
         try:
             each(rows, batch).write.mode("overwrite").parquet(f"{out}/part={batch}")
@@ -52,6 +58,7 @@ def write_parts(
 
     return (
         stream.writeStream.foreachBatch(write)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -68,18 +75,26 @@ def pack_stream(
 ) -> StreamingQuery:
     """One packed part and its manifest per micro-batch of documents, for a merge.
 
-    The manifest is a batch's last file: a batch that is replayed after it was written does nothing,
-    and one that was interrupted before writes its shards again.
+    Budgets are those of the whole stream: a batch goes on from the totals that the manifest of the
+    batch before it records, and once the stream's budget is met, later parts are empty. Documents
+    within a batch are taken in their order, batches as they come. The manifest is a batch's last
+    file: a batch that is replayed after it was written does nothing, and one that was interrupted
+    before writes its shards again, from the same totals.
     """
 
+    def manifest(batch: int) -> str:
+        return f"{out}/manifest.b{batch:06d}.json"
+
     def write(rows: DataFrame, batch: int) -> None:
-        tag = f"b{batch:06d}"
-        if files.exists(f"{out}/manifest.{tag}.json"):
+        if files.exists(manifest(batch)):
             return
+        before = Totals()
+        if batch:
+            before = Totals(**files.read_json(manifest(batch - 1))["source"]["totals"])
         rows = rows.persist()
         try:
-            named = replace(options, tag=tag)
-            pack_documents(rows, vocabulary, tokenizer_sha256, out, named, {"batch": batch})
+            named = replace(options, tag=f"b{batch:06d}")
+            pack_documents(rows, vocabulary, tokenizer_sha256, out, named, {"batch": batch}, before)
         finally:
             rows.unpersist()
 
@@ -91,6 +106,21 @@ def pack_stream(
     )
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def on_disk_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, which need not fit in memory."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS)  # a query takes its settings when it starts
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
 def first_prompts(
     stream: DataFrame,
     out: str,
@@ -98,25 +128,23 @@ def first_prompts(
     ord_col: str = "conv_id",
     by: Sequence[str] = (),
 ) -> StreamingQuery:
-    """Rows whose prompt key was not seen before, in this batch or in any earlier one.
+    """``by``, ``ord_col`` and key digest of the rows whose prompt key was not seen before, in this
+    batch or in any earlier one.
 
-    ``stream`` has ``prompt``. Within a batch the lowest order value wins; against earlier batches
-    an anti join on the key's digest decides. Keys are never forgotten, as in a batch run over the
-    same rows; they live in the parts themselves, so a replayed batch sees only older ones.
+    ``stream`` has ``prompt``. State per key is the time of the batch that met it first, which all
+    rows of a batch share and a replay repeats, and the lowest order value in that batch. The
+    minimum combines before the shuffle, so a hot key costs a row per task, and a batch looks up its
+    own keys only, however many came before. Keys are never forgotten, as in a batch run.
     """
     by = list(by)
-    spark = stream.sparkSession
-
-    def each(rows: DataFrame, batch: int) -> DataFrame:
-        prompt = F.coalesce("prompt", F.lit(""))
-        keyed = rows.withColumn("key", F.sha2(text.collapse(prompt), 256))
-        firsts = keyed.groupBy(*by, "key").agg(F.min(ord_col).alias(ord_col))
-        if batch > 0:
-            known = spark.read.parquet(out).where(F.col("part") < batch).select(*by, "key")
-            firsts = firsts.join(known, [*by, "key"], "left_anti")
-        return keyed.join(firsts.select(*by, ord_col), [*by, ord_col], "left_semi")
-
-    return write_parts(stream, out, checkpoint, each)
+    key = F.sha2(text.collapse(F.coalesce("prompt", F.lit(""))), 256)
+    met = F.struct(F.current_timestamp().alias("at"), F.col(ord_col).alias("ord"))
+    keyed = stream.select(*by, key.alias("key"), met.alias("met"))
+    firsts = keyed.groupBy(*by, "key").agg(F.min("met").alias("met"))
+    fresh = firsts.where(F.col("met.at") == F.current_timestamp())
+    with on_disk_state(stream.sparkSession):
+        rows = fresh.select(*by, "key", F.col("met.ord").alias(ord_col))
+        return write_parts(rows, out, checkpoint, mode="update")
 
 
 def distinct_prompts(stream: DataFrame, by: Sequence[str] = ()) -> DataFrame:
