@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import uuid
 from dataclasses import replace
 
@@ -11,8 +13,12 @@ from tokenloom.catalog import sqltext as q
 from tokenloom.catalog.chats import joined, turns
 from tokenloom.catalog.documents import documents
 from tokenloom.catalog.registry import query
+from tokenloom.functions.schedule import Schedule
+from tokenloom.operators.blocks import training_pair
+from tokenloom.operators.order import EpochOrder, ReaderState
 from tokenloom.operators.vocab import Vocabulary
-from tokenloom.plans.chats import ChatPack, chat_rows
+from tokenloom.plans import batches
+from tokenloom.plans.chats import ChatPack, chat_rows, pack_conversations
 from tokenloom.plans.documents import DocumentPack, pack_documents
 from tokenloom.session import durable_dir
 from tokenloom.sources import corpus, manifests, tokenizer_file
@@ -33,12 +39,12 @@ def new_folder(spark, name: str) -> str:
     return f"{durable_dir(spark)}/tokenloom/{name}-{uuid.uuid4().hex}"
 
 
-def packed(spark, sf_dir):
+def packed(spark, sf_dir, rows=F.lit(True)):
     """A corpus of all documents in byte tokens, and its tokenizer, in new folders."""
     folder, tokenizer = new_folder(spark, "corpus"), new_folder(spark, "tokenizer")
     learned = Vocabulary.of_bytes()
     digest = tokenizer_file.save(learned, tokenizer)
-    pack_documents(documents(spark, sf_dir), learned, digest, folder, _OPTIONS)
+    pack_documents(documents(spark, sf_dir, "lang").where(rows), learned, digest, folder, _OPTIONS)
     return folder, tokenizer
 
 
@@ -176,3 +182,128 @@ def chat_source_mix(spark, sf_dir):
     options = ChatPack(seq_len=q.CHAT_SEQ_LEN, shard_tokens=q.CHAT_SHARD_LIMIT)
     placed, _ = chat_rows(rows, Vocabulary.of_bytes(), options, by=("part",))
     return placed.select("part", "conv_id", "split", "shard", "offset")
+
+
+# --- what a trainer reads ------------------------------------------------------------------------
+
+_FACTOR, _SHIFT = 1_000_003, 12_345  # orders written out, so that SQL can follow them
+_MICRO, _ACCUM, _DECAY_LANG = 2, 4, "en"
+_BATCH_TOKENS = _MICRO * _ACCUM * q.SEQ_LEN
+
+
+def _order(n, seed, epoch):
+    factor = _FACTOR % n or 1
+    while math.gcd(factor, n) != 1:
+        factor += 1
+    return EpochOrder(n, factor, (_SHIFT + epoch) % n)
+
+
+# The first factor from the stated one on that has no divisor in common with the block count.
+_FACTORS = f"""(SELECT min(f) FROM range({_FACTOR}, {_FACTOR} + 1000) r(f) WHERE gcd(f % n, n) = 1)"""
+
+
+def _corpus(name: str, rows: str) -> str:
+    """Blocks ``block_index, tokens`` of the train shards over some documents."""
+    rolled = q.rolled(f"{name}_doc", "split", q.SHARD_LIMIT)
+    for table in ("ranked", "ends", "roll", "placed"):
+        rolled = re.sub(rf"\b{table}\b", f"{name}_{table}", rolled)
+    return f"""{name}_doc AS (SELECT * FROM doc WHERE split = 'train' AND {rows}), {rolled},
+{name}_flat AS (
+  SELECT shard, flatten(list(list_concat({q.byte_ids(q.neutral('text'))}, [1]) ORDER BY doc_id)) AS ids
+  FROM {name}_placed GROUP BY shard),
+{name}_cut AS (
+  SELECT shard, unnest(range(greatest(0, (len(ids) - 1) // {q.SEQ_LEN}))) AS block, ids FROM {name}_flat),
+{name}_blocks AS (
+  SELECT row_number() OVER (ORDER BY shard, block) - 1 AS block_index, count(*) OVER () AS n,
+         sha256({q.joined(f'ids[block * {q.SEQ_LEN} + 1 : block * {q.SEQ_LEN} + {q.SEQ_LEN}]')}) AS x,
+         sha256({q.joined(f'ids[block * {q.SEQ_LEN} + 2 : block * {q.SEQ_LEN} + {q.SEQ_LEN + 1}]')}) AS y
+  FROM {name}_cut)"""
+
+
+def _hashed(rows, *columns):
+    x, y = (F.sha2(joined(F.col(c)), 256).alias(c) for c in ("x", "y"))
+    return rows.select(*columns, x, y)
+
+
+@query(
+    f"""WITH RECURSIVE {q.DOCS}, {_corpus("main", "true")}, {_corpus("decay", f"lang = '{_DECAY_LANG}'")},
+    pool AS (SELECT 'main' AS source, * FROM main_blocks UNION ALL SELECT 'decay', * FROM decay_blocks),
+    sizes AS (SELECT source, n, {_FACTORS} AS f FROM (SELECT DISTINCT source, n FROM pool)),
+    t AS (SELECT sum(n_tokens)::BIGINT AS total FROM doc WHERE split = 'train'),
+    slots AS (SELECT unnest(range(total // {_BATCH_TOKENS} * {_ACCUM})) AS slot, total FROM t),
+    chosen AS (
+      SELECT slot, CASE WHEN slot // {_ACCUM} * {_BATCH_TOKENS} >= total * 0.75::DOUBLE
+             AND ('0x' || substr(sha256('{q.SEED}:' || slot), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.5
+             THEN 'decay' ELSE 'main' END AS source FROM slots),
+    nth AS (SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS nth FROM chosen),
+    asked AS (SELECT slot, source, j::INT AS "row", nth * {_MICRO} + j AS cur FROM nth, range({_MICRO}) r(j))
+    SELECT slot, "row", a.source, (cur // s.n)::BIGINT AS epoch, x, y
+    FROM asked a JOIN sizes s ON a.source = s.source
+    JOIN pool p ON p.source = a.source AND p.block_index = (f * (cur % s.n) + {_SHIFT} + cur // s.n) % s.n"""
+)
+def training_batches(spark, sf_dir):
+    """Microbatches of two corpora, each with the inputs and targets of its real block."""
+    main, _ = packed(spark, sf_dir)
+    decay, _ = packed(spark, sf_dir, F.col("lang") == _DECAY_LANG)
+    corpora = {n: corpus.open_corpus(spark, f, "train", q.SEQ_LEN) for n, f in (("main", main), ("decay", decay))}
+    total = corpus.manifest_entries(spark, main).where("split = 'train'").agg(F.sum("tokens")).first()[0]
+    schedule = Schedule(total_tokens=total, decay_fraction=0.25, decay_mix=0.5)
+    rows = batches.training_batches(
+        spark, corpora, schedule, q.SEQ_LEN, _MICRO, _ACCUM, q.SEED, drawn=_order
+    )
+    return _hashed(rows, "slot", "row", "source", "epoch")
+
+
+_BATCH = 7
+
+
+@query(
+    f"""WITH RECURSIVE {q.DOCS}, {_corpus("main", "true")},
+    size AS (SELECT n, {_FACTORS} AS f FROM (SELECT DISTINCT n FROM main_blocks)),
+    asked AS (
+      SELECT unnest(range(n - {_BATCH} - 3, n - {_BATCH} - 3 + 3 * {_BATCH})) AS cursor, n, f FROM size)
+    SELECT cursor, ((cursor - (s.n - {_BATCH} - 3)) // {_BATCH})::INT AS turn, (cursor // s.n)::BIGINT AS epoch, x, y
+    FROM asked s JOIN main_blocks b ON b.block_index = (f * (cursor % s.n) + {_SHIFT} + cursor // s.n) % s.n"""
+)
+def resume_epochs(spark, sf_dir):
+    """Three batches from a saved cursor shortly before the end of an epoch, each resumed anew."""
+    folder, _ = packed(spark, sf_dir)
+    opened, states = corpus.open_corpus(spark, folder, "train", q.SEQ_LEN), new_folder(spark, "states")
+    ReaderState(opened.n - _BATCH - 3, q.SEED, opened.fingerprint).save(spark, states)
+    out = None
+    for turn in range(3):
+        state = ReaderState.saved(spark, states)
+        rows, after = batches.resumed(opened, state, _BATCH, drawn=_order)
+        after.save(spark, states)
+        x, y = training_pair(F.col("tokens"))
+        rows = rows.select("cursor", F.lit(turn).alias("turn"), "epoch", x.alias("x"), y.alias("y"))
+        out = rows if out is None else out.unionByName(rows)
+    return _hashed(out, "cursor", "turn", "epoch")
+
+
+@query(
+    f"""WITH {q.EXAMPLES}, ranked AS (
+      SELECT conv_id, split, row_number() OVER (PARTITION BY split ORDER BY conv_id) - 1 AS nth
+      FROM judged WHERE reason IS NULL)
+    SELECT split, (nth // {_ROWS})::BIGINT AS shard, (nth % {_ROWS})::BIGINT AS block,
+           sha256({q.joined('ids')}) AS ids, sha256({q.joined('mask')}) AS mask
+    FROM ranked JOIN padded USING (conv_id)"""
+)
+def chat_round_trip(spark, sf_dir):
+    """Chat rows and their masks, packed to shards and read back side by side by block index."""
+    folder, tokenizer = new_folder(spark, "chats"), new_folder(spark, "tokenizer")
+    learned = Vocabulary.of_bytes()
+    digest = tokenizer_file.save(learned, tokenizer)
+    options = ChatPack(seq_len=q.CHAT_SEQ_LEN, shard_tokens=q.CHAT_SHARD_LIMIT)
+    pack_conversations(turns(spark, sf_dir), learned, digest, folder, options, may_be_empty=True)
+    filled = corpus.manifest_entries(spark, folder).select("split").distinct().orderBy("split").collect()
+    out = None
+    for (split,) in filled:
+        opened = corpus.open_corpus(spark, folder, split, q.CHAT_SEQ_LEN, tokenizer=tokenizer)
+        asked = opened.shards.select(
+            "split", "shard", F.explode(F.sequence("first_block", F.col("end_block") - 1)).alias("block_index"), "first_block"
+        ).select("split", F.col("shard").alias("of"), "block_index", (F.col("block_index") - F.col("first_block")).alias("at"))
+        rows = opened.fetch(asked)
+        out = rows if out is None else out.unionByName(rows)
+    ids, mask = (F.sha2(joined(F.col(c)), 256) for c in ("tokens", "mask"))
+    return out.select("split", F.col("of").alias("shard"), F.col("at").alias("block"), ids.alias("ids"), mask.alias("mask"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,6 +70,44 @@ class ReaderState:
             raise ValueError("This position belongs to other data or another seed")
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Append this state to the table of a reader's states; the furthest one counts."""
+        spark.createDataFrame([asdict(self)], STATE).write.mode("append").parquet(path)
+
+    @staticmethod
+    def saved(spark: SparkSession, path: str) -> "ReaderState":
+        row = spark.read.schema(STATE).parquet(path).orderBy(F.desc("cursor")).first()
+        return ReaderState(**row.asDict())
+
+
+STATE = "cursor long, seed long, fingerprint string"
+
+
+def next_positions(
+    spark: SparkSession,
+    n: int,
+    state: ReaderState,
+    batch: int,
+    drawn: Callable[[int, int, int], EpochOrder] = EpochOrder.drawn,
+) -> tuple[DataFrame, ReaderState]:
+    """``cursor``, ``epoch``, ``position``, ``block_index`` of the next ``batch`` blocks, and the new
+    state. The orders of the epochs a batch touches are two integers each."""
+    if batch < 1:
+        raise ValueError("A batch needs at least one block")
+    first, last = state.cursor // n, (state.cursor + batch - 1) // n
+    orders = [drawn(n, state.seed, e) for e in range(first, last + 1)]
+    nth = (F.col("epoch") - first).cast("int")
+    rows = spark.range(state.cursor, state.cursor + batch).select(
+        F.col("id").alias("cursor"),
+        F.floor(F.col("id") / F.lit(n)).cast("long").alias("epoch"),
+        F.pmod(F.col("id"), F.lit(n)).alias("position"),
+    )
+    index = affine(
+        n, F.get(F.lit([o.a for o in orders]), nth), F.col("position"), F.get(F.lit([o.b for o in orders]), nth)
+    )
+    return rows.withColumn("block_index", index), ReaderState(state.cursor + batch, state.seed, state.fingerprint)
+
+
 def next_batch(
     blocks: DataFrame, index_col: str, n: int, state: ReaderState, batch: int
 ) -> tuple[DataFrame, ReaderState]:

@@ -85,8 +85,10 @@ def pack_conversations(
     out: str,
     options: ChatPack = ChatPack(),
     source: dict | None = None,
+    may_be_empty: bool = False,
 ) -> dict:
-    """Write chat shards with masks and their manifest below ``out``; gives the manifest."""
+    """Write chat shards with masks and their manifest below ``out``; gives the manifest. A part of
+    few conversations ``may_be_empty`` in a split."""
     with scratch(turns.sparkSession):
         placed, read = chat_rows(turns, vocabulary, options)
         prefix = f"{options.tag}-" if options.tag else ""
@@ -94,7 +96,8 @@ def pack_conversations(
         name = f"manifest.{options.tag}.json" if options.tag else "manifest.json"
         counts = _counts(read).get((), {})
         return write_manifest(
-            f"{out}/{name}", _header(options, vocabulary, tokenizer_sha256, counts, source), entries
+            f"{out}/{name}", _header(options, vocabulary, tokenizer_sha256, counts, source), entries,
+            may_be_empty=may_be_empty,
         )
 
 

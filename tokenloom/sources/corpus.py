@@ -11,21 +11,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.operators import parts as checks
-from tokenloom.operators.blocks import block_starts, require_blocks
-from tokenloom.session import ship_package
+from tokenloom.operators.blocks import block_starts, lookup_blocks, require_blocks
+from tokenloom.session import materialize, ship_package
 from tokenloom.sources import files, tokenizer_file
 from tokenloom.sources.manifests import entries_of, read_manifests
-from tokenloom.sources.shards import dealt, listed_files, read_blocks, shard_hashes
+from tokenloom.sources.shards import dealt, listed_files, read_blocks, read_wanted, shard_hashes
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """Blocks of one split with their global index, and what identifies the data."""
+    """Blocks of one split with their global index, and what identifies the data.
+
+    ``shards`` lists where blocks lie: ``file``, ``mask`` and the index range of each shard.
+    """
 
     blocks: DataFrame
     n: int
     fingerprint: str
     kind: str
+    folder: str
+    shards: DataFrame
+    seq_len: int
+
+    def fetch(self, wanted: DataFrame, index_col: str = "block_index") -> DataFrame:
+        """``wanted`` with ``tokens`` and ``mask`` of the block each row names, read from its shard."""
+        placed = lookup_blocks(wanted, index_col, self.shards)
+        named = placed.join(self.shards.select("shard", "file", F.col("mask").alias("mask")), "shard")
+        return read_wanted(self.folder, named.drop("shard"), self.seq_len, self.kind)
 
 
 def manifest_entries(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,9 +77,10 @@ def open_corpus(
         rows = F.floor(F.col("tokens") / F.lit(seq_len + 1))
         sizes = sizes.withColumn("tokens", (rows * seq_len + 1).cast("bigint"))
     n = require_blocks(sizes, seq_len, split)
-    firsts = block_starts(sizes, seq_len).select("shard", "first_block")
-    blocks = read_blocks(folder, entries.join(firsts, "shard"), seq_len, head["kind"])
-    return Corpus(blocks, n, files.sha256(f"{folder}/manifest.json"), head["kind"])
+    firsts = block_starts(sizes, seq_len).select("shard", "first_block", "end_block", "blocks")
+    shards = materialize(entries.join(firsts, "shard"), "corpus-shards")
+    blocks = read_blocks(folder, shards, seq_len, head["kind"])
+    return Corpus(blocks, n, files.sha256(f"{folder}/manifest.json"), head["kind"], folder, shards, seq_len)
 
 
 _NAME = re.compile(r"[A-Za-z0-9_-]+")

@@ -188,3 +188,58 @@ def read_blocks(root: str, entries: DataFrame, seq_len: int, kind: str = "pretra
     )
     columns = ["split", "shard", "file", "mask", "first_block"]
     return dealt(entries.select(*columns), "file").mapInPandas(blocks, schema)
+
+
+def read_wanted(root: str, wanted: DataFrame, seq_len: int, kind: str = "pretrain") -> DataFrame:
+    """``wanted`` (``file``, ``mask``, ``block`` and what else a request carries) with ``tokens`` and
+    ``mask`` of the block.
+
+    Requests are small and are sorted by file and block, so a task opens each shard of its own once
+    and reads the asked ranges in order, ids and mask of a range side by side; sizes must agree. A
+    block that is asked for twice in a row is read once.
+    """
+    ship_package(wanted.sparkSession)
+    root = files.uri(root)
+    width = seq_len + 1
+    stride = width if kind == "sft" else seq_len
+    carried = [f for f in wanted.schema.fields if f.name not in ("file", "mask", "block")]
+
+    def read(batches):
+        fs, base = pafs.FileSystem.from_uri(root)
+        name, ids, marks, last, row = None, None, None, None, None
+
+        def opened(file, size):
+            source = fs.open_input_file(f"{base}/{file}")
+            if source.size() % size:
+                raise ValueError(f"{file} ends within a token")
+            return source
+
+        def part(source, block, dtype):
+            size = np.dtype(dtype).itemsize
+            source.seek(block * stride * size)
+            found = np.frombuffer(source.read(width * size), dtype)
+            if len(found) != width:
+                raise ValueError(f"{name} has no whole block {block}")
+            return found.astype("int32")
+
+        for batch in batches:
+            tokens, masks = [], []
+            for file, mask, block in zip(*(batch.column(c).to_pylist() for c in ("file", "mask", "block"))):
+                if file != name:
+                    name, last = file, None
+                    ids, marks = opened(file, 2), opened(mask, 1) if kind == "sft" else None
+                    if marks is not None and 2 * marks.size() != ids.size():
+                        raise ValueError(f"{file} and its mask differ in length")
+                if block != last:
+                    row = part(ids, block, "<u2"), None if marks is None else part(marks, block, "u1")
+                    last = block
+                tokens.append(row[0])
+                masks.append(row[1])
+            columns = [batch.column(f.name) for f in carried]
+            columns += [pa.array(x, pa.list_(pa.int32())) for x in (tokens, masks)]
+            yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in carried), "tokens", "mask"])
+
+    names = [f.name for f in carried]
+    asked = wanted.select(*names, "file", "mask", "block").repartition("file").sortWithinPartitions("file", "block")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
+    return asked.mapInArrow(read, f"{schema}, tokens array<int>, mask array<int>")
