@@ -2,6 +2,12 @@
 
 ``STAGES`` lists the stages in order. Each takes ``(spark, docs, sf_dir)`` with the documents its
 predecessor kept and returns a DataFrame; all but the last return the columns of ``documents``.
+
+Odd rows: null, empty and blank texts have no language and go in the first stage, so later stages
+meet them only if called alone; they then treat them as their operators' docstrings say. Very long
+texts are worked on whole. Repeated rows are rows like any other until near-duplicate removal, which
+goes by id. Ties fall to the smaller id. Columns besides those of ``documents`` are dropped, whatever
+their names. An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -35,9 +41,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group that shares its shingles."""
+    """Keeps one document, the one with the smallest id, of each group of linked fingerprints."""
     ready(spark)
-    return simhash.drop_near_duplicates(docs.select(*COLUMNS), similarity=0.8, size=5)
+    return simhash.drop_near_duplicates(docs.select(*COLUMNS), words=3, max_bits=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

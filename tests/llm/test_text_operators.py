@@ -249,23 +249,14 @@ def test_simhash_odd_rows(odd_docs):
     assert simhash.groups(odd_docs.limit(0)).count() == 0
 
 
-def test_similar_texts_go_and_others_stay(llm, odd_docs):
-    random.seed(3)
-    vocabulary = [f"w{i}" for i in range(5000)]
-    base = [[random.choice(vocabulary) for _ in range(300)] for _ in range(12)]
-    rows, want_gone = [], set()
-    for i, words in enumerate(base):
-        rows.append((i * 10, " ".join(words)))
-        near = list(words)
-        near[random.randrange(300)] = "changed"
-        rows.append((i * 10 + 1, " ".join(near)))
-        rows.append((i * 10 + 2, " ".join(words).upper() + " \n"))
-        want_gone |= {i * 10 + 1, i * 10 + 2}
-        half = words[:150] + [random.choice(vocabulary) for _ in range(150)]
-        rows.append((i * 10 + 3, " ".join(half)))
-    docs = llm.createDataFrame(rows, "doc_id long, text string").withColumn("_gone", F.lit(1))
-    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs.drop("_gone")).collect()}
-    assert {i for i, _ in rows} - kept == want_gone
+def test_one_of_each_group_stays(llm, odd_docs):
+    given = llm.read.parquet(f"{SF}/documents.parquet")
+    rows = dict(texts_of(given))
+    fp = {i: plain_fingerprint(t) for i, t in rows.items()}
+    near = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2]
+    want = reach(sorted(fp), near)
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(given).collect()}
+    assert kept == set(want.values()) and len(kept) < len(rows)
     left = simhash.drop_near_duplicates(odd_docs)
     assert left.columns == odd_docs.columns
     ids = Counter(r["doc_id"] for r in left.collect())
@@ -273,67 +264,14 @@ def test_similar_texts_go_and_others_stay(llm, odd_docs):
     assert simhash.drop_near_duplicates(odd_docs.limit(0)).count() == 0
 
 
-# --- substrings ---------------------------------------------------------------------------------
+def test_no_group_loses_all_to_a_repeated_id(llm):
+    """Document 1 has two texts; it stands for a group by one of them, and stays for it."""
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = llm.createDataFrame([(0, one), (1, one), (1, two), (2, two), (2, two)], "doc_id long, text string")
+    assert Counter(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == {0: 1, 1: 2}
 
 
-def near_copies(per_kind=12):
-    """Texts and copies at a shingle similarity of 0.8 or more: a tail added or cut, words swapped."""
-    random.seed(41)
-    new = lambda n: [f"w{random.randrange(40_000)}" for _ in range(n)]
-    rows = []
-    for kind in ("added", "cut", "swapped"):
-        for size in (10, 30, 60, 110, 240):
-            for share in (0.08, 0.19):
-                for _ in range(per_kind):
-                    one = new(size)
-                    shingles = size - 4
-                    k = int(share * shingles)
-                    if kind == "added":
-                        two = one + new(max(1, k))
-                    elif kind == "cut":
-                        two = one[: size - max(1, k)]
-                    else:
-                        two = list(one)
-                        for at in random.sample(range(size), max(1, k // 10)):
-                            two[at] = "other"
-                    rows += [" ".join(one), " ".join(two)]
-    return list(enumerate(rows))
-
-
-def similar_pairs(rows, similarity=0.8):
-    sets = {}
-    for i, t in rows:
-        w = t.lower().split()
-        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
-    by = {}
-    for i, x in sets.items():
-        for y in x:
-            by.setdefault(y, set()).add(i)
-    tried = {(a, b) for x in by.values() for a in x for b in x if a < b}
-    return [(a, b) for a, b in tried if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
-
-
-def test_added_cut_and_short_copies_equal_all_pairs(llm):
-    rows = near_copies()
-    pairs = similar_pairs(rows)
-    want = reach([i for i, _ in rows], pairs)
-    docs = llm.createDataFrame(rows, "doc_id long, text string")
-    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
-    assert len(pairs) > 200 and got == {i: c for i, c in want.items() if i != c}
-
-
-def test_texts_of_one_bag_are_compared_with_each_other(llm):
-    """Shuffled lists have one word fingerprint; some are near one another, but not near the first."""
-    random.seed(12)
-    items = [[f"i{i}w{j}" for j in range(6)] for i in range(40)]
-    rows = [(0, " ".join(w for x in items for w in x))]
-    for i in range(1, 9, 2):
-        random.shuffle(items)
-        moved = items[1:] + items[:1]
-        rows += [(i, " ".join(w for x in items for w in x)), (i + 1, " ".join(w for x in moved for w in x))]
-    docs = llm.createDataFrame(rows, "doc_id long, text string")
-    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
-    assert got == {i + 1: i for i in range(1, 9, 2)}
+# --- substrings ---------------------------------------------------------------------------------
 
 
 def plain_dedup(rows, window):
@@ -438,6 +376,21 @@ def test_lines_equal_all_pairs(llm, edits):
         assert r["_n_lines"] == len(text)
 
 
+def test_many_near_lines_make_few_candidates(llm, monkeypatch):
+    """Lines that are all near the first of them, and one document of very many equal lines."""
+    asked = []
+    near = lines._near
+    monkeypatch.setattr(lines, "_near", lambda docs, distinct, pairs, *a: asked.append(pairs.distinct().count()) or near(docs, distinct, pairs, *a))
+    base = "the same sentence with only two letters that differ in a line"
+    rows = [(0, base)] + [(i, base[:20] + chr(97 + i % 26) + chr(97 + i // 26) + base[22:]) for i in range(1, 500)]
+    rows.append((1000, "\n".join(["a line that a very long document repeats"] * 200_000)))
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"]: r for r in lines.drop_lines(docs).collect()}
+    assert all(kept[i]["_n_removed"] == (i > 0) for i in range(500))
+    assert kept[1000]["_n_removed"] == 199_999 and kept[1000]["text"] == "a line that a very long document repeats"
+    assert len(asked) == 2 and sum(asked) <= 4 * len(rows)
+
+
 def test_lines_odd_rows(odd_docs):
     out = lines.drop_lines(odd_docs)
     assert set(odd_docs.columns) < set(out.columns) and out.count() == 12

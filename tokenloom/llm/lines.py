@@ -11,7 +11,9 @@ bit-parallel edit distance (Hyyrö's form of Myers's bit-vectors), many pairs at
 Equal lines are one line: its first place stands for it, and copies are neither entered again by a
 task nor paired. Pairs are of distinct lines only, and of those whose characters can be ``edits``
 apart: every row carries a line's character counts by class, and two counts that differ by more
-than two for each edit part a pair in the join itself.
+than two for each edit part a pair in the join itself. Lines under a key meet the first of them
+before any others, and only those that this leaves open meet the rest: near lines by the thousand
+make a pair each, not all pairs.
 
 Defined results: lines end at a line feed and are compared without white space at either end; lines
 of fewer than ``min_chars`` characters always stay, so blank ones do; null text has no lines and
@@ -101,14 +103,15 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """``key, h, bag``: distinct lines under their segments and under what segments can have become."""
+    """``key, h, bag, doc``: lines under their segments and under what segments can have become, once
+    for a while of each task's lines, by the first document met."""
 
     def enter(batches):
         seen: set[int] = set()
         for batch in batches:
             for part in chunks(batch, "text"):
                 data, offsets = flat(part.column("text"))
-                _, _, start, end, chars, h, hashes, lead = _lines(data, offsets, min_chars)
+                row, _, start, end, chars, h, hashes, lead = _lines(data, offsets, min_chars)
                 bag = np.concatenate([np.zeros(1, U), np.cumsum(CLASS_ONE[data])])
                 bag = bag[end] - bag[start]
                 if len(seen) > SEEN_LINES:
@@ -117,6 +120,7 @@ def _keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                 once = once[[x not in seen for x in h[once].tolist()]]
                 seen.update(h[once].tolist())
                 start, end, chars, h, bag = start[once], end[once], chars[once], h[once], bag[once]
+                doc = part.column("doc").take(pa.array(row[once]))
                 at = np.flatnonzero((data & 0xC0) != 0x80)  # byte of each character
                 at = np.append(at, len(data))
                 char0 = lead[start]
@@ -136,11 +140,14 @@ def _keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                         made_from.append(np.flatnonzero(ok))
                 line = np.concatenate(made_from)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(x)) for x in (np.concatenate(made_keys), h[line], bag[line])],
-                    ["key", "h", "bag"],
+                    [
+                        *(pa.array(signed(x)) for x in (np.concatenate(made_keys), h[line], bag[line])),
+                        doc.take(pa.array(line)),
+                    ],
+                    ["key", "h", "bag", "doc"],
                 )
 
-    return docs.mapInArrow(enter, "key long, h long, bag long")
+    return docs.mapInArrow(enter, "key long, h long, bag long, doc long")
 
 
 def _bags_near(a: str, b: str, edits: int):
@@ -280,15 +287,9 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
     return join_checked(docs, wanted, "doc").mapInArrow(read, "h long, line_text string")
 
 
-def near_pairs(docs: DataFrame, distinct: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """``a, b``: distinct lines (by ``h``) at most ``edits`` apart, each pair once.
-    ``distinct`` is a written table of ``h, doc, line`` with each line's first place."""
-    # Both sides of the join are this one exchange, and rows that tasks entered twice go behind it.
-    keyed = _keys(docs, edits, min_chars).repartition("key").distinct()
-    left, right = keyed.toDF("key", "a", "bag_a"), keyed.toDF("key", "b", "bag_b")
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & _bags_near("bag_a", "bag_b", edits))
-    pairs = pairs.select("a", "b").distinct()
-    pairs = materialize(pairs, "line-candidates")
+def _near(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """The ``pairs`` (``a, b``, by ``h``) whose lines are at most ``edits`` apart. Written."""
+    pairs = materialize(pairs.distinct(), "line-candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     asked = distinct.join(asked, "h").groupBy("doc").agg(F.collect_set("line").alias("places"))
     texts = materialize(_texts(docs, materialize(asked, "line-places"), min_chars), "line-texts")
@@ -300,7 +301,41 @@ def near_pairs(docs: DataFrame, distinct: DataFrame, edits: int, min_chars: int)
             near = within(batch.column(2).to_pylist(), batch.column(3).to_pylist(), edits)
             yield batch.select([0, 1]).filter(pa.array(near))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "line-pairs")
+
+
+def _later(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """``h`` of the lines of ``pairs`` that have a near one before them. Written."""
+    places = distinct.select("h", F.struct("doc", "line").alias("at"))
+    one, two = places.toDF("a", "at_a"), places.toDF("b", "at_b")
+    placed = pairs.join(one, "a").join(two, "b")
+    later = placed.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("h"))
+    return materialize(later.distinct(), "later-lines")
+
+
+def near_lines(docs: DataFrame, distinct: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """``h`` of the distinct lines that an earlier one is at most ``edits`` apart from.
+    ``distinct`` is a written table of ``h, doc, line`` with each line's first place.
+
+    One earlier line is enough, so lines under a key are first compared with the first of them
+    alone: a row per line and key, however many lines are near one another. Only lines that this
+    does not settle are then compared with all under their keys. Which line of a key counts as the
+    first decides how much work is left, never what goes.
+    """
+    # All sides of the joins are this one exchange; rows that tasks entered twice become one behind it.
+    keyed = _keys(docs, edits, min_chars).repartition("key").groupBy("key", "h", "bag").agg(F.min("doc").alias("doc"))
+    first = F.min(F.struct("doc", "h", "bag")).alias("x")
+    heads = keyed.groupBy("key").agg(first, F.count("*").alias("n")).where("n > 1")
+    heads = heads.select("key", F.col("x.h").alias("a"), F.col("x.bag").alias("bag_a"))
+    own = keyed.select("key", F.col("h").alias("b"), F.col("bag").alias("bag_b"))
+    stars = heads.join(own, "key").where((F.col("a") != F.col("b")) & _bags_near("bag_a", "bag_b", edits))
+    settled = _later(_near(docs, distinct, stars.select("a", "b"), edits, min_chars), distinct)
+    open_ = join_checked(own, settled.withColumnRenamed("h", "b"), "b", "left_anti")
+    other = keyed.select("key", F.col("h").alias("a"), F.col("bag").alias("bag_a"))
+    pairs = other.join(open_, "key").where((F.col("a") != F.col("b")) & _bags_near("bag_a", "bag_b", edits))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _later(_near(docs, distinct, pairs, edits, min_chars), distinct)
+    return settled.union(more).distinct()
 
 
 def repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataFrame:
@@ -309,19 +344,30 @@ def repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> Data
     at = F.struct("doc", "line")
     distinct = held.groupBy("h", "g").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     distinct = materialize(distinct.select("h", "g", "first.doc", "first.line", "n"), "distinct-lines")
-    pairs = materialize(near_pairs(docs, distinct.select("h", "doc", "line"), edits, min_chars), "line-pairs")
-    places = distinct.select("h", F.struct("doc", "line").alias("first"))
-    ways = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    before = ways.join(places.toDF("b", "other"), "b").groupBy("a").agg(F.min("other").alias("other"))
-    judged = distinct.join(before.withColumnRenamed("a", "h"), "h", "left")
+    near = near_lines(docs, distinct.select("h", "doc", "line"), edits, min_chars)
+    judged = distinct.join(near.withColumn("gone", F.lit(True)), "h", "left")
     first = F.struct("doc", "line")
-    gone = F.coalesce(F.col("other") < first, F.lit(False))
+    gone = F.coalesce("gone", F.lit(False))
     judged = judged.where(gone | (F.col("n") > 1)).select("h", "g", first.alias("first"), gone.alias("gone"))
     judged = materialize(judged, "judged-lines")
     out = join_checked(held, judged, ["h", "g"])
     return out.where(F.col("gone") | (first != F.col("first"))).select("doc", "line")
 
 
+def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """The texts less the lines whose numbers are listed, in one pass over each."""
+    out = []
+    for text, lines in zip(texts.to_pylist(), gone.to_pylist()):
+        if text is None or not lines:
+            out.append(text)
+            continue
+        parts = text.split("\n")
+        for i in lines:
+            parts[i] = None
+        out.append("\n".join(p for p in parts if p is not None))
+    return pa.array(out, pa.string())
+
+
 def drop_lines(
     docs: DataFrame, edits: int = 2, min_chars: int = 20, text: str = "text", row_id: str = "doc_id"
 ) -> DataFrame:
@@ -331,12 +377,11 @@ def drop_lines(
     gone = materialize(gone.withColumnRenamed("doc", "_doc"), "lines-to-drop")
     both = docs.withColumn("_doc", F.col(row_id).cast("long"))
     both = join_checked(both, gone, "_doc", "left").drop("_doc")
-    parts = F.split(F.col(text), "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.coalesce(F.array_contains("_lines", i), F.lit(False)))
-    some = F.col("_lines").isNotNull()
+    ends = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    kept = F.arrow_udf(_without, "string")
     return (
-        both.withColumn("_n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"))
+        both.withColumn("_n_lines", F.coalesce(ends + 1, F.lit(0)).cast("long"))
         .withColumn("_n_removed", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-        .withColumn(text, F.when(some, F.array_join(kept, "\n")).otherwise(F.col(text)))
+        .withColumn(text, kept(F.col(text), F.col("_lines")))
         .drop("_lines")
     )

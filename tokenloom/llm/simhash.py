@@ -22,16 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import (
-    BYTE_VALUE,
-    U,
-    chunks,
-    flat,
     join_checked,
     materialize,
-    mix,
-    signed,
-    span_hashes,
-    words,
 )
 from tokenloom.llm.components import components
 
@@ -111,222 +103,16 @@ def groups(docs: DataFrame, words: int = 3, max_bits: int = 2, text: str = "text
     )
 
 
-# --- near duplicates by a similarity of shingle sets -------------------------------------------
-#
-# Texts that share four fifths of their five-word shingles differ in 5 to 14 bits of a fingerprint of
-# those shingles, too many to enumerate. If single words were swapped, they differ in about 3 of a
-# fingerprint of their words, each weighted by the root of its count, in more if a passage was added or
-# cut. So two word fingerprints of independent hashes join most texts cheaply, and a prefix filter that
-# cannot miss finds the rest: sets of n shingles at a similarity of t share at least t * n, so each has
-# one of those among its first n - ceil(t * n) + 1 in any order common to all. The order is by how often
-# a shingle occurs, rare ones first, by a sketch of counts; a sketch that is off costs time only.
-# Shingle sets decide on every pair.
-
-VIEWS = 2
-WORD_BITS = 5
-CHUNK = 1 << 17
-COUNTERS = 1 << 20  # of the sketch
-
-
-def _lower(data: np.ndarray) -> np.ndarray:
-    return np.where((data >= 0x41) & (data <= 0x5A), data + 0x20, data).astype(np.uint8)
-
-
-def word_fingerprints(docs: DataFrame, text: str, row_id: str) -> DataFrame:
-    """``id, h, g, fp0, fp1``: two hashes of the word sequence, and the word fingerprints."""
-
-    def of(batches):
-        for batch in batches:
-            for part in chunks(batch, "text", CHUNK):
-                data, offsets = flat(part.column("text"))
-                starts, ends, first = words(data, offsets)
-                word = span_hashes(BYTE_VALUE[_lower(data)], starts, ends)
-                h = span_hashes(word, first[:-1], first[1:])
-                g = span_hashes(mix(word + U(1)), first[:-1], first[1:])
-                row = np.repeat(np.arange(len(part)), np.diff(first))
-                order = np.lexsort((word, row))
-                row, word = row[order], word[order]
-                new = np.flatnonzero(
-                    np.concatenate([[True], (word[1:] != word[:-1]) | (row[1:] != row[:-1])])[: len(word)]
-                )
-                weight = np.sqrt(np.diff(np.append(new, len(word)))).astype(np.float32)
-                row, word = row[new], word[new]
-                filled, at = np.unique(row, return_index=True)
-                out = [part.column("id"), pa.array(signed(h)), pa.array(signed(g))]
-                for view in range(VIEWS):
-                    fp = np.zeros(len(part), U)
-                    if len(word):
-                        bits = np.unpackbits(
-                            mix(word + U(view + 7)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"
-                        )
-                        total = np.add.reduceat((bits.astype(np.float32) * 2 - 1) * weight[:, None], at, axis=0)
-                        packed = np.packbits(total > 0, axis=1, bitorder="little")
-                        fp[filled] = np.ascontiguousarray(packed).view(U)[:, 0]
-                    out.append(pa.array(signed(fp)))
-                yield pa.RecordBatch.from_arrays(out, ["id", "h", "g", "fp0", "fp1"])
-
-    named = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return named.mapInArrow(of, "id long, h long, g long, fp0 long, fp1 long")
-
-
-def _sets(part: pa.RecordBatch, size: int) -> list[np.ndarray]:
-    """Distinct shingle hashes of every row."""
-    data, offsets = flat(part.column("text"))
-    starts, ends, first = words(data, offsets)
-    word = span_hashes(BYTE_VALUE[_lower(data)], starts, ends)
-    sets = []
-    for lo, hi in zip(first[:-1], first[1:]):
-        at = np.arange(lo, max(lo + 1, hi - size + 1)) if hi > lo else first[:0]
-        sets.append(np.unique(span_hashes(word, at, np.minimum(at + size, hi))))
-    return sets
-
-
-def _named(docs: DataFrame, text: str, row_id: str) -> DataFrame:
-    return docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-
-
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, text: str, row_id: str) -> DataFrame:
-    """``id, shingles``: distinct shingle hashes of the ``wanted`` ids."""
-
-    def of(batches):
-        for batch in batches:
-            for part in chunks(batch, "text", CHUNK):
-                sets = [signed(x) for x in _sets(part, size)]
-                ends = np.cumsum([len(x) for x in sets])
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(sets))
-                )
-                yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "shingles"])
-
-    named = _named(docs, text, row_id)
-    return join_checked(named, wanted, "id").mapInArrow(of, "id long, shingles array<long>")
-
-
-def _sketch(docs: DataFrame, size: int, text: str, row_id: str) -> np.ndarray:
-    """In how many texts shingles occur, added up by the low bits of their hashes."""
-
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for part in chunks(batch, "text", CHUNK):
-                low = np.concatenate(_sets(part, size)) & U(COUNTERS - 1)
-                np.add.at(total, low.astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 1 << 16):
-            some = at[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
-
-    found = _named(docs, text, row_id).mapInArrow(count, "at long, n long")
-    found = found.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(COUNTERS, np.int64)
-    total[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    return np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
-
-
-def _prefixes(docs: DataFrame, similarity: float, size: int, text: str, row_id: str) -> DataFrame:
-    """``shingle, id, n``: the first shingles of every text, of ``n``; two similar texts share one."""
-    sent = docs.sparkSession.sparkContext.broadcast(_sketch(docs, size, text, row_id))
-
-    def of(batches):
-        often = sent.value
-        for batch in batches:
-            for part in chunks(batch, "text", CHUNK):
-                made, many = [np.zeros(0, U)], []
-                sets = _sets(part, size)
-                for x in sets:
-                    few = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1 if len(x) else 0
-                    order = np.lexsort((x, often[(x & U(COUNTERS - 1)).astype(np.int64)]))
-                    made.append(x[order[:few]])
-                    many.append(len(made[-1]))
-                ids = part.column("id").take(pa.array(np.repeat(np.arange(len(part)), many)))
-                n = np.repeat(np.array([len(x) for x in sets], np.int32), many)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(made))), ids, pa.array(n)], ["shingle", "id", "n"]
-                )
-
-    return _named(docs, text, row_id).mapInArrow(of, "shingle long, id long, n int")
-
-
-def _apart(prefixes: DataFrame, reach: DataFrame) -> DataFrame:
-    """``prefixes`` with the component of each text, where texts of several share a shingle; and of
-    the least of those, ``other, m, least``."""
-    named = join_checked(prefixes, reach.withColumnRenamed("first", "id"), "id", "left")
-    named = named.withColumn("component", F.coalesce("component", "id"))
-    least = F.min(F.struct("component", "id", "n")).alias("x")
-    heads = named.groupBy("shingle").agg(least, F.max("component").alias("most")).where("x.component < most")
-    heads = heads.select("shingle", F.col("x.id").alias("other"), F.col("x.n").alias("m"), F.col("x.component").alias("least"))
-    return named.join(heads, "shingle")
-
-
-def _fingerprint_pairs(texts: DataFrame) -> DataFrame:
-    pairs = None
-    for view in range(VIEWS):
-        first = texts.groupBy(f"fp{view}").agg(F.min("id").alias("first")).withColumnRenamed(f"fp{view}", "fp")
-        first = materialize(first, "distinct-fingerprints")
-        star = texts.select(F.col(f"fp{view}").alias("fp"), "id").join(first, "fp")
-        star = star.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-        near = links(first, WORD_BITS)
-        near = near.join(first.toDF("a", "ia"), "a").join(first.toDF("b", "ib"), "b")
-        near = near.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
-        both = star.union(near)
-        pairs = both if pairs is None else pairs.union(both)
-    return pairs
-
-
-def similar_groups(
-    docs: DataFrame, similarity: float = 0.8, size: int = 5, text: str = "text", row_id: str = "doc_id"
+def drop_near_duplicates(
+    docs: DataFrame, words: int = 3, max_bits: int = 2, text: str = "text", row_id: str = "doc_id"
 ) -> DataFrame:
-    """``id, component_id``: written, for every id that is not the smallest of its group.
+    """Of each group of linked fingerprints the document with the smallest id.
 
-    Texts with the same words are one, by the smallest id. Texts with one fingerprint are compared
-    with the first of them, and the first ones of near fingerprints with each other. Then texts that
-    share a prefix shingle are compared if they are not in one group yet: first with the least of
-    them, so that large groups come together in few comparisons, then all that are still apart.
+    A document whose id repeats stays, with all its rows, if one of its texts has no smaller id in
+    its group; so no group is left without a document. Rows without an id stay.
     """
-    marked = materialize(word_fingerprints(docs, text, row_id).where("id is not null"), "word-fingerprints")
-    texts = marked.groupBy("h", "g", "fp0", "fp1").agg(F.min("id").alias("id"))
-    texts = materialize(texts, "distinct-texts")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.distinct(), "text-candidates")
-        asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked-texts")
-        sets = materialize(
-            _shingle_sets(docs, asked, size, text, row_id).dropDuplicates(["id"]), "shingle-sets"
-        )
-        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        union = F.size("sa") + F.size("sb") - common
-        near = both.where((union == 0) | (common >= similarity * union - 1e-9)).select("a", "b")
-        return materialize(near, "text-links")
-
-    def grouped(edges: DataFrame) -> DataFrame:
-        return materialize(components(edges).toDF("first", "component"), "text-components")
-
-    edges = linked(_fingerprint_pairs(texts))
-    reach = grouped(edges)
-    prefixes = _prefixes(docs, similarity, size, text, row_id)
-    alone = materialize(texts.select("id").distinct(), "text-ids")
-    prefixes = materialize(join_checked(prefixes, alone, "id"), "prefixes")
-    fits = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
-    apart = _apart(prefixes, reach).where((F.col("component") > F.col("least")) & fits)
-    edges = edges.union(linked(apart.select(F.least("other", "id").alias("a"), F.greatest("other", "id").alias("b"))))
-    reach = grouped(edges)
-    apart = materialize(_apart(prefixes, reach).select("shingle", "id", "n", "component"), "texts-apart")
-    one, two = apart.toDF("shingle", "a", "n", "ca"), apart.toDF("shingle", "b", "m", "cb")
-    pairs = one.join(two, "shingle").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & fits)
-    edges = edges.union(linked(pairs.select("a", "b")))
-    reach = grouped(edges)
-    names = texts.join(reach, texts["id"] == reach["first"], "left")
-    names = names.select("h", "g", F.coalesce("component", "id").alias("component_id"))
-    found = join_checked(marked.select("id", "h", "g"), materialize(names, "text-groups"), ["h", "g"])
-    return materialize(found.where("id != component_id").select("id", "component_id"), "near-duplicates")
-
-
-def drop_near_duplicates(
-    docs: DataFrame, similarity: float = 0.8, size: int = 5, text: str = "text", row_id: str = "doc_id"
-) -> DataFrame:
-    """Of each group of similar texts the rows with the smallest id. Rows without an id stay."""
-    gone = similar_groups(docs, similarity, size, text, row_id).select(F.col("id").alias("_gone")).distinct()
-    gone = materialize(gone, "texts-to-drop")
-    marked = docs.withColumn("_gone", F.col(row_id).cast("long"))
-    return join_checked(marked, gone, "_gone", "left_anti").drop("_gone")
+    found = groups(docs.select(row_id, text), words, max_bits, text, row_id)
+    first = F.bool_or(F.col(row_id) == F.col("component_id")).alias("first")
+    gone = found.where(F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("_gone")).agg(first)
+    gone = materialize(gone.where(~F.col("first")).select("_gone"), "texts-to-drop")
+    return join_checked(docs.withColumn("_gone", F.col(row_id)), gone, "_gone", "left_anti").drop("_gone")
