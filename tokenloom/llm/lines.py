@@ -322,16 +322,19 @@ def near_lines(docs: DataFrame, distinct: DataFrame, edits: int, min_chars: int)
     does not settle are then compared with all under their keys. Which line of a key counts as the
     first decides how much work is left, never what goes.
     """
-    # All sides of the joins are this one exchange; rows that tasks entered twice become one behind it.
+    # Both sides of the join are this one exchange; rows that tasks entered twice become one behind it.
     keyed = _keys(docs, edits, min_chars).repartition("key").groupBy("key", "h", "bag").agg(F.min("doc").alias("doc"))
     first = F.min(F.struct("doc", "h", "bag")).alias("x")
     heads = keyed.groupBy("key").agg(first, F.count("*").alias("n")).where("n > 1")
     heads = heads.select("key", F.col("x.h").alias("a"), F.col("x.bag").alias("bag_a"))
-    own = keyed.select("key", F.col("h").alias("b"), F.col("bag").alias("bag_b"))
-    stars = heads.join(own, "key").where((F.col("a") != F.col("b")) & _bags_near("bag_a", "bag_b", edits))
-    settled = _later(_near(docs, distinct, stars.select("a", "b"), edits, min_chars), distinct)
+    # Most keys have one line; what is left is small, is written, and is all the later joins read.
+    shared = materialize(heads.join(keyed.drop("doc"), "key"), "shared-keys")
+    star = (F.col("a") != F.col("h")) & _bags_near("bag_a", "bag", edits)
+    stars = shared.where(star).select("a", F.col("h").alias("b"))
+    settled = _later(_near(docs, distinct, stars, edits, min_chars), distinct)
+    own = shared.select("key", F.col("h").alias("b"), F.col("bag").alias("bag_b"))
     open_ = join_checked(own, settled.withColumnRenamed("h", "b"), "b", "left_anti")
-    other = keyed.select("key", F.col("h").alias("a"), F.col("bag").alias("bag_a"))
+    other = shared.select("key", F.col("h").alias("a"), F.col("bag").alias("bag_a"))
     pairs = other.join(open_, "key").where((F.col("a") != F.col("b")) & _bags_near("bag_a", "bag_b", edits))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _later(_near(docs, distinct, pairs, edits, min_chars), distinct)
