@@ -39,7 +39,7 @@ def new_folder(spark, name: str) -> str:
     return f"{durable_dir(spark)}/tokenloom/{name}-{uuid.uuid4().hex}"
 
 
-def packed(spark, sf_dir, rows=F.lit(True)):
+def packed(spark, sf_dir, rows="true"):
     """A corpus of all documents in byte tokens, and its tokenizer, in new folders."""
     folder, tokenizer = new_folder(spark, "corpus"), new_folder(spark, "tokenizer")
     learned = Vocabulary.of_bytes()
@@ -244,7 +244,7 @@ def _hashed(rows, *columns):
 def training_batches(spark, sf_dir):
     """Microbatches of two corpora, each with the inputs and targets of its real block."""
     main, _ = packed(spark, sf_dir)
-    decay, _ = packed(spark, sf_dir, F.col("lang") == _DECAY_LANG)
+    decay, _ = packed(spark, sf_dir, f"lang = '{_DECAY_LANG}'")
     corpora = {n: corpus.open_corpus(spark, f, "train", q.SEQ_LEN) for n, f in (("main", main), ("decay", decay))}
     total = corpus.manifest_entries(spark, main).where("split = 'train'").agg(F.sum("tokens")).first()[0]
     schedule = Schedule(total_tokens=total, decay_fraction=0.25, decay_mix=0.5)
