@@ -256,9 +256,13 @@ def joined(spans: Column) -> Column:
 def sanitise(docs: DataFrame, disclosure: float = 0.8, chance: float = 0.05, remove: bool = False, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """``row_id, text`` with every span generalised to its kind in brackets, or removed.
 
-    Spans that overlap are one, of the first one's kind.
+    Spans that overlap are one, of the first one's kind. Rows are numbered once, in a written table
+    that both the search and the result read, so a text and its spans stay together however the rows
+    of ``docs`` fall from one reading to the next.
     """
-    rows, spans = find(docs, disclosure, chance, text, row_id)
+    numbered = docs.select(F.monotonically_increasing_id().alias("n"), F.col(row_id).alias("id"), F.col(text).alias("text"))
+    numbered = materialize(numbered, "numbered-texts")
+    rows, spans = find(numbered, disclosure, chance, "text", "n")
     order = Window.partitionBy("row").orderBy("start", "end", "kind")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = spans.withColumn("fresh", (F.coalesce(before, F.lit(-1)) <= F.col("start")).cast("int"))
@@ -285,6 +289,7 @@ def sanitise(docs: DataFrame, disclosure: float = 0.8, chance: float = 0.05, rem
         ),
         F.expr("substring(text, cast(s[size(s) - 1].end as int) + 1)"),
     )
-    changed = rows.join(lists, "row").select("row", hidden.alias("hidden"))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(row_id), F.col(text).alias("text"))
-    return base.join(changed, "row", "left").select(row_id, F.coalesce("hidden", "text").alias(text))
+    changed = rows.join(lists, "row").select(F.col("id").alias("n"), hidden.alias("hidden"))
+    return numbered.join(changed, "n", "left").select(
+        F.col("id").alias(row_id), F.coalesce("hidden", "text").alias(text)
+    )
