@@ -7,6 +7,7 @@ from tests import twins
 from tokenloom.functions import text
 from tokenloom.operators import conversations as convs
 from tokenloom.operators.vocab import Vocabulary
+from tokenloom.plans import chats
 from tokenloom.plans.chats import ChatPack, chat_rows
 
 SEQ = 48
@@ -105,6 +106,31 @@ def test_chat_budget_equals_a_fold(spark, stop):
         assert [where[i] for i in ids] == twins.roll([SEQ + 1] * len(ids), SEQ * 3)
 
 
+def test_conversations_past_a_safe_stop_are_not_encoded(spark, monkeypatch):
+    """Merges make ids fewer than bytes, so the stop by bytes lies at or behind the true one."""
+    seen = []
+    encode = chats.encoded_turns
+
+    def spied(turns, *rest):
+        seen.append(turns.agg(F.max("conv_id")).first()[0])
+        return encode(turns, *rest)
+
+    conversations = generated(250, 4)
+    rows = table(spark, conversations)
+    base = Vocabulary.of_bytes().symbols
+    a = base.index(b"a")
+    doubled = Vocabulary((*base, b"aa", b"aaaa"), ((a, a, len(base)), (len(base), len(base), len(base) + 1)))
+    whole, _ = chat_rows(rows, doubled, ChatPack(SEQ))
+    good = [(r["conv_id"], r["split"]) for r in whole.orderBy("conv_id").collect()]
+    train = [i for i, side in good if side == "train"][:10]
+    first_val = next(i for i, side in good if side == "val")
+    monkeypatch.setattr(chats, "encoded_turns", spied)
+    placed, _ = chat_rows(rows, doubled, ChatPack(SEQ, 10))
+    stop = max(train[-1], first_val)
+    assert sorted(r["conv_id"] for r in placed.collect()) == [i for i, _ in good if i <= stop]
+    assert stop <= seen[0] < conversations[-1][0]
+
+
 def test_sources_are_packed_on_their_own(spark):
     a, b = generated(120, 1), generated(150, 2)
     both = (

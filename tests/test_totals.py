@@ -51,6 +51,32 @@ def test_sampled_bounds_change_nothing_but_balance(spark, monkeypatch):
     assert [have[r[0]] for r in rows] == list(accumulate(r[2] for r in rows))
 
 
+@pytest.mark.parametrize("sample", [60, 10**9])
+def test_chunks_are_bounded_beyond_one_sketch(spark, monkeypatch, sample):
+    """Ids crowd in places, and one sketch gives four chunks only."""
+    monkeypatch.setattr(running, "MAX_CHUNKS", 4)
+    monkeypatch.setattr(running, "BOUND_ROWS", sample)
+    rng = random.Random(8)
+    ids = sorted({rng.randrange(10**12) for _ in range(1500)} | set(range(5 * 10**11, 5 * 10**11 + 3000, 2)))
+    rows = [(i, "val" if rng.random() < 0.2 else "train", rng.randint(1, 40)) for i in ids]
+    df = lengths(spark, rows).repartition(5)
+    bounds = running.chunk_bounds(df, "doc_id", 50)
+    sizes = df.groupBy(running.chunk_of(F.col("doc_id"), bounds)).count().collect()
+    assert max(r["count"] for r in sizes) <= 100 and len(sizes) < 300
+    got = {r["doc_id"]: (r["shard"], r["offset"]) for r in roll_shards(df, "doc_id", 700, rows_per_chunk=50).collect()}
+    for side in ("train", "val"):
+        mine = [r for r in rows if r[1] == side]
+        assert [got[r[0]] for r in mine] == twins.roll([r[2] for r in mine], 700)
+
+
+def test_values_that_repeat_too_often_stay_in_one_chunk(spark, monkeypatch):
+    monkeypatch.setattr(running, "MAX_CHUNKS", 4)
+    df = spark.createDataFrame([(7,)] * 500 + [(i,) for i in range(100, 300)], "doc_id long")
+    bounds = running.chunk_bounds(df, "doc_id", 20)
+    sizes = sorted(r["count"] for r in df.groupBy(running.chunk_of(F.col("doc_id"), bounds)).count().collect())
+    assert 500 <= sizes[-1] < 540 and sizes[-2] <= 40
+
+
 def test_chunk_of_counts_bounds_at_or_below(spark):
     for bounds in ([], [5], [3, 9], [1, 2, 4, 8, 16], list(range(0, 70, 7))):
         got = spark.range(80).select("id", running.chunk_of(F.col("id"), bounds).alias("c")).collect()

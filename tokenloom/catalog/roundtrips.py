@@ -6,7 +6,9 @@ import math
 import re
 import uuid
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.catalog import sqltext as q
@@ -16,12 +18,14 @@ from tokenloom.catalog.registry import query
 from tokenloom.functions.schedule import Schedule
 from tokenloom.operators.blocks import training_pair
 from tokenloom.operators.order import EpochOrder, ReaderState
+from tokenloom.operators.running import running_totals
 from tokenloom.operators.vocab import Vocabulary
 from tokenloom.plans import batches
 from tokenloom.plans.chats import ChatPack, chat_rows, pack_conversations
 from tokenloom.plans.documents import DocumentPack, pack_documents
-from tokenloom.session import durable_dir
+from tokenloom.session import durable_dir, materialize
 from tokenloom.sources import corpus, manifests, tokenizer_file
+from tokenloom.sources import documents as intake_files
 from tokenloom.streaming import intake
 
 _NAME = "split || '-' || lpad(shard::VARCHAR, 5, '0') || '.bin'"
@@ -71,6 +75,42 @@ def bundle_round_trip(spark, sf_dir):
     return entries.select("file", "tokens", "sha256")
 
 
+RAW_FILES, RAW_SLICES = 5, 3  # JSON-lines files of a split, and the jobs that share them
+
+
+@query(
+    f"""WITH raw AS (
+      SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS split,
+        doc_id // 10 % {RAW_FILES} AS file FROM documents),
+    sliced AS (SELECT *, (((file + 1) * {RAW_SLICES} - 1) // {RAW_FILES})::INT AS slice FROM raw)
+    SELECT split, slice, row_number() OVER (PARTITION BY split, slice ORDER BY file, doc_id) AS nth,
+      sha256(text) AS sha256 FROM sliced"""
+)
+def raw_lines_order(spark, sf_dir):
+    """Documents as JSON lines in a folder for each split, found by the folder's name, dealt to jobs
+    by file, and read back in the order of files and lines."""
+    root = new_folder(spark, "raw")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    is_val = F.col("doc_id") % 10 == 0
+    file = F.expr(f"cast(doc_id div 10 % {RAW_FILES} as int)")
+    for split, mine in (("train", ~is_val), ("val", is_val)):
+        lines = docs.where(mine).repartitionById(RAW_FILES, file).sortWithinPartitions("doc_id")
+        lines.select("text").write.json(f"{root}/x_{split}")
+    files = intake_files.list_files(spark, root, "*.json")
+    read = []
+    for split in ("train", "val"):
+        mine = files.where(F.col("dir") == intake_files.resolve_directory(files, split))
+        for i in range(RAW_SLICES):
+            paths = intake_files.select_files(mine, i, RAW_SLICES)
+            rows = intake_files.read_ordered(spark, paths, "text", "place", "json")
+            read.append(
+                rows.select(F.lit(split).alias("split"), F.lit(i).alias("slice"), "place", F.sha2("text", 256).alias("sha256"))
+            )
+    hashed = materialize(reduce(DataFrame.unionByName, read), "raw-lines")
+    placed = running_totals(hashed, "place", {"nth": F.lit(1)}, ["split", "slice"])
+    return placed.select("split", "slice", "nth", "sha256")
+
+
 def _table(sf_dir):
     """A stream reads folders or patterns; the table may be one file, and then a pattern names it."""
     return f"{sf_dir}/documents.parque[t]"

@@ -29,11 +29,13 @@ def _literal(values: Sequence[float], kind: str) -> Column:
 
 
 def chunk_bounds(df: DataFrame, ord_col: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> list[int]:
-    """Order values at which a new chunk starts: at most ``MAX_CHUNKS`` of them.
+    """Order values at which a new chunk starts, so that none has over twice ``rows_per_chunk`` rows.
 
     Reads the order column alone. Bounds decide how even the chunks are, never what they add up
     to, so a very long column is represented by a repeatable share of its values, like the sample
-    behind a range partitioning; sketches of all values would pile up in the one final merge.
+    behind a range partitioning; sketches of all values would pile up in the one final merge. A
+    sample, and the ``MAX_CHUNKS`` of one such sketch, bound nothing on long columns: there chunks
+    are counted, and those too large are cut again, each by a sketch of its own.
     """
     rows = df.count()
     if not rows:
@@ -45,9 +47,33 @@ def chunk_bounds(df: DataFrame, ord_col: str, rows_per_chunk: int = ROWS_PER_CHU
     cuts = seen.agg(F.percentile_approx(ord_col, grid, 10 * MAX_CHUNKS)).first()[0]
     cores = df.sparkSession.sparkContext.defaultParallelism
     spread = min(cores, -(-rows // SMALLEST_CHUNK))
-    chunks = min(MAX_CHUNKS, max(1, spread, -(-rows // rows_per_chunk)))
+    wanted = max(1, spread, -(-rows // rows_per_chunk))
+    chunks = min(MAX_CHUNKS, wanted)
     picked = [cuts[i * MAX_CHUNKS // chunks - 1] for i in range(1, chunks)] if cuts else []
-    return sorted(set(picked))
+    bounds = sorted(set(picked))
+    if rows > BOUND_ROWS or wanted > MAX_CHUNKS:
+        bounds = _cut_again(df.select(F.col(ord_col).alias("_at")), bounds, 2 * rows_per_chunk)
+    return bounds
+
+
+def _cut_again(order: DataFrame, bounds: list[int], most: int) -> list[int]:
+    """``bounds`` and more of them, level by level, until no chunk of ``order`` (``_at``) has over
+    ``most`` rows. A value that repeats more often than that stays whole, with its nearest neighbours."""
+    while True:
+        tagged = order.select("_at", chunk_of(F.col("_at"), bounds).alias(CHUNK))
+        over = {r[CHUNK]: r["count"] for r in tagged.groupBy(CHUNK).count().where(F.col("count") > most).collect()}
+        if not over:
+            return bounds
+        # Chunk numbers and counts, at most one for each ``most`` rows of the table.
+        wide = order.sparkSession.createDataFrame(list(over), "int").withColumnRenamed("value", CHUNK)
+        pieces = min(MAX_CHUNKS, -(-2 * max(over.values()) // most))
+        grid = _literal([i / pieces for i in range(1, pieces)], "double")
+        cuts = F.percentile_approx("_at", grid, 10 * pieces)
+        found = tagged.join(F.broadcast(wide), CHUNK).groupBy(CHUNK).agg(cuts.alias("cuts")).collect()
+        finer = sorted({*bounds, *(at for r in found for at in r["cuts"])})
+        if len(finer) == len(bounds):
+            return bounds
+        bounds = finer
 
 
 def chunk_of(ord_col: Column, bounds: Sequence[int]) -> Column:
@@ -98,7 +124,7 @@ def totals_in_chunks(
     tagged = tagged.withColumn(CHUNK, chunk_of(F.col(ord_col), bounds))
     offsets = _chunk_totals(tagged, names, by).select(*by, CHUNK, *_before(names, by))
     if not by:
-        offsets = F.broadcast(offsets)  # one row per chunk, MAX_CHUNKS at most
+        offsets = F.broadcast(offsets)  # one row per chunk: a millionth of the rows
     inside = (
         Window.partitionBy(*by, CHUNK)
         .orderBy(ord_col)

@@ -45,6 +45,8 @@ def chat_rows(turns: DataFrame, vocabulary: Vocabulary, o: ChatPack, by=()):
     by = list(by)
     if o.max_docs is not None:
         turns = _first_conversations(turns, o.max_docs, by)
+    if o.max_examples is not None:
+        turns = _up_to_stops(turns, o, by)
     encoded = materialize(encoded_turns(turns, vocabulary, by), "encoded-turns")
     judged = materialize(
         convs.judged(encoded, o.seq_len, F.size("ids").cast("bigint"), by), "judged"
@@ -78,6 +80,18 @@ def _first_conversations(turns: DataFrame, max_docs: int, by) -> DataFrame:
     return joined.where("rows_at is null or conv_id <= rows_at").drop("rows_at")
 
 
+def _up_to_stops(turns: DataFrame, o: ChatPack, by) -> DataFrame:
+    """The turns up to a conversation at which ``max_examples`` is surely met, known before anything
+    is encoded: an id stands for a byte at least, so what fits in bytes fits in ids."""
+    sure = materialize(convs.judged(turns, o.seq_len, by=by), "judged-by-bytes").where("reason is null")
+    stops = budget.example_cuts(sure, "conv_id", o.max_examples, by).select(*by, F.col("stop").alias("_upto"))
+    if not by:
+        row = stops.first()
+        return turns if row is None or row["_upto"] is None else turns.where(F.col("conv_id") <= row["_upto"])
+    joined = turns.join(F.broadcast(stops), by, "left")  # a row for each part, as there are manifests
+    return joined.where("_upto is null or conv_id <= _upto").drop("_upto")
+
+
 def pack_conversations(
     turns: DataFrame,
     vocabulary: Vocabulary,

@@ -13,7 +13,7 @@ from tokenloom.operators.running import first_crossings
 from tokenloom.operators.shards import SHARD_TOKENS, assign_shards, roll_shards
 from tokenloom.operators.vocab import Vocabulary, encoder
 from tokenloom.session import materialize, scratch
-from tokenloom.sources.documents import file_slices
+from tokenloom.sources.documents import by_key, file_slices, known_by
 from tokenloom.sources.manifests import write_manifest
 from tokenloom.sources.shards import shard_entries
 
@@ -141,13 +141,13 @@ def sliced_documents(
 ) -> DataFrame:
     """Documents with ``part`` = ``s00``, ``s01``, ...: the run of sorted files they come from."""
     tagged = file_slices(files, slices).select(
-        F.col("path").alias("_path"), F.format_string("s%02d", "slice").alias("part")
+        known_by("path").alias("_key"), F.format_string("s%02d", "slice").alias("part")
     )
     paths = [r["path"] for r in files.select("path").orderBy("path").collect()]
     rows = spark.read.parquet(*paths).select(
-        F.col(ord_col).alias(ORD), F.col(field).alias("text"), F.col("_metadata.file_path").alias("_path")
+        F.col(ord_col).alias(ORD), F.col(field).alias("text"), known_by("_metadata.file_path").alias("_key")
     )
-    return rows.join(tagged, "_path").drop("_path")
+    return by_key(rows, materialize(tagged, "file-parts"))
 
 
 def part_stops(

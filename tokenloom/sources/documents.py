@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tokenloom.session import materialize
 
 SMALL_BYTES = 64 << 20
+MOST_PLACES = 1_000_000  # files or splits, two numbers each, that are sent to every executor
 ROW_BITS = 40  # of a place: up to a trillion rows in each of eight million files
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -31,7 +32,8 @@ def read_ordered(
 
     A place is the file's number and, below it, a row's number in the file. Parquet knows a row's
     number. Lines are numbered within each split, and splits by counts of the ones before; that
-    numbering is written once, because it must not change from one reading to the next.
+    numbering is written once, because it must not change from one reading to the next. Rows know
+    their file or split by a hash and find one number under it, so text is not moved for its place.
     """
     paths = [path] if isinstance(path, str) else list(path)
     file = F.col("_metadata.file_path").alias("_file")
@@ -39,22 +41,37 @@ def read_ordered(
         table = spark.read.parquet(*paths)
         if kind == "string":
             require_text(table, field)
-        rows = table.select(field, file, F.col("_metadata.row_index").alias("_nth"))
+        rows = table.select(field, known_by("_metadata.file_path").alias("_key"), F.col("_metadata.row_index").alias("_nth"))
+        starts = table.select(file, known_by("_metadata.file_path").alias("_key")).distinct().withColumn("_shift", F.lit(0))
     else:
         read = spark.read.schema(f"`{field}` {kind}").option("mode", "FAILFAST").json(paths)
         block = F.col("_metadata.file_block_start").alias("_block")
-        rows = read.select(field, file, block, F.monotonically_increasing_id().alias("_id"))
-        rows = materialize(rows, "lines")
-        blocks = rows.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+        rows = read.select(field, file, block, F.monotonically_increasing_id().alias("_nth"))
+        rows = materialize(rows, "lines").withColumn("_key", known_by("_file", "_block"))
+        splits = rows.groupBy("_file", "_block", "_key").agg(F.min("_nth").alias("_first"), F.count("*").alias("_n"))
         order = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        blocks = blocks.select(
-            "_file", "_block", (F.coalesce(F.sum("_n").over(order), F.lit(0)) - F.col("_first")).alias("_shift")
-        )
-        rows = rows.join(blocks, ["_file", "_block"]).withColumn("_nth", F.col("_id") + F.col("_shift"))
-    names = rows.select("_file").distinct()
-    numbered = names.withColumn("_number", F.row_number().over(Window.orderBy("_file")).cast("bigint") - 1)
-    place = F.shiftleft("_number", ROW_BITS).bitwiseOR(F.col("_nth"))
-    return rows.join(numbered, "_file").select(place.alias(ord_col), F.col(field).alias("text" if kind == "string" else field))
+        before = F.coalesce(F.sum("_n").over(order), F.lit(0))
+        starts = splits.select("_file", "_key", (before - F.col("_first")).alias("_shift"))
+    number = F.dense_rank().over(Window.orderBy("_file")).cast("bigint") - 1
+    base = starts.select("_key", (F.shiftleft(number, ROW_BITS) + F.col("_shift")).alias("_base"))
+    placed = by_key(rows, materialize(base, "places"))
+    return placed.select(
+        (F.col("_base") + F.col("_nth")).alias(ord_col), F.col(field).alias("text" if kind == "string" else field)
+    )
+
+
+def known_by(*place: str) -> Column:
+    """A file, or a split of one, as a long that rows carry instead of a path."""
+    return F.xxhash64(*place)
+
+
+def by_key(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` with what ``table``, a written table of one small row per file or split, says under
+    their ``_key``. Beyond ``MOST_PLACES`` of those the rows are shuffled, with the same result."""
+    entries, keys = table.agg(F.count("*"), F.count_distinct("_key")).first()
+    if entries != keys:
+        raise ValueError("Two files or splits share a hash")
+    return rows.join(F.broadcast(table) if entries <= MOST_PLACES else table, "_key").drop("_key")
 
 
 def spread(table: DataFrame, ord_col: str) -> DataFrame:
