@@ -157,3 +157,12 @@ def test_mix_share_and_positions(spark, share):
 def test_in_epoch_order_needs_no_join(spark):
     plan = in_epoch_order(spark.range(10).toDF("i"), "i", EpochOrder(10, 3, 1))
     assert "Join" not in plan._jdf.queryExecution().toString()
+
+
+def test_blocks_are_cut_where_texts_arrive(spark):
+    """Texts move once, to their shard, but for the dealing out of a file that is one split."""
+    from tokenloom.catalog import packing
+
+    plan = packing.cut(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    moves = [line for line in plan.splitlines() if "Exchange " in line and "REPARTITION_BY" not in line]
+    assert len(moves) == 1 and "hashpartitioning(split#" in moves[0], plan

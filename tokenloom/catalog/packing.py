@@ -12,7 +12,7 @@ from tokenloom.functions import text
 from tokenloom.functions.schedule import Schedule
 from tokenloom.operators import blocks, mix
 from tokenloom.operators.order import EpochOrder, in_epoch_order
-from tokenloom.operators.shards import roll_shards, shard_table
+from tokenloom.operators.shards import assign_shards, roll_shards, shard_table
 from tokenloom.session import materialize
 
 _ROLLED = f"WITH RECURSIVE {q.DOCS}, {q.rolled('doc', 'split', q.SHARD_LIMIT)}"
@@ -42,10 +42,12 @@ def shards(spark, sf_dir):
 
 def cut(spark, sf_dir):
     """Blocks of the whole corpus."""
-    docs = documents(spark, sf_dir).where(text.is_long_enough(F.col("text")))
-    ids = text.with_eos(text.byte_ids(text.neutralize(F.col("text"))))
-    where = placed(spark, sf_dir).select("doc_id", "split", "shard", "offset")
-    return blocks.cut_blocks(docs.select("doc_id", ids.alias("ids")).join(where, "doc_id"), q.SEQ_LEN)
+    t = F.col("text")
+    docs = documents(spark, sf_dir).where(text.is_long_enough(t))
+    docs = docs.select("doc_id", text.split_of(t).alias("split"), text.neutralize(t).alias("text"))
+    sharded = assign_shards(docs, placed(spark, sf_dir), "doc_id")
+    laid = blocks.offsets_in_shards(sharded, "doc_id", text.byte_count(t) + 1)
+    return blocks.cut_blocks(laid.withColumn("ids", text.with_eos(text.byte_ids(t))), q.SEQ_LEN)
 
 
 def indexed(spark, sf_dir):

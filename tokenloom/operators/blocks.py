@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.operators.running import running_totals
@@ -15,6 +15,18 @@ def usable_blocks(tokens: Column, seq_len: int) -> Column:
     return F.greatest(F.lit(0), F.floor((tokens - 1) / F.lit(seq_len))).cast("bigint")
 
 
+def offsets_in_shards(
+    rows: DataFrame, ord_col: str, n_tokens: Column, by: Sequence[str] = ("split",)
+) -> DataFrame:
+    """``rows`` that know their ``shard``, with the ``offset`` at which each begins in it.
+
+    Rows move once, to their shard, as shards are written; blocks cut from them stay there. Hand in
+    texts rather than ids: they are a quarter of the size, and ids can be made where they arrive.
+    """
+    mine = Window.partitionBy(*by, "shard").orderBy(ord_col).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum(n_tokens).over(mine), F.lit(0)).cast("bigint"))
+
+
 def cut_blocks(
     placed: DataFrame, seq_len: int, by: Sequence[str] = ("split",), ids: str = "ids"
 ) -> DataFrame:
