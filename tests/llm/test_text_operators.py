@@ -182,14 +182,82 @@ def test_language_odd_rows(llm, odd_docs, monkeypatch):
 
 def test_bit_slices_hold_what_was_entered():
     rng = np.random.default_rng(1)
-    sets = [rng.integers(0, 1 << 62, 3000).astype(np.uint64) for _ in range(3)]
-    filters = language.Filters.build(["a", "b", "c"], sets)
-    for bit, held in enumerate(sets):
-        bits = np.full(len(held), ~np.uint64(0))
-        for probe in filters.probes(held):
-            bits &= filters.places[probe]
-        assert ((bits >> np.uint64(bit)) & np.uint64(1)).all()
+    sets = [rng.integers(0, 1 << 62, 3000).astype(np.uint64) for _ in range(70)]
+    filters = language.Filters.build([f"l{i:02}" for i in range(70)], sets)
+    assert filters.places.shape == (2, 1 << language.FILTER_BITS)
+    for b, held in enumerate(sets):
+        found = np.full(len(held), ~np.uint64(0))
+        for probe in language.probes(held, language.FILTER_BITS):
+            found &= filters.places[b // 64][probe]
+        assert ((found >> np.uint64(b % 64)) & np.uint64(1)).all()
     assert (filters.chance < 0.01).all()
+    assert language.filter_bits(20_000) == 19 and language.filter_bits(10**9) == language.MOST_BITS
+
+
+def plain_grams(text):
+    """Three letters, lower-cased, with one space for all else; the middle one is a letter."""
+    cleaned = "".join(c if c.isalpha() else " " for c in text.lower())
+    padded = " " + re.sub(" +", " ", cleaned).strip(" ") + " "
+    return [padded[i : i + 3] for i in range(len(padded) - 2) if padded[i + 1] != " "]
+
+
+def made_up_languages(llm, n):
+    """Texts of words that a language has of its own or shares with the next one; ties, nulls, copies."""
+    random.seed(n)
+    word = lambda: "".join(random.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(5))
+    own = [[word() for _ in range(8)] for _ in range(n)]
+    rows = []
+    for i in range(n):
+        for _ in range(6):
+            some = random.choices(own[i], k=20) + random.choices(own[(i + 1) % n], k=4)
+            rows.append((len(rows), " ".join(some).title(), f"l{i:02}"))
+    rows += [(len(rows), None, "l00"), (len(rows) + 1, "Nobody's text", None), (None, "an id is missing here", "l01")]
+    return rows, llm.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+@pytest.mark.parametrize("n", [5, 70])
+def test_language_filters_equal_plain_sets(llm, n):
+    """Which n-grams belong to a language, and what they decide, against sets of strings."""
+    rows, docs = made_up_languages(llm, n)
+    counts = {}
+    for i, text, lang in rows:
+        if None not in (i, text, lang):
+            counts.setdefault(lang, Counter()).update(plain_grams(text))
+    rate = {k: {g: x / sum(c.values()) for g, x in c.items()} for k, c in counts.items()}
+    rates = Counter()
+    for each in rate.values():
+        rates.update(each)
+    want = {
+        k: {g for g, x in c.items() if x >= language.MIN_COUNT and rate[k][g] >= language.SHARE * rates[g]}
+        for k, c in counts.items()
+    }
+    got = {}
+    for r in language.learned(docs, F.lit(True)).collect():
+        got.setdefault(r["lang"], set()).add(r["gram"])
+    code = lambda g: int(language.grams(np.array([0 if c == " " else ord(c) for c in g], np.uint32))[0])
+    assert got == {k: {np.uint64(code(g)).astype(np.int64) for g in v} for k, v in want.items()}
+    filters = language.fit(docs, F.lit(True))
+    assert filters.languages == sorted(want)
+    texts = [r[1] for r in rows if r[1]]
+    found, hits = filters.hits(texts)
+    for t, total, each in zip(texts, found, hits):
+        mine = plain_grams(t)
+        assert total == len(mine)
+        plain = np.array([sum(g in want[k] for g in mine) for k in filters.languages])
+        assert (each >= plain).all() and (each - plain).sum() <= 1 + 0.01 * len(mine) * n
+    judged = {r["doc_id"]: r for r in language.identify(docs, filters).collect()}
+    for i, text, lang in rows:
+        if text is not None and lang is not None and i is not None:
+            share = sorted((sum(g in want[k] for g in plain_grams(text)) / len(plain_grams(text)), k) for k in want)
+            assert judged[i]["lang_pred"] == lang == share[-1][1]
+            assert judged[i]["score"] == pytest.approx(share[-1][0] - share[-2][0] / 2, abs=0.02)
+
+
+def test_language_ties_go_to_the_first(llm):
+    rows = [(i, "one text in two languages", ("b", "a")[i % 2]) for i in range(8)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs, language.fit(docs, F.lit(True))).collect()
+    assert {r["lang_pred"] for r in got} == {"a"} and all(abs(r["score"] - 0.5) < 0.01 for r in got)
 
 
 # --- SimHash ------------------------------------------------------------------------------------

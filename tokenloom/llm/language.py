@@ -1,44 +1,45 @@
 """Operator 2: language identification by language-bitmask n-gram filters.
 
 Letters of a text, lower-cased, with one space for anything between them, give overlapping n-grams.
-A bit-sliced Bloom filter holds the n-grams of all languages at once: a place of the filter is a word
-with one bit per language, and the AND over an n-gram's places has the bit of every language that
-(but for false positives) contains it. Popcounts per language over a text, less the hits its filter
-gives by chance, decide.
+A bit-sliced Bloom filter holds the n-grams of all languages at once: a place of the filter has one
+bit per language, in as many words of 64 as there are languages for, and the AND over an n-gram's
+places has the bit of every language that (but for false positives) contains it. Popcounts per
+language over a text, less the hits its filter gives by chance, decide.
 
 An n-gram belongs to a language if it is not rare there and its relative frequency is at least
 ``SHARE`` of the sum over languages; so frequent n-grams may belong to several.
 
 The filters are fitted on a bounded sample: of each language ``SAMPLE_ROWS`` labelled rows or so, by
-a hash of the row's id. Everything else reads whole texts of all rows.
+a hash of the row's id. Every n-gram that belongs to a language is entered: the number of places grows
+with the largest language up to 2 to the ``MOST_BITS``, and beyond that false positives grow, which the
+correction takes off. Everything else reads whole texts of all rows.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is every text
-if no labelled row exists; labels that are null are not learned from. Ties go to the first language
-in code-point order. Repeated rows get equal results; an empty table gives an empty one. Input
+if no labelled row exists; rows whose label or id is null are not learned from. Ties go to the first
+language in code-point order. Repeated rows get equal results; an empty table gives an empty one. Input
 columns stay unless they bear the name of a result. A text of any length is read whole, in pieces.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tokenloom.llm.common import U, chunks, mix, release
+from tokenloom.llm.common import U, chunks, join_checked, materialize, mix, release
 
 GRAM = 3
 SAMPLE_ROWS = 4000  # labelled rows per language, in expectation
 MIN_COUNT = 3  # occurrences in the sample below which an n-gram is left out
 SHARE = 0.3
-MAX_GRAMS = 20_000  # n-grams per language, the most frequent first: the capacity of the filter
-FILTER_BITS = 19  # log2 of the filter's places; 4 MB
+FILTER_BITS = 19  # log2 of the filter's places at least; 4 MB for 64 languages
+MOST_BITS = 22  # and at most; 32 MB for 64 languages
+ROOM = 8  # places for each one that the largest language sets
 PROBES = 3
-MAX_LANGUAGES = 64
+WIDTH = 64  # languages to a word
 PIECE = 1 << 18  # letters worked on at once
 
 _letters: list[np.ndarray] = []
@@ -86,38 +87,51 @@ def text_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return found[middle], row[middle]
 
 
+def probes(found: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Places of n-grams in a filter of 2 to the ``bits`` places."""
+    mask = U((1 << bits) - 1)
+    return [
+        (mix(found + U(0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF)) & mask).astype(np.int64)
+        for i in range(PROBES)
+    ]
+
+
+def filter_bits(most: int) -> int:
+    """For a largest language of ``most`` n-grams."""
+    return max(FILTER_BITS, min(MOST_BITS, (ROOM * PROBES * most).bit_length()))
+
+
 @dataclass
 class Filters:
     languages: list[str]
-    places: np.ndarray  # a bit per language at each place
+    places: np.ndarray  # per word of languages, a bit per language at each place
     chance: np.ndarray  # probability that a language's filter holds an n-gram by chance
 
-    @staticmethod
-    def probes(found: np.ndarray) -> list[np.ndarray]:
-        mask = U((1 << FILTER_BITS) - 1)
-        return [
-            (mix(found + U(0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF)) & mask).astype(np.int64)
-            for i in range(PROBES)
-        ]
+    @classmethod
+    def of(cls, languages: list[str], places: np.ndarray) -> Filters:
+        fill = [float(((places[b // WIDTH] >> U(b % WIDTH)) & U(1)).mean()) for b in range(len(languages))]
+        return cls(languages, places, np.array(fill) ** PROBES)
 
     @classmethod
     def build(cls, languages: list[str], held: list[np.ndarray]) -> Filters:
-        places = np.zeros(1 << FILTER_BITS, U)
-        for bit, found in enumerate(held):
-            for probe in cls.probes(found):
-                np.bitwise_or.at(places, probe, U(1) << U(bit))
-        fill = [float(((places >> U(b)) & U(1)).mean()) for b in range(len(languages))]
-        return cls(languages, places, np.array(fill) ** PROBES)
+        bits = filter_bits(max(map(len, held), default=0))
+        places = np.zeros((-(-len(languages) // WIDTH), 1 << bits), U)
+        for b, found in enumerate(held):
+            for probe in probes(found, bits):
+                np.bitwise_or.at(places[b // WIDTH], probe, U(1) << U(b % WIDTH))
+        return cls.of(languages, places)
 
     def hits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Per text: n-grams, and how many of them each language's filter holds."""
         found, row = text_grams(texts)
-        bits = np.full(len(found), ~U(0))
-        for probe in self.probes(found):
-            bits &= self.places[probe]
         counts = np.zeros((len(texts), len(self.languages)))
-        for b in range(len(self.languages)):
-            counts[:, b] = np.bincount(row, (bits >> U(b)) & U(1), len(texts))
+        at = probes(found, self.places.shape[1].bit_length() - 1)
+        for w, word in enumerate(self.places):
+            held = np.full(len(found), ~U(0))
+            for probe in at:
+                held &= word[probe]
+            for b in range(w * WIDTH, min((w + 1) * WIDTH, len(self.languages))):
+                counts[:, b] = np.bincount(row, (held >> U(b % WIDTH)) & U(1), len(texts))
         return np.bincount(row, minlength=len(texts)), counts
 
     def decide(self, n: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,27 +148,16 @@ class Filters:
         return np.where(n > 0, best, -1), np.where(n > 0, score, 0.0)
 
 
-def fit(
-    docs: DataFrame,
-    labelled,
-    text: str = "text",
-    lang: str = "lang",
-    row_id: str = "doc_id",
-) -> Filters:
-    """Filters for all languages among the rows for which ``labelled`` holds.
-
-    Counts per language and sample come from Spark; what reaches the driver is at most
-    ``MAX_GRAMS`` n-gram hashes of each of ``MAX_LANGUAGES`` languages.
-    """
-    rows = docs.where(labelled & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    size = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES + 1).collect()}
-    if len(size) > MAX_LANGUAGES:
-        raise ValueError(f"More than {MAX_LANGUAGES} languages to learn")
-    if not size:
-        return Filters.build([], [])
-    share = F.create_map(*[F.lit(x) for k, n in size.items() for x in (k, min(1.0, SAMPLE_ROWS / n))])
-    draw = F.pmod(F.xxhash64(F.lit("language-sample"), row_id), F.lit(1 << 20)) / (1 << 20)
-    sample = rows.where(draw < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+def learned(
+    docs: DataFrame, labelled, text: str = "text", lang: str = "lang", row_id: str = "doc_id"
+) -> DataFrame:
+    """``lang, gram``: the n-grams that belong to each language, written. They are learned from the rows
+    for which ``labelled`` holds."""
+    rows = docs.where(labelled & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(row_id).isNotNull())
+    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(row_id).alias("id"))
+    size = materialize(rows.groupBy("lang").agg(F.count("*").alias("size")), "languages")
+    draw = F.pmod(F.xxhash64(F.lit("language-sample"), "id"), F.lit(1 << 20)) / (1 << 20)
+    sample = join_checked(rows, size, "lang").where(draw < F.lit(SAMPLE_ROWS) / F.col("size")).select("lang", "text")
 
     def count(batches):
         for batch in (part for whole in batches for part in chunks(whole, "text", PIECE)):
@@ -167,24 +170,55 @@ def fit(
                     ["lang", "gram", "n"],
                 )
 
-    schema = T.StructType(
-        [T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())]
-    )
-    counted = sample.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    rated = counted.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "language-grams")
+    totals = materialize(counted.groupBy("lang").agg(F.sum("n").alias("total")), "language-totals")
+    rated = join_checked(counted, totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
     per_gram = rated.groupBy("gram").agg(
         F.sum("rate").alias("rates"), F.collect_list(F.struct("lang", "n", "rate")).alias("each")
     )  # at most one entry per language
     own = per_gram.select("gram", "rates", F.explode("each").alias("e")).where(
         (F.col("e.n") >= MIN_COUNT) & (F.col("e.rate") >= SHARE * F.col("rates"))
     )
-    held = own.select("e.lang", "gram", "e.n").groupBy("lang").agg(
-        F.sort_array(F.collect_list(F.struct(-F.col("n"), F.col("gram").alias("gram")))).alias("g")
-    )  # n-grams of a bounded sample
-    got = {r[0]: r[1] for r in held.select("lang", F.slice("g", 1, MAX_GRAMS)["gram"]).collect()}
-    languages = sorted(got)
-    return Filters.build(languages, [np.array(got[k], np.int64).view(U) for k in languages])
+    return materialize(own.select("e.lang", "gram"), "language-own")
+
+
+def fit(
+    docs: DataFrame,
+    labelled,
+    text: str = "text",
+    lang: str = "lang",
+    row_id: str = "doc_id",
+) -> Filters:
+    """Filters for all languages among the rows for which ``labelled`` holds.
+
+    N-grams are counted, chosen and put in their places by Spark; what reaches the driver is a row per
+    language and the places of the filter that are not empty, 2 to the ``MOST_BITS`` at most for 64 languages.
+    """
+    own = learned(docs, labelled, text, lang, row_id)
+    most = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}
+    languages = sorted(most)
+    if not languages:
+        return Filters.build([], [])
+    bits = filter_bits(max(most.values()))
+    number = {one: b for b, one in enumerate(languages)}
+
+    def place(batches):
+        for batch in batches:
+            found = batch.column(1).to_numpy().view(U)
+            b = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
+            mask = (U(1) << (b % WIDTH).astype(U)).view(np.int64)
+            for probe in probes(found, bits):
+                columns = [pa.array(b // WIDTH), pa.array(probe), pa.array(mask)]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "place", "mask"])
+
+    set_ = own.mapInArrow(place, "word long, place long, mask long").groupBy("word", "place").agg(
+        F.bit_or("mask").alias("mask")
+    ).toArrow()
+    places = np.zeros((-(-len(languages) // WIDTH), 1 << bits), U)
+    word, at, mask = (set_.column(c).to_numpy() for c in ("word", "place", "mask"))
+    places[word, at] = mask.view(U)
+    return Filters.of(languages, places)
 
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
