@@ -1,12 +1,14 @@
 """Operators on texts against brute force, on odd rows and on the given tables."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -529,6 +531,65 @@ def test_words_that_disclose(llm, odd_docs):
     assert pii.report(odd_docs.limit(0)).count() == 0 and pii.sanitise(odd_docs.limit(0)).count() == 0
 
 
+def plain_terms(texts, disclosure, chance):
+    """Places of disclosing words, by counting every word and value over every text."""
+    spans = [plain_spans(t) for t in texts]
+    kind = {(i, s): (s[0], t[s[1] : s[2]].lower() if s[0] < 2 else re.sub("[^0-9]", "", t[s[1] : s[2]])) for i, t in enumerate(texts) for s in spans[i]}
+    held = [{kind[i, s] for s in spans[i]} for i in range(len(texts))]
+    found = [[m for m in regex.finditer(r"\p{L}{3,}", t.lower())] for t in texts]
+    every = [{m[0] for m in ms} for ms in found]
+    free = [
+        [m for m in regex.finditer(r"\p{L}{3,}", "".join("\0" if any(a <= k < b for _, a, b in spans[i]) else c for k, c in enumerate(t.lower())))]
+        for i, t in enumerate(texts)
+    ]
+    tests = sum(len(every[i]) for i in range(len(texts)) for _ in held[i])
+    total, out = len(texts), [set() for _ in texts]
+
+    def unlikely(both, one, other):
+        p, q = both / one, other / total
+        if p <= q:
+            return 0.0
+        return -one * (p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0))
+
+    for entity in set().union(*held):
+        with_it = [i for i in range(total) if entity in held[i]]
+        for term in {m[0] for i in with_it for m in free[i]}:
+            both = sum(term in every[i] for i in with_it)
+            n_term = sum(term in w for w in every)
+            if len(with_it) == total:
+                continue
+            ratio = math.log2(total * both / (n_term * len(with_it))) / math.log2(total / len(with_it))
+            bound = min(unlikely(both, len(with_it), n_term), unlikely(both, n_term, len(with_it)))
+            if ratio >= disclosure - 1e-9 and bound < math.log(chance / tests):
+                for i in with_it:
+                    out[i] |= {(4, *m.span()) for m in free[i] if m[0] == term}
+    return [sorted(x) for x in out]
+
+
+@pytest.mark.parametrize("disclosure,chance", [(0.8, 0.05), (0.5, 0.5), (1.0, 1e-6)])
+def test_disclosure_rule_equals_a_double_loop(llm, disclosure, chance):
+    random.seed(13)
+    values = ["jane@corp.example", "JANE@corp.example", "kim@two.example", "+49 30 1234567", "4111 1111 1111 1111", "1.2.3.4"]
+    tells = ["Grimaldine", "Grimaldine", "Kimberly", "Zebulonia", "Wort", "host"]
+    common = "please ask about the number today or some other time é it corp jane".split()
+    texts = []
+    for i in range(400):
+        parts = random.choices(common, k=random.randint(0, 8))
+        for v, t in zip(values, tells):
+            if random.random() < 0.04:
+                parts += [v, t] if t == "Zebulonia" or random.random() < 0.8 else [v]
+            elif t != "Zebulonia" and random.random() < 0.004:
+                parts.append(t)
+        random.shuffle(parts)
+        texts.append(" ".join(parts))
+    docs = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"] if s["kind"] == pii.TERM] for r in pii.report(docs, disclosure, chance).collect()}
+    want = plain_terms(texts, disclosure, chance)
+    wrong = [(t, got[i], want[i]) for i, t in enumerate(texts) if got[i] != want[i]]
+    assert not wrong, wrong[:3]
+    assert sum(map(len, want)) > 10
+
+
 def test_sanitised_texts_stay_with_their_rows(llm):
     """The rows fall differently each time the table is read."""
     rows = [(i, f"ask n{i}@corp.example about {i}" if i % 3 else f"plain {i}") for i in range(400)]

@@ -171,3 +171,22 @@ def test_pairs_lost_beside_a_hot_group_are_found_in_the_end(llm, monkeypatch):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in descent.near_duplicates(df).collect()}
     want = linked(vectors, 0.9)
     assert all(got[i] == want[i] for i in want) and sum(n == 1 for n, _ in want.values()) >= 60
+
+
+def test_audit_samples_rare_links(llm, monkeypatch):
+    """Six pairs in 6,000 vectors: all are audited, though few rows are drawn."""
+    monkeypatch.setattr(descent, "AUDIT_ROWS", 128)
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(6000, 32))
+    v[1:12:2] = v[0:12:2] + 0.1 * rng.normal(size=(6, 32))
+    df = llm.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v.astype(np.float32))], SCHEMA)
+    (kind, (n, share, surely)), = descent.measured(df).items()
+    assert (kind, n, share) == (1, 12, 1.0) and 0.8 < surely < 1
+
+
+@pytest.mark.parametrize("whole,n", [(9, 10), (50, 50), (300, 310), (0, 5)])
+def test_bound_of_a_share(whole, n):
+    """A share at the bound gives as many hits or more with a chance of about 5 %."""
+    p = descent._surely(whole, n)
+    tail = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(whole, n + 1))
+    assert 0 <= p <= whole / n and (whole == 0 or 0.02 < tail < 0.09)

@@ -8,10 +8,15 @@ finds no more links, that is pairs at or above the threshold.
 A list that is full of links is saturated: it is enlarged to the vector's whole component, compared
 in blocks of bounded size. Two vectors whose link is in neither list both have saturated ones, so such
 vectors of different components are compared in blocks too, unless middles and radii of the blocks rule
-a link out. An audit compares ``AUDIT_ROWS`` vectors with every row, in blocks; as long as fewer than
-``TARGET`` of those with one, with few or with many links have all of them, more orders are added, and
-after ``EXTRA`` more all vectors are compared with all, in blocks. Orders and windows grow with the
-logarithm of the number of vectors.
+a link out. (Longer lists alone would not find such links: two groups whose lists hold nothing but their own
+members share no neighbour, however long the lists are.)
+
+An audit compares ``AUDIT_ROWS`` vectors with every row, in blocks. Half of them are drawn from all; the
+others, where links are rare, from those that the graph brings near the threshold, as many of each class:
+no link found, one, few, or more than a list holds. As long as fewer than ``TARGET`` of those with one, with
+few or with many links have all of them, more orders are added, and after ``EXTRA`` more all vectors are
+compared with all, in blocks. Orders and windows grow with the logarithm of the number of vectors.
+``measured`` reports the audit with a bound of 95 % confidence for each class.
 
 Equal vectors are one, weighted by their number. Links are verified in double precision.
 
@@ -43,6 +48,8 @@ SCALE = 8192  # vectors from which orders and reach grow, by two for each doubli
 FIRST = 6  # neighbours taken from each order
 BLOCK = 512  # vectors of a component compared with as many others
 AUDIT_ROWS = 2048
+CLASSES = 4  # of vectors near the threshold: links found 0, 1, to LIST - 1, more
+MARGIN = 0.05  # below the threshold that counts as near it
 TARGET = 0.99
 EXTRA = 4  # further sets of orders, at most
 
@@ -239,9 +246,25 @@ def _enlarged(members: DataFrame, threshold: float) -> DataFrame:
     return counted.groupBy("rid").agg(F.sum("links").alias("links"))
 
 
-def _true_links(vectors: DataFrame, threshold: float) -> DataFrame:
+def _sample(vectors: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
+    """``rid, v`` of ``AUDIT_ROWS`` vectors at most: half of them near the threshold, by class."""
+    draw = F.xxhash64(F.lit("audit"), "rid")
+    held = F.sum((F.col("sim") >= threshold).cast("int"))
+    near = graph.groupBy(F.col("a").alias("rid")).agg(F.max("sim").alias("best"), held.alias("held"))
+    near = near.where(F.col("best") >= threshold - MARGIN).withColumn(
+        "kind", F.when(F.col("held") < 2, F.col("held")).when(F.col("held") < LIST, 2).otherwise(3)
+    )
+    near = materialize(near, "near-threshold")
+    ids = vectors.select("rid").orderBy(draw, "rid").limit(AUDIT_ROWS // 2)
+    for kind in range(CLASSES):
+        one = near.where(F.col("kind") == kind).select("rid")
+        ids = ids.union(one.orderBy(draw, "rid").limit(AUDIT_ROWS // (2 * CLASSES)))
+    return vectors.select("rid", "v").join(F.broadcast(ids.distinct()), "rid")
+
+
+def _true_links(vectors: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
     """``rid, truth``: links of a bounded sample, by comparing it with every row in blocks."""
-    sample = vectors.orderBy(F.xxhash64(F.lit("audit"), "rid"), "rid").limit(AUDIT_ROWS).collect()
+    sample = _sample(vectors, graph, threshold).collect()
     if not sample:
         return vectors.sparkSession.createDataFrame([], "rid long, truth long")
     ids = np.array([r["rid"] for r in sample], np.int64)
@@ -364,12 +387,23 @@ def _exact(vectors: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _met(truth: DataFrame, judged: DataFrame) -> bool:
-    """Whether ``TARGET`` of the sampled vectors have all their links, in each class of their number."""
+def _shares(truth: DataFrame, judged: DataFrame) -> DataFrame:
+    """``kind, n, whole``: per class of their number of links, sampled vectors with a link and those with all found."""
     whole = F.coalesce("links", F.lit(0)) >= F.col("truth")
     kind = F.when(F.col("truth") < 2, 1).when(F.col("truth") < LIST, 2).otherwise(3)
     shares = truth.where("truth > 0").join(judged, "rid", "left").groupBy(kind.alias("kind"))
-    return all(r["share"] >= TARGET for r in shares.agg(F.avg(whole.cast("int")).alias("share")).collect())
+    return shares.agg(F.count("*").alias("n"), F.sum(whole.cast("long")).alias("whole"))
+
+
+def _met(truth: DataFrame, judged: DataFrame) -> bool:
+    """Whether ``TARGET`` of the sampled vectors have all their links, in each class of their number."""
+    return all(r["whole"] >= TARGET * r["n"] for r in _shares(truth, judged).collect())
+
+
+def _surely(whole: int, n: int) -> float:
+    """Lower end of Wilson's interval for a share, at 95 % confidence on this side."""
+    z, share = 1.645, whole / n
+    return (share + z * z / (2 * n) - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
 def _judge(vectors: DataFrame, graph: DataFrame, threshold: float, seed: int) -> DataFrame:
@@ -403,6 +437,35 @@ def near_duplicates(
     table: DataFrame, threshold: float = 0.9, vector: str = "embedding", row_id: str = "vec_id", seed: int = 5
 ) -> DataFrame:
     """One row per id: ``row_id, n_links, component_id, kept``."""
+    everyone, rows, vectors = _distinct(table, vector, row_id)
+    _, judged = _found(vectors, threshold, seed)
+    member = rows.join(vectors.select("v", "rid", "n"), "v").select("id", "rid", "n")
+    out = member.join(judged, "rid", "left").select(
+        "id",
+        (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
+        F.coalesce("component", "rid").alias("component"),
+    )
+    out = everyone.join(out, "id", "left")
+    component = F.coalesce("component", "id")
+    return out.select(
+        F.col("id").alias(row_id),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.col("id").eqNullSafe(component).alias("kept"),
+    )
+
+
+def measured(
+    table: DataFrame, threshold: float = 0.9, vector: str = "embedding", row_id: str = "vec_id", seed: int = 5
+) -> dict[int, tuple[int, float, float]]:
+    """What the audit finds: per class of vectors (1: with one link, 2: with fewer than a list holds, 3: with
+    more) how many were sampled, the share of them with all their links, and a lower bound of it."""
+    truth, judged = _found(_distinct(table, vector, row_id)[2], threshold, seed)
+    return {r["kind"]: (r["n"], r["whole"] / r["n"], _surely(r["whole"], r["n"])) for r in _shares(truth, judged).collect()}
+
+
+def _distinct(table: DataFrame, vector: str, row_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All ids; ``id, v`` of the rows that take part; and their distinct vectors."""
     everyone = table.select(F.col(row_id).cast("long").alias("id")).distinct()
     rows = table.where(usable(vector) & F.col(row_id).isNotNull()).select(
         F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")
@@ -422,26 +485,17 @@ def near_duplicates(
         shrink, "rid long, n long, v array<double>, u array<float>"
     )
     vectors = materialize(distinct, "distinct-vectors")
-    truth = _true_links(vectors, threshold)
-    graph = None
+    return everyone, rows, vectors
+
+
+def _found(vectors: DataFrame, threshold: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The audit's ``rid, truth``, and ``rid, component, links`` that meet it."""
+    graph = truth = None
     for extra in range(1 + EXTRA):
         graph = graph_of(vectors, threshold, seed + 100 * extra, graph)
+        if truth is None:
+            truth = _true_links(vectors, graph, threshold)
         judged = _judge(vectors, graph, threshold, seed)
         if _met(truth, judged):
-            break
-    else:
-        judged = _exact(vectors, threshold)
-    member = rows.join(vectors.select("v", "rid", "n"), "v").select("id", "rid", "n")
-    out = member.join(judged, "rid", "left").select(
-        "id",
-        (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
-        F.coalesce("component", "rid").alias("component"),
-    )
-    out = everyone.join(out, "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(
-        F.col("id").alias(row_id),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
-    )
+            return truth, judged
+    return truth, _exact(vectors, threshold)
