@@ -81,18 +81,36 @@ def encoded_documents(docs: DataFrame, vocabulary: Vocabulary, by=()) -> DataFra
     return rows.withColumn("n_tokens", F.size("tokens").cast("bigint"))
 
 
+def held_documents(docs: DataFrame, vocabulary: Vocabulary, by=()) -> DataFrame:
+    """What a pack writes once: :func:`encoded_documents`, or without merges the texts as ``body``.
+
+    Every byte is an id then, so texts are a quarter of the ids; :func:`shard_entries` makes these.
+    """
+    if vocabulary.merges:
+        return encoded_documents(docs, vocabulary, by)
+    t = F.col("text")
+    rows = docs.where(text.is_long_enough(t)).select(
+        *by, ORD, text.split_of(t).alias("split"), text.neutralize(t).alias("body")
+    )
+    return rows.withColumn("n_tokens", text.byte_count(F.col("body")) + 1)
+
+
 def kept_documents(docs: DataFrame, vocabulary: Vocabulary, o: DocumentPack):
     """Encoded documents the budget keeps, the number skipped before the stop, and the cut."""
-    return carried_documents(docs, vocabulary, o, budget.Totals())[:3]
+    kept, skipped, cut, _ = carried_documents(docs, vocabulary, o, budget.Totals())
+    if "body" in kept.columns:
+        kept = kept.withColumn("tokens", text.with_eos(text.byte_ids(F.col("body")))).drop("body")
+    return kept, skipped, cut
 
 
 def carried_documents(docs: DataFrame, vocabulary: Vocabulary, o: DocumentPack, before: budget.Totals):
-    """:func:`kept_documents` that go on from the totals of earlier batches, and the totals after."""
+    """As :func:`kept_documents`, of :func:`held_documents`, but they go on from the totals of earlier
+    batches; and the totals after."""
     docs = docs.where(first_docs(docs, o.max_docs))
     stop = safe_stop(docs, vocabulary, o, before)
     if stop is not None:
         docs = docs.where(F.col(ORD) <= stop)
-    encoded = materialize(encoded_documents(docs, vocabulary), "encoded")
+    encoded = materialize(held_documents(docs, vocabulary), "encoded")
     cut, after = budget.carried_cut(encoded, ORD, before, o.max_tokens, o.val_tokens, o.seq_len)
     # Rows read less rows that passed the filter: counts of ids, so no text is scanned again.
     skipped = docs.where(cut.read(ORD)).select(ORD).count() - encoded.where(cut.read(ORD)).count()
@@ -100,7 +118,7 @@ def carried_documents(docs: DataFrame, vocabulary: Vocabulary, o: DocumentPack,
 
 
 def placed_documents(kept: DataFrame, o: DocumentPack) -> DataFrame:
-    """Documents with tokens, ``shard`` and their order in it. Tokens have not moved yet."""
+    """Documents with ``shard`` and their order in it. Texts or tokens have not moved yet."""
     return assign_shards(kept, roll_shards(kept, ORD, o.shard_tokens), ORD)
 
 
@@ -195,7 +213,7 @@ def pack_parts(
             .drop("_upto")
             for rows in (docs, ids)
         )  # a row for each part, as there are manifests
-        encoded = materialize(encoded_documents(docs, vocabulary, by), "encoded")
+        encoded = materialize(held_documents(docs, vocabulary, by), "encoded")
         narrow = encoded.select(*by, ORD, "split", "n_tokens")
         cuts = materialize(
             budget.token_cuts(
@@ -213,7 +231,7 @@ def pack_parts(
         kept = budget.apply_cuts(narrow, cuts, ORD, by)
         keys = (*by, "split")
         where = roll_shards(kept, ORD, options.shard_tokens, keys)
-        wide = budget.apply_cuts(encoded.select(*keys, ORD, "tokens"), cuts, ORD, by)
+        wide = budget.apply_cuts(encoded.drop("n_tokens"), cuts, ORD, by)
         placed = assign_shards(wide, where, ORD, keys)
         entries = materialize(shard_entries(placed, "", out, by_part=True), "entries")
         rows = {r["part"]: r["count"] for r in seen.collect()}
