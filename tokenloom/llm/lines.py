@@ -103,8 +103,9 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """``key, h, bag, doc``: lines under their segments and under what segments can have become, once
-    for a while of each task's lines, by the first document met."""
+    """``key, h, bag, own, doc``: lines under their segments and under what segments can have become,
+    once for a while of each task's lines, by the first document met. ``own`` marks a line's segments
+    where they lie, in its own band."""
 
     def enter(batches):
         seen: set[int] = set()
@@ -124,7 +125,7 @@ def _keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                 at = np.flatnonzero((data & 0xC0) != 0x80)  # byte of each character
                 at = np.append(at, len(data))
                 char0 = lead[start]
-                made_keys, made_from = [], []
+                made_keys, made_from, made_own = [], [], []
                 own = chars // BAND
                 for step in (-1, 0, 1):  # the bands that a line within the limit may lie in
                     band = own + step
@@ -138,16 +139,18 @@ def _keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                         key = hashes(s, e) + band[ok].astype(U) * U(64) + U(segment)
                         made_keys.append(mix(key))
                         made_from.append(np.flatnonzero(ok))
+                        made_own.append(np.full(len(key), step == 0 and shift == 0))
                 line = np.concatenate(made_from)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(pa.array(signed(x)) for x in (np.concatenate(made_keys), h[line], bag[line])),
+                        pa.array(np.concatenate(made_own)),
                         doc.take(pa.array(line)),
                     ],
-                    ["key", "h", "bag", "doc"],
+                    ["key", "h", "bag", "own", "doc"],
                 )
 
-    return docs.mapInArrow(enter, "key long, h long, bag long, doc long")
+    return docs.mapInArrow(enter, "key long, h long, bag long, own boolean, doc long")
 
 
 def _bags_near(a: str, b: str, edits: int):
@@ -321,21 +324,31 @@ def near_lines(docs: DataFrame, distinct: DataFrame, edits: int, min_chars: int)
     alone: a row per line and key, however many lines are near one another. Only lines that this
     does not settle are then compared with all under their keys. Which line of a key counts as the
     first decides how much work is left, never what goes.
+
+    Of two near lines either has a segment of its own, in its own band, that the other is looked up
+    under. So a pair is made where the key is a segment of its line with the smaller hash: not under
+    every shift and band that both are looked up under.
     """
-    # Both sides of the join are this one exchange; rows that tasks entered twice become one behind it.
-    keyed = _keys(docs, edits, min_chars).repartition("key").groupBy("key", "h", "bag").agg(F.min("doc").alias("doc"))
-    first = F.min(F.struct("doc", "h", "bag")).alias("x")
+    # Both sides of the join are this one exchange, as long as both ask for all its columns; rows that
+    # tasks entered twice become one behind it.
+    keyed = _keys(docs, edits, min_chars).repartition("key").groupBy("key", "h", "bag")
+    keyed = keyed.agg(F.max("own").alias("own"), F.min("doc").alias("doc"))
+    first = F.min(F.struct("doc", "h", "bag", "own")).alias("x")
     heads = keyed.groupBy("key").agg(first, F.count("*").alias("n")).where("n > 1")
-    heads = heads.select("key", F.col("x.h").alias("a"), F.col("x.bag").alias("bag_a"))
+    heads = heads.select("key", F.col("x.h").alias("a"), F.col("x.bag").alias("bag_a"), F.col("x.own").alias("_own"))
     # Most keys have one line; what is left is small, is written, and is all the later joins read.
-    shared = materialize(heads.join(keyed.drop("doc"), "key"), "shared-keys")
+    shared = materialize(heads.join(keyed, "key"), "shared-keys")
     star = (F.col("a") != F.col("h")) & _bags_near("bag_a", "bag", edits)
     stars = shared.where(star).select("a", F.col("h").alias("b"))
     settled = _later(_near(docs, distinct, stars, edits, min_chars), distinct)
-    own = shared.select("key", F.col("h").alias("b"), F.col("bag").alias("bag_b"))
-    open_ = join_checked(own, settled.withColumnRenamed("h", "b"), "b", "left_anti")
-    other = shared.select("key", F.col("h").alias("a"), F.col("bag").alias("bag_a"))
-    pairs = other.join(open_, "key").where((F.col("a") != F.col("b")) & _bags_near("bag_a", "bag_b", edits))
+    judged = join_checked(shared.select("key", "h", "bag", "own"), settled.withColumn("out", F.lit(True)), "h", "left")
+    judged = materialize(judged, "judged-keys")
+    side = lambda n: [F.col("h").alias(n), F.col("bag").alias(f"bag_{n}"), F.col("own").alias(f"own_{n}")]
+    open_ = judged.where("out is null").select("key", *side("b"))
+    other = judged.select("key", F.coalesce("out", F.lit(False)).alias("out"), *side("a"))
+    # The second time that two open lines meet is left out.
+    once = (F.col("own_a") & (F.col("a") < F.col("b"))) | (F.col("own_b") & (F.col("b") < F.col("a")) & F.col("out"))
+    pairs = other.join(open_, "key").where(once & _bags_near("bag_a", "bag_b", edits))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _later(_near(docs, distinct, pairs, edits, min_chars), distinct)
     return settled.union(more).distinct()
