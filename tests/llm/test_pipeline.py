@@ -47,6 +47,12 @@ def test_stages(llm, odd_docs):
     assert all(r["n_chars"] == len(r["text"]) for r in texts.values())
 
 
+def test_each_text_is_judged_once(llm, odd_docs):
+    """The first stage filters by what it finds; the filter must not bring a second Python worker to each task."""
+    kept = corpus_pipeline.identify_language(llm, odd_docs.selectExpr("*", "length(text) as n_chars"), "")
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_run_equals_the_stages(llm):
     docs = llm.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:

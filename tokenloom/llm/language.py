@@ -251,7 +251,9 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame
         names = pa.array([own.languages[b] if b >= 0 else "und" for b in best], pa.string())
         return pa.StructArray.from_arrays([names, pa.array(score, pa.float64())], ["lang_pred", "score"])
 
-    judged = docs.withColumn("_judged", judge(F.col(text)))
+    # So named, it stays one step: a filter on its result would otherwise be pushed below it with a copy of
+    # it, and each text be judged twice, by two Python workers a task.
+    judged = docs.withColumn("_judged", judge.asNondeterministic()(F.col(text)))
     return judged.withColumn("lang_pred", F.col("_judged.lang_pred")).withColumn(
         "score", F.col("_judged.score")
     ).drop("_judged")
