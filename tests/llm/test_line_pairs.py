@@ -45,3 +45,14 @@ def test_keys_are_made_in_one_exchange(spark, monkeypatch):
     lines.near_lines(docs, distinct, 2, 20)
     ran = plans["shared-keys"].split("== Initial Plan ==")[0]
     assert "ReusedExchange" in ran and ran.count("MapInArrow") == 1
+
+
+def test_keys_of_one_line_leave_before_anything_is_sorted_or_grouped_by_line(spark):
+    rows = [(k, 100 + k, 0, True, k) for k in range(40)]  # one line each
+    rows += [(50, 1, 7, False, 3), (50, 2, 8, False, 4)]  # two lines, neither by its own segment
+    rows += [(60, 5, 7, True, 9), (60, 5, 7, False, 2), (60, 6, 8, False, 4), (60, 6, 8, False, None)]
+    keys = spark.createDataFrame(rows, "key long, h long, bag long, own boolean, doc long")
+    shared = lines._shared(keys)
+    found = sorted(map(tuple, shared.select("key", "a", "bag_a", "h", "bag", "own", "doc").collect()))
+    assert found == [(60, 6, 8, 5, 7, True, 2), (60, 6, 8, 6, 8, False, 4)]  # the row without an id comes first
+    assert "SortAggregate" not in shared._jdf.queryExecution().executedPlan().toString()

@@ -316,6 +316,23 @@ def _later(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     return materialize(later.distinct(), "later-lines")
 
 
+def _shared(keys: DataFrame) -> DataFrame:
+    """``key, a, bag_a, h, bag, own, doc``: the lines under each key that has two at least, one of them
+    under a segment of its own, each once, beside the key's first line ``a``.
+
+    Most keys have one line and are gone after one aggregate of plain numbers; rows that tasks entered
+    twice become one among the few that are left, which is all the later joins read.
+    """
+    # Both sides of the join are this one exchange, as long as both ask for all its columns.
+    keyed = keys.repartition("key")
+    at = F.coalesce("doc", F.lit(-(1 << 63)))
+    first = [F.min_by(c, at).alias(n) for c, n in (("h", "a"), ("bag", "bag_a"))]
+    facts = [F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("some")]
+    met = keyed.groupBy("key").agg(*first, *facts).where("low < high and some").select("key", "a", "bag_a")
+    each = keyed.join(met, "key").groupBy("key", "a", "bag_a", "h", "bag")
+    return each.agg(F.max("own").alias("own"), F.min("doc").alias("doc"))
+
+
 def near_lines(docs: DataFrame, distinct: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """``h`` of the distinct lines that an earlier one is at most ``edits`` apart from.
     ``distinct`` is a written table of ``h, doc, line`` with each line's first place.
@@ -329,15 +346,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, edits: int, min_chars: int)
     under. So a pair is made where the key is a segment of its line with the smaller hash: not under
     every shift and band that both are looked up under.
     """
-    # Both sides of the join are this one exchange, as long as both ask for all its columns; rows that
-    # tasks entered twice become one behind it.
-    keyed = _keys(docs, edits, min_chars).repartition("key").groupBy("key", "h", "bag")
-    keyed = keyed.agg(F.max("own").alias("own"), F.min("doc").alias("doc"))
-    first = F.min(F.struct("doc", "h", "bag", "own")).alias("x")
-    heads = keyed.groupBy("key").agg(first, F.count("*").alias("n")).where("n > 1")
-    heads = heads.select("key", F.col("x.h").alias("a"), F.col("x.bag").alias("bag_a"), F.col("x.own").alias("_own"))
-    # Most keys have one line; what is left is small, is written, and is all the later joins read.
-    shared = materialize(heads.join(keyed, "key"), "shared-keys")
+    shared = materialize(_shared(_keys(docs, edits, min_chars)), "shared-keys")
     star = (F.col("a") != F.col("h")) & _bags_near("bag_a", "bag", edits)
     stars = shared.where(star).select("a", F.col("h").alias("b"))
     settled = _later(_near(docs, distinct, stars, edits, min_chars), distinct)
@@ -393,7 +402,7 @@ def drop_lines(
     gone = materialize(gone.withColumnRenamed("doc", "_doc"), "lines-to-drop")
     both = docs.withColumn("_doc", F.col(row_id).cast("long"))
     both = join_checked(both, gone, "_doc", "left").drop("_doc")
-    ends = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    ends = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
     kept = F.arrow_udf(_without, "string")
     return (
         both.withColumn("_n_lines", F.coalesce(ends + 1, F.lit(0)).cast("long"))
