@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -67,6 +68,25 @@ def test_encoder_forgets_and_stays_right(library, monkeypatch):
         assert own.encode([text]).to_pylist() == [library.encode(text, add_special_tokens=False).ids]
 
 
+def test_new_words_of_several_batches_merge_together(library, monkeypatch):
+    made, merged = bpe.encode_words, []
+    monkeypatch.setattr(bpe, "encode_words", lambda words, rule: merged.append(len(words)) or made(words, rule))
+    rows = [["one oneé, " * 60_000, "two"], ["two six, " * 60_000, None], ["ten", "", "one"]]
+    columns = [pa.array(texts, pa.string()) for texts in rows]
+    assert sum(c.nbytes for c in columns) > 1 << 20
+    found = list(bpe._spelled(iter(columns), PATH))
+    assert len(merged) == 1 and len(found) == 3
+    for column, ids in zip(columns, found):
+        assert ids.to_pylist() == [e.ids for e in library.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+
+
+def test_plain_texts_split_like_others():
+    rule = word_bpe.rules(PATH)
+    plain = "".join(a + b for a in map(chr, range(128)) for b in map(chr, range(128)))
+    for text in (plain, "I'll we'Ve 'S '' 12a_b\x1c\x1f\x0b x", ""):
+        assert rule.words(text) == rule._split.findall(rule.normal(text))
+
+
 def test_heap_counts_equal_library(library):
     texts = odd_strings()
     want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]

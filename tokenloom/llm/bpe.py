@@ -14,9 +14,10 @@ unless they bear the name of a result.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from tokenloom.llm.common import release
 
 CACHE_WORDS = 150_000
 DECODE_IDS = 1 << 15  # ids whose tokens are put together at once
-AHEAD_BYTES = 1 << 20  # text whose new words are merged together
+AHEAD_BYTES = 1 << 22  # text whose new words are merged together
+SLICE_BYTES = 1 << 20  # of a batch of longer texts
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -37,6 +39,14 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
+def _sorted_once(values: np.ndarray) -> np.ndarray:
+    """Each value once, in ascending order; ``values`` are sorted in place."""
+    values.sort()
+    fresh = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=fresh[1:])
+    return values[fresh]
+
+
 class PairIndex:
     """Symbols of many words, linked within each word, with the places of every mergeable pair."""
 
@@ -86,10 +96,13 @@ class PairIndex:
     def merge(self) -> None:
         while self.active:
             rank = heappop(self.active)
-            at = np.unique(np.concatenate(self.places.pop(rank)))
-            at = at[self.alive[at] & (self.rank[at] == rank)]
+            lists = self.places.pop(rank)
+            at = lists[0] if len(lists) == 1 else np.concatenate(lists)
+            at = at[self.rank[at] == rank]  # a place that is gone has no rank
             if not len(at):
                 continue
+            if len(lists) > 1:
+                at = _sorted_once(at)
             rest = at[:0]
             if self.symbol[at[0]] == self.symbol[self.after[at[0]]]:
                 at = self._first_of_runs(at)
@@ -109,8 +122,7 @@ class PairIndex:
             before = self.before[at]
             # A neighbour on the left that has merged away in this very step points to its own left.
             changed = np.concatenate([at[linked], before[before >= 0]])
-            changed = np.unique(changed[self.alive[changed]])
-            self._note(changed)
+            self._note(_sorted_once(changed[self.alive[changed]]))
             if len(rest):
                 rest = rest[self.alive[rest] & (self.rank[rest] == rank)]
                 if rank not in self.places and len(rest):
@@ -150,7 +162,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
         self.ids = np.zeros(0, np.int32)
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
@@ -165,17 +177,16 @@ class Encoder:
         self.count = np.concatenate([self.count, count])
         self.ids = np.concatenate([self.ids, ids])
 
-    def encode(self, texts: list[str | None]) -> pa.Array:
-        if len(self.number) > CACHE_WORDS:
-            self.forget()
-        number, numbered = self.number, []
-        for text in texts:  # numbers are kept, not words, of which a batch has very many
-            words = self.rule.words(text) if text else ()
-            numbered.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
-        self.learn()
+    def numbered(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Numbers of the words of each text: they are kept, not words, of which a batch has very many."""
+        number = self.number.__getitem__
+        found = (self.rule.words(text) if text else () for text in texts)
+        return [np.fromiter(map(number, words), np.int32, len(words)) for words in found]
+
+    def spelled(self, numbered: list[np.ndarray]) -> pa.Array:
+        """Ids of texts whose words are learned."""
         n_words = np.fromiter(map(len, numbered), np.int64, len(numbered))
         word = np.concatenate(numbered) if numbered else np.zeros(0, np.int32)
-        del numbered
         count = self.count[word]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
@@ -183,6 +194,16 @@ class Encoder:
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_words)])]
         return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(self.ids[take]))
 
+    def make_room(self) -> None:
+        if len(self.number) > CACHE_WORDS:
+            self.forget()
+
+    def encode(self, texts: list[str | None]) -> pa.Array:
+        self.make_room()
+        numbered = self.numbered(texts)
+        self.learn()
+        return self.spelled(numbered)
+
 
 _encoders: dict[str, Encoder] = {}
 _decoders: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -219,33 +240,33 @@ def round_trip(
 
 
 def _spelled(batches: Iterator[pa.Array], path: str) -> Iterator[pa.Array]:
-    """Ids of columns of texts; some columns are read ahead, so that their new words merge together."""
+    """Ids of columns of texts; of some columns read ahead the words are numbered, so that the new
+    ones merge together."""
     own, ahead, size = encoder(path), [], 0
 
     def spell():
-        ids = own.encode([t for column in ahead for t in column.to_pylist()])
-        at = 0
-        for column in ahead:
-            yield ids.slice(at, len(column))
-            at += len(column)
+        own.learn()
+        while ahead:
+            yield own.spelled(ahead.pop(0))
+        own.make_room()
+        release()
 
     for column in batches:
         if column.nbytes > AHEAD_BYTES:  # a batch of long texts is spelled in slices
             yield from spell()
-            ahead, size = [], 0
+            size = 0
             sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-            group = np.cumsum(sizes, dtype=np.int64) // AHEAD_BYTES
+            group = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
             cuts = _runs(group).tolist()
             parts = (column.slice(lo, hi - lo).to_pylist() for lo, hi in zip(cuts, cuts[1:]))
             yield pa.concat_arrays([own.encode(part) for part in parts])
             release()
             continue
-        ahead.append(column)
+        ahead.append(own.numbered(column.to_pylist()))
         size += column.nbytes
         if size >= AHEAD_BYTES:
             yield from spell()
-            ahead, size = [], 0
-            release()
+            size = 0
     yield from spell()
     own.forget()
     release()

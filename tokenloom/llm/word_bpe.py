@@ -8,6 +8,7 @@ digits and symbol runs. Special strings are cut out of the raw text first and st
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -17,6 +18,8 @@ import regex
 # The settings this module implements, as the file states them.
 NORMALIZER = ["NFC", "Replace", "Lowercase"]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same words of lower-case ASCII text, whose letters, digits and white space can be listed.
+PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
 END = "</w>"
 
 DEFAULT_FILE = "word_bpe_49k.json"
@@ -73,6 +76,7 @@ class Rules:
         np.minimum.at(first_use, left, np.arange(len(pairs)))
         np.minimum.at(first_use, right, np.arange(len(pairs)))
         self.careful = first_use[self.made] < np.arange(len(pairs))
+        self._split_plain = re.compile(PLAIN_PATTERN)
         self._split = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}"))
         marks = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self._marks = regex.compile(f"({marks})") if marks else None
@@ -89,16 +93,20 @@ class Rules:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no word-final form
         return text.lower()
 
+    def _split_normal(self, text: str) -> list[str]:
+        split = self._split_plain if text.isascii() else self._split
+        return split.findall(self.normal(text))
+
     def words(self, text: str) -> list[str]:
         """The words of a text in order; a special string is a word that no other word equals."""
         if self._marks is None or "<|" not in text:
-            return self._split.findall(self.normal(text))
+            return self._split_normal(text)
         out = []
         for i, part in enumerate(self._marks.split(text)):
             if i % 2:
                 out.append("\0" + part)  # a NUL is a word of its own kind, never before a letter
             elif part:
-                out.extend(self._split.findall(self.normal(part)))
+                out.extend(self._split_normal(part))
         return out
 
 
