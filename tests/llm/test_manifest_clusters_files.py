@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import connect, differences
-from tokenloom.llm import bitplanes, merkle, rangecoder, token_files
+from tokenloom.llm import bitplanes, byte_words, merkle, rangecoder, token_files
 from tokenloom.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -250,3 +252,85 @@ def test_coder_round_trip(lanes):
         assert (alone == words[i]).all()
     repeated = np.tile(np.arange(50), 40)
     assert 16 * len(rangecoder.encode([repeated], 50257)[0]) < 2 * len(repeated)
+
+
+def test_coder_keeps_pace_and_size():
+    rng = np.random.default_rng(3)
+    follow = rng.integers(0, 3000, (3000, 6))  # what may follow an id
+    ids = np.zeros((1 << 11, 1 << 8), np.int64)
+    for i in range(1, ids.shape[1]):
+        ids[:, i] = follow[ids[:, i - 1], np.minimum(rng.geometric(0.4, len(ids)), 6) - 1]
+    ids = ids.ravel().astype(np.int32)
+
+    def spent(work):
+        times = []
+        for _ in range(3):
+            begin = time.thread_time()
+            out = work()
+            times.append(time.thread_time() - begin)
+        return min(times), out
+
+    measure, _ = spent(lambda: sum(range(len(ids))))
+    coded, words = spent(lambda: rangecoder.encode([ids], 50257))
+    read, back = spent(lambda: rangecoder.decode(words, [len(ids)], 50257))
+    assert (back[0] == ids).all()
+    assert coded + read < 60 * measure
+    assert 16 * len(words[0]) < 8.5 * len(ids)  # order 0 alone takes 11
+
+
+def test_damaged_blocks_are_errors():
+    ids = np.random.default_rng(4).zipf(1.4, 3000).astype(np.int32) % 50257
+    words = rangecoder.encode([ids], 50257)[0]
+    table = token_files.segment([1], np.array([3000]), ids, 50257)
+    for cut in (0, 3, 8, 40, len(words) - 5):
+        with pytest.raises(ValueError):
+            rangecoder.decode([words[:cut]], [3000], 50257)
+    for at in range(0, len(table), 97):
+        broken = bytearray(table)
+        broken[at] ^= 0x40
+        if bytes(broken[6:8]) == table[6:8]:  # two bytes of the header are padding
+            with pytest.raises(ValueError):
+                token_files.parse(bytes(broken))
+
+
+def test_words_by_columns():
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    mark, library = "<|endoftext|>", ByteLevel(add_prefix_space=False, use_regex=True)
+    rng = random.Random(12)
+    signs = ["a", "S", "s", "t", "re", "ve", "ll", "m", "d", "l", "'", "'", " ", " ", "  ", "\n", "\t", "\r", "12", "!", "<", "|", ">"]
+    wide = [mark, "’", "²", "½", "é", "東", "　", " ", " ", "\x00", "\x1c", "\x85", "​", "🧵", "́", "٣", "﻿", "\U0010ffff"]
+    for alphabet in (signs, signs + wide):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)] + ["", None, " ", "'s"]
+        got = byte_words.split(pa.array(texts), [mark], byte_words.Classes())
+        for text, words in zip(texts, got.to_pylist()):
+            found = []
+            for part in re.split(f"({re.escape(mark)})", text or ""):
+                found += [part] if part == mark else [part[a:b] for _, (a, b) in library.pre_tokenize_str(part)]
+            assert words == found
+        some = pa.array(texts).slice(7, 50)
+        assert byte_words.split(some, [mark], byte_words.Classes()).equals(got.slice(7, 50))
+    for empty in ([], [None], ["", ""]):
+        none = byte_words.split(pa.array(empty, pa.string()), [mark], byte_words.Classes())
+        assert none.to_pylist() == [[] for _ in empty]
+
+
+def test_new_words_encoded_together(tokenizer):
+    codes = token_files.word_codes(tokenizer[0])
+    mark = "<|endoftext|>"
+    for words in ([" one", "\n\n", "<|endof", "text|>", "é", "  "], ["x", mark, " y"], [], ["|>", "<", "<|endoftext|"]):
+        ids, sizes = codes.spell(words) if words else codes.gather(pa.array(words, pa.string()))
+        each = [tokenizer[1].encode(w, add_special_tokens=False).ids for w in words]
+        assert ids.tolist() == [i for e in each for i in e] and sizes.tolist() == [len(e) for e in each]
+
+
+def test_words_of_many_batches_are_numbered_once(tokenizer, monkeypatch):
+    asked = []
+    codes = token_files.word_codes(tokenizer[0])
+    rows = codes.rows
+    monkeypatch.setattr(codes, "rows", lambda words: (asked.append(len(words)), rows(words))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([["a", " b"], [" b"]], pa.list_(pa.string()))], ["doc_id", "words"])
+    (named, sizes, ids), = token_files._segments(iter([batch] * 5), tokenizer[0], 2)
+    assert named == [1, 2] * 5 and sizes.tolist() == [3, 2] * 5 and asked == [2]
+    one = [tokenizer[1].encode(w).ids[0] for w in ("a", " b")]
+    assert ids.tolist() == [*one, 2, one[1], 2] * 5

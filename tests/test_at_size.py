@@ -91,3 +91,13 @@ def test_joined_ids(spark):
     rows = [(0, [1, 20, 65535]), (1, []), (2, None), (3, [7])]
     df = spark.createDataFrame(rows, "i int, ids array<int>")
     assert {r[0]: r[1] for r in df.select("i", joined(F.col("ids"))).collect()} == {0: "1,20,65535", 1: "", 2: None, 3: "7"}
+
+
+def test_words_beyond_what_is_numbered_at_once(monkeypatch):
+    monkeypatch.setattr(wordcodes, "WORDS_NUMBERED", 7)
+    monkeypatch.setattr(wordcodes, "WORDS_AT_ONCE", 3)
+    rows = [["ab", "c"] * 5, None, [], ["c", "é"] * 4, ["x" * k for k in range(12)]]
+    codes = wordcodes.WordCodes(lambda words: wordcodes.flattened([list(w.encode()) for w in words]), most_words=4)
+    ids, bounds = codes.texts(pa.array(rows, pa.list_(pa.string())))
+    spelled = [list("".join(r or []).encode()) for r in rows]
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == spelled

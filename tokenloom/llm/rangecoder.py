@@ -1,269 +1,359 @@
-"""An adaptive range coder for token ids, many blocks at once.
+"""A range coder for token ids, in blocks that bring their own model.
 
-A block is coded on its own: its model starts empty. Blocks of a group are lanes of the same NumPy
-operations, one id of each lane per step, and coding and decoding share one model.
+A block stands for itself. Its model is learned from all its ids and written ahead of them, under a
+CRC-32. The ids are cut into lanes, which are rows of the same NumPy operations, one id of each lane
+per step.
 
 The model predicts an id from the two ids before it (order 2), the one before it (order 1) and the
-counts of the block so far (order 0). Orders 1 and 2 keep, per hashed context, the id that came last
-and how often in a row it was right; the higher order that knows its context names the candidate. A
-yes or no is coded first, whose probability mixes what the three orders say of the candidate
-(adaptive estimates in the logistic domain, weights learned per lane). After a no, four hexadecimal
-digits spell the id by order-0 counts, which learn from the ids they spell.
-
-All arithmetic is on integers. The coder keeps a 48-bit range and gives 16-bit words; carries run
-through the finished words at the end.
+counts of the block (order 0). Orders 1 and 2 hold, per context (hashed for order 2), the id that
+follows most often and how sure that is; the higher order that knows its context names the candidate.
+The chance that the candidate is right mixes what the three orders say of it (shares measured in the
+block, in the logistic domain, with weights fitted to the block). After a no, order-0 counts spell
+the id. Both are one step of the coder: a yes has the lower part of the range, and the ids share the
+upper one by their counts.
+
+Writer and reader compute on integers only; floats help to choose what the model holds, which is then
+written as integers, and in a division that is exact. The coder keeps a 48-bit range and gives 16-bit
+words; carries run through the finished words at the end.
 """
 
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 
 import numpy as np
 
-LANES = 4096  # blocks coded side by side
-SLOTS = 1 << 10  # contexts an order tells apart in a block
-SURE = 7  # most times in a row an order's prediction counts
+LANES = 4096  # of a block at most
+SHORT_LANE = 256  # ids of a lane at least, where a block has more
 UNIT, BITS = 1 << 12, 12  # of probabilities
-LEARN = 5  # estimates move by 1 / 2**LEARN
-STEP, FULL = 12, 240  # added to a digit's count; counts are halved beyond
-DIGITS = 4  # hexadecimal ones of an id
+SURE = 7  # highest class of how sure a guess is
+MOST_SLOTS = 18  # bits of the hash of an order-2 context
+GAIN = 24  # bits that a context of order 2 must save, to be written
+PIECE = 1 << 17  # ids that a model looks at together
+SPELLED = 8  # bits of a spelled id, for that choice
 FIRST = 1 << 32  # a range below gives out a word
 WORD, MASK = 16, (1 << 32) - 1
-RUNNING = 0x0001_0001_0001_0001  # times four 16-bit counts in one word: their running sums
+MOST_IDS = 1 << 16
+HEAD = struct.Struct("<IIHBBI")  # ids, ids a lane, known ids less 1, bits of counts and slots, bytes of the model
 
 SQUASH = np.array([max(1, min(UNIT - 1, round(UNIT / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], np.int64)
 STRETCH = np.array([round(256 * math.log((p + 0.5) / (UNIT - p - 0.5))) for p in range(UNIT)], np.int64)
-MOST_IDS = 1 << (4 * DIGITS)
-
-
-class Shares:
-    """Running counts of rows of 16 digits, four to a word."""
-
-    def __init__(self, rows: np.ndarray):
-        self.count = rows.astype(np.uint16).view(np.int64)
-        self.inner = self.count * RUNNING
-        sums = self.inner >> 48
-        self.outer = (sums[:, 0] | sums[:, 1] << 16 | sums[:, 2] << 32 | sums[:, 3] << 48) * RUNNING
-        self.total = self.outer >> 48
-        self.first = np.arange(0, 4 * len(rows), 4)
-
-    def of(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What lies below each digit, and the digit's own count."""
-        word, shift = digit >> 2, (digit & 3) << 4
-        at = self.first + word
-        inner = self.inner.ravel().take(at)
-        begin = ((self.outer << 16) >> (word << 4) & 0xFFFF) + ((inner << 16) >> shift & 0xFFFF)
-        return begin, self.count.ravel().take(at) >> shift & 0xFFFF
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The digit whose share holds the value."""
-        outer = self.outer
-        word = ((outer & 0xFFFF) <= value).astype(np.int64)
-        word += (outer >> 16 & 0xFFFF) <= value
-        word += (outer >> 32 & 0xFFFF) <= value
-        left = value - ((outer << 16) >> (word << 4) & 0xFFFF)
-        inner = self.inner.ravel().take(self.first + word)
-        digit = word << 2
-        digit += (inner & 0xFFFF) <= left
-        digit += (inner >> 16 & 0xFFFF) <= left
-        digit += (inner >> 32 & 0xFFFF) <= left
-        return digit
+
+
+HIT = 1 << 11  # number of cells
+CELLS = np.arange(HIT)
+SAYS = np.stack([CELLS >> 7, CELLS >> 3 & 15, CELLS & 7])  # of the orders, in each cell
+
+
+def _slot(last: np.ndarray, prior: np.ndarray, slots: int) -> np.ndarray:
+    return (last * 0x9E3779B1 + prior * 0x85EBCA6B >> 32 - slots) & (1 << slots) - 1
+
+
+class Model:
+    """What a block says of its ids, which are named by their rank among those used."""
+
+    def __init__(self, known: np.ndarray, often: np.ndarray, guess: tuple, sure: tuple):
+        self.known, self.often, self.guess, self.sure = known, often, guess, sure  # the last two of orders 1 and 2
+        self.slots = len(sure[1]).bit_length() - 1
+        # Per context one number: the guess and how sure it is. Classes of counts in their place in a cell.
+        self._first, self._second = (g << 3 | s for g, s in zip(guess, sure))
+        self._often = often << 7
+
+    def complete(self, freq: np.ndarray, shares: np.ndarray, weight: np.ndarray) -> None:
+        """Counts, which add up to a power of two, and shares and weights of the three orders."""
+        self.freq, self.shares, self.weight = freq, shares, weight
+        self.bits = int(freq.sum()).bit_length() - 1
+        self.below = np.cumsum(freq) - freq
+        self.chance = _mixed(shares, weight)
+
+    def candidate(self, last: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The candidate, and a cell of what is said of it: by order 0 how often it occurs (4 bits), by
+        order 1 whether it agrees and how sure it is (1 and 3 bits), by order 2 how sure it is (3 bits)."""
+        first, second = self._first.take(last), self._second.take(slot)
+        secure = second & 7
+        candidate = np.where(secure > 0, second, first) >> 3
+        cell = self._often.take(candidate)
+        cell |= (first & 7) << 3
+        cell |= secure
+        cell += (first >> 3 == candidate) * 64
+        return candidate, cell
+
+    def dump(self) -> bytes:
+        met = self.guess[1][self.sure[1] > 0]
+        parts = [(self.known, "<u2"), (self.often, "u1"), (self.guess[0], "<u2"), (self.sure[0], "u1"), (self.sure[1], "u1")]
+        parts += [(met, "<u2"), (self.freq, "<u4"), (self.shares, "<u2"), (self.weight, "<i4")]
+        return b"".join(a.astype(t).tobytes() for a, t in parts)
+
+    @classmethod
+    def load(cls, data: bytes, n: int, slots: int) -> Model:
+        at = 0
+
+        def part(kind: str, size: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(data, kind, size, at).astype(np.int64)
+            at += size * np.dtype(kind).itemsize
+            return out
+
+        known, often, first = part("<u2", n), part("u1", n), part("<u2", n)
+        sure = part("u1", n), part("u1", 1 << slots)
+        second = np.zeros(1 << slots, np.int64)
+        second[sure[1] > 0] = part("<u2", int(np.count_nonzero(sure[1])))
+        model = cls(known, often, (first, second), sure)
+        model.complete(part("<u4", n), part("<u2", 48).reshape(3, 16), part("<i4", 3))
+        return model
+
+
+def _mixed(shares: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Chance of every cell: three orders' shares, mixed in the logistic domain."""
+    heard = STRETCH[shares[np.arange(3)[:, None], SAYS]]
+    return SQUASH.take(((heard * weight[:, None]).sum(0) >> 16) + 2048, mode="clip")
+
+
+def _fitted(total: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of hits by what each order says, and the weights that fit the cells best."""
+    shares = np.zeros((3, 16), np.int64)
+    for k in range(3):
+        n, right = (np.bincount(SAYS[k], x, 16) for x in (total, hits))
+        shares[k] = np.clip(UNIT * (right + 0.4) / (n + 0.8), 1, UNIT - 1)
+    met = np.flatnonzero(total)
+    heard = STRETCH[shares[np.arange(3)[:, None], SAYS[:, met]]] / 256
+    weight = np.full(3, 0.4)
+    for _ in range(12):  # Newton's method, held near where it starts
+        chance = 1 / (1 + np.exp(-np.clip(weight @ heard, -8, 8)))
+        slope = heard @ (hits[met] - total[met] * chance) - (weight - 0.4)
+        bend = (heard * (total[met] * chance * (1 - chance))) @ heard.T + np.eye(3)
+        weight = np.clip(weight + np.linalg.solve(bend, slope), -4, 4)
+    return shares, np.round(weight * 65536).astype(np.int64)
+
+
+def _likeliest(pairs: np.ndarray, bits: int, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per context the rank that follows most often (the smallest of several), how often it does, and
+    how often the context occurs. ``pairs`` holds context and rank, and gets sorted."""
+    pairs.sort()
+    begin = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    count = np.diff(begin, append=len(pairs))
+    pair = pairs[begin].astype(np.int64)
+    of = pair >> bits
+    group = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    most = np.maximum.reduceat(count, group)
+    guess, hits, total = (np.zeros(contexts, np.int64) for _ in range(3))
+    best = np.flatnonzero(count == np.repeat(most, np.diff(group, append=len(of))))[::-1]
+    guess[of[best]] = pair[best] & (1 << bits) - 1  # the first of equals is written last
+    hits[of[group]] = most
+    total[of[group]] = np.add.reduceat(count, group)
+    return guess, hits, total
+
+
+def _sure(hits: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Class of the odds, 1 to ``SURE``; 0 where nothing is known."""
+    odds = np.log2((hits + 0.5) / (total - hits + 0.5))
+    return np.where(total > 0, np.clip((odds + 6.5) / 1.5, 1, SURE), 0).astype(np.int64)
+
+
+def _before(rank: np.ndarray, length: int) -> np.ndarray:
+    """The rank before each; 0 before a lane begins."""
+    last = np.empty_like(rank)
+    last[1:] = rank[:-1]
+    last[::length] = 0
+    return last
+
+
+def _pieces(n: int, size: int = PIECE) -> list[slice]:
+    return [slice(i, min(n, i + size)) for i in range(0, n, size)]
+
+
+def learn(rank: np.ndarray, known: np.ndarray, length: int) -> tuple[Model, np.ndarray]:
+    """The model of a block; the cell of each of its ids, plus ``HIT`` where the candidate is right."""
+    n, wide = len(known), max(1, (len(known) - 1).bit_length())
+    bits = min(18, max(12, wide + 4))
+    slots = max(4, min(MOST_SLOTS, 32 - wide, len(rank).bit_length() - 3))
+    last = _before(rank, length)
+    prior = _before(last, length)
+    pairs, slot = np.empty(len(rank), np.uint32), np.empty(len(rank), np.uint32)
+    for s in _pieces(len(rank)):
+        at = last[s].astype(np.int64)
+        pairs[s] = at << wide | rank[s]
+        slot[s] = _slot(at, prior[s].astype(np.int64), slots)
+    del prior
+    guess, hits, total = _likeliest(pairs, wide, n)
+    rate = np.clip(hits / np.maximum(total, 1), 0.001, 0.999)
+    np.left_shift(slot, wide, out=pairs)
+    pairs |= rank
+    second, right, met = _likeliest(pairs, wide, 1 << slots)
+    del pairs
+    # Order 2 speaks where it saves more than it takes to write.
+    plain, said = np.zeros(1 << slots), np.zeros(1 << slots)
+    for s in _pieces(len(rank), 8 * PIECE):
+        at, of = last[s].astype(np.int64), slot[s].astype(np.int64)
+        plain += np.bincount(of, guess.take(at) == rank[s], 1 << slots)
+        said += np.bincount(of, rate.take(at), 1 << slots)
+    cost = [
+        -h * np.log2(np.clip(q, 1e-6, 1)) - (met - h) * (np.log2(np.clip(1 - q, 1e-6, 1)) - SPELLED)
+        for h, q in ((plain, said / np.maximum(met, 1)), (right, (right + 0.5) / (met + 1)))
+    ]
+    sure = _sure(hits, total), np.where(cost[0] - cost[1] > GAIN, _sure(right, met), 0)
+    second[sure[1] == 0] = 0
+    count = np.bincount(rank, minlength=n)
+    often = np.minimum(np.frexp(count * (1 << 16) // len(rank))[1], 15).astype(np.int64)
+    model = Model(known, often, (guess, second), sure)
+    cell, spelled, cells = np.empty(len(rank), np.uint16), np.zeros(n, np.int64), np.zeros(2 * HIT, np.int64)
+    for s in _pieces(len(rank)):
+        candidate, of = model.candidate(last[s].astype(np.int64), slot[s].astype(np.int64))
+        hit = candidate == rank[s]
+        of += hit * HIT
+        cells += np.bincount(of, minlength=2 * HIT)
+        spelled += np.bincount(rank[s][~hit], minlength=n)
+        cell[s] = of
+    freq = 1 + spelled * ((1 << bits) - n) // max(1, int(spelled.sum()))
+    freq[spelled.argmax()] += (1 << bits) - freq.sum()
+    model.complete(freq, *_fitted(cells[:HIT] + cells[HIT:], cells[HIT:]))
+    return model, cell
 
 
 class Writer:
-    """Words of every lane. Operations narrow the ranges of the first lanes, or of those in ``at``."""
+    """Words of every lane. A step narrows the ranges of the first lanes.
+
+    A reader's ranges are the same, so it takes a word whenever a lane gives one out, three words
+    further on. Words are written in that order, and all lanes read one stream."""
 
     def __init__(self, lanes: int, length: int):
         self.low = np.zeros(lanes, np.int64)
         self.range = np.full(lanes, 1 << 48, np.int64)
         self.used = np.zeros(lanes, np.int64)
-        self.words = np.zeros((lanes, length + 64), np.uint32)
-
-    def _narrow(self, at, low: np.ndarray, span: np.ndarray) -> None:
+        self.words = np.zeros((length // 2 + 16, lanes), np.uint32)
+        self.order: list[np.ndarray] = []  # which word of which lane was given out
+
+    def step(self, begin: np.ndarray, width: np.ndarray, bits: int) -> None:
+        """Narrow to shares of ``2**bits``."""
+        low, span = self.low[: len(begin)], self.range[: len(begin)]
+        unit = span >> bits
+        low += unit * begin
+        np.multiply(unit, width, out=span)
         small = np.flatnonzero(span < FIRST)
-        if len(small):
-            lanes = small if isinstance(at, slice) else at[small]
-            place = self.used[lanes]
-            if place.max() >= self.words.shape[1]:
-                self.words = np.pad(self.words, ((0, 0), (0, self.words.shape[1] // 2)))
-            self.words[lanes, place] = low[small] >> 32
-            self.used[lanes] = place + 1
-            low[small] = (low[small] & MASK) << WORD
-            span[small] <<= WORD
-        self.low[at] = low
-        self.range[at] = span
-
-    def bit(self, lanes: int, chance: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        at = slice(0, lanes)
-        span = self.range[at]
-        part = (span >> BITS) * chance
-        self._narrow(at, self.low[at] + np.where(hit, 0, part), np.where(hit, part, span - part))
-        return hit
-
-    def digit(self, at: np.ndarray, shares: Shares, digit: np.ndarray) -> np.ndarray:
-        part = self.range[at] // shares.total
-        begin, own = shares.of(digit)
-        self._narrow(at, self.low[at] + part * begin, part * own)
-        return digit
-
-    def finish(self) -> list[np.ndarray]:
-        """The words of each lane, carries added."""
-        if self.words.shape[1] < self.used.max(initial=0) + 3:
-            self.words = np.pad(self.words, ((0, 0), (0, 3)))
+        while len(small):
+            place = self.used[small]
+            if place.max() >= len(self.words):
+                self.words = np.pad(self.words, ((0, len(self.words) // 2), (0, 0)))
+            some = low[small]
+            self.words[place, small] = some >> 32
+            self.order.append(((place + 3) * self.words.shape[1] + small).astype(np.int32))
+            self.used[small] = place + 1
+            low[small] = (some & MASK) << WORD
+            wider = span[small] << WORD
+            span[small] = wider
+            small = small[wider < FIRST]
+
+    def finish(self) -> np.ndarray:
+        """The words of all lanes, carries added."""
+        self.words = np.pad(self.words, ((0, 3), (0, 0)))
         lanes = np.arange(len(self.low))
         for _ in range(3):
-            self.words[lanes, self.used] = self.low >> 32
+            self.words[self.used, lanes] = self.low >> 32
             self.used += 1
             self.low = (self.low & MASK) << WORD
         carry = np.zeros(len(self.low), np.uint32)
-        for i in range(int(self.used.max(initial=0)) - 1, -1, -1):
-            column = self.words[:, i] + carry
-            self.words[:, i] = column & 0xFFFF
-            carry = column >> 16
-        return [row[:n].astype("<u2") for row, n in zip(self.words, self.used)]
-
-
-class Reader:
-    """The same operations on given words; they return what was written."""
-
-    def __init__(self, words: list[np.ndarray]):
-        width = max(map(len, words), default=0) + 4
-        self.words = np.zeros((len(words), width), np.uint16)
-        for row, given in zip(self.words, words):
-            row[: len(given)] = given
-        first = self.words[:, :3].astype(np.int64)
-        self.code = first[:, 0] << 32 | first[:, 1] << 16 | first[:, 2]
-        self.range = np.full(len(words), 1 << 48, np.int64)
-        self.used = np.full(len(words), 3, np.int64)
-
-    def _narrow(self, at, code: np.ndarray, span: np.ndarray) -> None:
+        for row in self.words[: self.used.max()][::-1]:
+            row += carry
+            carry = row >> 16
+        words = self.words.astype("<u2").ravel()
+        return np.concatenate([words[: 3 * len(lanes)], *(words.take(some) for some in self.order)])
+
+
+def _lanes(values: np.ndarray, lanes: int, length: int) -> np.ndarray:
+    """One row per step; the last lane may be short."""
+    return np.ascontiguousarray(np.pad(values, (0, lanes * length - len(values))).reshape(lanes, length).T)
+
+
+def _block(ids: np.ndarray, bound: int) -> np.ndarray:
+    if not len(ids):
+        return np.zeros(0, "<u2")
+    known = np.flatnonzero(np.bincount(ids, minlength=bound))
+    named = np.zeros(bound, np.uint16)
+    named[known] = np.arange(len(known))
+    rank = named.take(ids)
+    length = max(min(SHORT_LANE, len(ids)), -(-len(ids) // LANES))
+    model, cell = learn(rank, known, length)
+    lanes = -(-len(ids) // length)
+    full = length - (lanes * length - len(ids))  # steps that the last lane has
+    coder = Writer(lanes, length)
+    # What a cell's yes and no have of the range; ids share the latter.
+    lower = np.concatenate([np.zeros(HIT, np.int64), model.chance << model.bits])
+    share = np.concatenate([model.chance << model.bits, UNIT - model.chance])
+    below, freq = np.append(model.below, 0), np.append(model.freq, 1)
+    for i, (r, c) in enumerate(zip(_lanes(rank, lanes, length), _lanes(cell ^ HIT, lanes, length))):
+        active = lanes if i < full else lanes - 1
+        said = c[:active].astype(np.int64)
+        at = np.where(said < HIT, len(known), r[:active])
+        part = share.take(said)
+        coder.step(lower.take(said) + part * below.take(at), part * freq.take(at), BITS + model.bits)
+    words = coder.finish()
+    facts = zlib.compress(model.dump(), 1)
+    facts += b"\0" * (len(facts) & 1)
+    head = HEAD.pack(len(ids), length, len(known) - 1, model.bits, model.slots, len(facts))
+    front = head + facts
+    return np.concatenate([np.frombuffer(front + struct.pack("<I", zlib.crc32(front)), "<u2"), words])
+
+
+def _unblock(words: np.ndarray, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int32)
+    data = words.tobytes()
+    if len(data) < HEAD.size:
+        raise ValueError("A block of token ids is damaged")
+    given, length, known, bits, slots, size = HEAD.unpack_from(data)
+    end = HEAD.size + size
+    if given != n or len(data) < end + 4 or zlib.crc32(data[:end]) != struct.unpack_from("<I", data, end)[0]:
+        raise ValueError("A block of token ids is damaged")
+    facts = zlib.decompressobj().decompress(data[HEAD.size : end])
+    lanes = -(-n // length)
+    model = Model.load(facts, known + 1, slots)
+    at = end // 2 + 2 + 3 * lanes
+    if at > len(words):
+        raise ValueError("A block of token ids is damaged")
+    first = words[at - 3 * lanes : at].reshape(3, lanes).astype(np.int64)
+    code = first[0] << 32 | first[1] << 16 | first[2]
+    span = np.full(lanes, 1 << 48, np.int64)
+    spell = np.repeat(np.arange(len(model.freq), dtype=np.uint16), model.freq)  # the rank that holds each share
+    last, prior = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    out = np.zeros((length, lanes), np.uint16)
+    short = lanes * length - n
+    for i in range(length):
+        if i == length - short:
+            lanes -= 1
+            code, span, last, prior = (x[:lanes] for x in (code, span, last, prior))
+        candidate, cell = model.candidate(last, _slot(last, prior, slots))
+        chance = model.chance.take(cell)
+        unit = span >> BITS + bits
+        edge = (unit * chance) << bits
+        left = code - edge
+        hit = left < 0
+        unit *= UNIT - chance
+        # Both are below 2**49, so that the quotient of the floats has the same whole part.
+        share = (left / unit).astype(np.int64)
+        rank = np.where(hit, candidate, spell.take(share, mode="clip"))
+        code = np.where(hit, code, left - unit * model.below.take(rank))
+        span = np.where(hit, edge, unit * model.freq.take(rank))
         small = np.flatnonzero(span < FIRST)
-        if len(small):
-            lanes = small if isinstance(at, slice) else at[small]
-            place = np.minimum(self.used[lanes], self.words.shape[1] - 1)
-            code[small] = code[small] << WORD | self.words[lanes, place]
-            self.used[lanes] += 1
-            span[small] <<= WORD
-        self.code[at] = code
-        self.range[at] = span
-
-    def bit(self, lanes: int, chance: np.ndarray, hit: None) -> np.ndarray:
-        at = slice(0, lanes)
-        span, code = self.range[at], self.code[at]
-        part = (span >> BITS) * chance
-        found = code < part
-        self._narrow(at, code - np.where(found, 0, part), np.where(found, part, span - part))
-        return found
-
-    def digit(self, at: np.ndarray, shares: Shares, digit: None) -> np.ndarray:
-        code = self.code[at]
-        part = self.range[at] // shares.total
-        found = shares.find(np.minimum(code // part, shares.total - 1))
-        begin, own = shares.of(found)
-        self._narrow(at, code - part * begin, part * own)
-        return found
-
-
-class Model:
-    """What every lane has seen of its own block."""
-
-    def __init__(self, lanes: int, ids: int):
-        # Counts of a digit below those before it: as many rows as ids below ``ids`` can need.
-        self.nodes = [((ids - 1) >> 4 * (DIGITS - k)) + 1 for k in range(DIGITS)]
-        self.counts = [np.ones((lanes * n, 16), np.uint8) for n in self.nodes]
-        # Per context of orders 1 and 2: the id that came last, times 8, and how sure it is.
-        self.guess = np.zeros((2, lanes * SLOTS), np.int32)
-        self.last, self.prior = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.lane = np.arange(lanes)
-        # Estimates that a candidate is right, per order by what it says of the candidate.
-        start = np.minimum(UNIT // 64 + UNIT // 12 * (np.arange(16) & SURE), UNIT * 3 // 4)
-        self.estimate = np.tile(start.astype(np.int32), 3 * lanes)
-        self.cell = 16 * np.arange(3 * lanes).reshape(3, lanes)
-        self.weight = np.full((3, lanes), (1 << 16) * 2 // 5, np.int64)
-
-    def _ask(self, coder, says: np.ndarray, hit: np.ndarray | None) -> np.ndarray:
-        """Code whether the candidate is right, by a mix of three estimates, and learn from it."""
-        n = says.shape[1]
-        cells = self.cell[:, :n] + says
-        known = self.estimate.take(cells)
-        heard = STRETCH.take(known)
-        weight = self.weight[:, :n]
-        mixed = (heard * weight).sum(0) >> 16
-        chance = SQUASH.take(mixed + 2048, mode="clip")
-        hit = coder.bit(n, chance, hit)
-        goal = np.where(hit, UNIT, 0)
-        weight += (heard * ((goal - chance) * 6)) >> 10
-        self.estimate[cells] = known + ((goal - hit - known) >> LEARN)
-        return hit
-
-    def _spell(self, coder, at: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """Four digits, each by the counts of its place below the digits before it."""
-        value = np.zeros(len(at), np.int64)
-        for counts, nodes, shift in zip(self.counts, self.nodes, range(4 * DIGITS - 4, -1, -4)):
-            rows = counts.view(np.complex128).ravel().take(at * nodes + value).view(np.uint8).reshape(-1, 16)
-            digit = coder.digit(at, Shares(rows), None if ids is None else ids >> shift & 15)
-            value = value << 4 | digit
-        return value
-
-    def _count(self, lane: np.ndarray, ids: np.ndarray) -> None:
-        for counts, nodes, shift in zip(self.counts, self.nodes, range(4 * DIGITS - 4, -1, -4)):
-            flat = counts.ravel()
-            cell = (lane * nodes << 4) + (ids >> shift)
-            count = flat.take(cell) + np.uint8(STEP)
-            flat[cell] = count
-            full = np.flatnonzero(count > FULL)
-            if len(full):
-                rows = cell[full] >> 4
-                counts[rows] = counts[rows] >> 1 | 1
-
-    def step(self, coder, lanes: int, ids: np.ndarray | None) -> np.ndarray:
-        """Code one id of each of the first lanes (known when writing), and learn it."""
-        last, prior, lane = self.last[:lanes], self.prior[:lanes], self.lane[:lanes]
-        mixed = last * 0x9E3779B1
-        slots = [lane * SLOTS + (mixed >> 15 & SLOTS - 1), lane * SLOTS + (mixed + prior * 0x85EBCA6B >> 13 & SLOTS - 1)]
-        known = [self.guess[k].take(s).astype(np.int64) for k, s in enumerate(slots)]
-        guess, sure = [k >> 3 for k in known], [k & SURE for k in known]
-        candidate = np.where(sure[1] > 0, guess[1], guess[0])
-        agree = (guess[0] == candidate) << 3
-        often = self.counts[-1].ravel().take((lane * self.nodes[-1] << 4) + candidate) >> 4
-        says = np.stack([often.astype(np.int64), sure[0] | agree, sure[1] | agree])
-        hit = self._ask(coder, says, None if ids is None else ids == candidate)
-        out = candidate
-        rest = np.flatnonzero(~hit)
-        if len(rest):
-            spelled = self._spell(coder, rest, None if ids is None else ids[rest])
-            self._count(rest, spelled)
-            out[rest] = spelled
-        for k, slot in enumerate(slots):
-            right = guess[k] == out
-            fresh = sure[k] <= 1
-            again = (guess[k] << 3) + np.where(right, np.minimum(sure[k] + 1, SURE), sure[k] >> 1)
-            self.guess[k][slot] = np.where(fresh & ~right, (out << 3) + 1, again)
-        self.prior[:lanes] = last
-        self.last[:lanes] = out
-        return out
+        while len(small):
+            if at + len(small) > len(words):
+                raise ValueError("A block of token ids is damaged")
+            code[small] = code[small] << WORD | words[at : at + len(small)]
+            at += len(small)
+            wider = span[small] << WORD
+            span[small] = wider
+            small = small[wider < FIRST]
+        out[i, :lanes] = rank
+        last, prior = rank, last
+    return model.known.astype(np.int32).take(out.T.ravel()[:n])
 
 
 def encode(blocks: list[np.ndarray], ids: int) -> list[np.ndarray]:
-    """Words of each block; ids are below ``ids``. At most ``LANES`` blocks, the longest first."""
-    sizes = np.array([len(b) for b in blocks], np.int64)
-    table = np.zeros((len(blocks), int(sizes.max(initial=0))), np.int32)
-    for row, block in zip(table, blocks):
-        row[: len(block)] = block
-    table = np.ascontiguousarray(table.T)
-    model, coder = Model(len(blocks), ids), Writer(len(blocks), table.shape[0])
-    for i, column in enumerate(table):
-        active = int(np.searchsorted(-sizes, -i, "left"))
-        model.step(coder, active, column[:active].astype(np.int64))
-    return coder.finish()
+    """Words of each block; ids are below ``ids``."""
+    return [_block(block, ids) for block in blocks]
 
 
 def decode(words: list[np.ndarray], sizes: list[int], ids: int) -> list[np.ndarray]:
     """The blocks again, from their words and sizes."""
-    size = np.array(sizes, np.int64)
-    table = np.zeros((int(size.max(initial=0)), len(words)), np.int32)
-    model, coder = Model(len(words), ids), Reader(words)
-    for i in range(len(table)):
-        active = int(np.searchsorted(-size, -i, "left"))
-        table[i, :active] = model.step(coder, active, None)
-    return [table[:n, k] for k, n in enumerate(sizes)]
+    return [_unblock(given, n) for given, n in zip(words, sizes)]

@@ -1,15 +1,16 @@
 """Operator 13: token ids written to compressed binary files, and read back.
 
-Texts are range-sorted by id, split into words in the JVM, and encoded with the public library's
-tokenizer, which sees every distinct word of a task once. A task writes one file of segments; a
-segment holds whole documents and stands for itself, so a reader takes segments in any order:
+Texts are range-sorted by id, split into words by columns (:mod:`tokenloom.llm.byte_words`), and encoded
+with the public library's tokenizer, which sees every distinct word of a task once. A task writes one
+file of segments; a segment holds whole documents and stands for itself, so a reader takes segments
+in any order:
 
     header   magic, version, id bound, ids per block, documents, blocks, ids, table bytes, CRC-32
     table    document ids and token counts, deflated
     blocks   per block the number of 16-bit words and the CRC-32 of its ids (32 bits, little-endian)
     words    of all blocks, one after the other
 
-Blocks are coded by :mod:`tokenloom.llm.rangecoder`, each on its own. Every sum is checked on reading.
+Blocks are coded by :mod:`tokenloom.llm.rangecoder`, each on its own and with a model of its own. Every sum is checked on reading.
 Files get their final name when they are complete, and the list of segments (``entries``, a table)
 is written last; a lost task writes the same file again.
 
@@ -31,24 +32,25 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.functions import text as words_of
-from tokenloom.llm import rangecoder
+from tokenloom.llm import byte_words, rangecoder
 from tokenloom.llm.common import release
 from tokenloom.operators.running import running_totals
 from tokenloom.operators.wordcodes import WordCodes, flattened, some_rows
 from tokenloom.sources import files
 
-MAGIC, VERSION = b"TLID", 1
+MAGIC, VERSION = b"TLID", 2
 HEADER = struct.Struct("<4sHxxIIIIQI")
 SEGMENT_IDS = 1 << 23  # a segment is closed once it holds as many
-SHORT_BLOCK, LONG_BLOCK = 256, 2048  # ids; shorter in small segments, so that lanes stay many
-SEGMENT_LANES = 1024
+BLOCK_IDS = 1 << 22  # a larger segment has several blocks
 TEXT_PER_TASK = 16 << 20  # bytes
+TEXT_TOGETHER = 16 << 20  # bytes whose words are numbered at once
+NEW_TOGETHER = 1 << 13  # new words that the library is given as one text
 OUT_IDS = 1 << 20  # of a batch that a reader hands on, or one document
 ENTRIES = "part int, seq int, file string, begin long, size long, docs long, n_ids long"
 
@@ -56,23 +58,16 @@ ENTRIES = "part int, seq int, file string, begin long, size long, docs long, n_i
 # --- segments -----------------------------------------------------------------------------------
 
 
-def block_size(n_ids: int) -> int:
-    return max(SHORT_BLOCK, min(LONG_BLOCK, n_ids // SEGMENT_LANES))
-
-
 def segment(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray, bound: int) -> bytes:
     """One segment of whole documents; ``ids`` has those of all documents, end to end."""
-    block = block_size(len(ids))
-    blocks = [ids[i : i + block] for i in range(0, len(ids), block)]
-    words: list[np.ndarray] = []
-    for i in range(0, len(blocks), rangecoder.LANES):
-        words += rangecoder.encode(blocks[i : i + rangecoder.LANES], bound)
+    blocks = [ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS)]
+    words = rangecoder.encode(blocks, bound)
     sums = [zlib.crc32(b.astype("<u4")) for b in blocks]
     known = np.array([i is not None for i in doc_ids], np.uint8)
     named = np.array([i or 0 for i in doc_ids], "<i8")
     table = zlib.compress(known.tobytes() + named.tobytes() + sizes.astype("<i8").tobytes())
     facts = np.array([[len(w) for w in words], sums], "<u4").tobytes() if blocks else b""
-    head = HEADER.pack(MAGIC, VERSION, bound, block, len(doc_ids), len(blocks), len(ids), len(table))
+    head = HEADER.pack(MAGIC, VERSION, bound, BLOCK_IDS, len(doc_ids), len(blocks), len(ids), len(table))
     front = head + table + facts
     return front + struct.pack("<I", zlib.crc32(front)) + b"".join(w.tobytes() for w in words)
 
@@ -93,10 +88,8 @@ def parse(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     ends = np.cumsum(lengths)
     words = np.frombuffer(data, "<u2", int(lengths.sum()), end + 4)
     counts = [min(block, n_ids - i * block) for i in range(n_blocks)]
-    out = [np.zeros(0, np.int32)]
-    for i in range(0, n_blocks, rangecoder.LANES):
-        j = min(n_blocks, i + rangecoder.LANES)
-        out += rangecoder.decode([words[ends[k] - lengths[k] : ends[k]] for k in range(i, j)], counts[i:j], bound)
+    given = [words[e - n : e] for e, n in zip(ends, lengths)]
+    out = [np.zeros(0, np.int32), *rangecoder.decode(given, counts, bound)]
     for ids, crc in zip(out[1:], sums):
         if zlib.crc32(np.ascontiguousarray(ids).astype("<u4")) != crc:
             raise ValueError("A block of token ids is damaged")
@@ -119,21 +112,18 @@ def settings(path: str) -> tuple[list[str], int]:
     return [t["content"] for t in added], max(ids) + 1
 
 
-def words(text: Column, specials: list[str]) -> Column:
-    """The words of a text; special strings are cut out first and are words of their own."""
-    plain = words_of.words(text)
-    if not specials:
-        return plain
-    marks = "|".join(r"\Q" + s + r"\E" for s in sorted(specials, key=len, reverse=True))
-    between = F.split(text, marks, -1)
-    found = F.regexp_extract_all(text, F.lit(f"({marks})"), F.lit(1))
-    cut = F.flatten(
-        F.transform(between, lambda part, i: F.concat(F.when(i > 0, F.array(F.get(found, i - 1))).otherwise(F.array().cast("array<string>")), words_of.words(part)))
-    )
-    some = F.lit(False)
-    for s in specials:
-        some = some | F.contains(text, F.lit(s))
-    return F.when(some, cut).otherwise(plain)
+@lru_cache(maxsize=1)
+def classes() -> byte_words.Classes:
+    """A worker's classes of characters."""
+    return byte_words.Classes()
+
+
+def _split(batches: Iterator[pa.RecordBatch], specials: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of ids and texts as smaller ones of ids and words."""
+    for batch in batches:
+        for rows in byte_words.pieces(batch.column(1)):
+            ids, texts = (c.slice(rows.start, rows.stop - rows.start) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([ids, byte_words.split(texts, specials, classes())], ["doc_id", "words"])
 
 
 @lru_cache(maxsize=4)
@@ -147,8 +137,18 @@ def word_codes(path: str) -> WordCodes:
     tokenizer.no_padding()
 
     def spell(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return flattened([e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
-
+        if mark is None or not added.isdisjoint(new):
+            return flattened([e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+        # One text of many words: what lies between special strings is encoded by itself.
+        texts = [mark.join(new[i : i + NEW_TOGETHER]) + mark for i in range(0, len(new), NEW_TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == added_ids[mark])
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
+    # A mark that cannot arise across its ends with what stands beside it, and that no other one holds.
+    added_ids = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    added = set(added_ids)
+    mark = next((m for m in added if len(added) == 1 and not any(m.endswith(m[:k]) for k in range(1, len(m)))), None)
     return WordCodes(spell)
 
 
@@ -168,14 +168,14 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, row_id: str
     parts = max(spark.sparkContext.defaultParallelism, size // TEXT_PER_TASK + 1)
     keyed = rows.withColumn("hash", F.xxhash64("text"))
     laid = keyed.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
-    split = laid.select("doc_id", F.coalesce(words(F.col("text"), specials), F.array()).alias("words"))
+    whole = laid.select("doc_id", F.make_valid_utf8(F.coalesce("text", F.lit(""))).alias("text"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         name, entries, out, begin = f"part-{part:06d}.ids", [], None, 0
         fs, base = pafs.FileSystem.from_uri(folder)
         draft = f"{base}/.{name}.{uuid.uuid4().hex}"
-        for doc_ids, sizes, ids in _segments(batches, vocabulary, end_id):
+        for doc_ids, sizes, ids in _segments(_split(batches, specials), vocabulary, end_id):
             data = segment(doc_ids, sizes, ids, bound)
             if out is None:
                 fs.create_dir(base, recursive=True)
@@ -191,7 +191,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, row_id: str
             columns = [pa.array(c, k) for c, k in zip(zip(*entries), kinds)]
             yield pa.RecordBatch.from_arrays(columns, ["part", "seq", "file", "begin", "size", "docs", "n_ids"])
 
-    split.mapInArrow(store, ENTRIES).write.mode("errorifexists").parquet(f"{path}/entries")
+    whole.mapInArrow(store, ENTRIES).write.mode("errorifexists").parquet(f"{path}/entries")
 
 
 def _segments(
@@ -200,23 +200,42 @@ def _segments(
     """Documents gathered until they have ``SEGMENT_IDS`` ids."""
     codes = word_codes(vocabulary)
     named, sizes, ids, n = [], [], [], 0
+    for docs, lists in _together(batches):
+        found, bounds = codes.texts(lists)
+        size = np.diff(bounds) + 1
+        whole = np.full(len(found) + len(size), end_id, np.int32)
+        end = np.zeros(len(whole), bool)
+        end[np.cumsum(size) - 1] = True
+        whole[~end] = found
+        named += docs
+        sizes.append(size)
+        ids.append(whole)
+        n += len(whole)
+        if n >= SEGMENT_IDS:
+            yield named, np.concatenate(sizes), np.concatenate(ids)
+            named, sizes, ids, n = [], [], [], 0
+    if named:
+        yield named, np.concatenate(sizes), np.concatenate(ids)
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """Batches gathered until they have ``TEXT_TOGETHER`` bytes, or words for a segment: the more
+    words are numbered at once, the fewer are looked up."""
+    docs, lists, size, words = [], [], 0, 0
     for batch in batches:
         at = 0
         for piece in some_rows(batch.column(1)):
-            found, bounds = codes.texts(piece)
-            size = np.diff(bounds) + 1
-            whole = np.full(len(found) + len(size), end_id, np.int32)
-            whole[np.arange(len(found)) + np.repeat(np.arange(len(size)), size - 1)] = found
-            named += batch.column(0).slice(at, len(piece)).to_pylist()
-            sizes.append(size)
-            ids.append(whole)
+            docs += batch.column(0).slice(at, len(piece)).to_pylist()
+            lists.append(piece)
             at += len(piece)
-            n += len(whole)
-            if n >= SEGMENT_IDS:
-                yield named, np.concatenate(sizes), np.concatenate(ids)
-                named, sizes, ids, n = [], [], [], 0
-    if named:
-        yield named, np.concatenate(sizes), np.concatenate(ids)
+            found = piece.flatten()
+            words += len(found)
+            size += pc.sum(pc.binary_length(found)).as_py() or 0
+            if size >= TEXT_TOGETHER or words >= SEGMENT_IDS:
+                yield docs, pa.concat_arrays(lists)
+                docs, lists, size, words = [], [], 0, 0
+    if docs:
+        yield docs, pa.concat_arrays(lists)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
