@@ -31,7 +31,7 @@ UNIT, BITS = 1 << 12, 12  # of probabilities
 SURE = 7  # highest class of how sure a guess is
 MOST_SLOTS = 18  # bits of the hash of an order-2 context
 GAIN = 24  # bits that a context of order 2 must save, to be written
-PIECE = 1 << 17  # ids that a model looks at together
+PIECE = 1 << 15  # ids that a model looks at together
 SPELLED = 8  # bits of a spelled id, for that choice
 FIRST = 1 << 32  # a range below gives out a word
 WORD, MASK = 16, (1 << 32) - 1

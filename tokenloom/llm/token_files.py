@@ -50,7 +50,7 @@ SEGMENT_IDS = 1 << 23  # a segment is closed once it holds as many
 BLOCK_IDS = 1 << 22  # a larger segment has several blocks
 TEXT_PER_TASK = 16 << 20  # bytes
 TEXT_TOGETHER = 16 << 20  # bytes whose words are numbered at once
-NEW_TOGETHER = 1 << 13  # new words that the library is given as one text
+NEW_TOGETHER = 1 << 8  # new words that the library is given as one text
 OUT_IDS = 1 << 20  # of a batch that a reader hands on, or one document
 ENTRIES = "part int, seq int, file string, begin long, size long, docs long, n_ids long"
 
