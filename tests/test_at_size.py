@@ -95,7 +95,7 @@ def test_joined_ids(spark):
 
 def test_words_beyond_what_is_numbered_at_once(monkeypatch):
     monkeypatch.setattr(wordcodes, "WORDS_NUMBERED", 7)
-    monkeypatch.setattr(wordcodes, "WORDS_AT_ONCE", 3)
+    monkeypatch.setattr(wordcodes, "WORDS_GATHERED", 3)
     rows = [["ab", "c"] * 5, None, [], ["c", "é"] * 4, ["x" * k for k in range(12)]]
     codes = wordcodes.WordCodes(lambda words: wordcodes.flattened([list(w.encode()) for w in words]), most_words=4)
     ids, bounds = codes.texts(pa.array(rows, pa.list_(pa.string())))

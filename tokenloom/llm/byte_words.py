@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 OTHER, LETTER, NUMBER, SPACE, EDGE, UNKNOWN = range(6)
-TEXT_AT_ONCE = 1 << 22  # bytes, or one text
+TEXT_AT_ONCE = 1 << 19  # bytes, or one text
 
 
 class Classes:
