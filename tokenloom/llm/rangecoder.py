@@ -30,9 +30,8 @@ SHORT_LANE = 256  # ids of a lane at least, where a block has more
 UNIT, BITS = 1 << 12, 12  # of probabilities
 SURE = 7  # highest class of how sure a guess is
 MOST_SLOTS = 18  # bits of the hash of an order-2 context
-GAIN = 24  # bits that a context of order 2 must save, to be written
+GAIN = 24  # bits that a context must save, to be written
 PIECE = 1 << 15  # ids that a model looks at together
-SPELLED = 8  # bits of a spelled id, for that choice
 FIRST = 1 << 32  # a range below gives out a word
 WORD, MASK = 16, (1 << 32) - 1
 MOST_IDS = 1 << 16
@@ -82,7 +81,7 @@ class Model:
 
     def dump(self) -> bytes:
         met = self.guess[1][self.sure[1] > 0]
-        parts = [(self.known, "<u2"), (self.often, "u1"), (self.guess[0], "<u2"), (self.sure[0], "u1"), (self.sure[1], "u1")]
+        parts = [(np.diff(self.known, prepend=0), "<u2"), (self.often, "u1"), (self.guess[0], "<u2"), (self.sure[0], "u1"), (self.sure[1], "u1")]
         parts += [(met, "<u2"), (self.freq, "<u4"), (self.shares, "<u2"), (self.weight, "<i4")]
         return b"".join(a.astype(t).tobytes() for a, t in parts)
 
@@ -100,7 +99,7 @@ class Model:
         sure = part("u1", n), part("u1", 1 << slots)
         second = np.zeros(1 << slots, np.int64)
         second[sure[1] > 0] = part("<u2", int(np.count_nonzero(sure[1])))
-        model = cls(known, often, (first, second), sure)
+        model = cls(np.cumsum(known), often, (first, second), sure)
         model.complete(part("<u4", n), part("<u2", 48).reshape(3, 16), part("<i4", 3))
         return model
 
@@ -152,6 +151,12 @@ def _sure(hits: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.where(total > 0, np.clip((odds + 6.5) / 1.5, 1, SURE), 0).astype(np.int64)
 
 
+def _cost(hits: np.ndarray, total: np.ndarray, rate: np.ndarray, spelled: float) -> np.ndarray:
+    """Bits of the ids of each context, if its guess is said to be right at this rate."""
+    rate = np.clip(rate, 0.001, 0.999)
+    return -hits * np.log2(rate) - (total - hits) * (np.log2(1 - rate) - spelled)
+
+
 def _before(rank: np.ndarray, length: int) -> np.ndarray:
     """The rank before each; 0 before a lane begins."""
     last = np.empty_like(rank)
@@ -177,37 +182,38 @@ def learn(rank: np.ndarray, known: np.ndarray, length: int) -> tuple[Model, np.n
         pairs[s] = at << wide | rank[s]
         slot[s] = _slot(at, prior[s].astype(np.int64), slots)
     del prior
+    count = np.bincount(rank, minlength=n)
+    spelled = float(count @ -np.log2(count / len(rank))) / len(rank)  # bits of an id by order 0
+    # Contexts speak where they save more than they take to write.
     guess, hits, total = _likeliest(pairs, wide, n)
-    rate = np.clip(hits / np.maximum(total, 1), 0.001, 0.999)
+    told = total * spelled - _cost(hits, total, (hits + 0.5) / (total + 1), spelled) > GAIN
+    sure = np.where(told, _sure(hits, total), 0)
+    guess[~told] = 0
+    rate = np.where(told, hits / np.maximum(total, 1), 0)
     np.left_shift(slot, wide, out=pairs)
     pairs |= rank
     second, right, met = _likeliest(pairs, wide, 1 << slots)
     del pairs
-    # Order 2 speaks where it saves more than it takes to write.
     plain, said = np.zeros(1 << slots), np.zeros(1 << slots)
     for s in _pieces(len(rank), 8 * PIECE):
         at, of = last[s].astype(np.int64), slot[s].astype(np.int64)
         plain += np.bincount(of, guess.take(at) == rank[s], 1 << slots)
         said += np.bincount(of, rate.take(at), 1 << slots)
-    cost = [
-        -h * np.log2(np.clip(q, 1e-6, 1)) - (met - h) * (np.log2(np.clip(1 - q, 1e-6, 1)) - SPELLED)
-        for h, q in ((plain, said / np.maximum(met, 1)), (right, (right + 0.5) / (met + 1)))
-    ]
-    sure = _sure(hits, total), np.where(cost[0] - cost[1] > GAIN, _sure(right, met), 0)
-    second[sure[1] == 0] = 0
-    count = np.bincount(rank, minlength=n)
+    told = _cost(plain, met, said / np.maximum(met, 1), spelled) - _cost(right, met, (right + 0.5) / (met + 1), spelled) > GAIN
+    secure = np.where(told, _sure(right, met), 0)
+    second[~told] = 0
     often = np.minimum(np.frexp(count * (1 << 16) // len(rank))[1], 15).astype(np.int64)
-    model = Model(known, often, (guess, second), sure)
-    cell, spelled, cells = np.empty(len(rank), np.uint16), np.zeros(n, np.int64), np.zeros(2 * HIT, np.int64)
+    model = Model(known, often, (guess, second), (sure, secure))
+    cell, missed, cells = np.empty(len(rank), np.uint16), np.zeros(n, np.int64), np.zeros(2 * HIT, np.int64)
     for s in _pieces(len(rank)):
         candidate, of = model.candidate(last[s].astype(np.int64), slot[s].astype(np.int64))
         hit = candidate == rank[s]
         of += hit * HIT
         cells += np.bincount(of, minlength=2 * HIT)
-        spelled += np.bincount(rank[s][~hit], minlength=n)
+        missed += np.bincount(rank[s][~hit], minlength=n)
         cell[s] = of
-    freq = 1 + spelled * ((1 << bits) - n) // max(1, int(spelled.sum()))
-    freq[spelled.argmax()] += (1 << bits) - freq.sum()
+    freq = 1 + missed * ((1 << bits) - n) // max(1, int(missed.sum()))
+    freq[missed.argmax()] += (1 << bits) - freq.sum()
     model.complete(freq, *_fitted(cells[:HIT] + cells[HIT:], cells[HIT:]))
     return model, cell
 
@@ -289,7 +295,7 @@ def _block(ids: np.ndarray, bound: int) -> np.ndarray:
         part = share.take(said)
         coder.step(lower.take(said) + part * below.take(at), part * freq.take(at), BITS + model.bits)
     words = coder.finish()
-    facts = zlib.compress(model.dump(), 1)
+    facts = zlib.compress(model.dump())
     facts += b"\0" * (len(facts) & 1)
     head = HEAD.pack(len(ids), length, len(known) - 1, model.bits, model.slots, len(facts))
     front = head + facts

@@ -79,7 +79,7 @@ def parse(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         raise ValueError("Not a token segment of this version")
     at = HEADER.size + deflated
     end = at + 8 * n_blocks
-    if zlib.crc32(data[:end]) != struct.unpack_from("<I", data, end)[0]:
+    if len(data) < end + 4 or zlib.crc32(data[:end]) != struct.unpack_from("<I", data, end)[0]:
         raise ValueError("A token segment's header or table is damaged")
     table = zlib.decompress(data[HEADER.size : at])
     known = np.frombuffer(table, np.uint8, docs)
