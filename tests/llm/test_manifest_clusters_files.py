@@ -320,6 +320,25 @@ def test_words_by_columns():
         assert none.to_pylist() == [[] for _ in empty]
 
 
+@pytest.mark.parametrize("size", [1, 5, 40])
+def test_long_texts_in_parts(monkeypatch, size):
+    marks = ["<|endoftext|>", "x y"]
+    rng = random.Random(size)
+    signs = ["a", "Z", "9", "'s", "'", " ", "  ", "\n", "\n", " \n", "é", "東", "　", "!", *marks]
+    texts = ["".join(rng.choice(signs) for _ in range(200)) for _ in range(60)] + ["東" * 90, "a" * 90, " " * 90]
+    classes = byte_words.Classes()
+    whole = byte_words.split(pa.array(texts), marks, classes)
+    assert ["".join(words) for words in whole.to_pylist()] == texts
+    monkeypatch.setattr(byte_words, "TEXT_AT_ONCE", size)
+    column, cuts = pa.array(texts), 0
+    for i, words in enumerate(whole.to_pylist()):
+        one = column.slice(i, 1)
+        assert byte_words.split(one, marks, classes).to_pylist() == [words]
+        data = np.frombuffer(texts[i].encode(), np.uint8)
+        cuts += len(byte_words._cuts(data, byte_words._marks(one, np.zeros(1, np.int64), marks))) - 1
+    assert cuts > 100
+
+
 def test_new_words_encoded_together(tokenizer):
     codes = token_files.word_codes(tokenizer[0])
     mark = "<|endoftext|>"

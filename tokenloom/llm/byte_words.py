@@ -75,7 +75,38 @@ def _marks(texts: pa.Array, begin: np.ndarray, specials: list[str]) -> np.ndarra
     return np.array(found, np.int64).reshape(-1, 2)
 
 
+def _cuts(data: np.ndarray, marks: np.ndarray) -> list[int]:
+    """Places in a long text, some ``TEXT_AT_ONCE`` bytes apart, between an ASCII letter or digit and a
+    space or line end, outside of special strings: words begin there, whatever else stands around."""
+    cuts, at = [0], TEXT_AT_ONCE
+    while at < len(data):
+        end = min(len(data), at + TEXT_AT_ONCE)
+        gap, left = data[at:end], data[at - 1 : end - 1]
+        plain = (left - np.uint8(48) < 10) | ((left | np.uint8(32)) - np.uint8(97) < 26)
+        found = np.flatnonzero(((gap == 32) | (gap == 10)) & plain) + at
+        if len(marks) and len(found):
+            mark = marks[np.maximum(np.searchsorted(marks[:, 0], found) - 1, 0)]
+            found = found[(found <= mark[:, 0]) | (found >= mark[:, 1])]
+        if len(found):
+            cuts.append(int(found[0]))
+            end = cuts[-1] + TEXT_AT_ONCE
+        at = end
+    return cuts
+
+
 def split(texts: pa.Array, specials: list[str], classes: Classes) -> pa.Array:
+    """The words of each text, as :func:`_split` finds them; a single long text is taken in parts."""
+    if len(texts) != 1 or (pc.binary_length(texts)[0].as_py() or 0) <= TEXT_AT_ONCE:
+        return _split(texts, specials, classes)
+    begin, end = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + 2]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[begin:end]
+    cuts = np.array([*_cuts(data, _marks(texts, np.zeros(1, np.int64), specials)), len(data)], np.int32)
+    parts = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
+    words = pa.concat_arrays([_split(parts.slice(i, 1), specials, classes).flatten() for i in range(len(parts))])
+    return pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+
+
+def _split(texts: pa.Array, specials: list[str], classes: Classes) -> pa.Array:
     """The words of each text; special strings are cut out first and are words of their own. A null
     text has none."""
     texts = texts.fill_null("") if texts.null_count else texts
